@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .op1_hmm import op1_hmm_score
+from .op5_warc import OP5_SQL, op5_warc_round_trip
+from .op6_urls import OP6_SQL, op6_url_filter
+from .op7_rabitq import OP7_SQL, op7_nearest
+from .op8_curriculum import OP8_SQL, op8_curriculum_mix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm_score,)}
+    return {f.__name__: f for f in (op1_hmm_score, op5_warc_round_trip, op6_url_filter, op7_nearest, op8_curriculum_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_round_trip": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL, "op8_curriculum_mix": OP8_SQL}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .op1_hmm import op1_hmm_score
+from .op10_crf import op10_quality
 from .op5_warc import OP5_SQL, op5_warc_round_trip
 from .op6_urls import OP6_SQL, op6_url_filter
 from .op7_rabitq import OP7_SQL, op7_nearest
 from .op8_curriculum import OP8_SQL, op8_curriculum_mix
+from .op9_decontam import op9_benchmark_leaks
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hmm_score, op5_warc_round_trip, op6_url_filter, op7_nearest, op8_curriculum_mix)}
+    return {f.__name__: f for f in (op1_hmm_score, op5_warc_round_trip, op6_url_filter, op7_nearest, op8_curriculum_mix, op9_benchmark_leaks, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,64 @@
 """Corpus preparation: quality, near duplicates, benchmark leaks, personal data, curriculum.
 
-run() keeps each stage's result in the shared folder, so that no stage computes another's work again."""
+Each stage takes what its predecessor kept and its decisions take effect: rejected, duplicate and leaking documents go, personal data is
+replaced in the text, and the last stage returns the training order, a row for each copy that the mix takes.
+run() writes each stage into the shared folder and reads it again, so that no stage computes another's work twice.
+Of rows that repeat an id all are judged alike; null ids stay unless another stage's rule meets their text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import functions as F
+
+from verdure.llm import common as c
+from verdure.llm.op3_pii import redacted
+from verdure.llm.op4_omh import near_classes
+from verdure.llm.op8_curriculum import curriculum, training_order
+from verdure.llm.op9_decontam import leaks
+from verdure.llm.op10_crf import quality_scores
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the line model rejects go."""
+    names = docs.columns
+    return quality_scores(docs.drop("score", "predicted"), c.table(spark, sf_dir, "labels")).filter("predicted = 1").select(*(n for n in names if n not in ("score", "predicted")))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each class of near copies the document with the least id stays; of rows with that id, one."""
+    least = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(least, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Documents that hold a test item go."""
+    found = leaks(docs, c.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def personal_data(spark, docs, sf_dir):
+    """Spans are replaced by their kind; n_chars follows."""
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark, docs, sf_dir):
+    """The order of training: doc_id, source, text, taken, position; a row for each copy."""
+    mixed = curriculum(docs)
+    return training_order(docs.select("doc_id", "source", "text"), mixed)
+
+
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("PII", personal_data), ("mixing sources", mix)]
+#: Trained scores and sketches are beyond SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = c.table(spark, sf_dir, "documents")
+    folder = f"{c.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

@@ -7,7 +7,8 @@ A candidate pair is near if its word edit distance, found in a band that widens
 
 Copies of one word sequence are one class from the start.  Texts of an equal sketch are first compared with the bucket's least id alone, so a
 group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point), and only texts of one bucket that are still in
-different classes are compared with each other: pairs within a class can't change it, all others are looked at.  Nothing is capped.
+different classes are compared with each other, as far as their distances from the bucket's first text don't already part them (the triangle
+inequality): pairs within a class can't change it, and no other pair is left out.  Nothing is capped.
 
 Edge cases: null and empty texts, and texts without a word, are classes of their own; a text under WORDS words is one shingle; rows of one id are one document if they
 have the same words, else the id is listed once for each; a null id is listed with the class of its words; an empty table gives no rows; other columns are ignored.
@@ -78,13 +79,32 @@ def sketches(x: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unshared(a: np.ndarray, b: np.ndarray) -> int:
+    """Words of the one that the other lacks, whatever their order: no more than the edit distance."""
+    x = np.sort(np.concatenate([a << np.uint64(1), (b << np.uint64(1)) | np.uint64(1)]))
+    word = x >> np.uint64(1)
+    cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    of_b = np.add.reduceat((x & np.uint64(1)).astype(np.int64), cut)
+    of_a = np.diff(np.append(cut, len(x))) - of_b
+    return int(max(np.maximum(of_a - of_b, 0).sum(), np.maximum(of_b - of_a, 0).sum()))
+
+
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Word edit distance of each pair, or a number above its `most`. Bands widen until they hold the distance."""
+    """Word edit distance of each pair; if it is above the pair's `most`, a number above `most` and not above the distance. Bands widen until they hold the distance."""
     out = most + 1
     la, lb = (np.array([len(y) for y in x]) for x in (a, b))
-    left = np.flatnonzero(np.abs(la - lb) <= most)
+    far = np.abs(la - lb) > most
+    out[far] = np.abs(la - lb)[far]
+    left = np.flatnonzero(~far)
     band = 4
     while len(left):
+        if band == 16:  # what is left is far more often than not: most of it shares too few words
+            least = np.array([_unshared(a[i], b[i]) for i in left])
+            far = least > most[left]
+            out[left[far]] = least[far]
+            left = left[~far]
+            if not len(left):
+                break
         left = left[np.argsort(np.maximum(la[left], lb[left]), kind="stable")]
         undecided, at = [], 0
         while at < len(left):
@@ -126,8 +146,8 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose texts are near."""
+def _distances(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d, near): the distance of near pairs, a lower bound of that of others."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +160,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     h = w.hashes() | np.uint64(2)
                     lists.append([h[w.first[i] : w.first[i + 1]] for i in range(hi - lo)])
                 most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(*lists, strict=True)])
-                near = np.flatnonzero(edit_distances(*lists, most) <= most)
-                yield batch.slice(lo, hi - lo).select([0, 1]).take(pa.array(near))
+                d = edit_distances(*lists, most)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(d.astype(np.int64)), pa.array(d <= most)], names=["a", "b", "d", "near"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return c.map_arrow(both, check, f"a {kind}, b {kind}")
+    return c.map_arrow(both, check, f"a {kind}, b {kind}, d long, near boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,15 +211,22 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     pairs = c.checkpointed(buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
     met = buckets.join(lead.select("sketch"), "sketch", "left_semi").select(F.col("rep").alias("id")).distinct()
     texts = c.checkpointed(docs.join(met, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))  # of texts that share a sketch
-    links = c.checkpointed(_verified(pairs, texts, similarity))
+    measured = c.checkpointed(_distances(pairs, texts, similarity))
+    links = measured.filter("near").select("a", "b")
     labels = components(links)
-    # Texts of one bucket that are in different classes still.
-    inside = buckets.join(lead.select("sketch"), "sketch", "left_semi").join(labels, buckets.rep == labels.id, "left").select("sketch", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    # Texts of one bucket that are in different classes still, each with what is known of its distance from the bucket's first.
+    inside = buckets.join(lead, "sketch").join(labels, buckets.rep == labels.id, "left").select("sketch", "rep", "n", F.coalesce("label", "rep").alias("label"), F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"))
     torn = inside.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("sketch")
-    inside = c.checkpointed(inside.join(torn, "sketch", "left_semi"))
+    inside = inside.join(torn, "sketch", "left_semi").join(measured.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
+    first = F.col("rep") == F.col("a")
+    inside = c.checkpointed(inside.select("sketch", "rep", "n", "label", F.when(first, 0).otherwise(F.coalesce("d", F.abs(F.col("n") - F.col("n_a")))).alias("d"), F.coalesce("near", first).alias("exact")))
     x, y = inside.alias("x"), inside.alias("y")
-    rest = x.join(y, "sketch").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = c.checkpointed(_verified(rest, texts, similarity))
+    xd, yd, xe, ye = F.col("x.d"), F.col("y.d"), F.col("x.exact"), F.col("y.exact")
+    apart = F.when(xe & ye, F.abs(xd - yd)).when(xe, yd - xd).when(ye, xd - yd).otherwise(0)
+    allowed = F.greatest("x.n", "y.n") * F.lit(1 - similarity) + 1e-9
+    rest = x.join(y, (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")) & (apart <= allowed))
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = c.checkpointed(_distances(rest, texts, similarity).filter("near").select("a", "b"))
     if more.limit(1).count():
         labels = components(links.unionAll(more))
     classes = copies.select("d1", "d2", "rep").join(labels, copies.rep == labels.id, "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("label"))

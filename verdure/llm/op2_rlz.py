@@ -9,6 +9,8 @@ window (GRAM + ANCHORS - 1 = LENGTH) and, chosen by content alone, the same ones
 Windows whose anchor isn't shared need no look at all.  To tell without a join, the shared anchors go out as a bitmap of fixed size;
 when it is too full it only lets more windows through.  The windows left are aggregated to the first document that has them, and joined
 with that.  A hot passage is one row a task after the partial aggregation, and a skewed join is split at run time.
+Documents that repeat all words of one with a smaller id are found by their digests and sent no further: all their windows are copies, and the other
+documents lack no reference without them.  Of the rest, only texts with a copied window (by a second map) are shuffled to meet their windows.
 
 Windows are compared by 64 + 32 bits of hash.  Edge cases: null text is empty; rows without an id are neither changed nor references; rows of one id are
 no references of each other; empty texts have no windows; a text under LENGTH words is unchanged; an empty table gives no rows; other columns are ignored.
@@ -28,8 +30,10 @@ from . import common as c
 
 LENGTH, GRAM = 13, 5
 ANCHORS = LENGTH - GRAM + 1
-#: Bits of the map of shared anchors: 32 MB.
+#: Bits of a map of shared anchors, or of documents with copied windows: 32 MB.
 BITS = 1 << 28
+#: Whole copies that are told to all tasks (8 bytes each); beyond, they are found window by window like other copies.
+WHOLE = 4_000_000
 
 
 def anchors(words: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,17 +49,53 @@ def anchors(words: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at]
 
 
-def digests(words: c.Words, h: np.ndarray) -> np.ndarray:
-    """A 24-bit number of each row's words, to tell rows of one id apart."""
+def digests(words: c.Words, h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64 bits for each row's words."""
     out = np.zeros(len(words.count), np.uint64)
     full = np.flatnonzero(words.count)
     if len(full):
-        place = np.arange(len(h)) - words.first[words.row]
-        out[full] = np.add.reduceat(c.mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), words.first[:-1][full])
-    return (out >> np.uint64(40)).astype(np.int64)
+        place = (np.arange(len(h)) - words.first[words.row] + 1).astype(np.uint64)
+        out[full] = np.add.reduceat(c.mix(h + place * np.uint64(0x9E3779B97F4A7C15 + 2 * salt)), words.first[:-1][full])
+    return out
+
+
+def row_ids(digest: np.ndarray, batch: pa.RecordBatch, lo: int, hi: int) -> np.ndarray:
+    """64 bits for each row: of its words and of the hash of its id, the batch's third column."""
+    return c.signed(c.mix(digest + c.mix(batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+
+
+def among(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if not len(sorted_ids):
+        return np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
+    return sorted_ids[at] == ids
+
+
+def in_map(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = ids % BITS
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _whole_copies(docs: DataFrame) -> np.ndarray:
+    """Row ids, sorted, of texts of LENGTH words or more that a document with a smaller id repeats in full; none if there are more than WHOLE."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.utf8(batch.column(1))
+            for lo, hi in c.chunks(offsets):
+                w = c.Words(data, offsets[lo : hi + 1])
+                h = w.hashes()
+                d = digests(w, h)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(c.signed(d)), pa.array(c.signed(digests(w, h, 1))), pa.array(row_ids(d, batch, lo, hi)), pa.array(w.count.astype(np.int64))], names=["key", "d1", "d2", "id", "n"])
 
+    kind = docs.schema["key"].dataType.simpleString()
+    rows = c.checkpointed(c.map_arrow(docs, emit, f"key {kind}, d1 long, d2 long, id long, n long").filter(F.col("n") >= LENGTH))
+    first = rows.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last").drop("last")
+    copies = c.checkpointed(rows.join(first, ["d1", "d2"]).filter("first < key").select("id"))
+    return np.sort(copies.toArrow().column("id").to_numpy()) if copies.count() <= WHOLE else np.zeros(0, np.int64)
 
-def _shared(docs: DataFrame) -> DataFrame:
+
+def _shared(docs: DataFrame, whole) -> DataFrame:
     """Anchors of two or more documents, a row each."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +103,10 @@ def _shared(docs: DataFrame) -> DataFrame:
             data, offsets = c.utf8(batch.column(1))
             for lo, hi in c.chunks(offsets):
                 w = c.Words(data, offsets[lo : hi + 1])
-                at, anchor = anchors(w, w.hashes())
+                h = w.hashes()
+                at, anchor = anchors(w, h)
+                own = ~among(whole.value, row_ids(digests(w, h), batch, lo, hi))[w.row[at]]
+                at, anchor = at[own], anchor[own]
                 new = np.append(True, (anchor[1:] != anchor[:-1]) | (w.row[at[1:]] != w.row[at[:-1]]))[: len(at)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.signed(anchor[new])), batch.column(0).take(pa.array(lo + w.row[at[new]]))], names=["anchor", "key"])
 
@@ -71,18 +114,18 @@ def _shared(docs: DataFrame) -> DataFrame:
     return c.map_arrow(docs, emit, f"anchor long, key {kind}").groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a != b").select("anchor")
 
 
-def _bitmap(shared: DataFrame) -> np.ndarray:
-    """A bit for each shared anchor. Gathered in parts of 32768 bits: at most BITS in all, however many anchors there are."""
-    bit = F.pmod("anchor", F.lit(BITS)) + 1  # the parts count from 1
+def _bitmap(numbers: DataFrame) -> np.ndarray:
+    """A bit for each of one column of numbers. Gathered in parts of 32768 bits: at most BITS in all, however many numbers there are."""
+    bit = F.pmod(F.col(numbers.columns[0]), F.lit(BITS)) + 1  # the parts count from 1
     out = np.zeros(BITS // 8, np.uint8)
-    parts = shared.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    parts = numbers.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
     for r in parts.toLocalIterator():
         out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _copies(docs: DataFrame, bitmap) -> DataFrame:
-    """(key, digest, at, source): windows of a document that a document with a smaller id has, and the smallest such id."""
+def _copies(docs: DataFrame, bitmap, whole) -> DataFrame:
+    """(id, at, source), id that of the row: windows of a document that a document with a smaller id has, and the smallest such id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -92,37 +135,49 @@ def _copies(docs: DataFrame, bitmap) -> DataFrame:
                 w = c.Words(data, offsets[lo : hi + 1])
                 h = w.hashes()
                 at, anchor = anchors(w, h)
-                bit = anchor.view(np.int64) % BITS
-                keep = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                at = at[keep]
+                ids = row_ids(digests(w, h), batch, lo, hi)
+                at = at[in_map(bits, c.signed(anchor)) & ~among(whole.value, ids)[w.row[at]]]
                 one, two = c.grams(h, LENGTH, 1)[at], c.grams(h, LENGTH, 2)[at]
-                place = (at - w.first[w.row[at]]).astype(np.int64) << 24 | digests(w, h)[w.row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(lo + w.row[at])), pa.array(place)], names=["gram", "proof", "key", "place"])
+                place = (at - w.first[w.row[at]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(lo + w.row[at])), pa.array(place), pa.array(ids[w.row[at]])], names=["gram", "proof", "key", "at", "id"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    windows = c.map_arrow(docs, emit, f"gram long, proof int, key {kind}, place long")
+    windows = c.map_arrow(docs, emit, f"gram long, proof int, key {kind}, at int, id long")
     first = windows.groupBy("gram", "proof").agg(F.min("key").alias("source"), F.max("key").alias("_last")).filter("source != _last").drop("_last")
     found = windows.join(first, ["gram", "proof"]).filter("source < key")
-    return found.select("key", F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("digest"), F.shiftright("place", 24).cast("int").alias("at"), "source")
+    return found.select("id", "at", "source")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Columns key, n_words, n_removed, kept_sha256, factors (array of start, length and source, in words) and, with `texts`, kept."""
+    """Columns key, n_words, n_removed, kept_sha256, factors (array of start, length and source, in words; empty for a whole copy) and, with `texts`, kept."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    known = docs.filter(F.col("key").isNotNull())
-    bitmap = spark.sparkContext.broadcast(_bitmap(_shared(known)))
-    found = _copies(known, bitmap).groupBy("key", "digest").agg(F.collect_set(F.struct("at", "source")).alias("found"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key).alias("hash"))
+    known, context = docs.filter(F.col("key").isNotNull()), spark.sparkContext
+    whole = context.broadcast(_whole_copies(known))
+    anchored = context.broadcast(_bitmap(_shared(known, whole)))
+    found = c.checkpointed(_copies(known, anchored, whole).groupBy("id").agg(F.collect_set(F.struct("at", "source")).alias("found")))
+    touched = context.broadcast(_bitmap(found.select("id")))
     kind = docs.schema["key"].dataType.simpleString()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = c.utf8(batch.column(1))
-            for lo, hi in c.chunks(offsets):
-                w = c.Words(data, offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(digests(w, w.hashes()))], names=["key", "text", "digest"])
+    def part(hit: bool):
+        """The rows that may have copied windows, or the others."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = c.utf8(batch.column(1))
+                for lo, hi in c.chunks(offsets):
+                    w = c.Words(data, offsets[lo : hi + 1])
+                    ids = row_ids(digests(w, w.hashes()), batch, lo, hi)
+                    copy = among(whole.value, ids) & batch.column(0).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                    rows = batch.slice(lo, hi - lo)
+                    out = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ids), pa.array(copy)], names=["key", "text", "id", "copy"])
+                    yield out.filter(pa.array((in_map(touched.value, ids) & ~copy) == hit))
+
+        return c.map_arrow(docs, emit, f"key {kind}, text string, id long, copy boolean")
 
-    marked = c.map_arrow(docs, digest, f"key {kind}, text string, digest long").join(found, ["key", "digest"], "left").select("key", "text", F.col("found.at").alias("at"), F.col("found.source").alias("source"))
+    marked = part(True).join(found, "id", "left").select("key", "text", "copy", F.col("found.at").alias("at"), F.col("found.source").alias("source"))
+    none = marked.schema
+    marked = marked.unionAll(part(False).select("key", "text", "copy", F.lit(None).cast(none["at"].dataType).alias("at"), F.lit(None).cast(none["source"].dataType).alias("source")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +186,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", texts
                 part = batch.slice(lo, hi - lo)
                 w = c.Words(data, offsets[lo : hi + 1])
                 gone = np.zeros(len(w.start) + 1, np.int32)
-                lists = part.column(2)
+                lists = part.column(3)
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                row, at, source = np.repeat(np.arange(hi - lo), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), part.column(3).flatten()
+                row, at, source = np.repeat(np.arange(hi - lo), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), part.column(4).flatten()
                 order = np.lexsort((at, row))
                 row, at, source = row[order], at[order], source.take(pa.array(order))
                 np.add.at(gone, w.first[row] + at, 1)
                 np.add.at(gone, w.first[row] + at + LENGTH, -1)
-                kept = np.cumsum(gone[:-1]) == 0
+                kept = (np.cumsum(gone[:-1]) == 0) & ~part.column(2).to_numpy(zero_copy_only=False)[w.row]
                 # A factor goes on while the next window is a copy from the same source.
                 src = source.to_pylist()
                 new = np.ones(len(at), bool)

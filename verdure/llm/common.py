@@ -20,6 +20,7 @@ from .. import ship
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 CHUNK = 2 << 20
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,8 +45,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand in the workers."""
+    """df.mapInArrow with this package at hand in the workers, in batches of ROWS rows unless the session has set another number."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH) == "10000":  # Spark's default: texts of that many rows take too much of a small executor
+        df.sparkSession.conf.set(BATCH, str(ROWS))
     return df.mapInArrow(function, schema)
 
 

@@ -30,8 +30,8 @@ from . import common as c
 
 LENGTH, GRAM = 13, 5
 ANCHORS = LENGTH - GRAM + 1
-#: Bits of a map of shared anchors, or of documents with copied windows: 32 MB.
-BITS = 1 << 28
+#: Bits of a map of shared anchors, or of documents with copied windows: 16 MB.
+BITS = 1 << 27
 #: Whole copies that are told to all tasks (8 bytes each); beyond, they are found window by window like other copies.
 WHOLE = 4_000_000
 

@@ -251,6 +251,7 @@ def written(spans: str) -> Column:
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans by that of the first."""
     columns = docs.columns
+    docs = docs.toDF(*(n if n in (key, text) else f"_kept_{i}" for i, n in enumerate(columns)))  # columns of any name pass through
     found = personal_data(docs, key, text, **more)
     order = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*map(F.lit, ORDER))
@@ -263,7 +264,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
 
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.aggregate(order, begin, step, finish)).otherwise(F.col(text))).select(*columns)
+    return found.withColumn(text, F.when(F.size("spans") > 0, F.aggregate(order, begin, step, finish)).otherwise(F.col(text))).select(*docs.columns).toDF(*columns)
 
 
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ k best of all cells.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components, and rows
 without an id, take no part; a query is never its own neighbour, nor is a row with its id; of queries with one id one is asked;
-ties go to the smaller id; fewer than k candidates are all returned; an empty table gives no rows; other columns are ignored.
+ids are whole numbers; ties go to the smaller id; fewer than k candidates are all returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _matrix(column) -> np.ndarray:
 
 def valid(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     v = F.col("vector")
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
     most = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = most.d if most else 0
     return v.filter(F.size("vector") == d), d

@@ -64,7 +64,7 @@ def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     def position(j: Column) -> Column:
         """t with t + g (t*t - t) = the part of the demand before this copy."""
         part, g = F.least(place(j) / F.col("target"), F.lit(1.0)), F.col("tilt")
-        return F.when(g == 0, part).otherwise((g - 1 + F.sqrt((1 - g) * (1 - g) + 4 * g * part)) / (2 * g))
+        return F.when(g == 0, part).otherwise((g - 1 + F.sqrt((1 - g) * (1 - g) + 4 * g * part)) / (2 * g)) + F.lit(0.0)  # no negative zero
 
     docs = docs.withColumn("copies", copies).withColumn("tilt", tilt)
     return docs.select(
@@ -82,7 +82,7 @@ def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> Da
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     mixed = curriculum(c.table(spark, sf_dir, "documents"))
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round(F.get("positions", F.lit(0)), 9) + F.lit(0.0)).alias("position"))
     return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
@@ -102,6 +102,6 @@ p AS (SELECT doc_id, size, source_size, target, g,
   coalesce(sum(size) OVER (PARTITION BY d.none, d.name ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t USING (none, name)),
 q AS (SELECT *, size > 0 AND start + size / 2.0::DOUBLE < target AS one, size > 0 AND start + source_size + size / 2.0::DOUBLE < target AS two, least(start / target, 1.0::DOUBLE) AS part FROM p)
 SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target, (size * (one::INT + two::INT))::BIGINT AS taken,
-  round(CASE WHEN NOT one THEN NULL WHEN g = 0 THEN part ELSE (g - 1 + sqrt((1 - g) * (1 - g) + 4 * g * part)) / (2 * g) END, 9) AS position
+  round(CASE WHEN NOT one THEN NULL WHEN g = 0 THEN part ELSE (g - 1 + sqrt((1 - g) * (1 - g) + 4 * g * part)) / (2 * g) END, 9) + 0.0::DOUBLE AS position
 FROM q
 """

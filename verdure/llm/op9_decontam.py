@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as c
 
@@ -174,6 +175,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     kinds = docs.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"key {kinds[0]}, item {kinds[1]}, score double, question_overlap double, answer_overlap double"
 
+    of_item = to_arrow_type(benchmark.schema[item].dataType)
+
     def shard(items: list[tuple]) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(items))
 
@@ -186,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                     found = list(search(ix, lookup, *clean_words(data, offsets[lo : hi + 1])))
                     if found:
                         rows, items, *numbers = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + np.array(rows))), pa.array([ix.ids[i] for i in items]), *(pa.array(x, pa.float64()) for x in numbers)], names=["key", "item", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + np.array(rows))), pa.array([ix.ids[i] for i in items], of_item), *(pa.array(x, pa.float64()) for x in numbers)], names=["key", "item", "score", "question_overlap", "answer_overlap"])
 
         return c.map_arrow(docs, match, schema)
 

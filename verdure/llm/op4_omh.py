@@ -7,8 +7,8 @@ A candidate pair is near if its word edit distance, found in a band that widens
 
 Copies of one word sequence are one class from the start.  Texts of an equal sketch are first compared with the bucket's least id alone, so a
 group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point), and only texts of one bucket that are still in
-different classes are compared with each other, as far as their distances from the bucket's first text don't already part them (the triangle
-inequality): pairs within a class can't change it, and no other pair is left out.  Nothing is capped.
+different classes are compared with each other, as far as their distances from the bucket's first text (by the triangle inequality) or their
+counts of words in BINS bins (an edit changes a bin by one) don't already part them: pairs within a class can't change it, and no other pair is left out.  Nothing is capped.
 
 Edge cases: null and empty texts, and texts without a word, are classes of their own; a text under WORDS words is one shingle; rows of one id are one document if they
 have the same words, else the id is listed once for each; a null id is listed with the class of its words; an empty table gives no rows; other columns are ignored.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WORDS, SKETCHES, PICKED, SIMILARITY = 5, 24, 5, 0.8
+#: Words are counted in so many bins, to 127 each: texts whose counts differ by more than may are not compared.
+BINS = 128
 
 
 def labelled_shingles(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,11 +202,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
                         d[full] = np.add.reduceat(c.mix(h + (place + np.uint64(1)) * np.uint64(salt)), w.first[:-1][full])
                 s = sketches(*labelled_shingles(w, h))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * SKETCHES).astype(np.int32)), pa.array(c.signed(s.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.signed(d)) for d in digest), pa.array(w.count.astype(np.int64)), lists], names=["id", "d1", "d2", "n", "keys"])
+                bins = np.minimum(np.bincount(w.row * BINS + (h % np.uint64(BINS)).astype(np.int64), minlength=(hi - lo) * BINS), 127).astype(np.int8)
+                bins = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * BINS).astype(np.int32)), pa.array(bins))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.signed(d)) for d in digest), pa.array(w.count.astype(np.int64)), lists, bins], names=["id", "d1", "d2", "n", "keys", "bins"])
 
-    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, d1 long, d2 long, n long, keys array<long>"))
+    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, d1 long, d2 long, n long, keys array<long>, bins array<tinyint>"))
     worded = rows.filter("n > 0")
-    copies = c.checkpointed(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    copies = c.checkpointed(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins")))
     buckets = c.checkpointed(copies.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("keys").alias("sketch")))
     lead = buckets.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead")
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
@@ -219,10 +223,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     torn = inside.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("sketch")
     inside = inside.join(torn, "sketch", "left_semi").join(measured.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
     first = F.col("rep") == F.col("a")
-    inside = c.checkpointed(inside.select("sketch", "rep", "n", "label", F.when(first, 0).otherwise(F.coalesce("d", F.abs(F.col("n") - F.col("n_a")))).alias("d"), F.coalesce("near", first).alias("exact")))
+    inside = inside.join(copies.select("rep", "bins"), "rep")
+    inside = c.checkpointed(inside.select("sketch", "rep", "n", "label", "bins", F.when(first, 0).otherwise(F.coalesce("d", F.abs(F.col("n") - F.col("n_a")))).alias("d"), F.coalesce("near", first).alias("exact")))
     x, y = inside.alias("x"), inside.alias("y")
     xd, yd, xe, ye = F.col("x.d"), F.col("y.d"), F.col("x.exact"), F.col("y.exact")
     apart = F.when(xe & ye, F.abs(xd - yd)).when(xe, yd - xd).when(ye, xd - yd).otherwise(0)
+    over = lambda a, b: F.aggregate(F.zip_with(a, b, lambda i, j: F.greatest(i.cast("int") - j, F.lit(0))), F.lit(0), lambda i, j: i + j)
+    apart = F.greatest(apart, over("x.bins", "y.bins"), over("y.bins", "x.bins"))
     allowed = F.greatest("x.n", "y.n") * F.lit(1 - similarity) + 1e-9
     rest = x.join(y, (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")) & (apart <= allowed))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")

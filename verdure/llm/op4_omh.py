@@ -6,9 +6,9 @@ Two texts of shingle similarity 0.8 miss each other with probability (1 - 0.8**P
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
 Copies of one word sequence are one class from the start.  Texts of an equal sketch are first compared with the bucket's least id alone, so a
-group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point), and only texts of one bucket that are still in
-different classes are compared with each other, as far as their distances from the bucket's first text (by the triangle inequality) or their
-counts of words in BINS bins (an edit changes a bin by one) don't already part them: pairs within a class can't change it, and no other pair is left out.  Nothing is capped.
+group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point).  Only texts of one bucket that are in different
+classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
+part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
 Edge cases: null and empty texts, and texts without a word, are classes of their own; a text under WORDS words is one shingle; rows of one id are one document if they
 have the same words, else the id is listed once for each; a null id is listed with the class of its words; an empty table gives no rows; other columns are ignored.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WORDS, SKETCHES, PICKED, SIMILARITY = 5, 24, 5, 0.8
-#: Words are counted in so many bins, to 127 each: texts whose counts differ by more than may are not compared.
-BINS = 128
+#: Words are counted in so many bins, to 255 each: texts whose counts differ by more than may are not compared.
+BINS = 2048
+#: Members of a bucket are counted against each other in blocks of about so many.
+BLOCK = 512
 
 
 def labelled_shingles(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, d, near): the distance of near pairs, a lower bound of that of others."""
+    """The near ones of pairs: (a, b)."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +165,10 @@ def _distances(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFra
                     lists.append([h[w.first[i] : w.first[i + 1]] for i in range(hi - lo)])
                 most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(*lists, strict=True)])
                 d = edit_distances(*lists, most)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], pa.array(d.astype(np.int64)), pa.array(d <= most)], names=["a", "b", "d", "near"])
+                yield pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns[:2], names=["a", "b"]).filter(pa.array(d <= most))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return c.map_arrow(both, check, f"a {kind}, b {kind}, d long, near boolean")
+    return c.map_arrow(both, check, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,6 +185,64 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def _bags(texts: DataFrame) -> DataFrame:
+    """(id, n, bag): the number of words and their counts in BINS bins, a byte each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.utf8(batch.column(1))
+            for lo, hi in c.chunks(offsets):
+                w = c.Words(data, offsets[lo : hi + 1])
+                bins = (w.hashes() % np.uint64(BINS)).astype(np.int64)
+                bags = np.minimum(np.bincount(w.row * BINS + bins, minlength=(hi - lo) * BINS), 255).astype(np.uint8).reshape(hi - lo, BINS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array([x.tobytes() for x in bags], pa.binary())], names=["id", "n", "bag"])
+
+    return c.map_arrow(texts, count, f"id {texts.schema['id'].dataType.simpleString()}, n long, bag binary")
+
+
+def _torn_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: texts of one bucket with different labels whose lengths and counts of words don't part them; each pair once."""
+    inside = buckets.join(labels, buckets.rep == labels.id, "left").select("sketch", "rep", F.coalesce("label", "rep").alias("label"))
+    torn = inside.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("x != y").select("sketch", "blocks")
+    inside = c.checkpointed(inside.join(torn, "sketch").distinct())
+    members = inside.groupBy("rep").agg(F.max("label").alias("label"), F.collect_set("sketch").alias("keys"))
+    members = c.checkpointed(members.join(_bags(texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi")), F.col("rep") == F.col("id")).drop("id"))
+    own, other = F.pmod(F.xxhash64("rep"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = inside.select("sketch", "rep", own.alias("own"), other.alias("other")).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
+    kind = buckets.schema["rep"].dataType.simpleString()
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("rep").combine_chunks()
+        sketch, across = cell["sketch"][0].as_py(), cell["x"][0] != cell["y"][0]
+        block, n = cell["own"].to_numpy(), cell["n"].to_numpy()
+        label = cell["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bag = np.frombuffer(b"".join(cell["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        total = bag.sum(1, dtype=np.int64)
+        lists = cell["keys"].to_pylist()
+        keys = np.full((len(n), max(map(len, lists))), sketch, np.int64)
+        for i, x in enumerate(lists):
+            keys[i, : len(x)] = x
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(n) - 1):
+            most = np.maximum(n[i], n[i + 1 :])
+            fits = (label[i + 1 :] != label[i]) & (np.minimum(n[i], n[i + 1 :]) >= most * similarity - 1e-9)
+            if across:
+                fits &= block[i + 1 :] != block[i]
+            j = np.flatnonzero(fits) + i + 1
+            lesser = keys[i][keys[i] < sketch]
+            if len(j) and len(lesser):  # they have met in a lesser bucket
+                j = j[~np.isin(keys[j], lesser).any(1)]
+            if len(j):
+                apart = np.abs(bag[j] - bag[i]).sum(1, dtype=np.int64) + np.abs(total[j] - total[i])
+                j = j[apart <= 2 * (most[j - i - 1] * (1 - similarity) + 1e-9)]
+                a.append(np.full(len(j), i))
+                b.append(j)
+        rep = cell["rep"].combine_chunks()
+        return pa.Table.from_arrays([rep.take(pa.array(np.concatenate(x))) for x in (a, b)], names=["a", "b"])
+
+    return cells.join(members, "rep").groupBy("sketch", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Columns key, class_id (the least id of the class), copy_of (the least id with the same words)."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -202,38 +262,21 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
                         d[full] = np.add.reduceat(c.mix(h + (place + np.uint64(1)) * np.uint64(salt)), w.first[:-1][full])
                 s = sketches(*labelled_shingles(w, h))
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * SKETCHES).astype(np.int32)), pa.array(c.signed(s.ravel())))
-                bins = np.minimum(np.bincount(w.row * BINS + (h % np.uint64(BINS)).astype(np.int64), minlength=(hi - lo) * BINS), 127).astype(np.int8)
-                bins = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * BINS).astype(np.int32)), pa.array(bins))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.signed(d)) for d in digest), pa.array(w.count.astype(np.int64)), lists, bins], names=["id", "d1", "d2", "n", "keys", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.signed(d)) for d in digest), pa.array(w.count.astype(np.int64)), lists], names=["id", "d1", "d2", "n", "keys"])
 
-    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, d1 long, d2 long, n long, keys array<long>, bins array<tinyint>"))
+    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, d1 long, d2 long, n long, keys array<long>"))
     worded = rows.filter("n > 0")
-    copies = c.checkpointed(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins")))
+    copies = c.checkpointed(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     buckets = c.checkpointed(copies.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("keys").alias("sketch")))
     lead = buckets.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead")
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
     pairs = c.checkpointed(buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
     met = buckets.join(lead.select("sketch"), "sketch", "left_semi").select(F.col("rep").alias("id")).distinct()
     texts = c.checkpointed(docs.join(met, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))  # of texts that share a sketch
-    measured = c.checkpointed(_distances(pairs, texts, similarity))
-    links = measured.filter("near").select("a", "b")
+    links = c.checkpointed(_distances(pairs, texts, similarity))
     labels = components(links)
-    # Texts of one bucket that are in different classes still, each with what is known of its distance from the bucket's first.
-    inside = buckets.join(lead, "sketch").join(labels, buckets.rep == labels.id, "left").select("sketch", "rep", "n", F.coalesce("label", "rep").alias("label"), F.col("lead.rep").alias("a"), F.col("lead.n").alias("n_a"))
-    torn = inside.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("sketch")
-    inside = inside.join(torn, "sketch", "left_semi").join(measured.withColumnRenamed("b", "rep"), ["a", "rep"], "left")
-    first = F.col("rep") == F.col("a")
-    inside = inside.join(copies.select("rep", "bins"), "rep")
-    inside = c.checkpointed(inside.select("sketch", "rep", "n", "label", "bins", F.when(first, 0).otherwise(F.coalesce("d", F.abs(F.col("n") - F.col("n_a")))).alias("d"), F.coalesce("near", first).alias("exact")))
-    x, y = inside.alias("x"), inside.alias("y")
-    xd, yd, xe, ye = F.col("x.d"), F.col("y.d"), F.col("x.exact"), F.col("y.exact")
-    apart = F.when(xe & ye, F.abs(xd - yd)).when(xe, yd - xd).when(ye, xd - yd).otherwise(0)
-    over = lambda a, b: F.aggregate(F.zip_with(a, b, lambda i, j: F.greatest(i.cast("int") - j, F.lit(0))), F.lit(0), lambda i, j: i + j)
-    apart = F.greatest(apart, over("x.bins", "y.bins"), over("y.bins", "x.bins"))
-    allowed = F.greatest("x.n", "y.n") * F.lit(1 - similarity) + 1e-9
-    rest = x.join(y, (F.col("x.sketch") == F.col("y.sketch")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n")) & (apart <= allowed))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = c.checkpointed(_distances(rest, texts, similarity).filter("near").select("a", "b"))
+    rest = _torn_pairs(buckets.join(lead.select("sketch"), "sketch", "left_semi"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = c.checkpointed(_distances(c.checkpointed(rest), texts, similarity))
     if more.limit(1).count():
         labels = components(links.unionAll(more))
     classes = copies.select("d1", "d2", "rep").join(labels, copies.rep == labels.id, "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("label"))

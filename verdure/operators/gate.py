@@ -80,3 +80,29 @@ def decide(cues: DataFrame, thresholds: dict[str, float] | None = None, accept:
     rule = F.coalesce(veto(), F.when(F.size(deep_vetoes(thresholds)) > 0, "not_tomato"), F.when(F.col("confidence") < accept, "low_confidence"))
     out = out.withColumn("veto", rule).withColumn("accepted", F.col("veto").isNull())
     return out.withColumn("weakest", F.when(F.col("veto") == "low_confidence", F.array_join(weakest(), ",")))
+
+
+#: The least and the most coverage, and the least confidence of a reliable segmentation.
+COVERAGE, RELIABLE = (0.03, 0.97), 0.45
+#: What a background that fills most of the frame is called.
+BACKGROUNDS = {"green": "grass or mixed vegetation", "soil": "bare soil / ground", "stone": "stones, gravel or a plain grey surface"}
+NO_LEAF, DOMINANT = "an object or scene without a tomato leaf", 0.55
+
+
+def segmentation_reason(coverage: str = "coverage", confidence: str = "confidence", earlier: str | None = None) -> Column:
+    """Null for a reliable segmentation, else the first reason; one found earlier stays."""
+    low, high = COVERAGE
+    found = (
+        F.when(F.col(coverage) < low, "coverage_too_low_likely_failed_segmentation").when(F.col(coverage) > high, "coverage_too_high_likely_no_background_present")
+        .when(F.col(confidence) < RELIABLE, "low_segmentation_confidence")
+    )
+    return F.coalesce(earlier, found) if earlier else found
+
+
+def background_name() -> Column:
+    """What dominates the frame, by the columns green, soil, stone and other; of equal shares the first counts."""
+    most = F.greatest("green", "soil", "stone", "other")
+    out = F.when(most.isNull() | (most <= DOMINANT), NO_LEAF)
+    for k, name in BACKGROUNDS.items():
+        out = out.when(F.col(k) == most, name)
+    return out.otherwise(NO_LEAF)

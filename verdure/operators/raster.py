@@ -111,3 +111,45 @@ def focus(pixels: DataFrame, heat: str, leaf: str, lesion: str) -> DataFrame:
     enough = F.col("lesions") > 20
     area = F.when(enough, F.col("lesions") / F.col("leaves")).otherwise(0.0)
     return out.select("image_id", "on_leaf", F.col(f"peak.{leaf}").alias("peak_on_leaf"), "top_on_leaf", F.when(enough, F.col("on_lesion")).alias("on_lesion"), F.when(enough, F.col(f"peak.{lesion}")).alias("peak_on_lesion"), area.alias("lesion_share"))
+
+
+def overlap(pixels: DataFrame, a: str, b: str) -> DataFrame:
+    """A row an image: pixels in either mask, in both, in `a` alone, and intersection over union (0 for two empty masks)."""
+    count = lambda c: F.sum(c.cast("long"))
+    x, y = F.col(a), F.col(b)
+    out = pixels.groupBy("image_id").agg(count(x | y).alias("either"), count(x & y).alias("both"), count(x & ~y).alias("alone"))
+    return out.withColumn("iou", F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(0.0))
+
+
+def affected(pixels: DataFrame, leaf: str, lesion: str, healthy: Column) -> DataFrame:
+    """A row an image: lesions' share of the leaf; null for healthy images and for those without a leaf."""
+    out = pixels.groupBy("image_id").agg(F.sum(F.col(leaf).cast("long")).alias("n"), F.sum((F.col(leaf) & F.col(lesion)).cast("long")).alias("ill"))
+    return out.select("image_id", F.when(~healthy & (F.col("n") > 0), F.col("ill") / F.col("n")).alias("affected"))
+
+
+def centres(labelled: DataFrame, weights: DataFrame, weight: str, share: float = 0.15) -> DataFrame:
+    """Components of at least `share` of their image's largest: area, weight and weighted centre (NaN without any weight)."""
+    each = labelled.join(weights, ["image_id", "y", "x"], "left").withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    each = each.groupBy("image_id", "label").agg(F.count("*").alias("area"), F.sum("_w").alias("mass"), F.sum(F.col("y") * F.col("_w")).alias("_y"), F.sum(F.col("x") * F.col("_w")).alias("_x"))
+    each = each.withColumn("_most", F.max("area").over(Window.partitionBy("image_id"))).filter(F.col("area") >= share * F.col("_most"))
+    at = lambda c: F.when(F.col("mass") != 0, F.col(c) / F.col("mass")).otherwise(float("nan"))
+    return each.select("image_id", "label", "area", "mass", at("_y").alias("cy"), at("_x").alias("cx"))
+
+
+def edge_contact(pixels: DataFrame, mask: str, height: int, width: int) -> DataFrame:
+    """A row an image: the mean of the mask's shares of the four edges, and how many edges it touches."""
+    edges = [F.col("y") == 0, F.col("y") == height - 1, F.col("x") == 0, F.col("x") == width - 1]
+    on = F.col(mask).cast("double")
+    out = pixels.filter(edges[0] | edges[1] | edges[2] | edges[3]).groupBy("image_id").agg(*(F.avg(F.when(e, on)).alias(f"e{i}") for i, e in enumerate(edges)))
+    shares = [F.coalesce(f"e{i}", F.lit(0.0)) for i in range(4)]
+    return out.select("image_id", (sum(shares[1:], shares[0]) / 4).alias("contact"), sum(((s > 0).cast("int") for s in shares[1:]), (shares[0] > 0).cast("int")).alias("sides"))
+
+
+#: Blue, green and red of the tints, and the photograph's share.
+LEAF_TINT, LESION_TINT, PHOTO = (0, 200, 80), (0, 60, 255), 0.65
+
+
+def tinted(pixels: DataFrame, leaf: str, lesion: str) -> DataFrame:
+    """pixels with b, g, r blended with the tint of their mask, rounded to even; a lesion's tint covers the leaf's."""
+    tint = lambda i: F.when(F.col(lesion), LESION_TINT[i]).when(F.col(leaf), LEAF_TINT[i]).otherwise(0)
+    return pixels.withColumns({k: F.rint(F.col(k) * F.lit(PHOTO) + tint(i) * F.lit(1 - PHOTO)).cast("int") for i, k in enumerate("bgr")})

@@ -36,3 +36,8 @@ def consensus(votes: DataFrame, image: str, cls: str, confidence: str, order: st
 def newest(rows: DataFrame, owner: str, *order: Column, keep: int = HISTORY) -> DataFrame:
     """The `keep` newest rows of each owner. A rank filter, so Spark drops rows before the shuffle too."""
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(owner).orderBy(*order))).filter(F.col("r") <= keep)
+
+
+def search(rows: DataFrame, words: str, *columns: str) -> DataFrame:
+    """Rows whose columns, joined by spaces, hold `words`, whatever the case; nulls are left out of the text."""
+    return rows.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(words.lower())))

@@ -294,6 +294,54 @@ def lesion_gate_display(spark, d):
     return rows.select("vec_id", F.round(F.array_max(v) - F.array_min(v), 6).alias("spread"), shown.alias("shown"))
 
 
+@query(f"WITH {_HSV} SELECT image_id, sum((leaf OR green)::INT)::BIGINT AS either, sum((leaf AND green)::INT)::BIGINT AS both, sum((leaf AND NOT green)::INT)::BIGINT AS alone, round(coalesce(sum((leaf AND green)::INT) / nullif(sum((leaf OR green)::INT), 0), 0), 6)::DOUBLE AS iou FROM m GROUP BY image_id")
+def mask_setops(spark, d):
+    return raster.overlap(raster.with_masks(_pixels(spark, d)), "leaf", "green").withColumn("iou", F.round("iou", 6))
+
+
+@query(f"WITH {_HSV} SELECT image_id, round(CASE WHEN image_id % 10 <> 9 THEN sum((leaf AND lesion)::INT) / nullif(sum(leaf::INT), 0) END, 6)::DOUBLE AS affected FROM m GROUP BY image_id")
+def affected_area(spark, d):
+    return raster.affected(raster.with_masks(_pixels(spark, d)), "leaf", "lesion", F.col("image_id") % 10 == 9).withColumn("affected", F.round("affected", 6))
+
+
+@query(f"WITH RECURSIVE {_PX}, on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_FOUR)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL), g AS (SELECT image_id, label, count(*) AS area, sum(heat) AS mass, sum(y * heat) AS sy, sum(x * heat) AS sx FROM l JOIN px USING (image_id, y, x) GROUP BY image_id, label), k AS (SELECT *, max(area) OVER (PARTITION BY image_id) AS most FROM g) SELECT image_id, label, area, round(mass, 6) AS mass, CASE WHEN mass <> 0 THEN round(sy / mass, 6) ELSE 'nan'::DOUBLE END AS cy, CASE WHEN mass <> 0 THEN round(sx / mass, 6) ELSE 'nan'::DOUBLE END AS cx FROM k WHERE area >= 0.15::DOUBLE * most")
+def region_centres(spark, d):
+    px = _pixels(spark, d)
+    out = raster.centres(raster.components(px, "leaf"), px.select("image_id", "y", "x", "heat"), "heat")
+    return out.withColumns({k: F.round(k, 6) for k in ("mass", "cy", "cx")})
+
+
+@query(f"WITH {_PX}, e AS (SELECT image_id, avg(leaf::INT) FILTER (WHERE y = 0) AS a, avg(leaf::INT) FILTER (WHERE y = {SIDE - 1}) AS b, avg(leaf::INT) FILTER (WHERE x = 0) AS c, avg(leaf::INT) FILTER (WHERE x = {SIDE - 1}) AS d FROM px GROUP BY image_id) SELECT image_id, round((a + b + c + d) / 4, 6) AS contact, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT AS sides FROM e")
+def edge_contact(spark, d):
+    return raster.edge_contact(_pixels(spark, d), "leaf", SIDE, SIDE).withColumn("contact", F.round("contact", 6))
+
+
+@query(f"WITH {_HSV}, t AS (SELECT image_id, b, g, r, CASE WHEN lesion THEN [0, 60, 255] WHEN leaf THEN [0, 200, 80] ELSE [0, 0, 0] END AS t FROM m) SELECT image_id, sum(round_even(b * 0.65::DOUBLE + t[1] * (1 - 0.65::DOUBLE), 0)::INT)::BIGINT AS b, sum(round_even(g * 0.65::DOUBLE + t[2] * (1 - 0.65::DOUBLE), 0)::INT)::BIGINT AS g, sum(round_even(r * 0.65::DOUBLE + t[3] * (1 - 0.65::DOUBLE), 0)::INT)::BIGINT AS r FROM t GROUP BY image_id")
+def leaf_tint(spark, d):
+    return raster.tinted(raster.with_masks(_pixels(spark, d)), "leaf", "lesion").groupBy("image_id").agg(*(F.sum(k).alias(k) for k in "bgr"))
+
+
+@query(f"WITH {_HSV}, s AS (SELECT image_id, avg(green::INT) AS green, avg(soil::INT) AS soil, avg((stone AND NOT soil)::INT) AS stone FROM m GROUP BY image_id), o AS (SELECT *, greatest(0, 1 - green - soil - stone) AS other FROM s) SELECT image_id, CASE WHEN greatest(green, soil, stone, other) <= 0.55::DOUBLE THEN '{gate.NO_LEAF}' WHEN green >= greatest(soil, stone, other) THEN '{gate.BACKGROUNDS['green']}' WHEN soil >= greatest(stone, other) THEN '{gate.BACKGROUNDS['soil']}' WHEN stone >= other THEN '{gate.BACKGROUNDS['stone']}' ELSE '{gate.NO_LEAF}' END AS background FROM o")
+def background_name(spark, d):
+    return raster.composition(raster.with_masks(_pixels(spark, d))).select("image_id", gate.background_name().alias("background"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.03::DOUBLE THEN 'coverage_too_low_likely_failed_segmentation' WHEN l_discount * 10 > 0.97::DOUBLE THEN 'coverage_too_high_likely_no_background_present' WHEN l_quantity / 50 < 0.45::DOUBLE THEN 'low_segmentation_confidence' END AS reason FROM lineitem")
+def segmentation_reliability(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("coverage"), (F.col("l_quantity") / 50).alias("confidence"))
+    return rows.select("l_orderkey", "l_linenumber", gate.segmentation_reason().alias("reason"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE contains(lower(concat_ws(' ', event_type, props)), 'a')")
+def history_search(spark, d):
+    return scoring.search(_t(spark, d, "events"), "A", "event_type", "props").select("event_id", "user_id")
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def last_result(spark, d):
+    return ev.last_results(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -18,18 +18,24 @@ def lines(events: DataFrame, columns: list[str]) -> DataFrame:
     return events.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def last_results(events: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """A row a key: the columns of its last event. A partial maximum goes into the shuffle, not the events."""
+    last = events.groupBy(key).agg(F.max_by(F.struct(order, *columns), order).alias("_last"))
+    return last.select(key, *(F.col(f"_last.{c}").alias(c) for c in (order, *columns)))
+
+
 def history_stream(spark: SparkSession, source: str, file: str, schema: str, owner: str, order: list[str], out: str, checkpoint: str, keep: int = HISTORY) -> DataFrame:
-    """Reads files as a stream and keeps each owner's newest rows in the folder `out`, a version for each batch; returns the last version."""
+    """Reads files as a stream and keeps each owner's newest rows in the folder `out`, a version for each batch; returns the last version.
+
+    A batch builds on the version before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(source)
-    last: list[str] = []
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/version=-1")
 
     def add(batch: DataFrame, number: int) -> None:
-        kept = spark.read.parquet(last[-1]) if last else None
-        rows = batch if kept is None else kept.unionByName(batch)
-        path = f"{out}/v{number}"
-        newest(rows, owner, *(F.desc(c) for c in order), keep=keep).drop("r").write.mode("overwrite").parquet(path)
-        last.append(path)
+        rows = spark.read.schema(batch.schema).parquet(f"{out}/version={number - 1}").unionByName(batch)
+        newest(rows, owner, *(F.desc(c) for c in order), keep=keep).drop("r").write.mode("overwrite").parquet(f"{out}/version={number}")
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(last[-1]) if last else spark.createDataFrame([], schema)
+    versions = spark.read.parquet(out)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")

@@ -109,3 +109,17 @@ def test_files(spark, tmp_path):
 def test_advice_join_is_broadcast(spark):
     plan = knowledge.with_advice(spark.range(10).withColumn("class_id", F.col("id").cast("int")))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_history_stream_resumes(spark, tmp_path):
+    from verdure.streaming.events import history_stream
+
+    def run():
+        out = history_stream(spark, str(tmp_path / "in"), "*.parquet", "user long, n long", "user", ["n"], str(tmp_path / "out"), str(tmp_path / "checkpoint"), keep=3)
+        return sorted(tuple(r) for r in out.collect())
+
+    spark.createDataFrame([(1, n) for n in range(5)], "user long, n long").write.parquet(str(tmp_path / "in"))
+    assert run() == [(1, 2), (1, 3), (1, 4)]
+    assert run() == [(1, 2), (1, 3), (1, 4)]  # nothing new
+    spark.createDataFrame([(1, 9), (2, 0)], "user long, n long").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [(1, 3), (1, 4), (1, 9), (2, 0)]

@@ -135,6 +135,46 @@ def test_near_duplicates(spark):
     assert (got[900], got[901], got[902], got[903], got[904]) == (900, 901, 902, 902, 904)
 
 
+def test_near_short_texts_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in [*range(4, 26), 32, 40, 51, 64] * 3:
+        w = [f"v{x}" for x in rng.integers(0, 3000, n)]
+        texts.append(w)
+        for _ in range(2):
+            e = list(w)
+            for _ in range(int(rng.integers(1, n // 5 + 2))):
+                i, how = int(rng.integers(0, len(e))), rng.integers(0, 3)
+                e[i : i + 1] = [["new"], [], [e[i], f"v{rng.integers(0, 3000)}"]][how]
+            texts.append(e)
+    texts = [w[:64] for w in texts]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            if abs(len(a) - len(b)) <= most and len(set(a) & set(b)) * 2 >= min(len(set(a)), len(set(b))) and distance(a, b) <= most:
+                x, y = sorted((want[i], want[j]))
+                want = [x if k == y else k for k in want]
+    got = {r.doc_id: r.class_id for r in op4_omh.near_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(want)
+
+
+def test_near_duplicates_of_equal_and_null_ids(spark):
+    a, b, x = (" ".join(f"{k}{i}" for i in range(60)) for k in "abx")
+    docs = [(1, a), (1, x), (2, b + " more"), (None, b), (None, a + " more"), (None, "all alone here")]
+    got = Counter((r.doc_id, r.class_id, r.copy_of) for r in op4_omh.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 2, 2), (None, 2, None), (None, 1, None), (None, None, None)])
+
+
 def test_edit_distances_against_plain():
     rng = np.random.default_rng(4)
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import ship
 
@@ -44,7 +45,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """df.mapInArrow with this package at hand in the workers, in batches of ROWS rows unless the session has set another number."""
     ship(df.sparkSession)
     if df.sparkSession.conf.get(BATCH) == "10000":  # Spark's default: texts of that many rows take too much of a small executor

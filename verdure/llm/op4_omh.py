@@ -2,16 +2,18 @@
 
 Shingles are WORDS words, labelled with their occurrence number in the text.  Each of SKETCHES sketches takes the PICKED shingles with the least hashes
 and keeps them in the order of the text, so that equal sketches speak for equal order: texts with the same shingles shuffled don't meet.
-Two texts of shingle similarity 0.8 miss each other with probability (1 - 0.8**PICKED)**SKETCHES = 7e-5.
+Two long texts of shingle similarity 0.8 miss each other with probability (1 - 0.8**PICKED)**SKETCHES = 7e-5; isolated changes lower the shingle similarity far more than the
+edit similarity, and such pairs of long texts may be missed.  Texts of at most SHORT words also meet in prefixes of their grams (see short_keys), which
+loses no pair: among them the accepted relation is complete.
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
-Copies of one word sequence are one class from the start.  Texts of an equal sketch are first compared with the bucket's least id alone, so a
+Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Texts of an equal sketch are first compared with the bucket's least digest alone, so a
 group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point).  Only texts of one bucket that are in different
 classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
 part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
 Edge cases: null and empty texts, and texts without a word, are classes of their own; a text under WORDS words is one shingle; rows of one id are one document if they
-have the same words, else the id is listed once for each; a null id is listed with the class of its words; an empty table gives no rows; other columns are ignored.
+have the same words, else the id is listed once for each; a null id is listed with the class of its words, a class without other ids has the null id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common as c
 
@@ -30,13 +33,15 @@ WORDS, SKETCHES, PICKED, SIMILARITY = 5, 24, 5, 0.8
 BINS = 2048
 #: Members of a bucket are counted against each other in blocks of about so many.
 BLOCK = 512
+#: Texts of at most so many words are found without loss.
+SHORT = 64
 
 
-def labelled_shingles(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_shingles(w: c.Words, h: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash with occurrence number, row, first of each row) in the order of the text."""
-    at = np.flatnonzero(c.inside(w, WORDS))
-    x, row = c.grams(h, WORDS)[at], w.row[at]
-    short = np.flatnonzero((w.count > 0) & (w.count < WORDS))
+    at = np.flatnonzero(c.inside(w, size))
+    x, row = c.grams(h, size)[at], w.row[at]
+    short = np.flatnonzero((w.count > 0) & (w.count < size))
     if len(short):
         own = np.array([c.grams(h[w.first[r] : w.first[r + 1]], int(w.count[r]), 1)[0] for r in short], np.uint64)
         order = np.argsort(np.concatenate([row, short]), kind="stable")
@@ -52,6 +57,50 @@ def labelled_shingles(w: c.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, row, np.searchsorted(row, np.arange(len(w.count) + 1))
 
 
+def digests(w: c.Words, h: np.ndarray) -> pa.Array:
+    """16 bytes for each row's word sequence; zeros without a word."""
+    out = np.zeros((len(w.count), 2), np.uint64)
+    full = np.flatnonzero(w.count)
+    if len(full):
+        place = (np.arange(len(h)) - w.first[w.row]).astype(np.uint64)
+        for i, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+            out[full, i] = np.add.reduceat(c.mix(h + (place + np.uint64(1)) * np.uint64(salt)), w.first[:-1][full])
+    return pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer((np.arange(len(out) + 1) * 16).astype(np.int32)), pa.py_buffer(out.tobytes())])
+
+
+def prefixes(similarity: float) -> dict[int, list[int]]:
+    """{gram size: number of grams that a text of n words, n the place in the list, is met by}.
+
+    A pair whose longer text has m words is near within d = (1 - similarity) * m edits, and an edit changes at most q of the m - q + 1 grams of q words, so
+    t = m - q + 1 - q * d are shared.  Of two sets that share t the least |x| - t + 1 have one in common, in any order.  Of the sizes with t >= 1 the largest is taken for each m."""
+    out = {q: [0] * (SHORT + 1) for q in (1, 2, 3)}
+    for m in range(1, SHORT + 1):
+        d = int((1 - similarity) * m + 1e-9)
+        q = next(q for q in (3, 2, 1) if m - q + 1 - q * d >= 1 or q == 1)
+        for n in range(max(1, m - d), m + 1) if d else ():
+            out[q][n] = max(out[q][n], min(n - q + 1, n - m + q * d + 1))
+    return out
+
+
+def short_keys(w: c.Words, h: np.ndarray, least: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the grams by which texts of at most SHORT words meet, those of the least hashes."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    few = np.where(w.count <= SHORT, w.count, 0)
+    for q, wanted in least.items():
+        many = np.array(wanted)[few]
+        if not many.any():
+            continue
+        x, row, _ = labelled_shingles(w, h, q)
+        some = many[row] > 0
+        x, row = c.mix(x[some] ^ np.uint64(0xA0761D6478BD642F * (SKETCHES + 1 + q) % 2**64)) | np.uint64(1), row[some]
+        order = np.lexsort((x, row))
+        x, row = x[order], row[order]
+        mine = np.arange(len(row)) - np.searchsorted(row, np.arange(len(few)))[row] < many[row]
+        rows.append(row[mine])
+        keys.append(x[mine])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def sketches(x: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """rows x SKETCHES hashes of the picked shingles in the order of the text; 0 without shingles."""
     n = np.diff(first)
@@ -243,10 +292,25 @@ def _torn_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similar
     return cells.join(members, "rep").groupBy("sketch", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Columns key, class_id (the least id of the class), copy_of (the least id with the same words)."""
+def digested(docs: DataFrame, text: str = "text", name: str = "node") -> DataFrame:
+    """docs with a binary column `name`: the digest of the text's words."""
+    at = docs.columns.index(text)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = c.utf8(batch.column(at))
+            for lo, hi in c.chunks(offsets):
+                w = c.Words(data, offsets[lo : hi + 1])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, digests(w, w.hashes())], names=[*batch.schema.names, name])
+
+    return c.map_arrow(docs, add, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """(id, node, class_id, class_node, copy_of): of each row the least id of its class, the digest of that id's words, and the least id of its own words."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
+    least = prefixes(similarity)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,34 +318,43 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
             for lo, hi in c.chunks(offsets):
                 w = c.Words(data, offsets[lo : hi + 1])
                 h = w.hashes()
-                digest = [np.zeros(hi - lo, np.uint64) for _ in range(2)]
-                full = np.flatnonzero(w.count)
-                if len(full):
-                    place = (np.arange(len(h)) - w.first[w.row]).astype(np.uint64)
-                    for d, salt in zip(digest, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
-                        d[full] = np.add.reduceat(c.mix(h + (place + np.uint64(1)) * np.uint64(salt)), w.first[:-1][full])
                 s = sketches(*labelled_shingles(w, h))
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * SKETCHES).astype(np.int32)), pa.array(c.signed(s.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c.signed(d)) for d in digest), pa.array(w.count.astype(np.int64)), lists], names=["id", "d1", "d2", "n", "keys"])
-
-    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, d1 long, d2 long, n long, keys array<long>"))
+                also, more = short_keys(w, h, least)
+                n = SKETCHES + np.bincount(also, minlength=hi - lo)
+                row = np.concatenate([np.repeat(np.arange(hi - lo), SKETCHES), also])
+                keys = np.concatenate([s.ravel(), more])[np.argsort(row, kind="stable")]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(c.signed(keys)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), digests(w, h), pa.array(w.count.astype(np.int64)), lists], names=["id", "node", "n", "keys"])
+
+    rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, node binary, n long, keys array<long>"))
     worded = rows.filter("n > 0")
-    copies = c.checkpointed(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    buckets = c.checkpointed(copies.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("keys").alias("sketch")))
+    copies = c.checkpointed(worded.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    buckets = c.checkpointed(copies.select(F.col("node").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("sketch")))
     lead = buckets.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead")
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
     pairs = c.checkpointed(buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    met = buckets.join(lead.select("sketch"), "sketch", "left_semi").select(F.col("rep").alias("id")).distinct()
-    texts = c.checkpointed(docs.join(met, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))  # of texts that share a sketch
+    met = buckets.join(lead.select("sketch"), "sketch", "left_semi").select(F.col("rep").alias("met")).distinct()
+    met = copies.join(met, F.col("node") == F.col("met"), "left_semi").select(F.col("node").alias("met"), "least")
+    # Of texts that share a sketch; copies stay away by their ids, so that a much copied text isn't one task's.
+    own = digested(docs)
+    own = own.join(met, own.id.eqNullSafe(met.least) & (own.node == met.met), "left_semi")
+    texts = c.checkpointed(own.groupBy(F.col("node").alias("id")).agg(F.max("text").alias("text")))
     links = c.checkpointed(_distances(pairs, texts, similarity))
     labels = components(links)
     rest = _torn_pairs(buckets.join(lead.select("sketch"), "sketch", "left_semi"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti")
     more = c.checkpointed(_distances(c.checkpointed(rest), texts, similarity))
     if more.limit(1).count():
         labels = components(links.unionAll(more))
-    classes = copies.select("d1", "d2", "rep").join(labels, copies.rep == labels.id, "left").select("d1", "d2", "rep", F.coalesce("label", "rep").alias("label"))
-    out = worded.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("id").alias(key), F.col("label").alias("class_id"), F.col("rep").alias("copy_of"))
-    return out.unionAll(rows.filter("n = 0").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.col("id").alias("copy_of")))
+    classes = copies.select("node", "least").join(labels, copies.node == labels.id, "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    first = classes.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("null"), "least", "node")).alias("first"))
+    classes = classes.join(first, "label").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("class_node"), F.col("least").alias("copy_of"))
+    out = worded.select("id", "node").join(classes, "node").select("id", "node", "class_id", "class_node", "copy_of")
+    return out.unionAll(rows.filter("n = 0").select("id", "node", F.col("id").alias("class_id"), F.col("node").alias("class_node"), F.col("id").alias("copy_of")))
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Columns key, class_id (the least id of the class), copy_of (the least id with the same words)."""
+    return _classes(docs, key, text, similarity).select(F.col("id").alias(key), "class_id", "copy_of")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Each stage takes what its predecessor kept and its decisions take effect: rejected, duplicate and leaking documents go, personal data is
 replaced in the text, and the last stage returns the training order, a row for each copy that the mix takes.
 run() writes each stage into the shared folder and reads it again, so that no stage computes another's work twice.
-Of rows that repeat an id all are judged alike; null ids stay unless another stage's rule meets their text.
+Near duplicates and leaks are judged by id and words together: rows that share an id, or have none, are told apart by their words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdure.llm import common as c
 from verdure.llm.op3_pii import redacted
-from verdure.llm.op4_omh import near_classes
+from verdure.llm.op4_omh import digested, representatives
 from verdure.llm.op8_curriculum import curriculum, training_order
 from verdure.llm.op9_decontam import leaks
 from verdure.llm.op10_crf import quality_scores
@@ -27,16 +27,21 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each class of near copies the document with the least id stays; of rows with that id, one."""
-    least = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(least, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each class of near copies the document with the least id stays (null is the last of ids); of rows with that id and those words, one."""
+    return stay(docs, representatives(docs), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
 
 
 def benchmark_leaks(spark, docs, sf_dir):
     """Documents that hold a test item go."""
-    found = leaks(docs, c.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    keyed = digested(docs, name="_node").withColumn("_key", F.struct("doc_id", "_node"))
+    found = leaks(keyed, c.table(spark, sf_dir, "benchmark"), key="_key").select(F.col("_key.doc_id").alias("id"), F.col("_key._node").alias("node"))
+    return stay(docs, found.distinct(), "left_anti").drop("_node")
+
+
+def stay(docs, of, how):
+    """docs with their digest _node, joined with `of` (id, node), null ids included."""
+    docs = digested(docs, name="_node")
+    return docs.join(of.select(F.col("id").alias("_id"), F.col("node").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of")), how)
 
 
 def personal_data(spark, docs, sf_dir):

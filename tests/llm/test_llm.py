@@ -315,3 +315,28 @@ def test_pipeline(spark):
     assert not any(re.search(PATTERNS["email"], r.text) for r in rows)
     bad = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 0").collect()}
     assert len(bad & kept) <= 0.1 * max(1, len(bad))
+
+
+@pytest.fixture(scope="module")
+def null_and_equal_ids(spark):
+    a, b, x, y = (" ".join(f"{k}{i}" for i in range(40)) for k in "abxy")
+    return (a, b, x, y), spark.createDataFrame([(None, a, "s"), (None, b, "s"), (None, b, "s"), (1, x, "s"), (1, y, "s"), (2, x, "s"), (None, x + " more", "s")], SCHEMA)
+
+
+def test_pipeline_near_duplicates_of_null_and_equal_ids(spark, null_and_equal_ids):
+    import corpus_pipeline as p
+
+    (a, b, x, y), docs = null_and_equal_ids
+    out = p.near_duplicates(spark, docs, None)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(None, a), (None, b), (1, x), (1, y)])
+
+
+def test_pipeline_leaks_of_null_and_equal_ids(spark, null_and_equal_ids, tmp_path):
+    import corpus_pipeline as p
+
+    (a, b, x, y), docs = null_and_equal_ids
+    spark.createDataFrame([(1, b), (2, x)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = p.benchmark_leaks(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(None, a), (1, y)])

@@ -357,5 +357,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     return _classes(docs, key, text, similarity).select(F.col("id").alias(key), "class_id", "copy_of")
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node), each once: the least id of each class with the digest of its words."""
+    rows = _classes(docs, key, text, similarity)
+    return rows.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select("id", "node").distinct()
+
+
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_classes(c.table(spark, sf_dir, "documents"))

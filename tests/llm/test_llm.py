@@ -262,6 +262,27 @@ def test_leaks(spark):
     assert got == {(i, i) for i in range(30)} | {(302, 3)}
 
 
+def test_leaks_with_edits(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 5))
+    noise = lambda n: [word() for _ in range(n)]
+    items, docs, want = [], [], set()
+    for i, (q, a) in enumerate([(35, 10), (14, 6), (13, 3), (20, 12), (40, 19)]):
+        question, answer = noise(q), noise(a)
+        items.append((i, " ".join(question) + ". " + " ".join(answer) + "."))
+        one = [question, [*answer[:1], "changed", *answer[2:]]]  # a word of the answer
+        two = [[*question[:6], "changed", *question[7:]], [*answer[: a // 2], "put", *answer[a // 2 :]]]  # a word in each part
+        for k, (x, y) in enumerate((one, two)):
+            docs.append((10 * i + k, " ".join([*noise(int(rng.integers(0, 200))), *x]) + ". " + " ".join([*y, *noise(90)])))
+            want.add((10 * i + k, i))
+        docs.append((10 * i + 5, " ".join([*question, *noise(150)])))  # the question alone: no leak unless it is OVERLAP of the item's shingles
+        if q - 4 >= 0.8 * (q + a - 4):
+            want.add((10 * i + 5, i))
+        docs.append((10 * i + 6, " ".join([*answer, *noise(150)])))
+    got = {(r.doc_id, r.item_id) for r in op9_decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_quality_held_out(spark):
     data = DATA.replace("sf0.001", "sf0.01")  # enough labels to learn from
     rows = queries.queries()["op10_quality"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()

@@ -1,14 +1,16 @@
 """Operator 9, benchmark decontamination: a BM25 inverted index of the test items, searched by every training passage.
 
-A passage is 2m words of a document, one from every m-th word on, m the words of the longest item: an item that lies in a text lies
-whole in a passage.  An item's score for a passage is the BM25 sum of the item's words that the passage has, as a share of
+A passage is 3m words of a document, one from every m-th word on, m the words of the longest item: an item that lies in a text lies
+whole in a passage, also with as many words put in.  An item's score for a passage is the BM25 sum of the item's words that the passage has, as a share of
 the item's own sum, so one threshold (THETA) serves all items and "retrieve all above threshold" needs no top-k.
 Search is block-max WAND, a batch of passages at a time: of each item's words the commonest whose shares add up to less
 than COMMON (below THETA) are left out of the essential postings; essential postings are kept in blocks of items with the largest share of
 each word in the block.  Blocks whose bound can't reach THETA for any of their items are skipped, the items of the others are
 bounded one by one, and those left are scored in full.
-A retrieved item is verified by overlap: OVERLAP of the five-word shingles of its question (all but the last sentence) and of its answer (the
-last sentence) are in the passage.  A part of under five words is one shingle; an item of one sentence is halved.
+A retrieved item is verified by overlap: the passage holds OVERLAP of its question (all but the last sentence) and of its answer (the last sentence), or of the
+five-word shingles of the whole item.  A part's overlap is the share of its five-word shingles or, if that is more, of its words less the edits that turn
+it into some piece of the passage, so a changed word costs a word and not five shingles.  A part of under five words is one shingle; of two to four words it is
+aligned together with the words next to it in the item, five in all.  An item of one sentence is halved.
 
 Words are compared in lower case (A-Z) without ASCII punctuation at their ends.  The index goes out in shards of at most SHARD items.
 
@@ -47,6 +49,20 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(c.grams(h, min(SHINGLE, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
+def aligned(part: np.ndarray, words: np.ndarray) -> float:
+    """1 less the word edits, as a share of the part, between the part and the piece of words that is nearest to it; 0 if under OVERLAP of its words are there at all."""
+    if not len(part) or np.isin(part, words).mean() < OVERLAP:
+        return 0.0
+    step = np.arange(len(words) + 1)
+    d = np.zeros(len(words) + 1, np.int64)
+    for i, x in enumerate(part, 1):
+        cur = np.empty_like(d)
+        cur[0] = i
+        cur[1:] = np.minimum(d[:-1] + (words != x), d[1:] + 1)
+        d = np.minimum.accumulate(cur - step) + step
+    return 1.0 - float(d.min()) / len(part)
+
+
 def split_item(text: str) -> tuple[str, str]:
     """(question, answer)."""
     body = text.rstrip(" .!?\t\r\n")
@@ -69,7 +85,12 @@ class Index:
             return [h[w.first[i] : w.first[i + 1]] for i in range(len(raw))]
 
         words = hashed([t for _, t in items])
-        self.question, self.answer = ([shingles(h) for h in hashed(x)] for x in zip(*parts, strict=True))
+        question, answer = (hashed(x) for x in zip(*parts, strict=True))
+        self.question, self.answer = ([shingles(h) for h in x] for x in (question, answer))
+        self.whole = [shingles(h) for h in words]
+        short = lambda h: 1 < len(h) < SHINGLE
+        self.question_words = [h[:SHINGLE] if short(q) else q for q, h in zip(question, words, strict=True)]
+        self.answer_words = [h[-SHINGLE:] if short(a) else a for a, h in zip(answer, words, strict=True)]
         self.longest = max(len(h) for h in words)
         n, mean = len(items), np.mean([len(h) for h in words])
         terms, tfs = zip(*(np.unique(h, return_counts=True) for h in words), strict=True)
@@ -126,13 +147,14 @@ def search(index: Index, lookup: c.Lookup, w: c.Words, h: np.ndarray) -> Iterato
     at = at[index.b_first[term[at]] < index.b_first[term[at] + 1]]
     m = index.longest
     place = at - w.first[w.row[at]]
-    last = np.maximum(0, -(-w.count // m) - 2)  # of a row's passages, from 0
+    last = np.maximum(0, -(-w.count // m) - 3)  # of a row's passages, from 0
     base = np.concatenate([[0], np.cumsum(last + 1)])
-    part = place // m  # it is in the passages part and part - 1, as far as there are such
-    here = np.minimum(part, last[w.row[at]])
-    also = np.flatnonzero((part >= 1) & (part <= last[w.row[at]]))
-    passage = np.concatenate([base[w.row[at]] + here, base[w.row[at[also]]] + part[also] - 1])
-    pairs = np.unique(passage * np.int64(len(index.terms)) + np.concatenate([term[at], term[at[also]]]))
+    part = place // m  # it is in the passages part, part - 1 and part - 2, as far as there are such
+    pairs = [np.zeros(0, np.int64)]
+    for k in range(3):
+        here = np.flatnonzero((part >= k) & (part - k <= last[w.row[at]]))
+        pairs.append((base[w.row[at[here]]] + part[here] - k) * np.int64(len(index.terms)) + term[at[here]])
+    pairs = np.unique(np.concatenate(pairs))
     passage, term1 = pairs // len(index.terms), pairs % len(index.terms)
     # Blocks.
     one, posted = _expand(index.b_first, term1)
@@ -152,17 +174,21 @@ def search(index: Index, lookup: c.Lookup, w: c.Words, h: np.ndarray) -> Iterato
     for p, i in zip((some // index.n).tolist(), (some % index.n).tolist(), strict=True):
         row = int(np.searchsorted(base, p, "right")) - 1
         start = w.first[row] + (p - base[row]) * m
-        words = h[start : min(start + 2 * m, w.first[row + 1])]
+        words = h[start : min(start + 3 * m, w.first[row + 1])]
         a, b = index.of_item[i], index.of_item[i + 1]
         has = np.isin(index.terms[index.item_terms[a:b]], words)
         score = float(index.item_shares[a:b][has].sum())
         if score < THETA:
             continue
-        overlaps = []
-        for part in (index.question[i], index.answer[i]):
-            got = [np.isin(part, c.grams(words, k)).mean() if len(part) else 1.0 for k in range(1, SHINGLE + 1)]
-            overlaps.append(float(max(got)))  # a part's shingles are all of one length
-        if min(overlaps) >= OVERLAP:
+        grams = [c.grams(words, k) for k in range(1, SHINGLE + 1)]  # a part's shingles are all of one length
+        *overlaps, whole = (float(max(np.isin(part, g).mean() for g in grams)) if len(part) else 1.0 for part in (index.question[i], index.answer[i], index.whole[i]))
+        if min(overlaps) < OVERLAP and whole < OVERLAP:
+            for k, part in enumerate((index.question_words[i], index.answer_words[i])):
+                if overlaps[k] < OVERLAP:
+                    overlaps[k] = max(overlaps[k], aligned(part, words))
+                if overlaps[k] < OVERLAP:
+                    break
+        if min(overlaps) >= OVERLAP or whole >= OVERLAP:
             best[row, i] = max(best.get((row, i), (0.0, 0.0, 0.0)), (score, *overlaps))
     for (row, i), found in best.items():
         yield row, i, *found

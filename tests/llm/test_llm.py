@@ -222,6 +222,33 @@ def test_warc_members(tmp_path):
     assert gaps[0] == (len(parts[0]), len(damaged) + 5) and len(gaps) == 2
 
 
+def test_warc_damaged_heads_and_mixed_files():
+    record = lambda i: b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: 6000\r\n\r\n%s\r\n\r\n" % (i, np.random.default_rng(i).bytes(6000))
+    parts = [gzip.compress(record(i)) for i in range(4)]
+    ids = lambda data: [r[7] for r in op5_warc._rows("f", data, True) if r[1] == "record"]
+    gaps = lambda data: [(r[2] + r[3], r[4]) for r in op5_warc._rows("f", data, True) if r[1] == "gap"]
+    headless = b"\0" + b"".join(parts)[1:]  # the first magic is damaged, the next member begins after byte 4096
+    assert ids(headless)[-3:] == ["<1>", "<2>", "<3>"] and gaps(headless)[0][0] == 0
+    plain = b"junk\x1f\x8b\x08junk" + record(0) + record(1)
+    assert ids(plain) == ["<0>", "<1>"] and gaps(plain) == [(0, 11)]
+    mixed = record(0) + parts[1] + b"x" + record(2) + parts[3]
+    assert ids(mixed) == ["<0>", "<1>", "<2>", "<3>"] and [n for _, n in gaps(mixed)] == [1]
+    nested = b"WARC/1.0\r\nWARC-Record-ID: <n>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(parts[0]), parts[0])
+    assert ids(nested + record(2)) == ["<n>", "<2>"] and not gaps(nested + record(2))
+
+
+def test_warc_own_archives_are_salvaged(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} page " * 300) for i in range(40)], "page_id long, url string, html string")
+    op5_warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    data = bytearray(next((tmp_path / "w").glob("part*")).read_bytes())
+    whole = list(op5_warc._rows("f", bytes(data), True))
+    assert [r[1] for r in whole] == ["record"] * 40 and len({r[2] for r in whole}) == 40
+    at = whole[10][2]
+    data[at + 20 : at + 60] = b"\xff" * 40
+    got = list(op5_warc._rows("f", bytes(data), True))
+    assert {r[7] for r in got if r[1] == "record"} >= {r[7] for i, r in enumerate(whole) if i != 10} and [r[2] for r in got if r[1] == "gap"] == [at]
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame(op6_urls.RULES, "verdict string, host string, path string")
     urls = ["http://A.Example.COM/en/7x?q", "http://b.com/en/", "http://com/en", "http://xcom/en/", None, "no scheme", "http://example.net/de/8#f", "http://q.org/es/1", "http://" + "a." * 3000 + "org/es/"]

@@ -1,11 +1,11 @@
 """Operator 5, WARC: a writer, and a reader that salvages what it can.
 
-Writing: a record is a string whose end, CR LF CR LF, is the line separator of Spark's text writer, so the
-archives are written by executors to any store that Spark writes to; files are gzip streams.  Of equal payloads of
+Writing: each record is a gzip member of its own (or plain text).  Spark's text writer writes the members, so archives go from executors
+to any store that Spark writes to; its line separator is the last byte of the member, a zero.  Of equal payloads of
 at least `least` bytes the one with the largest key is the response, the others are revisits of it.
-Reading: a gzip member that can't be read and a record that fails a check (version line, headers, length, end,
-block digest) are skipped up to the next member or version line that can be read, and the skipped bytes are logged
-as a row of kind "gap".  Offsets of records in a gzip file count from the start of the member's content.
+Reading: a file may hold gzip members and plain records in any order.  A gzip member that can't be read and a record that fails a check (version
+line, headers, length, end, block digest) are skipped up to the next member or version line that can be read, whichever comes first, and the skipped
+bytes are logged as a row of kind "gap".  Offsets of records in a gzip member count from the start of its content; plain records have member 0 and offsets in the file.
 A file is held by one task; write_archives() keeps files at RECORDS records.
 
 Edge cases: null html is an empty payload; a null URL has no target header, line ends and % in a URL are percent-coded;
@@ -15,6 +15,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -54,78 +55,131 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     ).alias("record"))
 
 
+def _as_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members without their last byte, which is zero: that of the size, or of an empty member after one of 16 MB or more."""
+    for batch in batches:
+        out, held = [], 0
+        for record in batch.column(0):
+            data = record.as_py().encode() + END.encode()
+            made = gzip.compress(data, 6, mtime=0)
+            out.append((made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1])
+            held += len(out[-1])
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **names) -> None:
-    records(pages, **names).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
+    """compression: gzip, a member a record; else that of Spark's text writer over the whole file."""
+    out, end = records(pages, **names), END
+    if compression == "gzip":
+        out, end, compression = c.map_arrow(out, _as_members, "record binary").select(F.col("record").cast("string")), "\0", "none"
+    out.write.option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """(start, end, content or None, reason) of a file's gzip members, or of the whole file if it is not one."""
-    if MEMBER not in data[:4096] or VERSION.match(data):
-        yield 0, len(data), data, ""
-        return
-    at = 0
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, reason) of the gzip member from `at` on; with a reason: what could be inflated and how far that went."""
+    inflate, out, step, end = zlib.decompressobj(31), [], 1024, at
+    try:
+        while not inflate.eof and end < len(data):
+            out.append(inflate.decompress(data[end : end + step]))
+            end, step = min(end + step, len(data)), min(2 * step, 1 << 18)
+    except zlib.error:  # again in small steps from where it was well
+        inflate, good = zlib.decompressobj(31), []
+        end = at
+        try:
+            while end < len(data):
+                good.append(inflate.decompress(data[end : end + 64]))
+                end += 64
+        except zlib.error:
+            pass
+        return b"".join(good), end, "member is damaged"
+    return b"".join(out), end - len(inflate.unused_data), "" if inflate.eof else "member is cut off"
+
+
+def next_member(data: bytes, at: int) -> int:
+    """Where the next gzip member begins whose content begins as a record does; else the end."""
+    at = data.find(MEMBER, at)
+    while at >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(data[at : at + 4096], 64).startswith(b"WARC/"):
+                return at
+        except zlib.error:
+            pass
+        at = data.find(MEMBER, at + 1)
+    return len(data)
+
+
+def next_line(data: bytes, at: int) -> int:
+    found = VERSION.search(data, at)
+    return found.start() if found else len(data)
+
+
+def _parts(data: bytes) -> Iterator[tuple[int, int, int, dict[str, str] | None, bytes, str]]:
+    """(member, start, end, headers or None for a gap, block, reason) over all bytes of a file."""
+    at, bad, why, member, line = 0, -1, "", -1, -1
     while at < len(data):
-        inflate, content, reason = zlib.decompressobj(31), None, "no gzip member"
-        if data.startswith(MEMBER, at):
-            try:
-                content = inflate.decompress(memoryview(data)[at:])
-                reason = "" if inflate.eof else "member is cut off"
-            except zlib.error:
-                content, reason = None, "member is damaged"
-        if content is not None and not reason:
-            end = len(data) - len(inflate.unused_data)
-            yield at, end, content, ""
+        reason, resume, gz = "no version line", at + 1, data.startswith(MEMBER, at)
+        if gz:
+            content, end, reason = inflated(data, at)
+            resume = max(end, at + 1)
+        elif VERSION.match(data, at):
+            end, headers, block, reason = record(data, at)
+        if bad >= 0 and (gz or not reason):
+            yield 0, bad, at, None, b"", why
+            bad = -1
+        if not reason:
+            if gz:
+                yield from ((at, *x) for x in parse(content))
+            else:
+                yield 0, at, end, headers, block, ""
             at = end
             continue
-        after = data.find(MEMBER, at + 1)
-        while after >= 0:
-            try:
-                if zlib.decompressobj(31).decompress(memoryview(data)[after : after + 4096], 64).startswith(b"WARC/"):
-                    break
-            except zlib.error:
-                pass
-            after = data.find(MEMBER, after + 1)
-        end = after if after >= 0 else len(data)
-        saved = _before_damage(data, at)  # what can be inflated of it may hold whole records
-        yield at, end, saved or None, reason
-        at = end
-
-
-def _before_damage(data: bytes, at: int) -> bytes:
-    inflate, out = zlib.decompressobj(31), []
-    try:
-        for i in range(at, len(data), 1024):
-            out.append(inflate.decompress(data[i : i + 1024]))
-            if inflate.eof:
-                break
-    except zlib.error:
-        pass
-    return b"".join(out)
+        if member <= at:
+            member = next_member(data, at + 1)
+        if line < resume:  # not in what was inflated: it is looked through as the member's content
+            line = next_line(data, resume)
+        after = min(member, line)
+        if gz:
+            yield at, 0, after - at, None, b"", reason
+            yield from ((at, *x) for x in parse(content) if x[2] is not None)  # other bytes are in the member's gap
+        elif bad < 0:
+            bad, why = at, reason
+        at = after
+    if bad >= 0:
+        yield 0, bad, len(data), None, b"", why
+
+
+def record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes, str]:
+    """(end, headers, block, reason) of the record whose version line is at `at`."""
+    headers, block, end = {}, b"", 0
+    head = data.find(b"\r\n\r\n", at)
+    if head < 0:
+        return end, headers, block, "headers are cut off"
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:head].decode("utf-8", "replace").split("\r\n")[1:])}
+    size = headers.get("content-length", "")
+    if not size.isdigit():
+        return end, headers, block, "no length"
+    block = data[head + 4 : head + 4 + int(size)]
+    end = head + 8 + int(size)
+    told = headers.get("warc-block-digest", "")
+    why = "record is cut off" if len(block) < int(size) else "no end of record" if data[end - 4 : end] != b"\r\n\r\n" else "block digest differs" if told.startswith("sha1:") and hashlib.sha1(block).hexdigest() != told[5:].lower() else ""
+    return end, headers, block, why
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """(start, end, headers or None for a gap, block, reason) over all bytes of a member's content."""
     at, bad, reason = 0, -1, ""
     while at < len(data):
-        why, headers, block, end = "no version line", {}, b"", 0
+        why = "no version line"
         if VERSION.match(data, at):
-            head = data.find(b"\r\n\r\n", at)
-            lines = data[at:head].decode("utf-8", "replace").split("\r\n")[1:] if head >= 0 else []
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            size = headers.get("content-length", "")
-            if head < 0:
-                why = "headers are cut off"
-            elif not size.isdigit():
-                why = "no length"
-            else:
-                block = data[head + 4 : head + 4 + int(size)]
-                end = head + 8 + int(size)
-                told = headers.get("warc-block-digest", "")
-                why = "record is cut off" if len(block) < int(size) else "no end of record" if data[end - 4 : end] != b"\r\n\r\n" else "block digest differs" if told.startswith("sha1:") and hashlib.sha1(block).hexdigest() != told[5:].lower() else ""
+            end, headers, block, why = record(data, at)
         if not why:
             if bad >= 0:
                 yield bad, at, None, b"", reason
@@ -142,24 +196,20 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes,
 
 
 def _rows(file: str, data: bytes, payload: bool) -> Iterator[tuple]:
-    for start, end, content, reason in members(data):
-        if reason:
-            yield file, "gap", start, 0, end - start, reason, *[None] * 7
-        for a, b, headers, block, why in parse(content) if content else ():
-            if headers is None:
-                if not reason:  # else these bytes are in the member's gap
-                    yield file, "gap", start, a, b - a, why, *[None] * 7
-                continue
-            head, _, body = block.partition(b"\r\n\r\n")
-            kind = headers.get("warc-type")
-            if not head.startswith(b"HTTP/"):
-                head, body = b"", block
-            if kind == "revisit":
-                told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
-                size, digest = int(told[1]) if told else None, headers.get("warc-payload-digest", "").removeprefix("sha1:").lower() or None
-            else:
-                size, digest = len(body), hashlib.sha1(body).hexdigest()
-            yield file, "record", start, a, b - a, None, kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), digest, size, body if payload else None
+    for start, a, b, headers, block, why in _parts(data):
+        if headers is None:
+            yield file, "gap", start, a, b - a, why, *[None] * 7
+            continue
+        head, _, body = block.partition(b"\r\n\r\n")
+        kind = headers.get("warc-type")
+        if not head.startswith(b"HTTP/"):
+            head, body = b"", block
+        if kind == "revisit":
+            told = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
+            size, digest = int(told[1]) if told else None, headers.get("warc-payload-digest", "").removeprefix("sha1:").lower() or None
+        else:
+            size, digest = len(body), hashlib.sha1(body).hexdigest()
+        yield file, "record", start, a, b - a, None, kind, headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), digest, size, body if payload else None
 
 
 def read_archives(spark, path: str, payload: bool = True) -> DataFrame:

@@ -123,3 +123,40 @@ def test_history_stream_resumes(spark, tmp_path):
     assert run() == [(1, 2), (1, 3), (1, 4)]  # nothing new
     spark.createDataFrame([(1, 9), (2, 0)], "user long, n long").write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [(1, 3), (1, 4), (1, 9), (2, 0)]
+
+
+def test_history_stream_of_a_folder_of_part_files(spark, tmp_path):
+    from tests.conftest import DATA
+    from verdure.plans import catalogue
+
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want, got = (sorted(map(tuple, catalogue.queries()["history_stream"](spark, d).collect())) for d in (DATA, str(tmp_path)))
+    assert got == want and want
+
+
+def test_rmd_ledoit_wolf_takes_whole_vectors(spark):
+    import numpy as np
+
+    from tests.conftest import DATA
+    from verdure.plans import catalogue
+
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    x, y = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    means = {k: x[y == k].mean(0) for k in sorted(set(y.tolist()))}
+
+    def precision(v):
+        v = v - v.mean(0)
+        n, d = v.shape
+        s = v.T @ v / n
+        scale = np.trace(s) / d
+        spread = ((s - scale * np.eye(d)) ** 2).sum()
+        noise = min((((v * v).T @ (v * v)).sum() / n - (s * s).sum()) / n, spread)
+        return np.linalg.inv((1 - noise / spread) * s + noise / spread * scale * np.eye(d))
+
+    within, total = precision(x - np.array([means[k] for k in y.tolist()])), precision(x)
+    form = lambda v, p: np.einsum("ij,jk,ik->i", v, p, v)
+    each = np.array([form(x - m, within) for m in means.values()])
+    want = {r.vec_id: (list(means)[k], d, e) for r, k, d, e in zip(rows, each.argmin(0).tolist(), each.min(0), each.min(0) - form(x - x.mean(0), total), strict=True)}
+    for r in catalogue.queries()["rmd_ledoit_wolf"](spark, DATA).collect():
+        k, d, e = want[r.vec_id]
+        assert r.nearest == k and abs(r.distance - d) < 1e-4 and abs(r.rmd - e) < 1e-4

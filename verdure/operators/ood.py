@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions import vector
 
 
@@ -23,29 +27,43 @@ def mean_table(rows: DataFrame, label: str, vec: str) -> list[tuple[int, list[fl
 def relative_mahalanobis(rows: DataFrame, vec: str, means: list[tuple[int, list[float]]], overall: list[float], precision: np.ndarray | None = None, precision0: np.ndarray | None = None) -> DataFrame:
     """Adds nearest (label), distance and rmd = min over classes of d_c, less d_0. Precisions default to the identity.
 
-    With a factor L of a precision the form is |L'(x - m)|**2, so each class costs a product of x with fixed rows."""
-    def squared(m: list[float], p: np.ndarray | None):
-        if p is None:
-            return vector.total(F.zip_with(F.col(vec).cast("array<double>"), F.array(*map(F.lit, m)), lambda x, y: (x - y) * (x - y)))
-        root = np.linalg.cholesky(p)
-        parts = [vector.total(F.zip_with(F.col(vec).cast("array<double>"), F.array(*map(F.lit, map(float, root[:, j]))), lambda x, y: x * y)) - float(np.dot(m, root[:, j])) for j in range(len(m))]
-        return sum(x * x for x in parts)
+    With a factor L of a precision the form is |L'x - L'm|**2, so x is multiplied once for all classes."""
+    fixed = lambda v: F.array(*map(F.lit, map(float, v)))
+
+    def projected(p: np.ndarray | None):
+        x = F.col(vec).cast("array<double>")
+        return x if p is None else F.array(*(vector.total(F.zip_with(x, fixed(r), lambda a, b: a * b)) for r in np.linalg.cholesky(p).T))
+
+    def squared(m: list[float], p: np.ndarray | None, of: str = "_x"):
+        m = m if p is None else np.linalg.cholesky(p).T @ np.array(m)
+        return vector.total(F.zip_with(of, fixed(m), lambda x, y: (x - y) * (x - y)))
 
+    rows = rows.withColumns({"_x": projected(precision), "_x0": projected(precision0)})
     each = F.array(*(F.struct(squared(m, precision).alias("d"), F.lit(k).alias("label")) for k, m in means))
     out = rows.withColumn("_n", F.array_min(each))
-    return out.withColumn("nearest", F.col("_n.label")).withColumn("distance", F.col("_n.d")).withColumn("rmd", F.col("_n.d") - squared(overall, precision0)).drop("_n")
+    return out.withColumn("nearest", F.col("_n.label")).withColumn("distance", F.col("_n.d")).withColumn("rmd", F.col("_n.d") - squared(overall, precision0, "_x0")).drop("_n", "_x", "_x0")
 
 
 def ledoit_wolf(rows: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean, precision, shrinkage) from sums that Spark makes: d*d products and d*d squared products, whatever the number of rows."""
+    """(mean, precision, shrinkage) from sums that Spark makes: d*d products and d*d squared products a task, whatever the number of rows."""
+    ship(rows.sparkSession)
     x = rows.select(F.col(vec).cast("array<double>").alias("v"))
     n = x.count()
     mean = {r.pos: r.m for r in x.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).collect()}
     mu = np.array([mean[i] for i in range(len(mean))])
     centred = x.select(F.zip_with("v", F.array(*map(F.lit, map(float, mu))), lambda a, b: a - b).alias("v"))
-    pairs = centred.select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b"))
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.sum(F.col("a") * F.col("a") * F.col("b") * F.col("b")).alias("q")).collect()
     d = len(mu)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, q = np.zeros((d, d)), np.zeros((d, d))
+        for batch in batches:
+            v = batch.column(0).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            s += v.T @ v
+            q += (v * v).T @ (v * v)
+        i, j = np.divmod(np.arange(d * d), d)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int32), j.astype(np.int32), s.ravel(), q.ravel())], names=["i", "j", "s", "q"])
+
+    sums = centred.mapInArrow(products, "i int, j int, s double, q double").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
     s, q = np.zeros((d, d)), np.zeros((d, d))
     for r in sums:
         s[r.i, r.j], q[r.i, r.j] = r.s / n, r.q

@@ -78,7 +78,7 @@ def rmd_identity(spark, d):
 
 @query()
 def rmd_ledoit_wolf(spark, d):
-    rows = _t(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 16).alias("embedding"))
+    rows = _t(spark, d, "embeddings").select("vec_id", "label", "embedding")
     means = ood.mean_table(rows, "label", "embedding")
     table = F.create_map(*(x for k, m in means for x in (F.lit(k), F.array(*map(F.lit, m)))))
     _, within, _ = ood.ledoit_wolf(rows.select(F.zip_with(F.col("embedding").cast("array<double>"), table[F.col("label")], lambda a, b: a - b).alias("v")), "v")
@@ -168,8 +168,8 @@ def history_cap(spark, d):
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM r WHERE r <= 25")
 def history_stream(spark, d):
     root = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-history-')}/history-{uuid.uuid4().hex}"
-    schema = _t(spark, d, "events").schema
-    out = ev.history_stream(spark, d, "events.parquet", schema, "user_id", ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint")
+    schema = _t(spark, d, "events").schema  # a stream takes a path with a pattern as a file or a folder, one without as a folder
+    out = ev.history_stream(spark, d, "events.parque[t]", schema, "user_id", ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint")
     return out.select("user_id", "event_id", "event_type")
 
 

@@ -25,10 +25,10 @@ def last_results(events: DataFrame, key: str, order: str, *columns: str) -> Data
 
 
 def history_stream(spark: SparkSession, source: str, file: str, schema: str, owner: str, order: list[str], out: str, checkpoint: str, keep: int = HISTORY) -> DataFrame:
-    """Reads files as a stream and keeps each owner's newest rows in the folder `out`, a version for each batch; returns the last version.
+    """Reads the files of `source` that match `file`, or of the folders that do, as a stream and keeps each owner's newest rows in the folder `out`, a version for each batch; returns the last version.
 
     A batch builds on the version before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped."""
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(f"{source}/{file}")
     spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/version=-1")
 
     def add(batch: DataFrame, number: int) -> None:

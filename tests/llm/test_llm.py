@@ -99,7 +99,7 @@ def holds(kind, m):
 def test_base_spans_against_brute_force(spark, documents):
     made = ["a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.4", "+1 (555) 555-0100, +12 3 +1234567890123456", "4111 1111-1111 1111 é 4111111111111112", "é@x.y ü.ö@a.b +", "1" * 5000, "a" * 5000 + "@", "9.9.9.9 " * 300]
     docs = [*documents, *enumerate([*made, None, ""], 100_000)]
-    for r in op3_pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "base", "spans").collect():
+    for r in op3_pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string"), model=([], 0.0, [])).select("doc_id", "base", "spans").collect():
         text = dict(docs)[r.doc_id] or ""
         want = [(i, m.start(), m.end()) for i, k in enumerate(PATTERNS) for m in re.finditer(PATTERNS[k], text) if holds(k, m[0])]
         assert [tuple(x) for x in r.base] == want
@@ -108,7 +108,7 @@ def test_base_spans_against_brute_force(spark, documents):
 
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é mail a@b.co and 10.0.0.1.", "x"), (2, None, "y")], "doc_id long, text string, base string")
-    got = {r.doc_id: r for r in op3_pii.redacted(df).collect()}
+    got = {r.doc_id: r for r in op3_pii.redacted(df, model=([], 0.0, [])).collect()}
     assert got[1].text == "é mail [EMAIL] and [IP]." and got[2].text is None and got[1].base == "x"
 
 

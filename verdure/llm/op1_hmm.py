@@ -6,7 +6,8 @@ share one.  Within a shared symbol a word has its share of the add-half unigram
 which sums to one over the training vocabulary and the unknown word.
 Baum-Welch counts (expected emissions, transitions, starts) are made by tasks over
 their own documents, added up by Spark and turned into a model on the driver: that
-table has a fixed size (`symbols` x `states`).  The scaled forward recursion then gives
+table has a fixed size (`symbols` x `states`).  Every pass reads every training text, coded once as two bytes a token; passes end when the
+log likelihood of a token grows by less than GAIN of itself, or after PASSES.  The scaled forward recursion, in double precision, then gives
 each text's exact likelihood.
 
 What is known of a word beyond the `known` most frequent ones comes from a shuffled join
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-STATES, SYMBOLS, KNOWN, SUFFIXES = 8, 32_768, 131_072, 64
-#: Tokens of the pilot that only gives the first full pass a start, its passes, and passes over all training texts.
-PILOT_TOKENS, PILOT_PASSES, PASSES = 2_000_000, 8, 2
+STATES, SYMBOLS, KNOWN, SUFFIXES = 8, 60_000, 131_072, 64
+#: Passes over all training texts at most, and the share by which the log likelihood of a token must grow for another.
+PASSES, GAIN = 8, 0.001
 #: Tokens a task holds at once for the recursions.
 BATCH_TOKENS = 1_500_000
+#: Texts of more tokens are gathered apart.
+LONG = 4096
 
 
 def _suffix(w: c.Words) -> np.ndarray:
@@ -141,13 +144,13 @@ def forward(model: tuple, flat: np.ndarray, first: np.ndarray, size: np.ndarray,
     steps = int(sizes[0])
     active = np.searchsorted(-sizes, -np.arange(steps), "left")  # sequences longer than t
     where = np.concatenate([[0], np.cumsum(active)])
-    loglik, ones = np.zeros(len(order)), np.ones(k, np.float32)
+    loglik, ones, kind = np.zeros(len(order)), np.ones(k, emit.dtype), emit.dtype
     if back:
-        alpha, scale, ids = np.empty((where[-1], k), np.float32), np.empty(where[-1], np.float32), np.empty(where[-1], np.int32)
+        alpha, scale, ids = np.empty((where[-1], k), kind), np.empty(where[-1], kind), np.empty(where[-1], np.int32)
     a = np.broadcast_to(begin, (len(order), k))
     for t in range(steps):
         n = active[t]
-        sym = flat[begins[:n] + t]
+        sym = flat[begins[:n] + t].astype(np.int32)
         a = (a[:n] @ move if t else a[:n]) * emit[sym]
         s = a @ ones
         a /= s[:, None]
@@ -160,14 +163,14 @@ def forward(model: tuple, flat: np.ndarray, first: np.ndarray, size: np.ndarray,
     if not back:
         return out
     moves = np.zeros((k, k))
-    beta = np.ones((active[-1], k), np.float32)
+    beta = np.ones((active[-1], k), kind)
     for t in range(steps - 1, -1, -1):
         p, n = where[t], active[t]
         if t < steps - 1:
             m, p1 = active[t + 1], where[t + 1]
             e = beta * (emit[ids[p1 : p1 + m]] / scale[p1 : p1 + m, None])
             moves += alpha[p : p + m].T @ e
-            beta = np.ones((n, k), np.float32)
+            beta = np.ones((n, k), kind)
             beta[:m] = e @ move.T
         alpha[p : p + n] *= beta
     gamma = alpha
@@ -201,52 +204,100 @@ def _gathered(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, lookup:
         yield piece()
 
 
-def expected_counts(texts: DataFrame, vocabulary, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Baum-Welch pass: rows (symbol, a count per state), then the transitions and starts under the numbers after the symbols'."""
-    size, k, context = vocabulary.value.size, model.emit.shape[1], texts.sparkSession.sparkContext
+def coded(texts: DataFrame, vocabulary) -> DataFrame:
+    """`symbols` of each text, the end included, two bytes each."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        lookup = c.Lookup(v.words)
+        for batch in batches:
+            data, offsets = c.utf8(batch.column(0))
+            for lo, hi in c.chunks(offsets):
+                w = c.Words(data, offsets[lo : hi + 1], lower=True)
+                sym, *_ = v.symbols(w, lookup)
+                out = np.full(len(sym) + hi - lo, v.size - 1, np.uint16)
+                out[np.arange(len(sym)) + w.row] = sym
+                ends = np.append(0, np.cumsum(w.count + 1)) * 2
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out.tobytes())])], names=["symbols"])
+
+    return c.map_arrow(texts, code, "symbols binary")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, size of each text) in pieces of about BATCH_TOKENS; long and short texts apart, as texts of a piece advance together."""
+    held, tokens = ([], []), [0, 0]
+    for batch in batches:
+        column = batch.column(0)
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset :][: len(column) + 1].astype(np.int64) // 2 if len(column) else np.zeros(1, np.int64)
+        flat = np.frombuffer(data, np.uint16) if data is not None else np.zeros(0, np.uint16)
+        sizes = np.diff(ends)
+        for k, some in enumerate((sizes <= LONG, sizes > LONG)):
+            if some.any():
+                held[k].append((flat[ends[0] : ends[-1]][np.repeat(some, sizes)], sizes[some]))
+                tokens[k] += len(held[k][-1][0])
+            if tokens[k] >= BATCH_TOKENS:
+                yield tuple(np.concatenate(x) for x in zip(*held[k], strict=True))
+                held[k].clear()
+                tokens[k] = 0
+    for k in (0, 1):
+        if held[k]:
+            yield tuple(np.concatenate(x) for x in zip(*held[k], strict=True))
+
+
+def expected_counts(codes: DataFrame, size: int, model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One Baum-Welch pass: a row for each symbol with a count per state, the transitions, the starts, and the log likelihood of a token under the model before."""
+    k, context = model.emit.shape[1], codes.sparkSession.sparkContext
     sent = context.broadcast((model.emit.astype(np.float32), model.move.astype(np.float32), model.begin.astype(np.float32)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        emit, move, begin = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
-        for flat, first, sizes, _ in _gathered(batches, v, c.Lookup(v.words)):
-            _, e, m, b = forward(sent.value, flat, first, sizes, back=True)
-            emit += e
-            move += m
-            begin += b
-        every = np.concatenate([emit, move, begin[None]])
-        some = np.flatnonzero(every.sum(1) > 1e-9)
+        every = np.zeros((size + k + 2, k))
+        for flat, sizes in _pieces(batches):
+            loglik, emit, move, begin = forward(sent.value, flat, np.append(0, np.cumsum(sizes)[:-1]), sizes, back=True)
+            every[:size] += emit
+            every[size : size + k] += move
+            every[size + k] += begin
+            every[size + k + 1, :2] += loglik.sum(), sizes.sum()
+        some = np.flatnonzero(np.abs(every).sum(1) > 1e-9)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(every[some, j]) for j in range(k))], names=["symbol", *(f"s{j}" for j in range(k))])
 
     schema = "symbol int, " + ", ".join(f"s{j} double" for j in range(k))
-    got = c.map_arrow(texts, count, schema).groupBy("symbol").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k))).toArrow()
-    every = np.zeros((size + k + 1, k))
+    got = c.map_arrow(codes, count, schema).groupBy("symbol").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k))).toArrow()
+    every = np.zeros((size + k + 2, k))
     every[got.column("symbol").to_numpy()] = np.stack([got.column(f"s{j}").to_numpy() for j in range(k)], 1) if got.num_rows else 0
     sent.unpersist()
-    return every[:size], every[size : size + k], every[-1]
-
-
-def hmm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES) -> DataFrame:
+    return every[:size], every[size : size + k], every[-2], every[-1, 0] / max(1.0, every[-1, 1])
+
+
+def fit(train: DataFrame, text: str = "text", states: int = STATES) -> tuple[DataFrame, Vocabulary, Model, list[float]]:
+    """(word counts, vocabulary, model, the log likelihood of a training token before each pass)."""
+    counts = c.checkpointed(word_counts(train, text))
+    v = Vocabulary(counts, train.count())
+    vocabulary, model, seen = train.sparkSession.sparkContext.broadcast(v), Model(v.q, states), []
+    codes = c.checkpointed(coded(train.select(text), vocabulary)) if v.total else None
+    for _ in range(PASSES if v.total else 0):
+        *expected, loglik = expected_counts(codes, v.size, model)
+        model.update(v.q, *expected)
+        seen.append(loglik)
+        if len(seen) > 1 and seen[-1] - seen[-2] < GAIN * abs(seen[-1]):
+            break
+    vocabulary.unpersist()
+    return counts, v, model, seen
+
+
+def hmm_score(docs: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, fitted: tuple | None = None) -> DataFrame:
     """Columns key, held_out, n_tokens, n_known, train_tokens, base_score, score: the last two log10 probabilities under the
-    add-half unigram model and the hidden Markov model, both learnt from the rows that are not held out."""
+    add-half unigram model and the hidden Markov model, both learnt from the rows that are not held out, unless `fitted` is given."""
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("key"), (c.fold(key) == 1).alias("held_out"), F.col(text).alias("text"))
-    train = docs.filter(~F.col("held_out")).select("text")
-    counts = c.checkpointed(word_counts(train))
-    vocabulary = context.broadcast(Vocabulary(counts, train.count()))
-    v = vocabulary.value
-    model = Model(v.q, states)
-    share = min(1.0, PILOT_TOKENS / max(1, v.total))
-    pilot = c.checkpointed(train.filter(F.abs(F.xxhash64("text") % 1_000_003) < int(share * 1_000_003)))
-    for i in range(PILOT_PASSES + PASSES if v.total else 0):
-        model.update(v.q, *expected_counts(pilot if i < PILOT_PASSES else train, vocabulary, model))
-    sent = context.broadcast((model.emit.astype(np.float32), model.move.astype(np.float32), model.begin.astype(np.float32)))
+    counts, v, model, _ = fitted or fit(docs.filter(~F.col("held_out")).select("text"), states=states)
+    vocabulary, sent = context.broadcast(v), context.broadcast((model.emit, model.move, model.begin))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         q = np.log10((np.append(v.n, 0) + 0.5) / v.space)  # the last for -1: not known here
-        within = np.log10(v.q)
+        within = np.log10(np.maximum(v.q, 1e-300))  # symbols without a word are not met
         end = np.log10((v.texts + 0.5) / v.space)
         for flat, first, size, held in _gathered(batches, v, c.Lookup(v.words), 2):
             loglik = forward(sent.value, flat, first, size) / np.log(10)

@@ -1,9 +1,11 @@
 """Operator 4, near duplicates: order MinHash, verified by banded alignment.
 
-Shingles are WORDS words, labelled with their occurrence number in the text.  Each of SKETCHES sketches takes the PICKED shingles with the least hashes
+Shingles are labelled with their occurrence number in the text.  Each sketch takes the `picked` shingles with the least hashes
 and keeps them in the order of the text, so that equal sketches speak for equal order: texts with the same shingles shuffled don't meet.
-Two long texts of shingle similarity 0.8 miss each other with probability (1 - 0.8**PICKED)**SKETCHES = 7e-5; isolated changes lower the shingle similarity far more than the
-edit similarity, and such pairs of long texts may be missed.  Texts of at most SHORT words also meet in prefixes of their grams (see short_keys), which
+There are two FAMILIES of sketches.  Shingles of five words find texts of shingle similarity 0.8: two miss each other with probability
+(1 - 0.8**4)**8 = 0.015.  Isolated changes lower that similarity far more than the edit similarity, so sketches of word pairs serve the accepted relation:
+of n words with a share s changed one by one, pairs have the similarity J = (1-s)**2 / (2 - (1-s)**2), and two texts miss each other with probability (1 - J**3)**28: 0.05 at s = 0.2,
+0.004 at 0.15.  Texts of at most SHORT words also meet in prefixes of their grams (see short_keys), which
 loses no pair: among them the accepted relation is complete.
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
@@ -12,7 +14,7 @@ group of thousands gives as many pairs as it has texts.  Classes are then joined
 classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
 part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
-Edge cases: null and empty texts, and texts without a word, are classes of their own; a text under WORDS words is one shingle; rows of one id are one document if they
+Edge cases: null and empty texts, and texts without a word, are classes of their own; a text shorter than a shingle is one shingle; rows of one id are one document if they
 have the same words, else the id is listed once for each; a null id is listed with the class of its words, a class without other ids has the null id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,16 +30,19 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common as c
 
-WORDS, SKETCHES, PICKED, SIMILARITY = 5, 24, 5, 0.8
+SIMILARITY = 0.8
+#: (words of a shingle, shingles picked for a sketch, sketches)
+FAMILIES = ((5, 4, 8), (2, 3, 28))
+SKETCHES = sum(n for *_, n in FAMILIES)
 #: Words are counted in so many bins, to 255 each: texts whose counts differ by more than may are not compared.
-BINS = 2048
+BINS = 512
 #: Members of a bucket are counted against each other in blocks of about so many.
-BLOCK = 512
+BLOCK = 2048
 #: Texts of at most so many words are found without loss.
 SHORT = 64
 
 
-def labelled_shingles(w: c.Words, h: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_shingles(w: c.Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash with occurrence number, row, first of each row) in the order of the text."""
     at = np.flatnonzero(c.inside(w, size))
     x, row = c.grams(h, size)[at], w.row[at]
@@ -101,37 +106,46 @@ def short_keys(w: c.Words, h: np.ndarray, least: dict[int, list[int]]) -> tuple[
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def sketches(x: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """rows x SKETCHES hashes of the picked shingles in the order of the text; 0 without shingles."""
+def sketches(x: np.ndarray, row: np.ndarray, first: np.ndarray, picked: int, many: int, salt: int = 0) -> np.ndarray:
+    """rows x `many` hashes of the `picked` least shingles in the order of the text; 0 without shingles."""
     n = np.diff(first)
-    out = np.zeros((len(n), SKETCHES), np.uint64)
+    out = np.zeros((len(n), many), np.uint64)
     if not len(x):
         return out
-    share = np.minimum(1.0, 4.0 * PICKED / np.maximum(n, 1))
+    share = np.minimum(1.0, 4.0 * picked / np.maximum(n, 1))
     low = np.where(share < 1, (share * 2.0**64 * (1 - 2**-20)).astype(np.uint64), np.uint64(2**64 - 1))
     limit = low[row]
-    for s in range(SKETCHES):
-        y = c.mix(x ^ np.uint64(0xA0761D6478BD642F * (s + 1) % 2**64))
+    for s in range(many):
+        y = c.mix(x ^ np.uint64(0xA0761D6478BD642F * (salt + s + 1) % 2**64))
         some = np.flatnonzero(y <= limit)
         got = np.bincount(row[some], minlength=len(n))
-        poor = np.flatnonzero(got < np.minimum(n, PICKED))
+        poor = np.flatnonzero(got < np.minimum(n, picked))
         if len(poor):  # too few under the limit: those rows are looked at in full
             some = np.union1d(some, np.concatenate([np.arange(first[r], first[r + 1]) for r in poor]))
         order = np.lexsort((some, y[some], row[some]))
         r = row[some[order]]
         rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(n)))[r]
-        chosen = np.sort(some[order[rank < PICKED]])
+        chosen = np.sort(some[order[rank < picked]])
         r = row[chosen]
         place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(n)))[r]
-        picked = np.zeros((len(n), PICKED), np.uint64)
-        picked[r, place] = x[chosen]
-        key = np.full(len(n), np.uint64(s + 1), np.uint64)
-        for i in range(PICKED):
-            key = c.mix(key * np.uint64(0x9E3779B97F4A7C15) + picked[:, i])
+        held = np.zeros((len(n), picked), np.uint64)
+        held[r, place] = x[chosen]
+        key = np.full(len(n), np.uint64(salt + s + 1), np.uint64)
+        for i in range(picked):
+            key = c.mix(key * np.uint64(0x9E3779B97F4A7C15) + held[:, i])
         out[:, s] = np.where(n > 0, key | np.uint64(1), 0)
     return out
 
 
+def all_sketches(w: c.Words, h: np.ndarray) -> np.ndarray:
+    """rows x SKETCHES, those of each of FAMILIES in turn."""
+    out, salt = [], 0
+    for size, picked, many in FAMILIES:
+        out.append(sketches(*labelled_shingles(w, h, size), picked, many, salt))
+        salt += many
+    return np.concatenate(out, 1)
+
+
 def _unshared(a: np.ndarray, b: np.ndarray) -> int:
     """Words of the one that the other lacks, whatever their order: no more than the edit distance."""
     x = np.sort(np.concatenate([a << np.uint64(1), (b << np.uint64(1)) | np.uint64(1)]))
@@ -318,7 +332,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
             for lo, hi in c.chunks(offsets):
                 w = c.Words(data, offsets[lo : hi + 1])
                 h = w.hashes()
-                s = sketches(*labelled_shingles(w, h))
+                s = all_sketches(w, h)
                 also, more = short_keys(w, h, least)
                 n = SKETCHES + np.bincount(also, minlength=hi - lo)
                 row = np.concatenate([np.repeat(np.arange(hi - lo), SKETCHES), also])
@@ -329,11 +343,12 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     rows = c.checkpointed(c.map_arrow(docs, sketch, f"id {kind}, node binary, n long, keys array<long>"))
     worded = rows.filter("n > 0")
     copies = c.checkpointed(worded.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    buckets = c.checkpointed(copies.select(F.col("node").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("sketch")))
-    lead = buckets.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead")
+    every = copies.select(F.col("node").alias("rep"), "n", F.explode(F.array_distinct("keys")).alias("sketch"))
+    lead = c.checkpointed(every.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead"))
+    buckets = c.checkpointed(every.join(lead, "sketch", "left_semi"))  # those of two texts or more
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
     pairs = c.checkpointed(buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    met = buckets.join(lead.select("sketch"), "sketch", "left_semi").select(F.col("rep").alias("met")).distinct()
+    met = buckets.select(F.col("rep").alias("met")).distinct()
     met = copies.join(met, F.col("node") == F.col("met"), "left_semi").select(F.col("node").alias("met"), "least")
     # Of texts that share a sketch; copies stay away by their ids, so that a much copied text isn't one task's.
     own = digested(docs)
@@ -341,7 +356,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     texts = c.checkpointed(own.groupBy(F.col("node").alias("id")).agg(F.max("text").alias("text")))
     links = c.checkpointed(_distances(pairs, texts, similarity))
     labels = components(links)
-    rest = _torn_pairs(buckets.join(lead.select("sketch"), "sketch", "left_semi"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti")
+    rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti")
     more = c.checkpointed(_distances(c.checkpointed(rest), texts, similarity))
     if more.limit(1).count():
         labels = components(links.unionAll(more))

@@ -9,8 +9,8 @@ of n words with a share s changed one by one, pairs have the similarity J = (1-s
 loses no pair: among them the accepted relation is complete.
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
-Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Texts of an equal sketch are first compared with the bucket's least digest alone, so a
-group of thousands gives as many pairs as it has texts.  Classes are then joined (least label, to a fixed point).  Only texts of one bucket that are in different
+Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Texts of an equal sketch are first compared with the bucket's least digest alone, by the first family, then by
+all sketches where the two are in different classes still, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
 classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
 part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 #: (words of a shingle, shingles picked for a sketch, sketches)
 FAMILIES = ((5, 4, 8), (2, 3, 28))
 SKETCHES = sum(n for *_, n in FAMILIES)
+#: Sketches of the first family.
+FIRST = "sketch & 2 = 0"
 #: Words are counted in so many bins, to 255 each: texts whose counts differ by more than may are not compared.
 BINS = 512
 #: Members of a bucket are counted against each other in blocks of about so many.
@@ -97,7 +99,7 @@ def short_keys(w: c.Words, h: np.ndarray, least: dict[int, list[int]]) -> tuple[
             continue
         x, row, _ = labelled_shingles(w, h, q)
         some = many[row] > 0
-        x, row = c.mix(x[some] ^ np.uint64(0xA0761D6478BD642F * (SKETCHES + 1 + q) % 2**64)) | np.uint64(1), row[some]
+        x, row = c.mix(x[some] ^ np.uint64(0xA0761D6478BD642F * (SKETCHES + 1 + q) % 2**64)) | np.uint64(3), row[some]
         order = np.lexsort((x, row))
         x, row = x[order], row[order]
         mine = np.arange(len(row)) - np.searchsorted(row, np.arange(len(few)))[row] < many[row]
@@ -141,7 +143,8 @@ def all_sketches(w: c.Words, h: np.ndarray) -> np.ndarray:
     """rows x SKETCHES, those of each of FAMILIES in turn."""
     out, salt = [], 0
     for size, picked, many in FAMILIES:
-        out.append(sketches(*labelled_shingles(w, h, size), picked, many, salt))
+        keys = sketches(*labelled_shingles(w, h, size), picked, many, salt)
+        out.append(np.where(keys > 0, keys | np.uint64(2), 0) if salt else keys & ~np.uint64(2))  # FIRST tells the first family by this bit
         salt += many
     return np.concatenate(out, 1)
 
@@ -248,6 +251,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    if not links.limit(1).count():
+        return labels
+    return components(labels.filter("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")).unionAll(links))
+
+
 def _bags(texts: DataFrame) -> DataFrame:
     """(id, n, bag): the number of words and their counts in BINS bins, a byte each."""
 
@@ -347,19 +357,22 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     lead = c.checkpointed(every.groupBy("sketch").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("sketch", "lead"))
     buckets = c.checkpointed(every.join(lead, "sketch", "left_semi"))  # those of two texts or more
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
-    pairs = c.checkpointed(buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    star = buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "sketch")
+    pairs = c.checkpointed(star.filter(FIRST).select("a", "b").distinct())
     met = buckets.select(F.col("rep").alias("met")).distinct()
     met = copies.join(met, F.col("node") == F.col("met"), "left_semi").select(F.col("node").alias("met"), "least")
     # Of texts that share a sketch; copies stay away by their ids, so that a much copied text isn't one task's.
     own = digested(docs)
     own = own.join(met, own.id.eqNullSafe(met.least) & (own.node == met.met), "left_semi")
     texts = c.checkpointed(own.groupBy(F.col("node").alias("id")).agg(F.max("text").alias("text")))
-    links = c.checkpointed(_distances(pairs, texts, similarity))
-    labels = components(links)
-    rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti")
-    more = c.checkpointed(_distances(c.checkpointed(rest), texts, similarity))
-    if more.limit(1).count():
-        labels = components(links.unionAll(more))
+    labels = components(c.checkpointed(_distances(pairs, texts, similarity)))
+    # The other sketches' leads, where they are of another class still; then all that share a bucket across classes.
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+    apart = star.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    apart = c.checkpointed(apart.join(pairs, ["a", "b"], "left_anti"))
+    labels = _joined(labels, c.checkpointed(_distances(apart, texts, similarity)))
+    rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")
+    labels = _joined(labels, c.checkpointed(_distances(c.checkpointed(rest), texts, similarity)))
     classes = copies.select("node", "least").join(labels, copies.node == labels.id, "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     first = classes.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("null"), "least", "node")).alias("first"))
     classes = classes.join(first, "label").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("class_node"), F.col("least").alias("copy_of"))

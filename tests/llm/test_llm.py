@@ -202,7 +202,7 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     kinds = [rows[f"<urn:page:{i}>"].warc_type for i in range(6)]
     assert kinds == ["revisit", "response", "response", "response", "revisit", "response"]
     assert all(bytes(rows[f"<urn:page:{i}>"].payload).decode() == (html[i] or "") for i in (1, 2, 3, 5))
-    data = next((tmp_path / "w").glob("part*")).read_bytes()
+    data = next((tmp_path / "w").rglob("part*.txt")).read_bytes()
     starts = [m.start() for m in re.finditer(rb"WARC/1\.0\r\nWARC-Type", data)]
     broken = bytearray(data)
     broken[starts[2] - 5] ^= 1  # the last byte of the second record's block
@@ -218,7 +218,7 @@ def test_warc_members(tmp_path):
     damaged = parts[1][:20] + b"\xff" * 12 + parts[1][32:]
     got = list(op5_warc._rows("f", parts[0] + damaged + b"noise" + parts[2] + parts[3][:-6], True))
     assert [r[7] for r in got if r[1] == "record" and r[7] in ("<0>", "<2>")] == ["<0>", "<2>"]
-    gaps = [(r[2], r[4]) for r in got if r[1] == "gap"]
+    gaps = [(r[2] + r[3], r[4]) for r in got if r[1] == "gap"]
     assert gaps[0] == (len(parts[0]), len(damaged) + 5) and len(gaps) == 2
 
 
@@ -240,13 +240,13 @@ def test_warc_damaged_heads_and_mixed_files():
 def test_warc_own_archives_are_salvaged(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} page " * 300) for i in range(40)], "page_id long, url string, html string")
     op5_warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
-    data = bytearray(next((tmp_path / "w").glob("part*")).read_bytes())
+    data = bytearray(next((tmp_path / "w").rglob("part*.txt")).read_bytes())
     whole = list(op5_warc._rows("f", bytes(data), True))
     assert [r[1] for r in whole] == ["record"] * 40 and len({r[2] for r in whole}) == 40
     at = whole[10][2]
     data[at + 20 : at + 60] = b"\xff" * 40
     got = list(op5_warc._rows("f", bytes(data), True))
-    assert {r[7] for r in got if r[1] == "record"} >= {r[7] for i, r in enumerate(whole) if i != 10} and [r[2] for r in got if r[1] == "gap"] == [at]
+    assert {r[7] for r in got if r[1] == "record"} >= {r[7] for i, r in enumerate(whole) if i != 10} and [(r[2] + r[3], r[4]) for r in got if r[1] == "gap"] == [(at, whole[11][2] - at)]
 
 
 def test_url_rules(spark):
@@ -261,7 +261,7 @@ def test_nearest_recall(spark):
     rows = [(i, list(map(float, v))) for i, v in enumerate(x)] + [(5001, None), (5002, [0.0] * 32), (5003, [float("nan")] * 32), (5020, [1.0, 2.0])]
     vectors, d = op7_rabitq.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
     index = op7_rabitq.build_index(vectors, d)
-    got = op7_rabitq.search(index, index.filter("id % 50 = 0").select("id", "vector"), 3000, 60, k=10).collect()
+    got = op7_rabitq.search(index, index.filter("id % 50 = 0").select("id", "vector"), k=10).collect()
     s = x @ x.T
     np.fill_diagonal(s, -np.inf)
     hits = sum(r.id in set(np.argsort(-s[r.query])[:10]) for r in got)

@@ -385,10 +385,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     return _classes(docs, key, text, similarity).select(F.col("id").alias(key), "class_id", "copy_of")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, node), each once: the least id of each class with the digest of its words."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Of each class of near copies the row with the least id (null is the last of ids), known by id and words; of rows alike in both, one. Columns of any name pass through."""
+    columns = docs.columns
     rows = _classes(docs, key, text, similarity)
-    return rows.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select("id", "node").distinct()
+    row = lambda k: F.concat(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")), F.lit(":"), F.hex("node"))
+    least = rows.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(row("id").alias("_row")).distinct()
+    docs = digested(docs.toDF(*(f"_c{i}" for i in range(len(columns)))), f"_c{columns.index(text)}")
+    docs = docs.withColumn("_row", row(f"_c{columns.index(key)}")).drop("node")
+    return docs.join(least, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*columns)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

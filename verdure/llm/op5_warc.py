@@ -5,8 +5,9 @@ to any store that Spark writes to; its line separator is the last byte of the me
 at least `least` bytes the one with the largest key is the response, the others are revisits of it.
 Reading: a file may hold gzip members and plain records in any order.  A gzip member that can't be read and a record that fails a check (version
 line, headers, length, end, block digest) are skipped up to the next member or version line that can be read, whichever comes first, and the skipped
-bytes are logged as a row of kind "gap".  Offsets of records in a gzip member count from the start of its content; plain records have member 0 and offsets in the file.
-A file is held by one task; write_archives() keeps files at RECORDS records.
+bytes are logged as a row of kind "gap", without what was recovered of a damaged member's content.  Offsets of records in a gzip member count from the start of its content; plain records have member 0 and offsets in the file.
+A file is held by one task; write_archives() begins a new file when one has FILE_BYTES, so only a single larger record makes a larger file.  Payloads stay where they
+were read: digests are aggregated, and those of several pages, up to BROADCAST of them, go out to all tasks; more are joined by a shuffle, with the same result.
 
 Edge cases: null html is an empty payload; a null URL has no target header, line ends and % in a URL are percent-coded;
 a null key is written as such and read back as null; rows that repeat the largest key are responses each; an empty table
@@ -23,12 +24,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-LEAST, RECORDS = 1000, 2000
+LEAST, FILE_BYTES, BROADCAST = 1000, 64 << 20, 500_000
 END = "\r\n\r\n"
 FIELDS = "file string, kind string, member long, offset long, length long, reason string, warc_type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -37,9 +39,8 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """A column `record` with the text of each page's record, without the end."""
     pages = pages.select(F.col(key).cast("string").alias("id"), F.col(key).alias("rank"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html"))
-    first = pages.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    # Only the keys of the copies are shuffled; a page's own text stays where it was read unless it has a copy.
-    pages = pages.join(first, "digest", "left")
+    first = c.checkpointed(pages.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
+    pages = pages.join(F.broadcast(first) if first.count() <= BROADCAST else first, "digest", "left")
     revisit = (F.col("first") != F.col("rank")) | (F.col("first").isNotNull() & F.col("rank").isNull())
     pages = pages.withColumn("revisit", F.coalesce(revisit, F.lit(False)))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END), F.when(F.col("revisit"), "").otherwise(F.col("html")))
@@ -55,52 +56,64 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     ).alias("record"))
 
 
-def _as_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records as gzip members without their last byte, which is zero: that of the size, or of an empty member after one of 16 MB or more."""
-    for batch in batches:
-        out, held = [], 0
-        for record in batch.column(0):
-            data = record.as_py().encode() + END.encode()
-            made = gzip.compress(data, 6, mtime=0)
-            out.append((made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1])
-            held += len(out[-1])
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+def _in_files(gzipped: bool):
+    """Records as gzip members without their last byte, which is zero: that of the size, or of an empty member after one of 16 MB or more; or as they are. With the file each belongs to."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, file, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            out, files, held = [], [], 0
+            for record in batch.column(0):
+                data = record.as_py().encode()
+                if gzipped:
+                    made = gzip.compress(data + END.encode(), 6, mtime=0)
+                    data = (made if made[-1] == 0 else made + gzip.compress(b"", mtime=0))[:-1]
+                if size and size + len(data) > FILE_BYTES:
+                    file, size = file + 1, 0
+                size, held = size + len(data) + len(END), held + len(data)
+                out.append(data)
+                files.append(f"{task:08d}-{file:06d}")
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files)], names=["record", "archive"])
+                    out, files, held = [], [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files)], names=["record", "archive"])
+
+    return add
 
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip", **names) -> None:
-    """compression: gzip, a member a record; else that of Spark's text writer over the whole file."""
-    out, end = records(pages, **names), END
-    if compression == "gzip":
-        out, end, compression = c.map_arrow(out, _as_members, "record binary").select(F.col("record").cast("string")), "\0", "none"
-    out.write.option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
+    """compression: gzip, a member a record; else that of Spark's text writer over the whole file. Files lie in a folder each, archive=task-number."""
+    gzipped = compression == "gzip"
+    out = c.map_arrow(records(pages, **names), _in_files(gzipped), "record binary, archive string").select(F.col("record").cast("string"), "archive")
+    out.write.partitionBy("archive").option("lineSep", "\0" if gzipped else END).option("compression", "none" if gzipped else compression).text(path)
 
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 
 
-def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """(content, end, reason) of the gzip member from `at` on; with a reason: what could be inflated and how far that went."""
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
+    """(content, end, reason, marks) of the gzip member from `at` on; with a reason: what could be inflated, how far that went, and places in the file with the content's size there."""
     inflate, out, step, end = zlib.decompressobj(31), [], 1024, at
     try:
         while not inflate.eof and end < len(data):
             out.append(inflate.decompress(data[end : end + step]))
             end, step = min(end + step, len(data)), min(2 * step, 1 << 18)
-    except zlib.error:  # again in small steps from where it was well
-        inflate, good = zlib.decompressobj(31), []
-        end = at
-        try:
-            while end < len(data):
-                good.append(inflate.decompress(data[end : end + 64]))
-                end += 64
-        except zlib.error:
-            pass
-        return b"".join(good), end, "member is damaged"
-    return b"".join(out), end - len(inflate.unused_data), "" if inflate.eof else "member is cut off"
+    except zlib.error:
+        pass
+    else:
+        if inflate.eof:
+            return b"".join(out), end - len(inflate.unused_data), "", []
+    inflate, good, end, size, marks, reason = zlib.decompressobj(31), [], at, 0, [(at, 0)], "member is cut off"  # again in small steps
+    try:
+        while end < len(data):
+            good.append(inflate.decompress(data[end : end + 64]))
+            end, size = min(end + 64, len(data)), size + len(good[-1])
+            marks.append((end, size))
+    except zlib.error:
+        reason = "member is damaged"
+    return b"".join(good), end, reason, marks
 
 
 def next_member(data: bytes, at: int) -> int:
@@ -127,7 +140,7 @@ def _parts(data: bytes) -> Iterator[tuple[int, int, int, dict[str, str] | None,
     while at < len(data):
         reason, resume, gz = "no version line", at + 1, data.startswith(MEMBER, at)
         if gz:
-            content, end, reason = inflated(data, at)
+            content, end, reason, marks = inflated(data, at)
             resume = max(end, at + 1)
         elif VERSION.match(data, at):
             end, headers, block, reason = record(data, at)
@@ -147,8 +160,12 @@ def _parts(data: bytes) -> Iterator[tuple[int, int, int, dict[str, str] | None,
             line = next_line(data, resume)
         after = min(member, line)
         if gz:
-            yield at, 0, after - at, None, b"", reason
-            yield from ((at, *x) for x in parse(content) if x[2] is not None)  # other bytes are in the member's gap
+            found = [x for x in parse(content) if x[2] is not None]
+            yield from ((at, *x) for x in found)
+            # The bytes behind the last record that came back, as near as the marks tell, are lost; so are those before the first.
+            well = found[-1][1] if found and found[0][0] == 0 else 0
+            since = max(place for place, size in marks if size <= well) if well else at
+            yield 0, since, after, None, b"", reason
         elif bad < 0:
             bad, why = at, reason
         at = after

@@ -4,8 +4,9 @@ The index keeps for each vector the signs of its rotated direction, packed, and
 product of the direction with its code.  From these a query's inner product with every vector is estimated; the
 estimate's error is within EPSILON standard deviations of (1 - a*a) / (a*a * (d - 1)).  Vectors whose upper bound
 reaches the k-th best exact score are reranked on the original components in double precision.
-Queries and vectors meet block by block in a grid of cells; a cell keeps each query's k best, and a window takes the
-k best of all cells.
+Vectors stay where they are.  Queries go out to all tasks in blocks of bounded bytes, a pass over the index for each block; a task works through its
+vectors in pieces of VECTORS, keeps each query's k best, and a window takes the k best of all tasks.  What a query has found so far is the bound that the
+next piece must beat.  So what is shuffled is k rows a query and task, never a vector.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components, and rows
 without an id, take no part; a query is never its own neighbour, nor is a row with its id; of queries with one id one is asked;
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 EPSILON, K = 3.0, 20
-VECTORS, QUERIES = 32_768, 256
+#: Vectors that a task looks at at once, and bytes of queries in a block.
+VECTORS, BLOCK_BYTES = 32_768, 32 << 20
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -62,55 +64,81 @@ def build_index(vectors: DataFrame, d: int, seed: int = 7) -> DataFrame:
     return c.map_arrow(vectors, encode, f"id {kind}, vector array<double>, code binary, norm double, dot double")
 
 
-def _cell(ids, vectors, codes, norm, dot, query_ids, queries, k: int, seed: int):
-    """(query, id, score) of each query's k best in this cell."""
-    d = queries.shape[1]
-    signs = (np.unpackbits(codes, axis=1)[:, :d].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
-    turned = (queries @ rotation(d, seed)).astype(np.float32)
-    length = np.sqrt((queries * queries).sum(1))
-    scale = (norm / dot).astype(np.float32)
-    error = (norm * EPSILON * np.sqrt(np.maximum(0, 1 - dot * dot) / (dot * dot) / max(1, d - 1))).astype(np.float32)
-    for i in range(len(queries)):
-        estimate = (signs @ turned[i]) * scale
-        own = ids == query_ids[i]
-        estimate[own] = -np.inf
-        upper = estimate + error * np.float32(length[i])
-        if len(ids) > 2 * k:
-            some = np.argpartition(-estimate, 2 * k)[: 2 * k]
-            some = some[~own[some]]
-            exact = vectors[some] @ queries[i]
-            least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-            chosen = np.flatnonzero((upper >= np.float32(least) - np.float32(1e-5) * np.abs(np.float32(least))) & ~own)
-        else:
-            chosen = np.flatnonzero(~own)
-        exact = vectors[chosen] @ queries[i]
-        if len(chosen) > 2 * k:  # a margin for sums that differ in their last bits
-            cut = np.partition(exact, len(exact) - k)[len(exact) - k]
-            chosen = chosen[exact >= cut - 1e-9 * (1 + abs(cut))]
-        score = np.zeros(len(chosen))
-        for j in range(d):  # in the order of the components, so that sums agree everywhere
-            score = score + vectors[chosen, j] * queries[i, j]
-        best = np.lexsort((ids[chosen], -score))[:k]
-        yield query_ids[i], ids[chosen[best]], score[best]
-
-
-def search(index: DataFrame, queries: DataFrame, n_vectors: int, n_queries: int, k: int = K, seed: int = 7) -> DataFrame:
-    """(query, id, rank, score). queries: (id, vector)."""
-    rows, columns = max(1, -(-n_vectors // VECTORS)), max(1, -(-n_queries // QUERIES))
+class _Best:
+    """The k best (id, score) of each query so far."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, seed: int):
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.turned = (queries @ rotation(queries.shape[1], seed)).astype(np.float32)
+        self.length = np.sqrt((queries * queries).sum(1)).astype(np.float32)
+        self.ids, self.scores = [np.zeros(0, np.int64)] * len(query_ids), [np.zeros(0)] * len(query_ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, dot: np.ndarray) -> None:
+        k, d = self.k, self.queries.shape[1]
+        signs = (np.unpackbits(codes, axis=1)[:, :d].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
+        scale = (norm / dot).astype(np.float32)
+        error = (norm * EPSILON * np.sqrt(np.maximum(0, 1 - dot * dot) / (dot * dot) / max(1, d - 1))).astype(np.float32)
+        for i, query in enumerate(self.queries):
+            estimate = (signs @ self.turned[i]) * scale
+            own = ids == self.query_ids[i]
+            estimate[own] = -np.inf
+            least = self.scores[i][k - 1] if len(self.ids[i]) >= k else -np.inf
+            if len(ids) > 2 * k:
+                some = np.argpartition(-estimate, 2 * k)[: 2 * k]
+                exact = vectors[some[~own[some]]] @ query
+                if len(exact) >= k:
+                    least = max(least, np.partition(exact, len(exact) - k)[len(exact) - k])
+            chosen = np.flatnonzero((estimate + error * self.length[i] >= np.float32(least) - np.float32(1e-5) * np.abs(np.float32(least))) & ~own) if np.isfinite(least) else np.flatnonzero(~own)
+            exact = vectors[chosen] @ query
+            if len(chosen) > 2 * k:  # a margin for sums that differ in their last bits
+                cut = np.partition(exact, len(exact) - k)[len(exact) - k]
+                chosen = chosen[exact >= cut - 1e-9 * (1 + abs(cut))]
+            score = np.zeros(len(chosen))
+            for j in range(d):  # in the order of the components, so that sums agree everywhere
+                score = score + vectors[chosen, j] * query[j]
+            every, scores = np.concatenate([self.ids[i], ids[chosen]]), np.concatenate([self.scores[i], score])
+            best = np.lexsort((every, -scores))[:k]
+            self.ids[i], self.scores[i] = every[best], scores[best]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = K, seed: int = 7) -> DataFrame:
+    """(query, id, rank, score). queries: (id, vector), vectors of the index's dimension."""
+    context, near = index.sparkSession.sparkContext, None
     kind = index.schema["id"].dataType.simpleString()
-    left = index.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(rows)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    right = queries.select(F.col("id").alias("query"), F.col("vector").alias("asked")).withColumn("q", F.pmod(F.xxhash64("query"), F.lit(columns)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if a.num_rows and b.num_rows:
-            codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
-            out = list(_cell(a.column("id").to_numpy(), _matrix(a.column("vector")), codes, a.column("norm").to_numpy(), a.column("dot").to_numpy(), b.column("query").to_numpy(), _matrix(b.column("asked")), k, seed))
-        join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        return pa.table({"query": np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out]), "id": join([x[1] for x in out], np.int64), "score": join([x[2] for x in out], np.float64)})
-
-    c.ship(index.sparkSession)
-    near = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(cell, f"query {kind}, id {kind}, score double")
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    blocks = max(1, -(-asked.n * (asked.d or 1) * 16 // BLOCK_BYTES))
+
+    def nearest(sent) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, held, n = _Best(*sent.value, k, seed), [], 0
+
+            def add():
+                table = pa.Table.from_batches(held).combine_chunks()
+                codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+                best.add(table.column("id").to_numpy(), _matrix(table.column("vector")), codes, table.column("norm").to_numpy(), table.column("dot").to_numpy())
+
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= VECTORS:
+                    add()
+                    held, n = [], 0
+            if n:
+                add()
+            sizes = [len(x) for x in best.ids]
+            for i in range(0, len(sizes), 4096):
+                some = slice(i, i + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.query_ids[some], sizes[some])), pa.array(np.concatenate(best.ids[some])), pa.array(np.concatenate(best.scores[some]))], names=["query", "id", "score"])
+
+        return c.map_arrow(index, find, f"query {kind}, id {kind}, score double")
+
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").toArrow().sort_by("id")
+        if block.num_rows:
+            found = nearest(context.broadcast((block.column("id").to_numpy(), _matrix(block.column("vector")))))
+            near = found if near is None else near.unionAll(found)
+    if near is None:
+        return index.sparkSession.createDataFrame([], f"query {kind}, id {kind}, rank int, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "id", "rank", "score")
 
@@ -119,7 +147,7 @@ def op7_nearest(spark, sf_dir: str) -> DataFrame:
     vectors, d = valid(c.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     index = c.checkpointed(build_index(vectors, d)) if d else build_index(vectors, 1)
     queries = index.filter("id % 20 = 0").select("id", "vector").dropDuplicates(["id"])
-    found = search(index, queries, index.count(), queries.count())
+    found = search(index, queries)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 

@@ -2,7 +2,7 @@
 
 Targets: sources share `budget` x all words by weight, none above `most` x its own words; what is over
 goes to the others by weight.  The level is found from sorted caps, without iterating.
-Each source's documents lie on an endless tape in the order of their ids' md5; the mix takes what lies
+Each source's documents lie on an endless tape in the order of the md5 of id and text; the mix takes what lies
 before the source's target, whole documents, the one on the border by its middle.
 A source's weight changes linearly over training: 1 + tilt * (2t - 1) times its mean.  Its integral is the
 source's cumulative demand; inverting it turns a tape position into a training position in [0, 1], and a
@@ -12,7 +12,7 @@ The prefix sums that this needs go over 4096 md5 ranges a source, so that no sou
 summed in one task.
 
 Edge cases: null text has size 0; null source is a source, the last; null id counts as empty text; rows alike in
-id and size are interchangeable; a source without words has target 0; an empty table gives no rows; other
+id, text and source are interchangeable, and training_order() writes the copies of all of them with the other columns of one; a source without words has target 0; an empty table gives no rows; other
 columns stay in training_order() and are ignored else.
 """
 
@@ -31,6 +31,11 @@ def words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def row_key(key: str, text: str) -> Column:
+    """md5 of id and text, so that rows without an id, or with the same one, are spread as well."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """sizes: (none, name, source_size), a row a source. Adds rank, weight and target."""
     by_name = Window.orderBy("none", "name")
@@ -48,8 +53,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: flo
 
 
 def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, tilts=TILTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """Columns key, source, size, source_size, target, taken, positions (of each copy taken, rising). The work's rows hold no texts."""
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+    """Columns key, source, size, source_size, target, taken, positions (of each copy taken, rising), row_key (see there). The work's rows hold no texts."""
+    order = row_key(key, text)
     docs = c.checkpointed(docs.select(F.col(key).alias("key"), F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"), words(text).alias("size"), order.alias("order")).withColumn("range", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")))
     ranges = c.checkpointed(docs.groupBy("none", "name", "range").agg(F.sum("size").alias("range_size")))
     goal = targets(ranges.groupBy("none", "name").agg(F.sum("range_size").alias("source_size")), weights, budget, most)
@@ -69,15 +74,20 @@ def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     docs = docs.withColumn("copies", copies).withColumn("tilt", tilt)
     return docs.select(
         F.col("key").alias(key), F.when(~F.col("none"), F.col("name")).alias(source), "size", "source_size", F.col("target").cast("double").alias("target"),
-        (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.transform("copies", position).alias("positions"),
+        (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.transform("copies", position).alias("positions"), F.col("order").alias("row_key"),
     )
 
 
-def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs, a row for each copy taken, with `position`, range-sorted by it. Of rows with one id one is taken."""
-    taken = mixed.groupBy(F.col(key).alias("_key")).agg(F.max("positions").alias("_positions")).select("_key", F.explode("_positions").alias("position"))
-    out = docs.join(taken, docs[key].eqNullSafe(F.col("_key"))).drop("_key")
-    return out.repartitionByRange(F.col("position"), F.col(key)).sortWithinPartitions("position", key)
+def training_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, a row for each copy taken, with `position` (in place of a column of that name), range-sorted by it. mixed: curriculum(docs)."""
+    columns = [n for n in docs.columns if n != "position"]
+    docs = docs.select(*(F.col(n).alias(f"_c{i}") for i, n in enumerate(columns)))  # columns of any name pass through
+    of = [f"_c{columns.index(n)}" for n in (key, text, source)]
+    one = lambda k, s: F.concat(k, F.lit(":"), F.coalesce(F.concat(F.lit("="), s.cast("string")), F.lit("")))
+    docs = docs.withColumn("_row", one(row_key(of[0], of[1]), F.col(of[2]))).dropDuplicates(["_row"])
+    taken = mixed.filter(F.size("positions") > 0).select(one(F.col("row_key"), F.col(source)).alias("_row"), "positions").groupBy("_row").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    out = docs.join(taken, "_row").select(*docs.columns[:-1], F.explode("positions").alias("position"))
+    return out.repartitionByRange(F.col("position"), F.col(of[0])).sortWithinPartitions("position", of[0]).toDF(*columns, "position")
 
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
@@ -88,7 +98,7 @@ def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 z AS (SELECT none, name, sum(size)::BIGINT AS source_size FROM d GROUP BY none, name),
 s AS (SELECT *, row_number() OVER (ORDER BY none, name) AS rank FROM z),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((rank - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap,

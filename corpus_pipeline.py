@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept and its decisions take effect: rejected, duplicate and leaking documents go, personal data is
 replaced in the text, and the last stage returns the training order, a row for each copy that the mix takes.
 run() writes each stage into the shared folder and reads it again, so that no stage computes another's work twice.
-Near duplicates and leaks are judged by id and words together: rows that share an id, or have none, are told apart by their words.
+Near duplicates are known by id and words together: rows that share an id, or have none, are told apart by their words.  Null and empty texts are kept by
+the stages unless the classifier rejects them, and never mixed in, as they have no words; empty tables give no rows; columns of any name pass through all but the last stage.
 """
 
 from __future__ import annotations
@@ -14,34 +15,28 @@ from pyspark.sql import functions as F
 
 from verdure.llm import common as c
 from verdure.llm.op3_pii import redacted
-from verdure.llm.op4_omh import digested, representatives
+from verdure.llm.op4_omh import one_of_each
 from verdure.llm.op8_curriculum import curriculum, training_order
-from verdure.llm.op9_decontam import leaks
+from verdure.llm.op9_decontam import leak_free
 from verdure.llm.op10_crf import quality_scores
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the line model rejects go."""
-    names = docs.columns
-    return quality_scores(docs.drop("score", "predicted"), c.table(spark, sf_dir, "labels")).filter("predicted = 1").select(*(n for n in names if n not in ("score", "predicted")))
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so that columns of any name pass through
+    key, text = (names[docs.columns.index(n)] for n in ("doc_id", "text"))
+    labels = c.table(spark, sf_dir, "labels").select(F.col("doc_id").alias(key), "quality")
+    return quality_scores(docs.toDF(*names), labels, key, text).filter("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Of each class of near copies the document with the least id stays (null is the last of ids); of rows with that id and those words, one."""
-    return stay(docs, representatives(docs), "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return one_of_each(docs)
 
 
 def benchmark_leaks(spark, docs, sf_dir):
     """Documents that hold a test item go."""
-    keyed = digested(docs, name="_node").withColumn("_key", F.struct("doc_id", "_node"))
-    found = leaks(keyed, c.table(spark, sf_dir, "benchmark"), key="_key").select(F.col("_key.doc_id").alias("id"), F.col("_key._node").alias("node"))
-    return stay(docs, found.distinct(), "left_anti").drop("_node")
-
-
-def stay(docs, of, how):
-    """docs with their digest _node, joined with `of` (id, node), null ids included."""
-    docs = digested(docs, name="_node")
-    return docs.join(of.select(F.col("id").alias("_id"), F.col("node").alias("_of")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of")), how)
+    return leak_free(docs, c.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark, docs, sf_dir):
@@ -56,7 +51,7 @@ def mix(spark, docs, sf_dir):
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("PII", personal_data), ("mixing sources", mix)]
-#: Trained scores and sketches are beyond SQL; tests/llm compares run() with brute force.
+#: Trained scores and sketches are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

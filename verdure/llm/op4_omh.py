@@ -10,7 +10,7 @@ loses no pair: among them the accepted relation is complete.
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
 Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Texts of an equal sketch are first compared with the bucket's least digest alone, by the first family, then by
-all sketches where the two are in different classes still, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
+the second where the two aren't linked to one text already, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
 classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
 part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -35,11 +35,13 @@ SIMILARITY = 0.8
 FAMILIES = ((5, 4, 8), (2, 3, 28))
 SKETCHES = sum(n for *_, n in FAMILIES)
 #: Sketches of the first family.
-FIRST = "sketch & 2 = 0"
+FIRST = "(sketch & 2 = 0)"
 #: Words are counted in so many bins, to 255 each: texts whose counts differ by more than may are not compared.
 BINS = 512
 #: Members of a bucket are counted against each other in blocks of about so many.
 BLOCK = 2048
+#: Ids of 16 bytes that are broadcast at most.
+BROADCAST = 1_000_000
 #: Texts of at most so many words are found without loss.
 SHORT = 64
 
@@ -217,7 +219,9 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def _distances(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The near ones of pairs: (a, b)."""
+    """The near ones of pairs: (a, b). Only their own texts are shuffled: up to BROADCAST ids are told to all tasks, more are joined."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = texts.join(F.broadcast(ids) if 2 * pairs.count() <= BROADCAST else ids, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +334,11 @@ def digested(docs: DataFrame, text: str = "text", name: str = "node") -> DataFra
     return c.map_arrow(docs, add, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
+def _row(key: str, node: str) -> Column:
+    """One key for id and words, null ids included."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.lit(":"), F.hex(node))
+
+
 def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """(id, node, class_id, class_node, copy_of): of each row the least id of its class, the digest of that id's words, and the least id of its own words."""
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -362,15 +371,15 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     met = buckets.select(F.col("rep").alias("met")).distinct()
     met = copies.join(met, F.col("node") == F.col("met"), "left_semi").select(F.col("node").alias("met"), "least")
     # Of texts that share a sketch; copies stay away by their ids, so that a much copied text isn't one task's.
-    own = digested(docs)
-    own = own.join(met, own.id.eqNullSafe(met.least) & (own.node == met.met), "left_semi")
-    texts = c.checkpointed(own.groupBy(F.col("node").alias("id")).agg(F.max("text").alias("text")))
-    labels = components(c.checkpointed(_distances(pairs, texts, similarity)))
-    # The other sketches' leads, where they are of another class still; then all that share a bucket across classes.
-    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
-    apart = star.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    own = digested(docs).withColumn("_row", _row("id", "node")).join(met.select(_row("least", "met").alias("_row")), "_row", "left_semi")
+    texts = c.checkpointed(own.dropDuplicates(["_row"]).select(F.col("node").alias("id"), "text"))
+    links = c.checkpointed(_distances(pairs, texts, similarity))
+    # The other sketches' leads, unless both texts are linked to one already; then all that share a bucket across classes.
+    known = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("x")).groupBy("x.id").agg(F.min("x.to").alias("to"))
+    of = lambda x: known.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}"))
+    apart = star.filter(f"NOT {FIRST}").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b")
     apart = c.checkpointed(apart.join(pairs, ["a", "b"], "left_anti"))
-    labels = _joined(labels, c.checkpointed(_distances(apart, texts, similarity)))
+    labels = components(links.unionAll(_distances(apart, texts, similarity)))
     rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")
     labels = _joined(labels, c.checkpointed(_distances(c.checkpointed(rest), texts, similarity)))
     classes = copies.select("node", "least").join(labels, copies.node == labels.id, "left").select("node", "least", F.coalesce("label", "node").alias("label"))
@@ -389,10 +398,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """Of each class of near copies the row with the least id (null is the last of ids), known by id and words; of rows alike in both, one. Columns of any name pass through."""
     columns = docs.columns
     rows = _classes(docs, key, text, similarity)
-    row = lambda k: F.concat(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")), F.lit(":"), F.hex("node"))
-    least = rows.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(row("id").alias("_row")).distinct()
+    least = rows.filter(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(_row("id", "node").alias("_row")).distinct()
     docs = digested(docs.toDF(*(f"_c{i}" for i in range(len(columns)))), f"_c{columns.index(text)}")
-    docs = docs.withColumn("_row", row(f"_c{columns.index(key)}")).drop("node")
+    docs = docs.withColumn("_row", _row(f"_c{columns.index(key)}", "node")).drop("node")
     return docs.join(least, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").toDF(*columns)
 
 

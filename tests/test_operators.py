@@ -30,7 +30,7 @@ def test_band(spark):
 def test_quality_order(spark):
     rows = [(None, 100, 9.0, 50.0, 100.0, 0.0, 0.0), (63, 100, 9.0, 50.0, 100.0, 0.0, 0.0), (64, 64, 2.9, 50.0, 100.0, 0.0, 0.0), (64, 64, 3.0, 11.9, 100.0, 0.0, 0.0), (64, 64, 3.0, 12.0, 17.9, 0.0, 0.0), (64, 64, 3.0, 12.0, 245.1, 0.0, 0.0), (64, 64, 3.0, 12.0, 18.0, 0.8, 0.8)]
     df = spark.createDataFrame(rows, "height int, width int, std double, sharpness double, mean double, dark double, bright double")
-    assert [r.x for r in df.select(gate.quality_reason().alias("x")).collect()] == ["unreadable", "too_small", "no_contrast", "blurred", "too_dark", "too_bright", None]
+    assert [r.x for r in df.select(gate.quality_reason().alias("x")).collect()] == ["unreadable_or_not_rgb", "resolution_too_low", "blank_or_solid_colour", "too_blurry", "too_dark", "overexposed", None]
 
 
 def test_deep_score_is_renormalised(spark):

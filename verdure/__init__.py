@@ -23,3 +23,16 @@ def ship(spark) -> None:
     Path(path).write_bytes(data.getvalue())
     context.addPyFile(path)
     context._verdure_shipped = True
+
+
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of its own only where that is unset and all run on this machine."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()

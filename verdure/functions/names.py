@@ -30,3 +30,9 @@ def percent_cell(cell: Column) -> Column:
     """A number of at most 1 that has a point is shown in per cent."""
     number = F.expr("try_cast(cell AS double)") if isinstance(cell, str) else cell.try_cast("double")
     return F.when(F.contains(cell, F.lit(".")) & (F.abs(number) <= 1), F.concat(F.format_string("%.2f", number * 100), F.lit("%"))).otherwise(cell)
+
+
+def percent(x, digits: int = 1) -> Column:
+    """A share in per cent; null and NaN as a dash."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.when(c.isNull() | F.isnan(c), "\u2013").otherwise(F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%")))

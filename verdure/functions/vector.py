@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +37,46 @@ def band(value, low: float, high: float, soft: float) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     away = F.greatest(F.lit(low) - v, v - F.lit(high), F.lit(0.0))
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - away / F.lit(soft)))
+
+
+def weighted(weights: Column, vectors: Column) -> Column:
+    """Sum of the vectors (an array of arrays of one length), each by its weight."""
+    size = F.size(F.get(vectors, F.lit(0)))
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda j: total(F.zip_with(weights, vectors, lambda w, v: w * F.get(v, j))))
+
+
+def token_pool(tokens: Column, scores: Column, tau: float = 0.5413) -> Column:
+    """Tokens by the softmax of softplus(tau) times the log odds of their scores."""
+    sharp = F.lit(math.log1p(math.exp(tau)))
+    odds = F.transform(scores, lambda s: sharp * F.ln(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), s)) / (1 - F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), s)))))
+    return weighted(softmax(odds), tokens)
+
+
+def gated_fusion(vectors: Column, logits: Column) -> Column:
+    """Vectors of one width by the softmax of their logits."""
+    return weighted(softmax(logits), vectors)
+
+
+def grad_cam(activations: Column, gradients: Column) -> Column:
+    """relu of the channels' sum at each position, a channel weighing its mean gradient. Both: an array of positions, each an array of channels."""
+    n = F.size(gradients)
+    alpha = F.transform(F.sequence(F.lit(0), F.size(F.get(gradients, F.lit(0))) - 1), lambda j: total(F.transform(gradients, lambda g: F.get(g, j))) / n)
+    return F.transform(activations, lambda a: F.greatest(F.lit(0.0), total(F.zip_with(alpha, a, lambda w, x: w * x))))
+
+
+def upsampled(cam: Column, side: int, to: int) -> Column:
+    """A side x side map (by rows) by its largest value, made to x to by bilinear weights between pixel centres, cut to 0 .. 1."""
+    top = F.array_max(cam)
+    scaled = F.transform(cam, lambda x: F.when(top > 0, x / top).otherwise(x))
+
+    def axis(i: Column) -> tuple[Column, Column, Column]:
+        at = F.greatest(F.lit(0.0), F.least(F.lit(float(side - 1)), (i + 0.5) * side / to - 0.5))
+        low = F.floor(at)
+        return low, F.least(low + 1, F.lit(side - 1)), at - low
+
+    def value(k: Column) -> Column:
+        (y0, y1, fy), (x0, x1, fx) = axis(F.floor(k / to)), axis(k % to)
+        of = lambda y, x: F.get(scaled, (y * side + x).cast("int"))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (of(y0, x0) * (1 - fx) + of(y0, x1) * fx) * (1 - fy) + (of(y1, x0) * (1 - fx) + of(y1, x1) * fx) * fy))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to * to - 1)), value)

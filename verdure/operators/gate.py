@@ -19,12 +19,18 @@ DEEP = {"ood_gate_prob": 0.40, "maha_score": 0.40, "energy_score": 0.10, "msp":
 ACCEPT, DEEP_WEIGHT, WEAK_EDGE = 0.62, 0.60, 0.85
 
 
+#: What is wrong with a photo, in the order of the tests.
+QUALITY = ("unreadable_or_not_rgb", "resolution_too_low", "blank_or_solid_colour", "too_blurry", "too_dark", "overexposed")
+
+
 def quality_reason() -> Column:
     """Null for a usable photo. Columns: height, width, std, sharpness, mean, dark, bright."""
-    return (
-        F.when(F.col("height").isNull() | F.col("width").isNull(), "unreadable").when(F.least("height", "width") < 64, "too_small").when(F.col("std") < 3, "no_contrast")
-        .when(F.col("sharpness") < 12, "blurred").when((F.col("mean") < 18) | (F.col("dark") > 0.8), "too_dark").when((F.col("mean") > 245) | (F.col("bright") > 0.8), "too_bright")
+    col = F.col
+    tests = (
+        col("height").isNull() | col("width").isNull(), F.least("height", "width") < 64, col("std") < 3, col("sharpness") < 12,
+        (col("mean") < 18) | (col("dark") > 0.8), (col("mean") > 245) | (col("bright") > 0.8),
     )
+    return F.coalesce(*(F.when(test, name) for test, name in zip(tests, QUALITY, strict=True)))
 
 
 def cue_scores() -> dict[str, Column]:
@@ -40,6 +46,24 @@ def heuristic_score() -> Column:
     return total
 
 
+def segmentation_confidence(separation, solidity, agreement, coverage) -> Column:
+    """Fixed weights of the four sub-scores, each cut to 0 .. 1."""
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x)))
+    return F.lit(0.30) * cut(separation) + F.lit(0.25) * cut(solidity) + F.lit(0.25) * cut(agreement) + F.lit(0.20) * cut(coverage)
+
+
+def with_overrides(defaults: dict[str, float], overrides: Column) -> Column:
+    """A map of the defaults, with the values that `overrides` (a map, or null) has for their names or for others."""
+    base = F.map_from_arrays(F.array(*map(F.lit, defaults)), F.array(*(F.lit(float(x)) for x in defaults.values())))
+    given = F.coalesce(overrides, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(given, k)), given)
+
+
+def stops_early(veto: Column) -> Column:
+    """After the first pass a photo is turned away for any reason but a low confidence, which the models may still mend."""
+    return veto.isNotNull() & (veto != "low_confidence")
+
+
 def weakest(n: int = 3) -> Column:
     """The n lowest cues, equal ones in the order of WEIGHTS."""
     pairs = F.array(*(F.struct(x.alias("s"), F.lit(i).alias("i"), F.lit(k).alias("cue")) for i, (k, x) in enumerate(cue_scores().items())))

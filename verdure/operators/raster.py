@@ -30,16 +30,96 @@ def hsv() -> dict[str, Column]:
     return {"h": hue.cast("int"), "s": F.floor(F.when(v == 0, 0.0).otherwise(span * 255 / v) + 0.5).cast("int"), "v": v.cast("int")}
 
 
+def lab() -> dict[str, Column]:
+    """The 8-bit Lab plane, a and b less 128: sRGB to XYZ at D65 in double precision, then rounded. The matrix and the curve of that colour space."""
+    linear = lambda k: F.when(F.col(k) <= 0.04045 * 255, F.col(k) / 255 / 12.92).otherwise(F.pow((F.col(k) / 255 + 0.055) / 1.055, F.lit(2.4)))
+    r, g, b = linear("r"), linear("g"), linear("b")
+    xyz = (
+        (r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.950456, r * 0.212671 + g * 0.715160 + b * 0.072169,
+        (r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.088754,
+    )
+    curve = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(t * 7.787 + 16 / 116)
+    fx, fy, fz = map(curve, xyz)
+    whole = lambda x: F.floor(x + 0.5).cast("int")
+    return {"lab_l": whole((fy * 116 - 16) * 2.55), "lab_a": whole((fx - fy) * 500), "lab_b": whole((fy - fz) * 200)}
+
+
 def with_masks(pixels: DataFrame) -> DataFrame:
-    """Adds h, s, v, exgr and the masks green, soil, stone, lesion (the terms that need no Lab plane)."""
-    out = pixels.withColumns(hsv() | {"exgr": chromaticity()["exgr"]})
+    """Adds h, s, v, exgr, lab_l, lab_a, lab_b and the masks green, soil, stone, lesion, skin. The bounds of all of them."""
+    out = pixels.withColumns(hsv() | lab() | {"exgr": chromaticity()["exgr"]})
     h, s, v = F.col("h"), F.col("s"), F.col("v")
-    green = h.between(22, 95) & (s >= 28) & (v >= 28) & (F.col("exgr") > -0.03)
+    green = h.between(22, 95) & (s >= 28) & (v >= 28) & ((F.col("exgr") > -0.03) | (F.col("lab_a") < -7))
     soil = ((h < 25) | (h >= 165)) & (s >= 25) & (s < 170) & (v >= 30) & (v < 200) & (F.col("exgr") < -0.05)
     stone = (s < 32) & (v >= 45)
     yellow = (h >= 14) & (h < 35) & (s >= 55) & (v >= 70)
     brown = ((h < 22) | (h >= 165)) & (s >= 45) & v.between(25, 215)
-    return out.withColumns({"green": green, "soil": soil, "stone": stone, "lesion": yellow | brown})
+    olive = (v >= 15) & (v < 90) & (s >= 40) & (F.col("lab_b") > 2)
+    skin = ((h < 20) | (h > 170)) & (s > 40) & (s < 170) & (v > 80) & (F.col("lab_a") > 8) & (F.col("lab_b") > 8)
+    return out.withColumns({"green": green, "soil": soil, "stone": stone, "lesion": yellow | brown | olive, "skin": skin})
+
+
+def abnormal(leaf: str) -> Column:
+    """Colours of ill tissue on the leaf, before any opening. Of with_masks(). Its weights and bounds."""
+    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    h, s, v = F.col("h"), F.col("s"), F.col("v")
+    away = F.when(h < 35, 35 - h).when(h > 85, h - 85).otherwise(0)
+    score = F.lit(0.45) * cut(away / 20) * (s > 45).cast("int") + F.lit(0.30) * cut(F.col("lab_a") / 25) + F.lit(0.25) * cut((F.col("lab_b") - 25) / 25)
+    return (F.greatest(score, cut((70 - v) / 40) * 0.8) >= 0.35) & F.col(leaf)
+
+
+def framed(pixels: DataFrame, mask: str, reach: int, name: str, any_: bool = True) -> DataFrame:
+    """pixels with `name`: the mask widened (or, without any_, narrowed) by a square of `reach` pixels each way: a window along rows, then one along columns. Beyond the edge nothing counts."""
+    best = F.max if any_ else F.min
+    across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-reach, reach)
+    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-reach, reach)
+    return pixels.withColumn(name, best(mask).over(across)).withColumn(name, best(name).over(down))
+
+
+def false_colours(spark) -> DataFrame:
+    """(level, red, green, blue) for 256 levels of heat, by a rule: three ramps of slope 4 around 3/4, 1/2 and 1/4."""
+    ramp = lambda centre: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(F.col("level") / 255 * 4 - 4 * centre))) * 255).cast("int")
+    return spark.range(256).select(F.col("id").cast("int").alias("level")).withColumns({"red": ramp(0.75), "green": ramp(0.5), "blue": ramp(0.25)})
+
+
+def overlaid(pixels: DataFrame, heat: str, alpha: Column) -> DataFrame:
+    """pixels with b, g, r blended with the false colour of their heat (0 .. 1), cut to whole numbers."""
+    level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(heat))) * 255).cast("int")
+    out = pixels.withColumn("_level", level).join(F.broadcast(false_colours(pixels.sparkSession).toDF("_level", "_r", "_g", "_b")), "_level")
+    return out.withColumns({k: F.floor((1 - alpha) * F.col(k) + alpha * F.col(f"_{k}")).cast("int") for k in "bgr"}).drop("_level", "_r", "_g", "_b")
+
+
+def focus_alpha(heat: str) -> Column:
+    """How much an overlay shows: nothing below .15 of heat, 0.7 at most."""
+    return F.lit(0.7) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(heat) - 0.15) / 0.85))
+
+
+def label_sums(labelled: DataFrame, index: DataFrame, value: str) -> DataFrame:
+    """A row for each (image_id, label) of index: the sum of the label's values, 0.0 for one without pixels."""
+    sums = labelled.groupBy("image_id", "label").agg(F.sum(F.col(value).cast("double")).alias("total"))
+    return index.join(sums, ["image_id", "label"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+
+
+def seeds(labelled: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, label, score) of the component that a segmentation starts from: large, central, off the edge; images whose components are all too small have no row. Its weights."""
+    y, x = F.col("y"), F.col("x")
+    edge = (y == 0) | (x == 0) | (y == height - 1) | (x == width - 1)
+    each = labelled.groupBy("image_id", "label").agg(F.count("*").alias("area"), F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.sum(edge.cast("int")).alias("edge"))
+    away = F.pow(F.col("cy") / height - 0.5, F.lit(2.0)) + F.pow(F.col("cx") / width - 0.5, F.lit(2.0))
+    share = F.col("area") / (height * width)
+    border = F.least(F.lit(1.0), F.col("edge") / F.greatest(F.sqrt("area") * 4, F.lit(1.0)))
+    score = F.when(share < 0.004, 0.0).otherwise(share * F.exp(-away / 0.18) * (1 - border * 0.5))
+    best = each.withColumn("score", score).groupBy("image_id").agg(F.max_by(F.struct("label", "score"), F.struct(F.round("score", 12), -F.col("label"))).alias("b"))
+    return best.select("image_id", "b.label", "b.score").filter("score > 0")
+
+
+def touching(labelled: DataFrame, others: DataFrame) -> DataFrame:
+    """The components (all their pixels) of which a pixel is in `others` (image_id, y, x)."""
+    return labelled.join(labelled.join(others.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").select("image_id", "label").distinct(), ["image_id", "label"], "left_semi")
+
+
+def keeps_marginal(border: Column, around: Column, distance: Column) -> Column:
+    """A candidate beside the leaf belongs to it if most of its border does, or enough of it and the colour around differs or can't be told."""
+    return (border >= 0.62) | ((border >= 0.40) & ((around < 20) | (distance >= 9)))
 
 
 def composition(masked: DataFrame) -> DataFrame:
@@ -99,18 +179,24 @@ def regions(labelled: DataFrame, heat: DataFrame, least: int = 25, top: int = 5)
 
 
 def focus(pixels: DataFrame, heat: str, leaf: str, lesion: str) -> DataFrame:
-    """A row an image: how much of the heat, of its peak and of its hottest tenth lies on leaf and on lesions."""
+    """A row an image: how much of all heat, of its peak and of its hottest tenth lies on the leaf and on lesions (with 4 pixels around, for peak and tenth).
+    Images with at most 20 lesion pixels have null for what speaks of lesions, and a share of 0."""
     cut = pixels.groupBy("image_id").agg(F.expr(f"percentile({heat}, 0.9)").alias("cut"))
     mass = lambda c: F.sum(F.when(c, F.col(heat)).otherwise(0.0))
-    peak = F.max_by(F.struct(leaf, lesion), F.struct(F.col(heat), -F.col("y"), -F.col("x")))
-    hot = F.col(heat) >= F.col("cut")
+    pixels = framed(pixels.withColumn("_ill", F.col(lesion) & F.col(leaf)), "_ill", 4, "_wide")
+    peak = F.max_by(F.struct(leaf, "_wide"), F.struct(F.col(heat), -F.col("y"), -F.col("x")))
+    hot, part = F.col(heat) >= F.col("cut"), lambda c: F.avg(F.when(hot, F.col(c).cast("double")))
     out = pixels.join(cut, "image_id").groupBy("image_id").agg(
-        (mass(F.col(leaf)) / (F.sum(heat) + 1e-8)).alias("on_leaf"), peak.alias("peak"), F.avg(F.when(hot, F.col(leaf).cast("double"))).alias("top_on_leaf"),
-        F.sum((F.col(lesion) & F.col(leaf)).cast("int")).alias("lesions"), F.sum(F.col(leaf).cast("int")).alias("leaves"), (mass(F.col(lesion) & F.col(leaf)) / (mass(F.col(leaf)) + 1e-8)).alias("on_lesion"),
+        (mass(F.col(leaf)) / (F.sum(heat) + 1e-8)).alias("on_leaf"), (mass(F.col("_ill")) / (F.sum(heat) + 1e-8)).alias("on_lesion"), peak.alias("peak"), part(leaf).alias("top_on_leaf"), part("_wide").alias("top_on_lesion"),
+        F.sum(F.col("_ill").cast("int")).alias("lesions"), F.sum(F.col(leaf).cast("int")).alias("leaves"),
     )
-    enough = F.col("lesions") > 20
-    area = F.when(enough, F.col("lesions") / F.col("leaves")).otherwise(0.0)
-    return out.select("image_id", "on_leaf", F.col(f"peak.{leaf}").alias("peak_on_leaf"), "top_on_leaf", F.when(enough, F.col("on_lesion")).alias("on_lesion"), F.when(enough, F.col(f"peak.{lesion}")).alias("peak_on_lesion"), area.alias("lesion_share"))
+    enough = lambda x: F.when(F.col("lesions") > 20, x)
+    share = F.coalesce(enough(F.col("lesions") / F.greatest("leaves", F.lit(1))), F.lit(0.0))
+    enrichment = (F.col("on_lesion") / F.greatest("on_leaf", F.lit(1e-6))) / F.greatest(share, F.lit(1e-6))
+    return out.select(
+        "image_id", "on_leaf", F.col(f"peak.{leaf}").alias("peak_on_leaf"), "top_on_leaf", enough(F.col("on_lesion")).alias("on_lesion"), enough(F.col("peak._wide")).alias("peak_on_lesion"), enough(F.col("top_on_lesion")).alias("top_on_lesion"),
+        share.alias("lesion_share"), enough(enrichment).alias("enrichment"),
+    )
 
 
 def overlap(pixels: DataFrame, a: str, b: str) -> DataFrame:

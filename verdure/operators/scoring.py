@@ -15,6 +15,24 @@ def advice_level(confidence) -> Column:
     return F.when(x >= ADVICE_HIGH, "high").when(x >= ADVICE_MODERATE, "moderate").otherwise("low")
 
 
+def healthy(name) -> Column:
+    return F.contains(F.lower(F.col(name) if isinstance(name, str) else name), F.lit("healthy"))
+
+
+def input_error(cls: str, confidence: str, known) -> Column:
+    """Null for a class that is known and a confidence in 0 .. 1, else what is wrong."""
+    x = F.col(confidence)
+    bad = x.isNull() | F.isnan(x) | (x < 0) | (x > 1)
+    return F.when(F.col(cls).isNull() | ~F.col(cls).isin(*known), "unknown class").when(bad, "confidence must be in [0, 1]")
+
+
+def model_or_default(asked: str, available: str, preferred: str) -> Column:
+    """The model asked for if it is in the array of available ones, else the preferred one if that is, else the first; null if there is none."""
+    first = F.get(F.col(available), F.lit(0))
+    default = F.when(F.array_contains(available, preferred), F.lit(preferred)).otherwise(first)
+    return F.when(F.array_contains(F.col(available), F.col(asked)), F.col(asked)).otherwise(default)
+
+
 def classify(outputs: DataFrame, logits: str = "logits", temperature: Column | float = 1.0, top: int = 5) -> DataFrame:
     """Adds class_id, confidence, confident and top (array of struct<p, i>)."""
     out = outputs.withColumn("_p", vector.softmax(logits, temperature)).withColumn("_r", vector.ranked("_p"))

@@ -5,12 +5,12 @@ parts seed small rasters that Spark and SQL derive by one integer formula."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared_folder
 from ..functions import names, vector
 from ..operators import gate, knowledge, ood, raster, scoring
 from ..streaming import events as ev
@@ -43,10 +43,10 @@ _KB = "k(class_id, class, disease_name, pathogen_type, control_category) AS (VAL
 _LEVEL = "CASE WHEN conf >= 0.85 THEN 'high' WHEN conf >= 0.6 THEN 'moderate' ELSE 'low' END"
 
 
-@query(f"WITH {_L.format(t='0.25')}, r AS (SELECT vec_id, i - 1 AS class_id, p[i] AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS n FROM p, range(1, 11) t(i)), {_KB} SELECT vec_id, class_id::INT AS class_id, class, disease_name, control_category, round(conf, 6) AS confidence, conf >= 0.6 AS confident, {_LEVEL} AS advice_level FROM r JOIN k USING (class_id) WHERE n = 1")
+@query(f"WITH {_L.format(t='0.25')}, r AS (SELECT vec_id, i - 1 AS class_id, p[i] AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS n FROM p, range(1, 11) t(i)), {_KB} SELECT vec_id, class_id::INT AS class_id, class, disease_name, control_category, round(conf, 6) AS confidence, conf >= 0.6 AS confident, contains(lower(class), 'healthy') AS healthy, {_LEVEL} AS advice_level FROM r JOIN k USING (class_id) WHERE n = 1")
 def class_advice(spark, d):
     out = knowledge.with_advice(scoring.classify(_logits(spark, d), temperature=0.25))
-    return out.select("vec_id", "class_id", "class", "disease_name", "control_category", F.round("confidence", 6).alias("confidence"), "confident", scoring.advice_level("confidence").alias("advice_level"))
+    return out.select("vec_id", "class_id", "class", "disease_name", "control_category", F.round("confidence", 6).alias("confidence"), "confident", scoring.healthy("class").alias("healthy"), scoring.advice_level("confidence").alias("advice_level"))
 
 
 @query(f"WITH {_L.format(t='1.5')}, r AS (SELECT vec_id, i - 1 AS class_id, p[i] AS conf, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS rank FROM p, range(1, 11) t(i)) SELECT vec_id, rank::INT AS rank, class_id::INT AS class_id, round(conf, 6) AS probability FROM r WHERE rank <= 5")
@@ -141,7 +141,7 @@ def gate_cascade(spark, d):
 _METRICS = "count(*) * 40 AS height, count(*) * 50 AS width, stddev_pop(l_extendedprice) / 2000 AS std, var_pop(l_quantity) AS sharpness, avg(l_extendedprice) / 150 AS mean, avg(CASE WHEN l_discount < 0.02 THEN 1.0 ELSE 0.0 END) AS dark, avg(CASE WHEN l_tax > 0.06 THEN 1.0 ELSE 0.0 END) AS bright"
 
 
-@query(f"WITH m AS (SELECT l_orderkey, {_METRICS} FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN least(height, width) < 64 THEN 'too_small' WHEN std < 3 THEN 'no_contrast' WHEN sharpness < 12 THEN 'blurred' WHEN mean < 18 OR dark > 0.8 THEN 'too_dark' WHEN mean > 245 OR bright > 0.8 THEN 'too_bright' END AS reason, round(std, 9) AS std, round(sharpness, 6) AS sharpness FROM m")
+@query(f"WITH m AS (SELECT l_orderkey, {_METRICS} FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN least(height, width) < 64 THEN 'resolution_too_low' WHEN std < 3 THEN 'blank_or_solid_colour' WHEN sharpness < 12 THEN 'too_blurry' WHEN mean < 18 OR dark > 0.8 THEN 'too_dark' WHEN mean > 245 OR bright > 0.8 THEN 'overexposed' END AS reason, round(std, 9) AS std, round(sharpness, 6) AS sharpness FROM m")
 def quality_check(spark, d):
     m = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(*(F.expr(x) for x in _METRICS.split(", ")))
     return m.select("l_orderkey", gate.quality_reason().alias("reason"), F.round("std", 9).alias("std"), F.round("sharpness", 6).alias("sharpness"))
@@ -167,7 +167,7 @@ def history_cap(spark, d):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM r WHERE r <= 25")
 def history_stream(spark, d):
-    root = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-history-')}/history-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     schema = _t(spark, d, "events").schema  # a stream takes a path with a pattern as a file or a folder, one without as a folder
     out = ev.history_stream(spark, d, "events.parque[t]", schema, "user_id", ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint")
     return out.select("user_id", "event_id", "event_type")
@@ -181,7 +181,7 @@ def event_progress(spark, d):
     return out.select("conv_id", "turn", F.when(F.col("turn") == F.col("n") - 1, "result").otherwise("progress").alias("type"), ev.progress(F.col("turn"), F.col("n")).alias("pct"), F.length("text").cast("long").alias("chars"))
 
 
-@query()
+@query("WITH m AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT to_json({'type': CASE WHEN turn = n - 1 THEN 'result' ELSE 'progress' END, 'conv_id': conv_id, 'turn': turn, 'pct': (40 + floor(45 * turn / n))::INT, 'detail': NULL})::VARCHAR AS value FROM conversations JOIN m USING (conv_id)")
 def event_ndjson(spark, d):
     out = event_progress(spark, d).withColumn("detail", F.lit(None).cast("string"))
     return ev.lines(out, ["type", "conv_id", "turn", "pct", "detail"])
@@ -241,7 +241,13 @@ def _pixels(spark, d) -> DataFrame:
     )
 
 
-_HSV = f"{_PX}, v AS (SELECT *, greatest(r, g, b)::DOUBLE AS v, greatest(r, g, b)::DOUBLE - least(r, g, b) AS span FROM px), hh AS (SELECT *, CASE WHEN span = 0 THEN 0::DOUBLE WHEN v = r THEN (g - b) * 30 / span WHEN v = g THEN 60 + (b - r) * 30 / span ELSE 120 + (r - g) * 30 / span END AS h0 FROM v), h AS (SELECT *, (floor(CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END + 0.5::DOUBLE) % 180)::INT AS h, floor(CASE WHEN v = 0 THEN 0 ELSE span * 255 / v END + 0.5::DOUBLE)::INT AS s, (2 * (g / (r + g + b + 1e-6::DOUBLE)) - r / (r + g + b + 1e-6::DOUBLE) - b / (r + g + b + 1e-6::DOUBLE)) - (1.4::DOUBLE * (r / (r + g + b + 1e-6::DOUBLE)) - g / (r + g + b + 1e-6::DOUBLE)) AS exgr FROM hh), m AS (SELECT *, h BETWEEN 22 AND 95 AND s >= 28 AND v >= 28 AND exgr > -0.03 AS green, (h < 25 OR h >= 165) AND s >= 25 AND s < 170 AND v >= 30 AND v < 200 AND exgr < -0.05 AS soil, s < 32 AND v >= 45 AS stone, (h >= 14 AND h < 35 AND s >= 55 AND v >= 70) OR ((h < 22 OR h >= 165) AND s >= 45 AND v BETWEEN 25 AND 215) AS lesion FROM h)"
+_LINEAR = "CASE WHEN {0} <= 0.04045::DOUBLE * 255 THEN {0} / 255 / 12.92::DOUBLE ELSE pow(({0} / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+_CURVE = "CASE WHEN {0} > 0.008856::DOUBLE THEN cbrt({0}) ELSE {0} * 7.787::DOUBLE + 16::DOUBLE / 116 END AS f{0}"
+_LAB = (
+    f"li AS (SELECT *, {_LINEAR.format('r')} AS rl, {_LINEAR.format('g')} AS gl, {_LINEAR.format('b')} AS bl FROM h), xy AS (SELECT *, (rl * 0.412453::DOUBLE + gl * 0.357580::DOUBLE + bl * 0.180423::DOUBLE) / 0.950456::DOUBLE AS xx, rl * 0.212671::DOUBLE + gl * 0.715160::DOUBLE + bl * 0.072169::DOUBLE AS yy, (rl * 0.019334::DOUBLE + gl * 0.119193::DOUBLE + bl * 0.950227::DOUBLE) / 1.088754::DOUBLE AS zz FROM li), "
+    f"cu AS (SELECT *, {_CURVE.format('xx')}, {_CURVE.format('yy')}, {_CURVE.format('zz')} FROM xy), lb AS (SELECT *, floor((fyy * 116 - 16) * 2.55::DOUBLE + 0.5::DOUBLE)::INT AS lab_l, floor((fxx - fyy) * 500 + 0.5::DOUBLE)::INT AS lab_a, floor((fyy - fzz) * 200 + 0.5::DOUBLE)::INT AS lab_b FROM cu)"
+)
+_HSV = f"{_PX}, v AS (SELECT *, greatest(r, g, b)::DOUBLE AS v, greatest(r, g, b)::DOUBLE - least(r, g, b) AS span FROM px), hh AS (SELECT *, CASE WHEN span = 0 THEN 0::DOUBLE WHEN v = r THEN (g - b) * 30 / span WHEN v = g THEN 60 + (b - r) * 30 / span ELSE 120 + (r - g) * 30 / span END AS h0 FROM v), h AS (SELECT *, (floor(CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END + 0.5::DOUBLE) % 180)::INT AS h, floor(CASE WHEN v = 0 THEN 0 ELSE span * 255 / v END + 0.5::DOUBLE)::INT AS s, (2 * (g / (r + g + b + 1e-6::DOUBLE)) - r / (r + g + b + 1e-6::DOUBLE) - b / (r + g + b + 1e-6::DOUBLE)) - (1.4::DOUBLE * (r / (r + g + b + 1e-6::DOUBLE)) - g / (r + g + b + 1e-6::DOUBLE)) AS exgr FROM hh), {_LAB}, m AS (SELECT *, h BETWEEN 22 AND 95 AND s >= 28 AND v >= 28 AND (exgr > -0.03 OR lab_a < -7) AS green, (h < 25 OR h >= 165) AND s >= 25 AND s < 170 AND v >= 30 AND v < 200 AND exgr < -0.05 AS soil, s < 32 AND v >= 45 AS stone, (h >= 14 AND h < 35 AND s >= 55 AND v >= 70) OR ((h < 22 OR h >= 165) AND s >= 45 AND v BETWEEN 25 AND 215) OR (v >= 15 AND v < 90 AND s >= 40 AND lab_b > 2) AS lesion, (h < 20 OR h > 170) AND s > 40 AND s < 170 AND v > 80 AND lab_a > 8 AND lab_b > 8 AS skin FROM lb)"
 
 
 @query(f"WITH {_HSV} SELECT image_id, sum(green::INT)::BIGINT AS green, sum(soil::INT)::BIGINT AS soil, sum(stone::INT)::BIGINT AS stone, sum(lesion::INT)::BIGINT AS lesion, sum((green OR lesion)::INT)::BIGINT AS leafcolor, sum((leaf AND NOT lesion)::INT)::BIGINT AS clean, round(stddev_pop(h), 6) AS hue_std FROM m GROUP BY image_id")
@@ -278,10 +284,13 @@ def region_stats(spark, d):
     return out.withColumn("mass", F.round("mass", 6)).withColumn("share", F.round("share", 6))
 
 
-@query(f"WITH {_HSV}, q AS (SELECT image_id, quantile_cont(heat, 0.9) AS cut FROM m GROUP BY 1), a AS (SELECT image_id, sum(CASE WHEN leaf THEN heat ELSE 0 END) / (sum(heat) + 1e-8) AS on_leaf, first(leaf ORDER BY heat DESC, y, x) AS peak_on_leaf, first(lesion ORDER BY heat DESC, y, x) AS pl, avg(leaf::INT) FILTER (WHERE heat >= cut) AS top_on_leaf, sum((lesion AND leaf)::INT) AS lesions, sum(leaf::INT) AS leaves, sum(CASE WHEN lesion AND leaf THEN heat ELSE 0 END) / (sum(CASE WHEN leaf THEN heat ELSE 0 END) + 1e-8) AS ol FROM m JOIN q USING (image_id) GROUP BY image_id) SELECT image_id, round(on_leaf, 6) AS on_leaf, peak_on_leaf, round(top_on_leaf, 6) AS top_on_leaf, CASE WHEN lesions > 20 THEN round(ol, 6) END AS on_lesion, CASE WHEN lesions > 20 THEN pl END AS peak_on_lesion, round(CASE WHEN lesions > 20 THEN lesions / leaves ELSE 0 END, 6) AS lesion_share FROM a")
+_WIDE = "d1 AS (SELECT *, leaf AND lesion AS ill, max((leaf AND lesion)::INT) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS w1 FROM m), d2 AS (SELECT *, max(w1) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) = 1 AS wide FROM d1)"
+
+
+@query(f"WITH {_HSV}, {_WIDE}, q AS (SELECT image_id, quantile_cont(heat, 0.9) AS cut FROM m GROUP BY 1), a AS (SELECT image_id, sum(CASE WHEN leaf THEN heat ELSE 0 END) / (sum(heat) + 1e-8) AS on_leaf, sum(CASE WHEN ill THEN heat ELSE 0 END) / (sum(heat) + 1e-8) AS ol, first(leaf ORDER BY heat DESC, y, x) AS peak_on_leaf, first(wide ORDER BY heat DESC, y, x) AS pl, avg(leaf::INT) FILTER (WHERE heat >= cut) AS top_on_leaf, avg(wide::INT) FILTER (WHERE heat >= cut) AS tl, sum(ill::INT) AS lesions, sum(leaf::INT) AS leaves FROM d2 JOIN q USING (image_id) GROUP BY image_id), s AS (SELECT *, CASE WHEN lesions > 20 THEN lesions / greatest(leaves, 1) ELSE 0 END AS share FROM a) SELECT image_id, round(on_leaf, 6) AS on_leaf, peak_on_leaf, round(top_on_leaf, 6) AS top_on_leaf, CASE WHEN lesions > 20 THEN round(ol, 6) END AS on_lesion, CASE WHEN lesions > 20 THEN pl END AS peak_on_lesion, CASE WHEN lesions > 20 THEN round(tl, 6) END AS top_on_lesion, round(share, 6) AS lesion_share, CASE WHEN lesions > 20 THEN round((ol / greatest(on_leaf, 1e-6)) / greatest(share, 1e-6), 6) END AS enrichment FROM s")
 def focus_metrics(spark, d):
     out = raster.focus(raster.with_masks(_pixels(spark, d)), "heat", "leaf", "lesion")
-    for k in ("on_leaf", "top_on_leaf", "on_lesion", "lesion_share"):
+    for k in ("on_leaf", "top_on_leaf", "on_lesion", "top_on_lesion", "lesion_share", "enrichment"):
         out = out.withColumn(k, F.round(k, 6))
     return out
 
@@ -342,6 +351,9 @@ def last_result(spark, d):
     return ev.last_results(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
+from . import imaging, service  # noqa: E402, F401  they register their queries here
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.gate import stops_early
 from ..operators.scoring import HISTORY, newest
 
 
@@ -13,6 +14,29 @@ def progress(done: Column, models: Column) -> Column:
     return (F.lit(40) + F.floor(F.lit(45) * done / models)).cast("int")
 
 
+#: Stages, their per cent and place; those of models lie between.
+STAGES = {"decode": (5, 1), "segment": (15, 2), "leafcheck": (30, 3), "advice": (92, 100_000)}
+
+
+def analysis(requests: DataFrame, key: str) -> DataFrame:
+    """(key, seq, type, stage, pct, detail): the events of each request in order; the last is a `result` or, for a request that failed, an `error`.
+
+    requests: key, models (array of names), veto (of the first pass, or null), rejected (by the second pass), error (text or null). A failed request has one row, the error;
+    a first-pass veto other than a low confidence ends after the segmentation, a rejection after the leaf check; else each model has a progress and a partial event."""
+    event = lambda type_, stage, pct, detail, place: F.struct(F.lit(place).cast("int").alias("place") if isinstance(place, int) else place.cast("int").alias("place"), F.lit(type_).alias("type"), stage.alias("stage"), pct.cast("int").alias("pct"), detail.cast("string").alias("detail"))
+    none = F.lit(None)
+    stage = lambda n: event("progress", F.lit(n), F.lit(STAGES[n][0]), none, STAGES[n][1])
+    ends = lambda how: event("result", F.lit(how), none, none, 100_001)
+    text = none.cast("string")
+    each = F.flatten(F.transform("models", lambda m, i: F.array(event("progress", F.lit("predict"), progress(i, F.size("models")), m, 10 + 2 * i), event("partial", text, none, m, 11 + 2 * i))))
+    start = F.array(stage("decode"), stage("segment"))
+    rows = (
+        F.when(F.col("error").isNotNull(), F.array(event("error", text, none, F.col("error"), 0))).when(stops_early(F.col("veto")), F.concat(start, F.array(ends("gate")))).when(F.size("models") == 0, F.concat(start, F.array(ends("setup"))))
+        .when(F.col("rejected"), F.concat(start, F.array(stage("leafcheck"), ends("gate")))).otherwise(F.concat(start, F.array(stage("leafcheck")), each, F.array(stage("advice"), ends("done"))))
+    )
+    return requests.select(key, F.posexplode(F.array_sort(rows)).alias("seq", "x")).select(key, "seq", "x.type", "x.stage", "x.pct", "x.detail")
+
+
 def lines(events: DataFrame, columns: list[str]) -> DataFrame:
     """NDJSON: a JSON object a row, nulls kept."""
     return events.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import shared_folder, ship
 from ..functions import vector
 
 
@@ -74,21 +74,38 @@ def ledoit_wolf(rows: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, floa
     return mu, np.linalg.inv((1 - shrink) * s + shrink * scale * np.eye(d)), shrink
 
 
-def p_values(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Adds p: the share of the group's values that are at least the row's.
+def running(counts: DataFrame, value: str, *sums: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """counts with, for each of `sums`, `<name>_below`: its sum over the group's rows of a smaller value (values differ within a group).
+
+    Values are dealt out in ranges; only the sums of ranges are added up together, the rest inside each range. So no task holds a whole group."""
+    shared_folder(counts.sparkSession)
+    dealt = counts.repartitionByRange(*groups, value).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*groups, "_range"]
+    ranges = dealt.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in sums))
+    ranges = ranges.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.coalesce(F.sum(x).over(before(groups, "_range")), F.lit(0)).alias(f"_{x}") for x in sums))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = dealt.join(F.broadcast(ranges), same)
+    return out.select(*counts.columns, *((F.col(f"_{x}") + F.coalesce(F.sum(x).over(before(keys, value)), F.lit(0))).alias(f"{x}_below") for x in sums))
 
-    Counts of equal values are made first, so the window sorts distinct values of a group, not rows."""
+
+def p_values(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Adds p: the share of the group's values that are at least the row's. Works on the counts of equal values."""
     counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    share = counts.select("_g", "_v", (1 - below / F.sum("_c").over(Window.partitionBy("_g"))).alias("p"))
+    counts = running(counts, "_v", "_c", groups=("_g",))
+    every = counts.groupBy(F.col("_g").alias("_h")).agg(F.sum("_c").alias("_n"))
+    share = counts.join(F.broadcast(every), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", (1 - F.col("_c_below") / F.col("_n")).alias("p"))
     return rows.join(share, rows[group].eqNullSafe(F.col("_g")) & rows[value].eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def separation(rows: DataFrame, score: str, inside: str) -> DataFrame:
-    """One row: auroc (mid ranks), fpr95, n_in, n_out. Works on the distinct scores' counts."""
+    """One row: auroc (mid ranks), fpr95, n_in, n_out. Works on the distinct scores' counts; the 5 % cut is found among the running counts of the inner scores."""
     counts = rows.filter(F.col(score).isNotNull() & F.col(inside).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(inside).cast("long")).alias("a"), F.sum((~F.col(inside)).cast("long")).alias("b"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("lower", F.coalesce(F.sum("b").over(w), F.lit(0)))
-    cut = rows.filter(F.col(inside)).agg(F.expr(f"percentile({score}, 0.05)").alias("cut"))
-    sums = ranked.crossJoin(F.broadcast(cut)).agg(F.sum(F.col("a") * (F.col("lower") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n_in"), F.sum("b").alias("n_out"), F.sum(F.when(F.col("s") >= F.col("cut"), F.col("b")).otherwise(0)).alias("above"))
+    ranked = running(counts, "s", "a", "b").checkpoint()
+    n_in = ranked.agg(F.sum("a").alias("n")).first().n or 0
+    at = 0.05 * max(0, n_in - 1)
+    held = lambda k: F.max(F.when((F.col("a") > 0) & (F.col("a_below") <= k) & (F.col("a_below") + F.col("a") > k), F.col("s")))
+    low, high = ranked.agg(held(int(at)).alias("x"), held(min(int(at) + 1, max(0, n_in - 1))).alias("y")).first()
+    cut = None if low is None else float(low) + (at - int(at)) * (float(high) - float(low))
+    sums = ranked.agg(F.sum(F.col("a") * (F.col("b_below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n_in"), F.sum("b").alias("n_out"), F.sum(F.when(F.col("s") >= F.lit(cut), F.col("b")).otherwise(0)).alias("above"))
     return sums.select((F.col("u") / (F.col("n_in") * F.col("n_out"))).alias("auroc"), (F.col("above") / F.col("n_out")).alias("fpr95"), "n_in", "n_out")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -148,18 +150,25 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
 
 
 def components(pixels: DataFrame, mask: str, eight: bool = False) -> DataFrame:
-    """(image_id, y, x, label) of the mask's pixels. An image is one group: its size is bounded by the work frame."""
+    """(image_id, y, x, label) of the mask's pixels. An image is gathered as one row of arrays, bounded by the work frame; a task labels many of them in a batch."""
     ship(pixels.sparkSession)
 
-    def label(key: tuple, t: pa.Table) -> pa.Table:
-        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
-        grid = np.zeros((y.max() + 1, x.max() + 1), bool)
-        grid[y, x] = t.column("m").to_numpy(zero_copy_only=False)
-        on = grid[y, x]
-        return pa.table({"image_id": t.column("image_id").filter(pa.array(on)), "y": y[on], "x": x[on], "label": label_array(grid, eight)[y[on], x[on]].astype(np.int32)})
-
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    return pixels.select("image_id", F.col("y").cast("int"), F.col("x").cast("int"), F.col(mask).alias("m")).groupBy("image_id").applyInArrow(label, f"image_id {kind}, y int, x int, label int")
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ys, xs = (batch.column(k).flatten().to_numpy() for k in (1, 2))
+            first, labels = np.append(0, np.cumsum(n)), []
+            for i in range(batch.num_rows):
+                y, x = ys[first[i] : first[i + 1]], xs[first[i] : first[i + 1]]
+                grid = np.zeros((y.max() + 1, batch.column(3)[i].as_py() + 1), bool)
+                grid[y, x] = True
+                labels.append(label_array(grid, eight)[y, x])
+            if labels:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n))), pa.array(ys), pa.array(xs), pa.array(np.concatenate(labels).astype(np.int32))], names=["image_id", "y", "x", "label"])
+
+    kind, on = pixels.schema["image_id"].dataType.simpleString(), F.col(mask)
+    rows = pixels.groupBy("image_id").agg(F.collect_list(F.when(on, F.col("y").cast("int"))).alias("y"), F.collect_list(F.when(on, F.col("x").cast("int"))).alias("x"), F.max(F.col("x").cast("int")).alias("w"))
+    return rows.filter(F.size("y") > 0).mapInArrow(label, f"image_id {kind}, y int, x int, label int")
 
 
 def fill_holes(pixels: DataFrame, mask: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.gate import stops_early
 from ..operators.scoring import HISTORY, newest
@@ -48,18 +49,31 @@ def last_results(events: DataFrame, key: str, order: str, *columns: str) -> Data
     return last.select(key, *(F.col(f"_last.{c}").alias(c) for c in (order, *columns)))
 
 
+#: Owners are dealt to so many buckets; a batch rewrites only those of its own owners.
+BUCKETS = 64
+
+
 def history_stream(spark: SparkSession, source: str, file: str, schema: str, owner: str, order: list[str], out: str, checkpoint: str, keep: int = HISTORY) -> DataFrame:
-    """Reads the files of `source` that match `file`, or of the folders that do, as a stream and keeps each owner's newest rows in the folder `out`, a version for each batch; returns the last version.
+    """Reads the files of `source` that match `file`, or of the folders that do, as a stream and keeps each owner's newest rows in the folder `out`: a version of a bucket of owners for each batch that has rows of it; returns the last version of each.
 
-    A batch builds on the version before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped."""
+    A batch builds on the versions before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped."""
     stream = spark.readStream.schema(schema).parquet(f"{source}/{file}")
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/version=-1")
+    columns = stream.columns
+    kept = StructType([*stream.schema.fields, StructField("version", IntegerType()), StructField("bucket", IntegerType())])
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/version=-1/bucket=0")
+
+    def last(before: int | None, buckets: DataFrame | None) -> DataFrame:
+        versions = spark.read.schema(kept).parquet(out)
+        versions = versions if before is None else versions.filter(F.col("version") < before)
+        newest_of = versions.groupBy("bucket").agg(F.max("version").alias("version"))
+        newest_of = newest_of if buckets is None else newest_of.join(buckets, "bucket", "left_semi")
+        return versions.join(F.broadcast(newest_of), ["bucket", "version"]).select(*columns, "bucket")
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = spark.read.schema(batch.schema).parquet(f"{out}/version={number - 1}").unionByName(batch)
-        newest(rows, owner, *(F.desc(c) for c in order), keep=keep).drop("r").write.mode("overwrite").parquet(f"{out}/version={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(BUCKETS)).cast("int"))
+        rows = last(number, rows.select("bucket").distinct()).unionByName(rows)
+        newest(rows, owner, *(F.desc(c) for c in order), keep=keep).drop("r").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/version={number}")
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    versions = spark.read.parquet(out)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    return last(None, None).select(*columns)

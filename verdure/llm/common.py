@@ -8,7 +8,6 @@ a hash with probability 2**-64.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .. import ship
+from .. import shared_folder, ship
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
 CHUNK = 2 << 20
@@ -32,11 +31,8 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
+    """The shared folder of spark.checkpoint.dir."""
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

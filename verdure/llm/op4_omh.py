@@ -9,8 +9,8 @@ of n words with a share s changed one by one, pairs have the similarity J = (1-s
 loses no pair: among them the accepted relation is complete.
 A candidate pair is near if its word edit distance, found in a band that widens up to what is allowed, is at most (1 - SIMILARITY) of the longer text.
 
-Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Texts of an equal sketch are first compared with the bucket's least digest alone, by the first family, then by
-the second where the two aren't linked to one text already, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
+Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Each text is first compared with the least digest of all its buckets of the first family, then with
+the least digest of each other bucket where the two aren't linked to one text already, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
 classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
 part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
 
@@ -220,7 +220,7 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], t: int) -> np.ndarray:
 
 def _distances(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The near ones of pairs: (a, b). Only their own texts are shuffled: up to BROADCAST ids are told to all tasks, more are joined."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     texts = texts.join(F.broadcast(ids) if 2 * pairs.count() <= BROADCAST else ids, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -367,17 +367,18 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     buckets = c.checkpointed(every.join(lead, "sketch", "left_semi"))  # those of two texts or more
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similarity) - 1e-9  # noqa: E731  else more words differ than may
     star = buckets.join(lead, "sketch").filter((F.col("rep") != F.col("lead.rep")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "sketch")
-    pairs = c.checkpointed(star.filter(FIRST).select("a", "b").distinct())
+    pairs = c.checkpointed(star.filter(FIRST).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     met = buckets.select(F.col("rep").alias("met")).distinct()
     met = copies.join(met, F.col("node") == F.col("met"), "left_semi").select(F.col("node").alias("met"), "least")
     # Of texts that share a sketch; copies stay away by their ids, so that a much copied text isn't one task's.
     own = digested(docs).withColumn("_row", _row("id", "node")).join(met.select(_row("least", "met").alias("_row")), "_row", "left_semi")
     texts = c.checkpointed(own.dropDuplicates(["_row"]).select(F.col("node").alias("id"), "text"))
     links = c.checkpointed(_distances(pairs, texts, similarity))
-    # The other sketches' leads, unless both texts are linked to one already; then all that share a bucket across classes.
-    known = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("x")).groupBy("x.id").agg(F.min("x.to").alias("to"))
+    # The other leads, unless both texts are linked to one already, by a step or two; then all that share a bucket across classes.
+    one = links.select(F.col("b").alias("id"), F.col("a").alias("to"))
+    known = c.checkpointed(one.join(one.select(F.col("id").alias("to"), F.col("to").alias("on")), "to", "left").select("id", F.coalesce("on", "to").alias("to")))
     of = lambda x: known.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}"))
-    apart = star.filter(f"NOT {FIRST}").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b")
+    apart = star.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b")
     apart = c.checkpointed(apart.join(pairs, ["a", "b"], "left_anti"))
     labels = components(links.unionAll(_distances(apart, texts, similarity)))
     rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")

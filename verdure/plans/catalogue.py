@@ -193,9 +193,9 @@ def ext_filter(spark, d):
     return _t(spark, d, "pages").select("page_id", names.extension(name).alias("extension"), names.accepted(name).alias("accepted"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, to_base64(encode(left(text, 12))) AS head64 FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, to_base64(encode(text)) AS content64 FROM documents")
 def file_hash(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.base64(F.encode(F.left("text", F.lit(12)), "UTF-8")).alias("head64"))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("content64"))
 
 
 @query(f"WITH {_KB}, e AS (SELECT vec_id, label FROM embeddings), s AS (SELECT vec_id, trim(replace(replace(replace(class, 'Tomato___', ''), '_', ' '), '  ', ' ')) AS s FROM e JOIN k ON label = class_id) SELECT vec_id, upper(left(x, 1)) || substr(x, 2) AS name FROM (SELECT vec_id, replace(s, 'Spider mites Two-spotted spider mite', 'Spider mites (two-spotted)') AS x FROM s)")
@@ -295,11 +295,11 @@ def focus_metrics(spark, d):
     return out
 
 
-@query("SELECT vec_id, round((list_reduce(list_transform(embedding, lambda v: v::DOUBLE), lambda a, b: greatest(a, b)) - list_reduce(list_transform(embedding, lambda v: v::DOUBLE), lambda a, b: least(a, b))), 6) AS spread, list_transform(embedding[1:4], lambda v: round((v::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE + 1e-8::DOUBLE), 6)) AS shown FROM embeddings")
+@query("SELECT vec_id, round((list_reduce(list_transform(embedding, lambda v: v::DOUBLE), lambda a, b: greatest(a, b)) - list_reduce(list_transform(embedding, lambda v: v::DOUBLE), lambda a, b: least(a, b))), 6) AS spread, list_transform(embedding, lambda v: round((v::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE + 1e-8::DOUBLE), 6)) AS shown FROM embeddings")
 def lesion_gate_display(spark, d):
     v = F.col("v")
     rows = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    shown = F.transform(F.slice(v, 1, 4), lambda x: F.round((x - F.array_min(v)) / (F.array_max(v) - F.array_min(v) + 1e-8), 6))
+    shown = F.transform(v, lambda x: F.round((x - F.array_min(v)) / (F.array_max(v) - F.array_min(v) + 1e-8), 6))
     return rows.select("vec_id", F.round(F.array_max(v) - F.array_min(v), 6).alias("spread"), shown.alias("shown"))
 
 

@@ -89,17 +89,56 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def parts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, ahead: int = 0, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(first row, offsets, stop) of ranges of rows of at most `limit` bytes.  A longer row comes in several ranges that start beside a word;
+    each also holds the `ahead` words behind its stop, and owns the words that start before it."""
+    for lo, hi in chunks(offsets, limit):
+        at, end = int(offsets[lo]), int(offsets[hi])
+        if end - at <= limit:
+            yield lo, offsets[lo : hi + 1], end
+            continue
+        while at < end:
+            stop = _next(data, min(at + limit, end), end, space, True)
+            reach = stop
+            for _ in range(ahead):
+                reach = _next(data, _next(data, reach, end, space, False), end, space, True)
+            yield lo, np.array([at, reach]), stop
+            at = stop
+
+
+def _next(data: np.ndarray, at: int, end: int, space: np.ndarray, wanted: bool, step: int = 1 << 16) -> int:
+    """The first place from `at` on where space[byte] is `wanted`, else end."""
+    while at < end:
+        found = np.flatnonzero(space[data[at : min(at + step, end)]] == wanted)
+        if len(found):
+            return at + int(found[0])
+        at += step
+    return end
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, one range after the other, and where each range begins among them (with the end)."""
+    first = np.append(0, np.cumsum(size))
+    return np.arange(first[-1]) + np.repeat(start - first[:-1], size), first
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as text."""
+    at, first = spread(start, end - start)
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at]))]).cast(pa.string())
+
+
 class Words:
     """The words of some rows: start, end (bytes in `buf`), row of each, and `first`: where each row's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         base = offsets[0]
         self.buf = buf = data[base : offsets[-1]]
         if lower:
             self.buf = buf = _LOWER[buf]
         self.offsets = offsets = offsets - base
         n = len(offsets) - 1
-        solid = ~_SPACE[buf]
+        self.solid = solid = ~space[buf]
         full = offsets[:-1] < offsets[1:]
         before, after = np.ones(len(buf), bool), np.ones(len(buf), bool)
         before[1:], after[:-1] = ~solid[:-1], ~solid[1:]

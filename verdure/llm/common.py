@@ -90,7 +90,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 
 
 def parts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, ahead: int = 0, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(first row, offsets, stop) of ranges of rows of at most `limit` bytes.  A longer row comes in several ranges that start beside a word;
+    """(first row, offsets, stop) of ranges of rows of at most `limit` bytes.  A longer row comes in several ranges that end with a word;
     each also holds the `ahead` words behind its stop, and owns the words that start before it."""
     for lo, hi in chunks(offsets, limit):
         at, end = int(offsets[lo]), int(offsets[hi])
@@ -98,7 +98,7 @@ def parts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, ahead: int =
             yield lo, offsets[lo : hi + 1], end
             continue
         while at < end:
-            stop = _next(data, min(at + limit, end), end, space, True)
+            stop = _next(data, _next(data, min(at + limit, end) - 1, end, space, False), end, space, True)
             reach = stop
             for _ in range(ahead):
                 reach = _next(data, _next(data, reach, end, space, False), end, space, True)

@@ -49,8 +49,12 @@ def brute(rows, least, top=2000):
 def test_edges_and_ends_give_all_counts(texts, limit):
     data, offsets = c.utf8(pa.array(texts, pa.string()))
     f = Counter()
-    for group, head, tail, size, n in o.grams(data, offsets, np.arange(len(texts)), limit):
+    words = Counter()
+    for group, head, tail, size, n in o.grams(o.of_parts(data, offsets, np.arange(len(texts)), np.arange(len(texts), dtype=np.uint64), limit)):
         for g, h, t, m, x in zip(group, head.to_pylist(), tail.to_pylist(), size, n, strict=True):
+            if not m:
+                words[int(g)] += int(x)
+                continue
             w = h.split(" ")
             assert len(w) == m
             if t is not None:  # an edge: itself, and the parts that begin with it
@@ -62,6 +66,30 @@ def test_edges_and_ends_give_all_counts(texts, limit):
                     for i in range(m - k + 1):
                         f[int(g), tuple(w[i : i + k])] += int(x)
     assert f == Counter((i, k[1]) for i, t in enumerate(texts) for k, x in counted([("x", t)]).items() for _ in range(x))
+    assert words == Counter(i for i, t in enumerate(texts) for p in pieces(t) for _ in p)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAb  é.c"), max_size=80), max_size=4), st.sampled_from([1, 9, 1 << 20]), st.integers(1, 4))
+def test_cuts_at_rare_pairs_change_no_frequent_count(texts, limit, least):
+    data, offsets = c.utf8(pa.array(texts, pa.string()))
+    parts = lambda: o.of_parts(data, offsets, np.zeros(len(texts), int), np.zeros(1, np.uint64), limit)
+    pairs = [p.pairs[p.owned[:-1] & ~p.new[1:]] for p in parts()]
+    met, n = np.unique(o.buckets(np.concatenate([*pairs, np.zeros(0, np.uint64)])), return_counts=True)
+    assert n.sum() == sum(len(p) - 1 for t in texts for p in pieces(t))
+    frequent = np.zeros(1 << (o.BITS - 3), np.uint8)
+    np.bitwise_or.at(frequent, met[n >= least] >> 3, (1 << (met[n >= least] & 7)).astype(np.uint8))
+    f = Counter()
+    for _, head, tail, size, count in o.grams(parts(), frequent):
+        for h, t, m, x in zip(head.to_pylist(), tail.to_pylist(), size, count, strict=True):
+            w = h.split(" ")
+            if t is not None:
+                f[(*w, t)] += int(x)
+            for k in range(1, m + 1):
+                for i in range(1 if t is not None else m - k + 1):
+                    f[tuple(w[i : i + k])] += int(x)
+    want = {k[1]: x for k, x in counted([("x", t) for t in texts]).items() if x >= least}
+    assert {k: x for k, x in f.items() if x >= least} == want
 
 
 def test_paths(spark):

@@ -89,21 +89,26 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-def parts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, ahead: int = 0, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(first row, offsets, stop) of ranges of rows of at most `limit` bytes.  A longer row comes in several ranges that end with a word;
-    each also holds the `ahead` words behind its stop, and owns the words that start before it."""
+def parts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray, ahead: int = 0, limit: int = CHUNK, behind: bool = False) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    """(first row, offsets, since, stop) of ranges of rows of at most `limit` bytes.  A longer row comes in several ranges that end with a word;
+    each also holds the `ahead` words behind its stop and, on demand, the one before it, and owns the words that start in since .. stop-1."""
     for lo, hi in chunks(offsets, limit):
         at, end = int(offsets[lo]), int(offsets[hi])
         if end - at <= limit:
-            yield lo, offsets[lo : hi + 1], end
+            yield lo, offsets[lo : hi + 1], at, end
             continue
+        first = at
         while at < end:
             stop = _next(data, _next(data, min(at + limit, end) - 1, end, space, False), end, space, True)
             reach = stop
             for _ in range(ahead):
                 reach = _next(data, _next(data, reach, end, space, False), end, space, True)
-            yield lo, np.array([at, reach]), stop
-            at = stop
+            yield lo, np.array([first, reach]), at, stop
+            at = first = stop
+            while behind and first > offsets[lo] and not space[data[first - 1]]:
+                step = max(int(offsets[lo]), first - (1 << 16))
+                gap = np.flatnonzero(space[data[step:first]])
+                first = step + int(gap[-1]) + 1 if len(gap) else step
 
 
 def _next(data: np.ndarray, at: int, end: int, space: np.ndarray, wanted: bool, step: int = 1 << 16) -> int:

@@ -3,7 +3,9 @@
 Texts are split into pieces and words.  A node is a run of three words, an edge a run of four: it leads from its first three words to
 its last three and weighs as often as it occurs.  A task counts the edges of its texts and the ends of its pieces (their last
 three words, or all of a shorter piece) batch by batch, so a frequent edge is one row a batch, and Spark adds them up by node: one shuffle of
-edges.  All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
+edges.  A pass before that adds up pairs in 2**27 buckets by their hash; a pair whose bucket stays below the least count is in no candidate, so
+the texts are cut there as at the end of a piece.  That changes no count of a candidate or of its parts, and spares the shuffle all edges that can't matter; pairs that
+share a bucket only cost time.  The buckets go out as a bitmap of 16 MB, however large the corpus.  All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
 piece ends with it; a pair as often as nodes begin with it plus pieces end with it; a word likewise.
 
 Edges that occur often enough (only they and their parts can be candidates, as no part is rarer than its whole) make the graph that is
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LEAST, COVER, SCALE, TOP, ROW, CHUNK = 30, 80, 2_000_000, 2000, 256, 8 << 20
+BITS, SLICE = 27, 15
 
 _ENDS, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -44,51 +47,110 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(group, head, tail, words in head, count) of a part of the texts: edges, and ends of pieces (without a tail).  group: a small number for each text."""
-    for lo, offs, stop in c.parts(data, offsets, _SPACE, 3, limit):
-        words = c.Words(data, offs, lower=True, space=_SPACE)
-        n = len(words.start)
-        if not n:
-            continue
+class Part:
+    """The words of a part of some texts: where pieces begin, what the part owns, and the hash of each pair of neighbours.  group: a small number for each text, salt: a hash for each group."""
+
+    def __init__(self, data: np.ndarray, lo: int, offs: np.ndarray, since: int, stop: int, group: np.ndarray, salt: np.ndarray):
+        self.words = words = c.Words(data, offs, lower=True, space=_SPACE)
+        self.n = n = len(words.start)
         passed = np.append(0, np.cumsum(_ENDS[words.buf]))
-        new = np.ones(n, bool)  # begins a piece
-        new[1:] = (passed[words.start[1:]] != passed[words.start[:-1]]) | (words.row[1:] != words.row[:-1])
-        new[0] = offs[0] == offsets[lo] or passed[words.start[0]] > 0
+        self.new = np.ones(n, bool)
+        self.new[1:] = (passed[words.start[1:]] != passed[words.start[:-1]]) | (words.row[1:] != words.row[:-1])
+        self.owned = (words.start >= since - offs[0]) & (words.start < stop - offs[0])
+        self.group = group[lo + words.row]
+        hashes = words.hashes()
+        self.pairs = c.mix(hashes[:-1] * c._M3 + hashes[1:] + salt[self.group[:-1]]) if n > 1 else hashes[:0]
+
+
+def of_parts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, salt: np.ndarray, limit: int) -> Iterator[Part]:
+    for lo, offs, since, stop in c.parts(data, offsets, _SPACE, 3, limit, behind=True):
+        part = Part(data, lo, offs, since, stop, group, salt)
+        if part.n:
+            yield part
+
+
+def buckets(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(group, head, tail, words in head, count) of each part: edges; ends of pieces, without a tail; and without a head all words.  frequent: bitmap of buckets, pieces are cut elsewhere."""
+    for part in parts:
+        words, n, new, of = part.words, part.n, part.new, part.group
+        if frequent is not None and n > 1:
+            b = buckets(part.pairs)
+            new[1:] |= (frequent[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 0
         begin = np.append(np.flatnonzero(new), n)
         left = np.minimum(begin[np.searchsorted(begin, np.arange(n), "right")] - np.arange(n), 4)  # words from here to the end of the piece
-        owned = words.start < stop - offs[0]
         size = words.end - words.start
         joined = np.append(0, np.cumsum(size + 1))
         text = np.full(joined[-1], 0x20, np.uint8)
         at, _ = c.spread(joined[:-1], size)
         text[at] = words.buf[words.solid]
         word = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(text[at])]).dictionary_encode()
-        of = group[lo + words.row]
         one = np.unique(of.astype(np.uint64) << np.uint64(32) | word.indices.to_numpy().astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
-        two = np.unique(one[:-1] << np.uint64(32) | one[1:], return_inverse=True)[1].astype(np.uint64) if n > 1 else one[:0]
         for k in (4, 3, 2, 1):
-            here = np.flatnonzero(owned & (left == k) & (new if k < 3 else True))
+            here = np.flatnonzero(part.owned & (left == k) & (new if k < 3 else True))
             if not len(here):
                 continue
-            key = {4: lambda i: two[i] << np.uint64(32) | two[i + 2], 3: lambda i: two[i] << np.uint64(32) | one[i + 2], 2: lambda i: two[i], 1: lambda i: one[i]}[k](here)
+            key = one[here]
+            for j in range(1, k):  # exact: a number for each different run so far, then the next word
+                key = np.unique(key, return_inverse=True)[1].astype(np.uint64) << np.uint64(32) | one[here + j]
             first, count = _counted(key)
             i, m = here[first], min(k, 3)
             tail = c.strings(text, joined[i + 3], joined[i + 4] - 1) if k == 4 else pa.nulls(len(i), pa.string())
             yield of[i], c.strings(text, joined[i], joined[i + m] - 1), tail, np.full(len(i), m, np.int8), count
+        first, count = _counted(of[part.owned])
+        yield of[part.owned][first], pa.array([""] * len(first)), pa.nulls(len(first), pa.string()), np.zeros(len(first), np.int8), count
+
+
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text))
+
+
+def _parts(batch: pa.RecordBatch, limit: int) -> tuple[pa.Array, Iterator[Part]]:
+    langs = batch.column(0).dictionary_encode()
+    names, ends = c.utf8(langs.dictionary)
+    return langs.dictionary, of_parts(*c.utf8(batch.column(1)), langs.indices.to_numpy(), c.byte_hashes(names, ends[:-1], ends[1:]), limit)
+
+
+def frequent_pairs(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = CHUNK) -> np.ndarray:
+    """A bitmap of the buckets in which pairs occur `least` times or more together: 2**BITS bits, put together from slices that tasks pack."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, limit)[1]:
+                met, n = np.unique(buckets(part.pairs[(part.owned[:-1]) & ~part.new[1:]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n)], names=["bucket", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                bits = np.zeros(1 << SLICE, np.uint8)
+                bits[x.values.to_numpy()] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["slice", "bits"])
+
+    met = c.map_arrow(_texts(docs, text, lang), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    slices = met.groupBy(F.shiftright("bucket", SLICE).alias("slice")).agg(F.collect_list(F.col("bucket").bitwiseAND((1 << SLICE) - 1)).alias("at"))  # at most 2**SLICE
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in c.map_arrow(slices, pack, "slice int, bits binary").collect():
+        out[r.slice << (SLICE - 3) : (r.slice + 1) << (SLICE - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def edges(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = CHUNK) -> DataFrame:
-    """Columns lang, head, size, tail, w: edges (three words, the fourth) and, without a tail, ends of pieces; added up, dealt out by lang and head."""
+def edges(docs: DataFrame, text: str = "text", lang: str = "lang", frequent: np.ndarray | None = None, limit: int = CHUNK) -> DataFrame:
+    """Columns lang, head, size, tail, w: edges (three words, the fourth); ends of pieces, without a tail; and, with an empty head of size 0, all words.  Added up, dealt out by lang and head."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            for group, head, tail, size, n in grams(*c.utf8(batch.column(1)), langs.indices.to_numpy(), limit):
-                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(group)), head, pa.array(size), tail, pa.array(n)], names=["lang", "head", "size", "tail", "w"])
+            names, parts = _parts(batch, limit)
+            for group, head, tail, size, n in grams(parts, sent.value):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(group)), head, pa.array(size), tail, pa.array(n)], names=["lang", "head", "size", "tail", "w"])
 
-    of = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text))
-    met = c.map_arrow(of, count, "lang string, head string, size byte, tail string, w long")
+    met = c.map_arrow(_texts(docs, text, lang), count, "lang string, head string, size byte, tail string, w long")
     return met.repartition("lang", "head").groupBy("lang", "head", "size", "tail").agg(F.sum("w").alias("w"))
 
 
@@ -110,7 +172,7 @@ def counts(edge: DataFrame, least: int = LEAST) -> DataFrame:
     two = shorter(three, 2, sized(2))
     one = shorter(two, 1, sized(1))
     of = lambda x, k: x.select("lang", F.lit(k).alias("k"), "phrase", "f")
-    all_ = one.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit(0).alias("k"), F.lit("").alias("phrase"), "f")
+    all_ = of(sized(0), 0)
     return four.unionByName(of(three, 3)).unionByName(of(two, 2)).unionByName(of(one, 1)).filter(F.col("f") >= least).unionByName(all_)
 
 
@@ -148,7 +210,7 @@ def paths(count: DataFrame, row: int = ROW) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cover: int = COVER, top: int = TOP, limit: int = CHUNK) -> DataFrame:
     """Columns lang, rank, phrase, a, l, r, n, score: each lang's `top` phrases of 2 to 4 words with a count of `least`, that no longer one covers for `cover` per cent."""
-    count = c.checkpointed(counts(edges(docs, text, lang, limit), least))
+    count = c.checkpointed(counts(edges(docs, text, lang, frequent_pairs(docs, text, lang, least, limit), limit), least))
     path = c.checkpointed(paths(count))
     # every fact of a candidate is a row (slot, f): 0 its count, 2k-1 and 2k the parts of the cut after k words, 7 a longer candidate's count
     known = lambda slot, f: F.struct(F.lit(slot).alias("slot"), f.alias("f"), F.lit(None).cast("string").alias("part"))

@@ -85,7 +85,7 @@ def crc32(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def features(data: np.ndarray, offsets: np.ndarray, run: int = RUN, buckets: int = BUCKETS, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of each word, row of each feature, its bucket) of one part of the texts after the other."""
-    for lo, offs, stop in c.parts(data, offsets, _RAW_SPACE, run - 1, limit):
+    for lo, offs, _, stop in c.parts(data, offsets, _RAW_SPACE, run - 1, limit):
         words = c.Words(data, offs, lower=True, space=_SPACE)
         size = words.end - words.start
         owned = words.start < stop - offs[0]

@@ -1,4 +1,4 @@
-"""Pixel tables: (image_id, y, x, b, g, r). Colour predicates and sums are Catalyst's; connected components run an image at a time in Arrow batches."""
+"""Pixel tables: (image_id, y, x, b, g, r). Colour predicates and sums are Catalyst's; connected components run by tiles in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import shared_folder, ship
+from .closure import least_members
 
 EPS = 1e-6
 
@@ -131,58 +132,119 @@ def composition(masked: DataFrame) -> DataFrame:
     return out.withColumn("other", F.greatest(F.lit(0.0), 1 - F.col("green") - F.col("soil") - F.col("stone")))
 
 
-def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Least row-major index of each pixel's component, from 1; 0 is background."""
-    index = np.arange(1, mask.size + 1).reshape(mask.shape)
-    label = np.where(mask, index, 0)
+TILE = 128
+
+
+def label_stack(mask: np.ndarray, eight: bool = False) -> np.ndarray:
+    """Components of many planes at once (plane, y, x): for each pixel the least flat index of its component in the stack; -1 beside the mask.
+
+    A round takes the least label of each neighbourhood, hangs it under what the labels in it stood for, and follows labels to their own labels until they rest."""
+    n, h, w = mask.shape
+    far = mask.size
+    label = np.where(mask, np.arange(far).reshape(mask.shape), far)
     steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * eight
-    far = mask.size + 1
+    root = np.arange(far + 1)
+    padded = np.full((n, h + 2, w + 2), far)
     while True:
-        padded = np.pad(np.where(mask, label, far), 1, constant_values=far)
-        best = np.where(mask, label, far)
+        padded[:, 1:-1, 1:-1] = label
+        best = label.copy()
         for dy, dx in steps:
-            best = np.minimum(best, padded[1 + dy : 1 + dy + mask.shape[0], 1 + dx : 1 + dx + mask.shape[1]])
-        best = np.where(mask, best, 0)
-        follow = np.append(0, best.ravel())[best]  # a label's own label
-        if (follow == label).all():
-            return label
-        label = follow
+            np.minimum(best, padded[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w], out=best)
+        lower = mask & (best < label)
+        if not lower.any():
+            return np.where(mask, label, -1)
+        np.minimum.at(root, label[lower], best[lower])
+        while True:
+            after = root[root]
+            if (after == root).all():
+                break
+            root = after
+        label = np.where(mask, root[label], far)
+
+
+def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
+    """Least row-major index of each pixel's component, from 1; 0 is background."""
+    return label_stack(mask[None], eight)[0] + 1
 
 
-def components(pixels: DataFrame, mask: str, eight: bool = False) -> DataFrame:
-    """(image_id, y, x, label) of the mask's pixels. An image is gathered as one row of arrays, bounded by the work frame; a task labels many of them in a batch."""
+def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[str, ...] = (), frame: int | None = None, tile: int = TILE) -> DataFrame:
+    """(image_id, y, x, label, keep) of the mask's pixels; a label is the least row-major index of its component, from 1.
+
+    Pixels are gathered by tiles, so a row and a task are bounded whatever an image's size, and a task labels many tiles at once. Then the labels on both sides of
+    the tiles' borders are joined by place, the graph of labels is closed by rounds of stars, and each label of a tile is looked up once.
+    frame: the most rows and columns of an image, where the caller knows them: images within one tile need no second step; a pixel beyond is an error.
+    `width` of an image is taken from a column of that name, else it is the mask's and the other pixels' largest x + 1."""
     ship(pixels.sparkSession)
+    frame = frame if frame and frame <= TILE else None
+    tile = TILE if frame else tile
+    kept = [f"_k{i}" for i in range(len(keep))]
+    if "width" not in pixels.columns and not frame:
+        pixels = pixels.join(pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width")), "image_id")
+    if frame:
+        pixels = pixels.withColumn("x", F.when(F.greatest("y", "x") < frame, F.col("x")).otherwise(F.raise_error(F.lit("a pixel beyond the frame"))))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            ys, xs = (batch.column(k).flatten().to_numpy() for k in (1, 2))
-            first, labels = np.append(0, np.cumsum(n)), []
-            for i in range(batch.num_rows):
-                y, x = ys[first[i] : first[i + 1]], xs[first[i] : first[i + 1]]
-                grid = np.zeros((y.max() + 1, batch.column(3)[i].as_py() + 1), bool)
-                grid[y, x] = True
-                labels.append(label_array(grid, eight)[y, x])
-            if labels:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n))), pa.array(ys), pa.array(xs), pa.array(np.concatenate(labels).astype(np.int32))], names=["image_id", "y", "x", "label"])
-
-    kind, on = pixels.schema["image_id"].dataType.simpleString(), F.col(mask)
-    rows = pixels.groupBy("image_id").agg(F.collect_list(F.when(on, F.col("y").cast("int"))).alias("y"), F.collect_list(F.when(on, F.col("x").cast("int"))).alias("x"), F.max(F.col("x").cast("int")).alias("w"))
-    return rows.filter(F.size("y") > 0).mapInArrow(label, f"image_id {kind}, y int, x int, label int")
-
-
-def fill_holes(pixels: DataFrame, mask: str) -> DataFrame:
+            first = np.append(0, np.cumsum(batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)))
+            cells = batch.column("cells").flatten()
+            ys, xs = (cells.field(k).to_numpy().astype(np.int64) for k in ("y", "x"))
+            tops, lefts = (batch.column(k).to_numpy().astype(np.int64) * tile for k in ("ty", "tx"))
+            plane = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            y, x = ys - tops[plane], xs - lefts[plane]
+            code = np.zeros(len(ys), np.int64)
+            several = max(1, (4 << 20) // (tile * tile))
+            for i in range(0, batch.num_rows, several):
+                at = slice(first[i], first[min(i + several, batch.num_rows)])
+                if at.start == at.stop:
+                    continue
+                n, h, w = int(plane[at][-1]) - i + 1, int(y[at].max()) + 1, int(x[at].max()) + 1
+                grid = np.zeros((n, h, w), bool)
+                grid[plane[at] - i, y[at], x[at]] = True
+                least = label_stack(grid, eight)[plane[at] - i, y[at], x[at]] % (h * w)
+                code[at] = (least // w + tops[plane[at]] << 32) + least % w + lefts[plane[at]]
+            out = [batch.column("image_id").take(pa.array(plane)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)), batch.column("width").take(pa.array(plane)), pa.array(code)]
+            yield pa.RecordBatch.from_arrays([*out, *(cells.field(n) for n in kept)], names=["image_id", "y", "x", "width", "_code", *kept])
+
+    part = lambda c: F.floor(F.col(c) / tile).cast("int")
+    cell = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(k).alias(n) for k, n in zip(keep, kept, strict=True)))
+    if frame:  # the width is the image's largest x + 1, of all its pixels, by one cheap maximum
+        rows = pixels.groupBy("image_id").agg(F.collect_list(F.when(F.col(mask), cell)).alias("cells"), (F.max(F.col("x").cast("int")) + 1).alias("width")).filter(F.size("cells") > 0).select("image_id", F.lit(0).alias("ty"), F.lit(0).alias("tx"), "width", "cells")
+    else:
+        rows = pixels.filter(mask).groupBy("image_id", part("y").alias("ty"), part("x").alias("tx")).agg(F.max("width").cast("int").alias("width"), F.collect_list(cell).alias("cells"))
+    kinds = dict(pixels.dtypes)
+    local = rows.mapInArrow(label, ", ".join([f"image_id {kinds['image_id']}", "y int", "x int", "width int", "_code long", *(f"{n} {kinds[k]}" for k, n in zip(keep, kept, strict=True))]))
+    if not frame:
+        shared_folder(pixels.sparkSession)
+        local = local.checkpoint()  # read for both sides of the borders and for the result
+        reach = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * eight
+        here = local.select("image_id", "y", "x", F.col("_code").alias("_a"), F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in reach))).alias("d"))
+        here = here.select("image_id", "_a", part("y").alias("ty"), part("x").alias("tx"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+        here = here.filter((part("y") != F.col("ty")) | (part("x") != F.col("tx"))).select("image_id", "y", "x", "_a")
+        edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+        pairs = here.join(local.filter(edge("y") | edge("x")).select("image_id", "y", "x", F.col("_code").alias("_b")), ["image_id", "y", "x"]).select("image_id", "_a", "_b")
+        least = least_members(pairs, ["image_id"], "_a", "_b").select("image_id", F.col("_a").alias("_code"), F.col("_b").alias("_least"))
+        local = local.join(least, ["image_id", "_code"], "left").withColumn("_code", F.coalesce("_least", "_code"))
+    code = F.col("_code")
+    out = local.withColumn("label", (F.shiftright(code, 32) * F.col("width") + code.bitwiseAND(0xFFFFFFFF) + 1).cast("long"))
+    return out.select("image_id", "y", "x", F.col("label").cast("int") if frame else "label", *(F.col(n).alias(k) for k, n in zip(keep, kept, strict=True)))
+
+
+def fill_holes(pixels: DataFrame, mask: str, frame: int | None = None, tile: int = TILE) -> DataFrame:
     """(image_id, y, x): the mask and what it encloses: background components that don't reach the frame's edge."""
-    edge = pixels.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    outside = components(pixels.withColumn("_not", ~F.col(mask)), "_not")
-    border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("h")) | (F.col("x") == F.col("w"))
-    open_ones = outside.join(edge, "image_id").filter(border).select("image_id", "label").distinct()
-    return pixels.filter(mask).select("image_id", "y", "x").unionByName(outside.join(open_ones, ["image_id", "label"], "left_anti").select("image_id", "y", "x"))
-
-
-def regions(labelled: DataFrame, heat: DataFrame, least: int = 25, top: int = 5) -> DataFrame:
+    size = pixels.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
+    outside = components(pixels.withColumn("_not", ~F.col(mask)), "_not", frame=frame, tile=tile).join(size, "image_id")
+    border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("_h")) | (F.col("x") == F.col("_w"))
+    reaches = F.max(border).over(Window.partitionBy("image_id", "label")) if frame else None
+    if frame:
+        enclosed = outside.withColumn("_open", reaches).filter(~F.col("_open"))
+    else:  # a component may be as large as an image: its pixels stay where they are
+        enclosed = outside.join(outside.filter(border).select("image_id", "label").distinct(), ["image_id", "label"], "left_anti")
+    return pixels.filter(mask).select("image_id", "y", "x").unionByName(enclosed.select("image_id", "y", "x"))
+
+
+def regions(labelled: DataFrame, heat: str, least: int = 25, top: int = 5) -> DataFrame:
     """The regions with most heat of each image: box, area, mass and share of the mass of all regions of at least `least` pixels."""
-    each = labelled.join(heat, ["image_id", "y", "x"]).groupBy("image_id", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("area"), F.sum("heat").alias("mass"))
+    each = labelled.groupBy("image_id", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("area"), F.sum(heat).alias("mass"))
     each = each.filter(F.col("area") >= least).withColumn("share", F.col("mass") / (F.sum("mass").over(Window.partitionBy("image_id")) + 1e-8))
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.round("mass", 9)), "label"))).filter(F.col("rank") <= top)
 
@@ -222,9 +284,9 @@ def affected(pixels: DataFrame, leaf: str, lesion: str, healthy: Column) -> Data
     return out.select("image_id", F.when(~healthy & (F.col("n") > 0), F.col("ill") / F.col("n")).alias("affected"))
 
 
-def centres(labelled: DataFrame, weights: DataFrame, weight: str, share: float = 0.15) -> DataFrame:
+def centres(labelled: DataFrame, weight: str, share: float = 0.15) -> DataFrame:
     """Components of at least `share` of their image's largest: area, weight and weighted centre (NaN without any weight)."""
-    each = labelled.join(weights, ["image_id", "y", "x"], "left").withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    each = labelled.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
     each = each.groupBy("image_id", "label").agg(F.count("*").alias("area"), F.sum("_w").alias("mass"), F.sum(F.col("y") * F.col("_w")).alias("_y"), F.sum(F.col("x") * F.col("_w")).alias("_x"))
     each = each.withColumn("_most", F.max("area").over(Window.partitionBy("image_id"))).filter(F.col("area") >= share * F.col("_most"))
     at = lambda c: F.when(F.col("mass") != 0, F.col(c) / F.col("mass")).otherwise(float("nan"))

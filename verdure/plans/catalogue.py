@@ -269,18 +269,25 @@ _FOUR, _EIGHT = "abs(p.y - c.y) + abs(p.x - c.x) = 1", "abs(p.y - c.y) <= 1 AND
 
 @query(f"WITH RECURSIVE {_PX}, on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_FOUR)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL) SELECT image_id, label, count(*) AS area FROM l GROUP BY image_id, label")
 def component_labels(spark, d):
-    return raster.components(_pixels(spark, d), "leaf").groupBy("image_id", "label").agg(F.count("*").alias("area"))
+    return raster.components(_pixels(spark, d), "leaf", frame=SIDE).groupBy("image_id", "label").agg(F.count("*").alias("area"))
+
+
+@query(f"WITH RECURSIVE {_PX}, on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_EIGHT)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL) SELECT image_id, label::BIGINT AS label, count(*) AS area, sum(y * {SIDE} + x)::BIGINT AS places FROM l GROUP BY image_id, label")
+def tiled_labels(spark, d):
+    """Components across tiles of 5 x 5 pixels: labels of each tile, joined along the borders and closed."""
+    out = raster.components(_pixels(spark, d), "leaf", eight=True, tile=5)
+    return out.groupBy("image_id", "label").agg(F.count("*").alias("area"), F.sum((F.col("y") * SIDE + F.col("x")).cast("long")).alias("places"))
 
 
 @query(f"WITH RECURSIVE {_PX}, off_ AS (SELECT image_id, y, x FROM px WHERE NOT leaf), {_CC.format(name='cc', of='off_', near=_FOUR)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL), o AS (SELECT DISTINCT image_id, label FROM l WHERE y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1})), f AS (SELECT image_id FROM px WHERE leaf UNION ALL SELECT l.image_id FROM l ANTI JOIN o ON l.image_id = o.image_id AND l.label = o.label) SELECT image_id, count(*) AS filled FROM f GROUP BY 1")
 def fill_holes(spark, d):
-    return raster.fill_holes(_pixels(spark, d), "leaf").groupBy("image_id").agg(F.count("*").alias("filled"))
+    return raster.fill_holes(_pixels(spark, d), "leaf", frame=SIDE).groupBy("image_id").agg(F.count("*").alias("filled"))
 
 
 @query(f"WITH RECURSIVE {_PX}, on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_EIGHT)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL), g AS (SELECT l.image_id, label, min(l.x) AS x0, min(l.y) AS y0, max(l.x) AS x1, max(l.y) AS y1, count(*) AS area, sum(heat) AS mass FROM l JOIN px ON l.image_id = px.image_id AND l.y = px.y AND l.x = px.x GROUP BY ALL), s AS (SELECT *, mass / (sum(mass) OVER (PARTITION BY image_id) + 1e-8) AS share, row_number() OVER (PARTITION BY image_id ORDER BY round(mass, 9) DESC, label) AS rank FROM g WHERE area >= 25) SELECT image_id, label, x0, y0, x1, y1, area, round(mass, 6) AS mass, round(share, 6) AS share, rank::INT AS rank FROM s WHERE rank <= 5")
 def region_stats(spark, d):
     px = _pixels(spark, d)
-    out = raster.regions(raster.components(px, "leaf", eight=True), px.select("image_id", "y", "x", "heat"))
+    out = raster.regions(raster.components(px, "leaf", eight=True, keep=("heat",), frame=SIDE), "heat")
     return out.withColumn("mass", F.round("mass", 6)).withColumn("share", F.round("share", 6))
 
 
@@ -316,7 +323,7 @@ def affected_area(spark, d):
 @query(f"WITH RECURSIVE {_PX}, on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_FOUR)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL), g AS (SELECT image_id, label, count(*) AS area, sum(heat) AS mass, sum(y * heat) AS sy, sum(x * heat) AS sx FROM l JOIN px USING (image_id, y, x) GROUP BY image_id, label), k AS (SELECT *, max(area) OVER (PARTITION BY image_id) AS most FROM g) SELECT image_id, label, area, round(mass, 6) AS mass, CASE WHEN mass <> 0 THEN round(sy / mass, 6) ELSE 'nan'::DOUBLE END AS cy, CASE WHEN mass <> 0 THEN round(sx / mass, 6) ELSE 'nan'::DOUBLE END AS cx FROM k WHERE area >= 0.15::DOUBLE * most")
 def region_centres(spark, d):
     px = _pixels(spark, d)
-    out = raster.centres(raster.components(px, "leaf"), px.select("image_id", "y", "x", "heat"), "heat")
+    out = raster.centres(raster.components(px, "leaf", keep=("heat",), frame=SIDE), "heat")
     return out.withColumns({k: F.round(k, 6) for k in ("mass", "cy", "cx")})
 
 

@@ -55,7 +55,7 @@ def heat_overlay(spark, d):
 def label_sums(spark, d):
     """Sums for asked labels; those without pixels are 0.0."""
     px = _pixels(spark, d)
-    labelled = raster.components(px, "leaf", eight=True).join(px.select("image_id", "y", "x", "heat"), ["image_id", "y", "x"])
+    labelled = raster.components(px, "leaf", eight=True, keep=("heat",), frame=SIDE)
     index = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.explode(F.array(*map(F.lit, (1, 2, 3, 20)))).alias("label"))
     return raster.label_sums(labelled, index, "heat").withColumn("total", F.round("total", 6))
 
@@ -63,13 +63,13 @@ def label_sums(spark, d):
 @query(f"WITH RECURSIVE {_PX}, {_COMPONENTS}, g AS (SELECT image_id, label, count(*) AS area, avg(y) / {SIDE} - 0.5::DOUBLE AS dy, avg(x) / {SIDE} - 0.5::DOUBLE AS dx, sum((y IN (0, {SIDE - 1}) OR x IN (0, {SIDE - 1}))::INT) AS edge FROM l GROUP BY ALL), s AS (SELECT *, CASE WHEN area / {SIDE * SIDE} < 0.004 THEN 0 ELSE area / {SIDE * SIDE} * exp(-(dy * dy + dx * dx) / 0.18::DOUBLE) * (1 - least(1, edge / greatest(sqrt(area) * 4, 1)) * 0.5::DOUBLE) END AS score FROM g), b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 12) DESC, label) AS n FROM s) SELECT image_id, label, round(score, 9) AS score FROM b WHERE n = 1 AND score > 0")
 def seed_choice(spark, d):
     """The component that a segmentation starts from."""
-    return raster.seeds(raster.components(_pixels(spark, d), "leaf", eight=True), SIDE, SIDE).withColumn("score", F.round("score", 9))
+    return raster.seeds(raster.components(_pixels(spark, d), "leaf", eight=True, frame=SIDE), SIDE, SIDE).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH RECURSIVE {_PX}, {_COMPONENTS}, k AS (SELECT DISTINCT image_id, label FROM l JOIN px USING (image_id, y, x) WHERE heat > 0.97), c AS (SELECT image_id, count(*) AS pixels, count(DISTINCT label) AS components FROM l SEMI JOIN k USING (image_id, label) GROUP BY 1), h AS (SELECT image_id, avg((leaf AND heat > 0.5)::INT) AS border, sum((NOT leaf)::INT) AS around, abs(avg(r) - avg(g)) AS distance FROM px GROUP BY 1) SELECT image_id, pixels, components, border >= 0.62 OR (border >= 0.40 AND (around < 20 OR distance >= 9)) AS keeps FROM c JOIN h USING (image_id)")
 def kept_components(spark, d):
     """Components that overlap the hot core, and the rule that keeps a candidate beside the leaf."""
     px = _pixels(spark, d)
-    kept = raster.touching(raster.components(px, "leaf", eight=True), px.filter("heat > 0.97")).groupBy("image_id").agg(F.count("*").alias("pixels"), F.countDistinct("label").alias("components"))
+    kept = raster.touching(raster.components(px, "leaf", eight=True, frame=SIDE), px.filter("heat > 0.97")).groupBy("image_id").agg(F.count("*").alias("pixels"), F.countDistinct("label").alias("components"))
     rule = px.groupBy("image_id").agg(F.avg((F.col("leaf") & (F.col("heat") > 0.5)).cast("int")).alias("border"), F.sum((~F.col("leaf")).cast("int")).alias("around"), F.abs(F.avg("r") - F.avg("g")).alias("distance"))
     return kept.join(rule, "image_id").select("image_id", "pixels", "components", raster.keeps_marginal(F.col("border"), F.col("around"), F.col("distance")).alias("keeps"))

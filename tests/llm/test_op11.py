@@ -74,15 +74,15 @@ def test_edges_and_ends_give_all_counts(texts, limit):
 def test_cuts_at_rare_pairs_change_no_frequent_count(texts, limit, least):
     data, offsets = c.utf8(pa.array(texts, pa.string()))
     parts = lambda: o.of_parts(data, offsets, np.zeros(len(texts), int), np.zeros(1, np.uint64), limit)
-    pairs = [p.pairs[p.owned[:-1] & ~p.new[1:]] for p in parts()]
-    met, n = np.unique(o.buckets(np.concatenate([*pairs, np.zeros(0, np.uint64)])), return_counts=True)
-    assert n.sum() == sum(len(p) - 1 for t in texts for p in pieces(t))
+    met, n = np.unique(np.concatenate([*(p.met() for p in parts()), np.zeros(0, np.int32)]), return_counts=True)
+    assert n.sum() == sum(2 * len(p) - 1 for t in texts for p in pieces(t))
     frequent = np.zeros(1 << (o.BITS - 3), np.uint8)
     np.bitwise_or.at(frequent, met[n >= least] >> 3, (1 << (met[n >= least] & 7)).astype(np.uint8))
     f = Counter()
     for _, head, tail, size, count in o.grams(parts(), frequent):
         for h, t, m, x in zip(head.to_pylist(), tail.to_pylist(), size, count, strict=True):
             w = h.split(" ")
+            assert m != 1 or x > 0
             if t is not None:
                 f[(*w, t)] += int(x)
             for k in range(1, m + 1):

@@ -3,9 +3,9 @@
 Texts are split into pieces and words.  A node is a run of three words, an edge a run of four: it leads from its first three words to
 its last three and weighs as often as it occurs.  A task counts the edges of its texts and the ends of its pieces (their last
 three words, or all of a shorter piece) batch by batch, so a frequent edge is one row a batch, and Spark adds them up by node: one shuffle of
-edges.  A pass before that adds up pairs in 2**27 buckets by their hash; a pair whose bucket stays below the least count is in no candidate, so
-the texts are cut there as at the end of a piece.  That changes no count of a candidate or of its parts, and spares the shuffle all edges that can't matter; pairs that
-share a bucket only cost time.  The buckets go out as a bitmap of 16 MB, however large the corpus.  All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
+edges.  A pass before that adds up words and pairs in 2**27 buckets by their hash; a pair whose bucket stays below the least count is in no candidate, so
+the texts are cut there as at the end of a piece, and rare words that stand alone are left out.  That changes no count of a candidate or of its parts, and spares the shuffle all that can't matter; what
+shares a bucket only costs time.  The buckets go out as a bitmap of 16 MB, however large the corpus.  All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
 piece ends with it; a pair as often as nodes begin with it plus pieces end with it; a word likewise.
 
 Edges that occur often enough (only they and their parts can be candidates, as no part is rarer than its whole) make the graph that is
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-LEAST, COVER, SCALE, TOP, ROW, CHUNK = 30, 80, 2_000_000, 2000, 256, 8 << 20
+LEAST, COVER, SCALE, TOP, ROW, CHUNK = 30, 80, 2_000_000, 2000, 256, 2 << 20
 BITS, SLICE = 27, 15
 
 _ENDS, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -48,7 +48,7 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Part:
-    """The words of a part of some texts: where pieces begin, what the part owns, and the hash of each pair of neighbours.  group: a small number for each text, salt: a hash for each group."""
+    """The words of a part of some texts: where pieces begin, what the part owns, and the buckets of each word and of each pair of neighbours.  group: a small number for each text, salt: a hash for each group."""
 
     def __init__(self, data: np.ndarray, lo: int, offs: np.ndarray, since: int, stop: int, group: np.ndarray, salt: np.ndarray):
         self.words = words = c.Words(data, offs, lower=True, space=_SPACE)
@@ -59,7 +59,20 @@ class Part:
         self.owned = (words.start >= since - offs[0]) & (words.start < stop - offs[0])
         self.group = group[lo + words.row]
         hashes = words.hashes()
-        self.pairs = c.mix(hashes[:-1] * c._M3 + hashes[1:] + salt[self.group[:-1]]) if n > 1 else hashes[:0]
+        self.alone = buckets(c.mix(hashes + salt[self.group]))
+        self.pairs = buckets(c.mix(hashes[:-1] * c._M3 + hashes[1:] + salt[self.group[:-1]])) if n > 1 else self.alone[:0]
+
+    def met(self) -> np.ndarray:
+        """The buckets of the words it owns and of the pairs that begin with one."""
+        return np.concatenate([self.alone[self.owned], self.pairs[self.owned[:-1] & ~self.new[1:]]])
+
+
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def among(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
 
 
 def of_parts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, salt: np.ndarray, limit: int) -> Iterator[Part]:
@@ -69,17 +82,12 @@ def of_parts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, salt: np.
             yield part
 
 
-def buckets(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(64 - BITS)).astype(np.int32)
-
-
 def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(group, head, tail, words in head, count) of each part: edges; ends of pieces, without a tail; and without a head all words.  frequent: bitmap of buckets, pieces are cut elsewhere."""
+    """(group, head, tail, words in head, count) of each part: edges; ends of pieces, without a tail; and without a head all words.  frequent: bitmap of buckets: pieces are cut at other pairs, other words that stand alone are left out."""
     for part in parts:
         words, n, new, of = part.words, part.n, part.new, part.group
-        if frequent is not None and n > 1:
-            b = buckets(part.pairs)
-            new[1:] |= (frequent[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 0
+        if frequent is not None:
+            new[1:] |= ~among(frequent, part.pairs)
         begin = np.append(np.flatnonzero(new), n)
         left = np.minimum(begin[np.searchsorted(begin, np.arange(n), "right")] - np.arange(n), 4)  # words from here to the end of the piece
         size = words.end - words.start
@@ -91,6 +99,8 @@ def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator
         one = np.unique(of.astype(np.uint64) << np.uint64(32) | word.indices.to_numpy().astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
         for k in (4, 3, 2, 1):
             here = np.flatnonzero(part.owned & (left == k) & (new if k < 3 else True))
+            if k == 1 and frequent is not None:
+                here = here[among(frequent, part.alone[here])]
             if not len(here):
                 continue
             key = one[here]
@@ -114,13 +124,13 @@ def _parts(batch: pa.RecordBatch, limit: int) -> tuple[pa.Array, Iterator[Part]]
     return langs.dictionary, of_parts(*c.utf8(batch.column(1)), langs.indices.to_numpy(), c.byte_hashes(names, ends[:-1], ends[1:]), limit)
 
 
-def frequent_pairs(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = CHUNK) -> np.ndarray:
-    """A bitmap of the buckets in which pairs occur `least` times or more together: 2**BITS bits, put together from slices that tasks pack."""
+def frequent_buckets(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = CHUNK) -> np.ndarray:
+    """A bitmap of the buckets in which words and pairs occur `least` times or more together: 2**BITS bits, put together from slices that tasks pack."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, limit)[1]:
-                met, n = np.unique(buckets(part.pairs[(part.owned[:-1]) & ~part.new[1:]]), return_counts=True)
+                met, n = np.unique(part.met(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n)], names=["bucket", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +151,7 @@ def frequent_pairs(docs: DataFrame, text: str = "text", lang: str = "lang", leas
 
 
 def edges(docs: DataFrame, text: str = "text", lang: str = "lang", frequent: np.ndarray | None = None, limit: int = CHUNK) -> DataFrame:
-    """Columns lang, head, size, tail, w: edges (three words, the fourth); ends of pieces, without a tail; and, with an empty head of size 0, all words.  Added up, dealt out by lang and head."""
+    """Columns lang, head, size, tail, w: edges (three words, the fourth); ends of pieces, without a tail; and, with an empty head of size 0, all words.  Added up."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +161,7 @@ def edges(docs: DataFrame, text: str = "text", lang: str = "lang", frequent: np.
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(group)), head, pa.array(size), tail, pa.array(n)], names=["lang", "head", "size", "tail", "w"])
 
     met = c.map_arrow(_texts(docs, text, lang), count, "lang string, head string, size byte, tail string, w long")
-    return met.repartition("lang", "head").groupBy("lang", "head", "size", "tail").agg(F.sum("w").alias("w"))
+    return met.groupBy("lang", "head", "size", "tail").agg(F.sum("w").alias("w"))
 
 
 def counts(edge: DataFrame, least: int = LEAST) -> DataFrame:
@@ -210,7 +220,7 @@ def paths(count: DataFrame, row: int = ROW) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cover: int = COVER, top: int = TOP, limit: int = CHUNK) -> DataFrame:
     """Columns lang, rank, phrase, a, l, r, n, score: each lang's `top` phrases of 2 to 4 words with a count of `least`, that no longer one covers for `cover` per cent."""
-    count = c.checkpointed(counts(edges(docs, text, lang, frequent_pairs(docs, text, lang, least, limit), limit), least))
+    count = c.checkpointed(counts(c.checkpointed(edges(docs, text, lang, frequent_buckets(docs, text, lang, least, limit), limit)), least))
     path = c.checkpointed(paths(count))
     # every fact of a candidate is a row (slot, f): 0 its count, 2k-1 and 2k the parts of the cut after k words, 7 a longer candidate's count
     known = lambda slot, f: F.struct(F.lit(slot).alias("slot"), f.alias("f"), F.lit(None).cast("string").alias("part"))

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import shared_folder, ship
-from ..functions import vector
 
 
 def class_means(rows: DataFrame, label: str, vec: str) -> DataFrame:
@@ -25,27 +25,47 @@ def mean_table(rows: DataFrame, label: str, vec: str) -> list[tuple[int, list[fl
 
 
 def relative_mahalanobis(rows: DataFrame, vec: str, means: list[tuple[int, list[float]]], overall: list[float], precision: np.ndarray | None = None, precision0: np.ndarray | None = None) -> DataFrame:
-    """Adds nearest (label), distance and rmd = min over classes of d_c, less d_0. Precisions default to the identity.
+    """Adds nearest (label), distance and rmd = min over classes of d_c, less d_0; null for rows without a vector. Precisions default to the identity.
 
-    With a factor L of a precision the form is |L'x - L'm|**2, so x is multiplied once for all classes."""
-    fixed = lambda v: F.array(*map(F.lit, map(float, v)))
+    One Arrow pass multiplies a batch of vectors by the factors of both precisions: |L'x - L'm|**2 is the form of LL'."""
+    ship(rows.sparkSession)
+    centres, mu = np.array([m for _, m in means], float), np.array(overall, float)
+    d = centres.shape[1]
+    factor, factor0 = (np.eye(d) if p is None else np.linalg.cholesky(p) for p in (precision, precision0))
+    labels, centres, mu = np.array([k for k, _ in means], np.int32), centres @ factor, mu @ factor0
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("_vec")
+            there = np.array(column.is_valid())
+            x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            own = x @ factor
+            each = np.stack([((own - m) ** 2).sum(1) for m in centres], 1) if len(x) else np.zeros((0, len(labels)))
+            best, base = each.argmin(1) if len(x) else np.zeros(0, int), ((x @ factor0 - mu) ** 2).sum(1)
+            least = each[np.arange(len(x)), best]
+            full = lambda v, kind: pa.array(_spread(v, there), kind, mask=~there)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), full(labels[best], pa.int32()), full(least, pa.float64()), full(least - base, pa.float64())], names=[*names, "nearest", "distance", "rmd"])
 
-    def projected(p: np.ndarray | None):
-        x = F.col(vec).cast("array<double>")
-        return x if p is None else F.array(*(vector.total(F.zip_with(x, fixed(r), lambda a, b: a * b)) for r in np.linalg.cholesky(p).T))
+    names = [f"_c{i}" for i in range(len(rows.columns))]
+    named = rows.toDF(*names).withColumn("_vec", F.col(names[rows.columns.index(vec)]).cast("array<double>"))
+    schema = StructType([*named.drop("_vec").schema.fields, StructField("nearest", IntegerType()), StructField("distance", DoubleType()), StructField("rmd", DoubleType())])
+    return named.mapInArrow(measure, schema).toDF(*rows.columns, "nearest", "distance", "rmd")
 
-    def squared(m: list[float], p: np.ndarray | None, of: str = "_x"):
-        m = m if p is None else np.linalg.cholesky(p).T @ np.array(m)
-        return vector.total(F.zip_with(of, fixed(m), lambda x, y: (x - y) * (x - y)))
 
-    rows = rows.withColumns({"_x": projected(precision), "_x0": projected(precision0)})
-    each = F.array(*(F.struct(squared(m, precision).alias("d"), F.lit(k).alias("label")) for k, m in means))
-    out = rows.withColumn("_n", F.array_min(each))
-    return out.withColumn("nearest", F.col("_n.label")).withColumn("distance", F.col("_n.d")).withColumn("rmd", F.col("_n.d") - squared(overall, precision0, "_x0")).drop("_n", "_x", "_x0")
+def _spread(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(there), values.dtype)
+    out[there] = values
+    return out
 
 
 def ledoit_wolf(rows: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean, precision, shrinkage) from sums that Spark makes: d*d products and d*d squared products a task, whatever the number of rows."""
+    """(mean, precision, shrinkage)."""
+    mu, covariance, shrink = shrunk_covariance(rows, vec)
+    return mu, np.linalg.inv(covariance), shrink
+
+
+def shrunk_covariance(rows: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, covariance, shrinkage) from sums that Spark makes: d*d products and d*d squared products a task, whatever the number of rows."""
     ship(rows.sparkSession)
     x = rows.select(F.col(vec).cast("array<double>").alias("v"))
     n = x.count()
@@ -71,7 +91,7 @@ def ledoit_wolf(rows: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, floa
     spread = ((s - scale * np.eye(d)) ** 2).sum()
     noise = min((q.sum() / n - (s * s).sum()) / n, spread)
     shrink = float(noise / spread) if spread else 0.0
-    return mu, np.linalg.inv((1 - shrink) * s + shrink * scale * np.eye(d)), shrink
+    return mu, (1 - shrink) * s + shrink * scale * np.eye(d), shrink
 
 
 def running(counts: DataFrame, value: str, *sums: str, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -85,17 +105,58 @@ def running(counts: DataFrame, value: str, *sums: str, groups: tuple[str, ...] =
     ranges = dealt.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in sums))
     ranges = ranges.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.coalesce(F.sum(x).over(before(groups, "_range")), F.lit(0)).alias(f"_{x}") for x in sums))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    out = dealt.join(F.broadcast(ranges), same)
+    out = dealt.join(ranges, same)
     return out.select(*counts.columns, *((F.col(f"_{x}") + F.coalesce(F.sum(x).over(before(keys, value)), F.lit(0))).alias(f"{x}_below") for x in sums))
 
 
-def p_values(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Adds p: the share of the group's values that are at least the row's. Works on the counts of equal values."""
-    counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    counts = running(counts, "_v", "_c", groups=("_g",))
-    every = counts.groupBy(F.col("_g").alias("_h")).agg(F.sum("_c").alias("_n"))
-    share = counts.join(F.broadcast(every), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", (1 - F.col("_c_below") / F.col("_n")).alias("p"))
-    return rows.join(share, rows[group].eqNullSafe(F.col("_g")) & rows[value].eqNullSafe(F.col("_v"))).drop("_g", "_v")
+def placed(rows: DataFrame, group: str, value: str, reference: DataFrame, of_group: str, of_value: str) -> DataFrame:
+    """Adds `below`, how many values the row's group has in `reference` that are less than the row's, and `all`, how many it has. Null values are no values and have no place.
+
+    A merge of two sorted sides: equal values of the reference are counted first, then both sides are dealt out together in ranges of (group, value), rows of equal value
+    over several ranges if there are many. A range adds up what it holds; the sums of the ranges before it, a row for each group and range, come by a join.
+    No side is broadcast whole, no value is joined, and no task holds a group."""
+    shared_folder(rows.sparkSession)
+    columns = rows.columns
+    ours = rows.select(F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(columns))).alias("_row"), F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_c"), F.monotonically_increasing_id().alias("_salt"))
+    counts = reference.filter(F.col(of_value).isNotNull()).groupBy(F.col(of_group).alias("_g"), F.col(of_value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    theirs = counts.select(F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), F.col("_g").cast(ours.schema["_g"].dataType).alias("_g"), "_v", F.lit(1).alias("_side"), "_c", F.lit(0).cast("long").alias("_salt"))
+    dealt = ours.unionByName(theirs).repartitionByRange("_g", "_v", "_side", "_salt").withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_g", "_range").agg(F.sum("_c").alias("_here")).select(F.col("_g").alias("_h"), F.col("_range").alias("_r"), F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"), F.sum("_here").over(Window.partitionBy("_g")).alias("_all"))
+    within = Window.partitionBy("_g", "_range").orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("_within", F.sum("_c").over(within)).filter("_side = 0").join(ranges, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_range") == F.col("_r")))
+    return out.select(*(F.col(f"_row.c{i}").alias(n) for i, n in enumerate(columns)), F.when(F.col("_v").isNotNull(), F.col("_before") + F.col("_within")).alias("below"), F.col("_all").alias("all"))
+
+
+def p_values(rows: DataFrame, group: str, value: str, reference: DataFrame | None = None, of_group: str | None = None, of_value: str | None = None) -> DataFrame:
+    """Adds p: the share of the reference's values in the row's group that are at least the row's; null without such a group. The reference is the rows' own values if none is given."""
+    out = placed(rows, group, value, rows if reference is None else reference, of_group or group, of_value or value)
+    return out.withColumn("p", F.when(F.col("all") > 0, 1 - F.col("below") / F.col("all"))).drop("below", "all")
+
+
+def positions(rows: DataFrame, groups: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """Adds each row's place in its group, from 0, in the order of the columns `order` (rows that are alike in them in any): ranges, counted one by one."""
+    shared_folder(rows.sparkSession)
+    keys = [*groups, "_range"]
+    dealt = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*groups, *order, "_salt").withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*keys).agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "_salt")) - 1).join(ranges, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
+
+
+def quantiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """(group, share, quantile): exact, between neighbours by weight. Null values are none; a group without values has no rows.
+
+    Equal values are counted, counts added up over ranges, and only the values at the wanted places go on: two a group and share. No task holds a group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ranked = running(counts, "_v", "_c", groups=("_g",)).checkpoint()
+    every = ranked.groupBy(F.col("_g").alias("_h")).agg(F.sum("_c").alias("_n"))
+    at = ranked.join(every, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", "_c", "_c_below", F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for q in shares))).alias("x"))
+    low, high = F.floor("x.at"), F.ceil("x.at")
+    holds = lambda k: (F.col("_c_below") <= k) & (F.col("_c_below") + F.col("_c") > k)
+    at = at.filter(holds(low) | holds(high)).groupBy("_g", "x.q").agg(F.max(F.when(holds(low), F.col("_v"))).alias("a"), F.max(F.when(holds(high), F.col("_v"))).alias("b"), F.max("x.at").alias("at"))
+    return at.select(F.col("_g").alias(group), F.col("q").alias("share"), (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("quantile"))
 
 
 def separation(rows: DataFrame, score: str, inside: str) -> DataFrame:

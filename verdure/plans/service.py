@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared_folder
 from ..functions import names, vector
 from ..operators import gate, knowledge, ood, scoring
+from ..operators.feature_ood import FeatureOOD, FeatureOODModel
 from ..streaming import events as ev
 from .catalogue import _C, _KB, _MODEL_OF, _band_sql, _cues, _logits, _t, query
 
@@ -96,42 +99,92 @@ def manifest_check(spark, d):
     return out.groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("content").cast("long")).alias("bytes"), count(F.col("on_disk") | F.col("listed").isNotNull()).alias("there"), count(F.sha2("content", 256) != F.col("sha256")).alias("damaged"))
 
 
-@query("WITH p AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN left(props, 4) ELSE props END AS raw FROM events), j AS (SELECT event_id, CASE WHEN json_valid(raw) THEN (raw->>'k')::DOUBLE END AS k FROM p) SELECT event_id, k IS NULL AS unreadable, coalesce(k / 100, 0.04::DOUBLE) AS coverage, 0.3::DOUBLE AS green_frac, (CASE WHEN k IS NULL THEN 2 ELSE 2 END)::INT AS names FROM j")
+_LOWS = {k: v[0] for k, v in gate.BANDS.items()}
+
+
+@query(f"WITH p AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN left(props, 4) ELSE props END AS raw FROM events), j AS (SELECT event_id, CASE WHEN json_valid(raw) THEN (raw->>'k')::DOUBLE END AS k FROM p) SELECT event_id, k IS NULL AS unreadable, coalesce(k / 100, {_LOWS['coverage']}::DOUBLE) AS coverage, CASE WHEN k IS NULL THEN {len(_LOWS)} ELSE {len(_LOWS) + 1} END::INT AS names, round({sum(_LOWS.values()) - _LOWS['coverage']}::DOUBLE + coalesce(k / 100 + k, {_LOWS['coverage']}::DOUBLE), 6) AS total FROM j")
 def config_overrides(spark, d):
-    """Small JSON files read with null for what can't be read, their values over the defaults."""
+    """Small JSON files read with null for what can't be read, their values over the defaults of all bands; a name beyond the defaults is added."""
     raw = F.when(F.col("event_id") % 6 == 0, F.left("props", F.lit(4))).otherwise(F.col("props"))
     k = F.get_json_object(raw, "$.k").cast("double")
-    given = F.when(k.isNotNull(), F.create_map(F.lit("coverage"), k / 100))
-    out = _t(spark, d, "events").select("event_id", k.isNull().alias("unreadable"), gate.with_overrides({x: gate.BANDS[x][0] for x in ("coverage", "green_frac")}, given).alias("m"))
-    return out.select("event_id", "unreadable", F.col("m")["coverage"].alias("coverage"), F.col("m")["green_frac"].alias("green_frac"), F.size("m").alias("names"))
+    given = F.when(k.isNotNull(), F.create_map(F.lit("coverage"), k / 100, F.lit("further"), k))
+    out = _t(spark, d, "events").select("event_id", k.isNull().alias("unreadable"), gate.with_overrides(_LOWS, given).alias("m"))
+    return out.select("event_id", "unreadable", F.col("m")["coverage"].alias("coverage"), F.size("m").alias("names"), F.round(vector.total(F.map_values("m")), 6).alias("total"))
 
 
-@query("SELECT label, count(*) AS n, 64 AS dims, 0.0::DOUBLE AS largest_difference FROM embeddings GROUP BY label")
+@query("WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m, count(*) AS n FROM embeddings, range(1, 65) t(i) GROUP BY label, i) SELECT label, any_value(n) AS n, count(*)::INT AS dims, round(sum(m), 6) AS total, round(max(m), 6) AS most FROM m GROUP BY label")
 def ood_state_round_trip(spark, d):
-    """Class means to JSON and back: the largest absolute difference of any number is 0."""
+    """Class means to JSON and back, as they are then."""
     rows = _t(spark, d, "embeddings")
     means = ood.class_means(rows, "label", "embedding").groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("mean"))
     back = means.withColumn("json", F.to_json(F.struct("mean"))).withColumn("back", F.from_json("json", "mean array<double>")["mean"])
-    return back.select("label", "n", F.size("back").alias("dims"), F.array_max(F.zip_with("mean", "back", lambda a, b: F.abs(a - b))).alias("largest_difference"))
+    return back.select("label", "n", F.size("back").alias("dims"), F.round(vector.total(F.col("back")), 6).alias("total"), F.round(F.array_max("back"), 6).alias("most"))
 
 
 _E = "e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z FROM embeddings), s AS (SELECT *, -(list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z)))))) AS energy FROM e)"
 
 
-@query(f"WITH {_E} SELECT label, count(*) AS n, list(round(energy, 6) ORDER BY round(energy, 6)) AS reference FROM s GROUP BY label")
+@query(f"WITH {_E} SELECT label, row_number() OVER (PARTITION BY label ORDER BY round(energy, 6)) - 1 AS position, round(energy, 6) AS energy FROM s")
 def calibrated_reference(spark, d):
-    """Each class's sorted reference of energies."""
-    out = _logits(spark, d).select("label", F.round(vector.energy("logits"), 6).alias("energy"))
-    return out.groupBy("label").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("energy")).alias("reference"))
+    """Each class's sorted reference of energies: a table with positions."""
+    return ood.positions(_logits(spark, d).select("label", F.round(vector.energy("logits"), 6).alias("energy")), ["label"], ["energy"])
+
+
+_SHAPED = """x AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), mc AS (SELECT label AS c, i, avg(v) AS m FROM x GROUP BY ALL), m0 AS (SELECT i, avg(v) AS m FROM x GROUP BY i),
+dc AS (SELECT vec_id, c, sum((v - m) * (v - m)) AS d FROM x JOIN mc USING (i) GROUP BY ALL), d0 AS (SELECT vec_id, sum((v - m) * (v - m)) AS d0 FROM x JOIN m0 USING (i) GROUP BY ALL), md AS (SELECT vec_id, arg_min(c, d) AS nearest, min(d) - any_value(d0) AS rmd FROM dc JOIN d0 USING (vec_id) GROUP BY vec_id),
+sc AS (SELECT md.*, s.energy, s.z FROM md JOIN s USING (vec_id)), ps AS (SELECT *, 1 - (rank() OVER (ORDER BY rmd) - 1) / count(*) OVER () AS maha_score, 1 - (rank() OVER (ORDER BY energy) - 1) / count(*) OVER () AS energy_score FROM sc)"""
+
+
+def _reloaded(spark, d) -> DataFrame:
+    """The scores of all embeddings by a model that was fitted and calibrated on them, written, and loaded again."""
+    rows = _logits(spark, d).join(_t(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    path = f"{shared_folder(spark)}/feature-ood-{uuid.uuid4().hex}"
+    FeatureOOD(featuresCol="embedding", covariance="identity").fit(rows).calibrate(rows).save(path)
+    return FeatureOODModel.load(path).transform(rows)
+
+
+@query(f"WITH {_E}, {_SHAPED} SELECT vec_id, nearest, round(rmd, 6) AS rmd, round(energy, 6) AS energy, round(maha_score, 6) AS maha_score, round(energy_score, 6) AS energy_score FROM ps")
+def feature_ood_model(spark, d):
+    """Fit, calibrate, write, load, score."""
+    return _reloaded(spark, d).select("vec_id", "nearest", *(F.round(k, 6).alias(k) for k in ("rmd", "energy", "maha_score", "energy_score")))
 
 
-@query(f"WITH {_E}, p AS (SELECT vec_id, 1 - (rank() OVER (ORDER BY round(energy, 6)) - 1) / count(*) OVER () AS energy_score, exp(z[2]) / (exp(z[1]) + exp(z[2])) AS ood_gate_prob, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS msp FROM s) SELECT vec_id, round(energy_score, 6) AS energy_score, round(ood_gate_prob, 6) AS ood_gate_prob, round(msp, 6) AS msp, list_filter(['energy_score', 'ood_gate_prob'], lambda k: CASE k WHEN 'energy_score' THEN energy_score < 0.05 ELSE ood_gate_prob < 0.3 END) AS vetoes FROM p")
+@query(f"""WITH {_E}, {_SHAPED}, p AS (SELECT *, exp(z[2]) / (exp(z[1]) + exp(z[2])) AS ood_gate_prob, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS msp FROM ps)
+SELECT vec_id, round(maha_score, 6) AS maha_score, round(energy_score, 6) AS energy_score, round(ood_gate_prob, 6) AS ood_gate_prob, round(msp, 6) AS msp, list_filter(['energy_score', 'maha_score', 'ood_gate_prob'], lambda k: CASE k WHEN 'maha_score' THEN maha_score < 0.1 WHEN 'energy_score' THEN energy_score < 0.05 ELSE ood_gate_prob < 0.3 END) AS vetoes FROM p""")
 def deep_scores(spark, d):
-    """The model scores of the gate put together from their own operators, and those below their thresholds."""
-    rows = _logits(spark, d).withColumn("energy", F.round(vector.energy("logits"), 6)).withColumn("g", F.lit(0))
-    out = ood.p_values(rows, "g", "energy").withColumn("energy_score", F.col("p")).withColumn("ood_gate_prob", F.get(vector.softmax(F.slice("logits", 1, 2)), F.lit(1))).withColumn("msp", F.array_max(vector.softmax("logits")))
-    out = out.withColumn("maha_score", F.lit(None).cast("double"))
-    return out.select("vec_id", *(F.round(k, 6).alias(k) for k in ("energy_score", "ood_gate_prob", "msp")), F.array_sort(gate.deep_vetoes({"energy_score": 0.05, "ood_gate_prob": 0.3})).alias("vetoes"))
+    """The model scores of the gate put together from the stored model and the logits, and those below their thresholds."""
+    out = _reloaded(spark, d).withColumn("ood_gate_prob", F.get(vector.softmax(F.slice("logits", 1, 2)), F.lit(1))).withColumn("msp", F.array_max(vector.softmax("logits")))
+    vetoes = F.array_sort(gate.deep_vetoes({"maha_score": 0.1, "energy_score": 0.05, "ood_gate_prob": 0.3}))
+    return out.select("vec_id", *(F.round(k, 6).alias(k) for k in ("maha_score", "energy_score", "ood_gate_prob", "msp")), vetoes.alias("vetoes"))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS g, o_totalprice::DOUBLE AS v, count(*) AS c FROM orders GROUP BY ALL), s AS (SELECT g, v, sum(c) OVER (PARTITION BY g ORDER BY v) AS upto, sum(c) OVER (PARTITION BY g) AS n FROM r), n AS (SELECT DISTINCT g, n FROM s)
+SELECT l_orderkey, l_linenumber, round(1 - coalesce(s.upto, 0) / n.n, 9) AS p FROM (SELECT l_orderkey, l_linenumber, l_linestatus AS g, l_extendedprice::DOUBLE AS x FROM lineitem) l ASOF LEFT JOIN s ON l.g = s.g AND l.x > s.v LEFT JOIN n ON n.g = l.g""")
+def reference_ranks(spark, d):
+    """Each line's price against the sorted prices of the orders of its status: a merge of two tables in ranges."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_extendedprice")
+    out = ood.p_values(rows, "l_linestatus", "l_extendedprice", _t(spark, d, "orders"), "o_orderstatus", "o_totalprice")
+    return out.select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p"))
+
+
+_SHARES = (0.0, 0.05, 0.5, 0.9, 1.0)
+
+
+@query(" UNION ALL ".join(f"SELECT l_returnflag, {q}::DOUBLE AS share, round(quantile_cont(l_extendedprice::DOUBLE, {q}), 6) AS quantile FROM lineitem GROUP BY l_returnflag" for q in _SHARES))
+def group_quantiles(spark, d):
+    """Exact quantiles of very large groups, by counts over ranges."""
+    return ood.quantiles(_t(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", list(_SHARES)).withColumn("quantile", F.round("quantile", 6))
+
+
+@query("""WITH x AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), m AS (SELECT i, avg(v) AS m FROM x GROUP BY i), z AS MATERIALIZED (SELECT vec_id, i, v - m AS v FROM x JOIN m USING (i)), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+s AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / any_value(n) AS s, sum(a.v * a.v * b.v * b.v) AS q FROM z a JOIN z b USING (vec_id), n GROUP BY ALL), t AS (SELECT sum(CASE WHEN i = j THEN s ELSE 0 END) / 64 AS scale FROM s),
+k AS (SELECT any_value(scale) AS scale, sum(pow(s - CASE WHEN i = j THEN scale ELSE 0 END, 2)) AS spread, (sum(q) / any_value(n) - sum(s * s)) / any_value(n) AS noise FROM s, t, n), h AS (SELECT scale, least(noise, spread) / spread AS shrink FROM k)
+SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(shrink, 6) AS shrinkage, round((1 - shrink) * s + CASE WHEN i = j THEN shrink * scale ELSE 0 END, 6) + 0.0::DOUBLE AS covariance FROM s, h""")
+def shrunk_covariance(spark, d):
+    """The covariance of all embeddings, shrunk towards a multiple of the identity as far as its own noise asks for."""
+    _, covariance, shrink = ood.shrunk_covariance(_t(spark, d, "embeddings"), "embedding")
+    rows = [(i, j, round(shrink, 6), float(x)) for i, r in enumerate(covariance) for j, x in enumerate(r)]  # d x d numbers
+    return spark.createDataFrame(rows, "i int, j int, shrinkage double, covariance double").withColumn("covariance", F.round("covariance", 6) + F.lit(0.0))
 
 
 @query("WITH " + _C + ", s AS (SELECT l_orderkey, l_linenumber, [" + ", ".join("{'s': " + _band_sql(k) + f", 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(gate.WEIGHTS)) + "] AS s FROM c) SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_sort(s)[1:3], lambda x: x.k), ',') AS weakest FROM s")

@@ -13,6 +13,7 @@ from ..functions import names, vector
 from ..operators import gate, knowledge, ood, scoring
 from ..operators.feature_ood import FeatureOOD, FeatureOODModel
 from ..streaming import events as ev
+from ..streaming import reassembly
 from .catalogue import _C, _KB, _MODEL_OF, _band_sql, _cues, _logits, _t, query
 
 _text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -261,3 +262,22 @@ def largest_gap(spark, d):
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
     gaps = _t(spark, d, "events").select("user_id", F.abs(F.col("value") - before).alias("gap")).filter("gap IS NOT NULL")
     return gaps.groupBy("user_id").agg(F.round(F.max("gap"), 6).alias("largest"), F.count("*").alias("pairs"))
+
+
+@query("SELECT conv_id, turn::BIGINT AS line_no, role, md5(text) AS digest, length(text)::BIGINT AS chars FROM conversations")
+def stream_reassembly(spark, d):
+    """Conversations sent as JSON lines in chunks that begin and end within lines, read as a stream in several batches and put together again; the last line has no line feed."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _t(spark, d, "conversations").withColumn("_line", F.encode(F.to_json(F.struct("turn", "role", "text")), "UTF-8")).withColumn("_next", F.lead("turn").over(by))
+    half = F.floor(F.octet_length("_line") / 2).cast("int")
+    first, second = F.substring("_line", F.lit(1), half), F.substring("_line", half + 1, F.octet_length("_line"))
+    rows = rows.withColumns({"_first": first, "_second": second})
+    feed, none = F.encode(F.lit("\n"), "UTF-8"), F.lit(b"")
+    before = F.when(F.lag("turn").over(by).isNotNull(), F.concat(F.lag("_second").over(by), feed)).otherwise(none)
+    chunks = rows.select("conv_id", F.col("turn").cast("long").alias("seq"), F.concat(before, "_first", F.when(F.col("_next").isNull(), F.col("_second")).otherwise(none)).alias("data"), F.col("_next").isNull().alias("last"))
+    root = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    chunks.repartition(4, "seq").write.parquet(f"{root}/in")  # so that chunks come out of turn
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    lines = reassembly.stream_of_lines(stream, "conv_id", f"{root}/out", f"{root}/checkpoint")
+    x = lines.select("conv_id", "line_no", F.from_json("line", "turn long, role string, text string").alias("x"))
+    return x.select("conv_id", "line_no", "x.role", F.md5(F.encode("x.text", "UTF-8")).alias("digest"), F.length("x.text").cast("long").alias("chars"))

@@ -3,9 +3,11 @@
 Texts are split into pieces and words.  A node is a run of three words, an edge a run of four: it leads from its first three words to
 its last three and weighs as often as it occurs.  A task counts the edges of its texts and the ends of its pieces (their last
 three words, or all of a shorter piece) batch by batch, so a frequent edge is one row a batch, and Spark adds them up by node: one shuffle of
-edges.  A pass before that adds up words and pairs in 2**27 buckets by their hash; a pair whose bucket stays below the least count is in no candidate, so
-the texts are cut there as at the end of a piece, and rare words that stand alone are left out.  That changes no count of a candidate or of its parts, and spares the shuffle all that can't matter; what
-shares a bucket only costs time.  The buckets go out as a bitmap of 16 MB, however large the corpus.  All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
+edges.  Two passes before that add up words and pairs, then runs of three words whose
+pairs are left, in 2**27 buckets by their hash. What lies in a bucket below the least count is in no candidate: pieces are cut at such pairs, a node that
+isn't followed by another one ends there (an open end: it counts for its pair, not for its last word, which the next run counts), and rare words that stand alone are left out. That changes no
+count of a candidate or of its parts, and spares the shuffle all that can't matter; what shares a bucket only costs time.
+The buckets go out as bitmaps of 16 MB, however large the corpus. All shorter counts follow without another look at the text: a node occurs as often as its edges leave it plus as often as a
 piece ends with it; a pair as often as nodes begin with it plus pieces end with it; a word likewise.
 
 Edges that occur often enough (only they and their parts can be candidates, as no part is rarer than its whole) make the graph that is
@@ -48,11 +50,14 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Part:
-    """The words of a part of some texts: where pieces begin, what the part owns, and the buckets of each word and of each pair of neighbours.  group: a small number for each text, salt: a hash for each group."""
+    """The words of a part of some texts: where pieces begin, what the part owns, and the buckets of words, pairs and runs of three.  group: a small number for each text, salt: a hash for each group.
+    kept: bitmaps of frequent buckets of words and pairs, and of runs of three; without one all are kept."""
 
-    def __init__(self, data: np.ndarray, lo: int, offs: np.ndarray, since: int, stop: int, group: np.ndarray, salt: np.ndarray):
+    def __init__(self, data: np.ndarray, lo: int, offs: np.ndarray, since: int, stop: int, group: np.ndarray, salt: np.ndarray, kept: list[np.ndarray]):
         self.words = words = c.Words(data, offs, lower=True, space=_SPACE)
         self.n = n = len(words.start)
+        if not n:
+            return
         passed = np.append(0, np.cumsum(_ENDS[words.buf]))
         self.new = np.ones(n, bool)
         self.new[1:] = (passed[words.start[1:]] != passed[words.start[:-1]]) | (words.row[1:] != words.row[:-1])
@@ -60,12 +65,23 @@ class Part:
         self.group = group[lo + words.row]
         hashes = words.hashes()
         self.alone = buckets(c.mix(hashes + salt[self.group]))
-        self.pairs = buckets(c.mix(hashes[:-1] * c._M3 + hashes[1:] + salt[self.group[:-1]])) if n > 1 else self.alone[:0]
-
-    def met(self) -> np.ndarray:
+        pairs = c.mix(hashes[:-1] * c._M3 + hashes[1:] + salt[self.group[:-1]])
+        self.pairs = buckets(pairs)
+        if kept:
+            self.new[1:] |= ~among(kept[0], self.pairs)
+        self.three = np.zeros(n, bool)  # a run of three begins here
+        self.three[: n - 2] = ~self.new[1 : n - 1] & ~self.new[2:]
+        self.triples = buckets(c.mix(pairs[:-1] * c._M3 + hashes[2:]))
+        if len(kept) > 1:
+            self.three[: n - 2] &= among(kept[1], self.triples)
+
+    def words_and_pairs(self) -> np.ndarray:
         """The buckets of the words it owns and of the pairs that begin with one."""
         return np.concatenate([self.alone[self.owned], self.pairs[self.owned[:-1] & ~self.new[1:]]])
 
+    def runs_of_three(self) -> np.ndarray:
+        return self.triples[(self.owned & self.three)[: len(self.triples)]]
+
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
@@ -75,19 +91,17 @@ def among(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
 
 
-def of_parts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, salt: np.ndarray, limit: int) -> Iterator[Part]:
+def of_parts(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, salt: np.ndarray, kept: list[np.ndarray], limit: int) -> Iterator[Part]:
     for lo, offs, since, stop in c.parts(data, offsets, _SPACE, 3, limit, behind=True):
-        part = Part(data, lo, offs, since, stop, group, salt)
+        part = Part(data, lo, offs, since, stop, group, salt, kept)
         if part.n:
             yield part
 
 
-def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """(group, head, tail, words in head, count) of each part: edges; ends of pieces, without a tail; and without a head all words.  frequent: bitmap of buckets: pieces are cut at other pairs, other words that stand alone are left out."""
+def grams(parts: Iterator[Part], kept: list[np.ndarray]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, head, tail, words in head, open, count) of each part: edges; ends, without a tail; and without a head all words."""
     for part in parts:
-        words, n, new, of = part.words, part.n, part.new, part.group
-        if frequent is not None:
-            new[1:] |= ~among(frequent, part.pairs)
+        words, n, new, of, three = part.words, part.n, part.new, part.group, part.three
         begin = np.append(np.flatnonzero(new), n)
         left = np.minimum(begin[np.searchsorted(begin, np.arange(n), "right")] - np.arange(n), 4)  # words from here to the end of the piece
         size = words.end - words.start
@@ -97,10 +111,13 @@ def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator
         text[at] = words.buf[words.solid]
         word = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(text[at])]).dictionary_encode()
         one = np.unique(of.astype(np.uint64) << np.uint64(32) | word.indices.to_numpy().astype(np.uint64), return_inverse=True)[1].astype(np.uint64)
-        for k in (4, 3, 2, 1):
-            here = np.flatnonzero(part.owned & (left == k) & (new if k < 3 else True))
-            if k == 1 and frequent is not None:
-                here = here[among(frequent, part.alone[here])]
+        next_three, last_three = np.append(three[1:], False), np.append(False, three[:-1])
+        alone = new & (left == 1)
+        if kept:
+            alone &= among(kept[0], part.alone)
+        emitted = ((4, three & next_three, False), (3, three & ~next_three & (left == 3), False), (3, three & ~next_three & (left > 3), True), (2, ~three & ~(last_three & ~new) & (left == 2), False), (2, ~three & ~(last_three & ~new) & (left > 2), True), (1, alone, False))
+        for k, which, is_open in emitted:
+            here = np.flatnonzero(which & part.owned)
             if not len(here):
                 continue
             key = one[here]
@@ -109,28 +126,29 @@ def grams(parts: Iterator[Part], frequent: np.ndarray | None = None) -> Iterator
             first, count = _counted(key)
             i, m = here[first], min(k, 3)
             tail = c.strings(text, joined[i + 3], joined[i + 4] - 1) if k == 4 else pa.nulls(len(i), pa.string())
-            yield of[i], c.strings(text, joined[i], joined[i + m] - 1), tail, np.full(len(i), m, np.int8), count
+            yield of[i], c.strings(text, joined[i], joined[i + m] - 1), tail, np.full(len(i), m, np.int8), np.full(len(i), is_open), count
         first, count = _counted(of[part.owned])
-        yield of[part.owned][first], pa.array([""] * len(first)), pa.nulls(len(first), pa.string()), np.zeros(len(first), np.int8), count
+        yield of[part.owned][first], pa.array([""] * len(first)), pa.nulls(len(first), pa.string()), np.zeros(len(first), np.int8), np.zeros(len(first), bool), count
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text))
 
 
-def _parts(batch: pa.RecordBatch, limit: int) -> tuple[pa.Array, Iterator[Part]]:
+def _parts(batch: pa.RecordBatch, kept: list[np.ndarray], limit: int) -> tuple[pa.Array, Iterator[Part]]:
     langs = batch.column(0).dictionary_encode()
     names, ends = c.utf8(langs.dictionary)
-    return langs.dictionary, of_parts(*c.utf8(batch.column(1)), langs.indices.to_numpy(), c.byte_hashes(names, ends[:-1], ends[1:]), limit)
+    return langs.dictionary, of_parts(*c.utf8(batch.column(1)), langs.indices.to_numpy(), c.byte_hashes(names, ends[:-1], ends[1:]), kept, limit)
 
 
-def frequent_buckets(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = CHUNK) -> np.ndarray:
-    """A bitmap of the buckets in which words and pairs occur `least` times or more together: 2**BITS bits, put together from slices that tasks pack."""
+def frequent_buckets(docs: DataFrame, what, kept: list[np.ndarray], text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = CHUNK) -> np.ndarray:
+    """A bitmap of the buckets (what: of a Part) that occur `least` times or more: 2**BITS bits, put together from slices that tasks pack."""
+    sent = docs.sparkSession.sparkContext.broadcast(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, limit)[1]:
-                met, n = np.unique(part.met(), return_counts=True)
+            for part in _parts(batch, sent.value, limit)[1]:
+                met, n = np.unique(what(part), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n)], names=["bucket", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,34 +168,36 @@ def frequent_buckets(docs: DataFrame, text: str = "text", lang: str = "lang", le
     return out
 
 
-def edges(docs: DataFrame, text: str = "text", lang: str = "lang", frequent: np.ndarray | None = None, limit: int = CHUNK) -> DataFrame:
-    """Columns lang, head, size, tail, w: edges (three words, the fourth); ends of pieces, without a tail; and, with an empty head of size 0, all words.  Added up."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def edges(docs: DataFrame, text: str = "text", lang: str = "lang", kept: list[np.ndarray] | None = None, limit: int = CHUNK) -> DataFrame:
+    """Columns lang, head, size, tail, open, w: edges (three words, the fourth); ends, without a tail; and, with an empty head of size 0, all words.  Added up."""
+    sent = docs.sparkSession.sparkContext.broadcast(kept or [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, parts = _parts(batch, limit)
-            for group, head, tail, size, n in grams(parts, sent.value):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(group)), head, pa.array(size), tail, pa.array(n)], names=["lang", "head", "size", "tail", "w"])
+            names, parts = _parts(batch, sent.value, limit)
+            for group, head, tail, size, is_open, n in grams(parts, sent.value):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(group)), head, pa.array(size), tail, pa.array(is_open), pa.array(n)], names=["lang", "head", "size", "tail", "open", "w"])
 
-    met = c.map_arrow(_texts(docs, text, lang), count, "lang string, head string, size byte, tail string, w long")
-    return met.groupBy("lang", "head", "size", "tail").agg(F.sum("w").alias("w"))
+    met = c.map_arrow(_texts(docs, text, lang), count, "lang string, head string, size byte, tail string, open boolean, w long")
+    return met.groupBy("lang", "head", "size", "tail", "open").agg(F.sum("w").alias("w"))
 
 
 def counts(edge: DataFrame, least: int = LEAST) -> DataFrame:
     """Columns lang, k, phrase, f of all phrases of 1 to 4 words with f >= least, and for each lang a row k = 0 with the number of its words.  edge: edges()."""
-    is_edge = F.col("tail").isNotNull()
-    four = edge.withColumn("f", F.when(is_edge, F.col("w")).otherwise(0)).select("lang", F.lit(4).alias("k"), F.concat_ws(" ", "head", "tail").alias("phrase"), "f")
-    node = edge.groupBy("lang", "head", "size").agg(F.sum("w").alias("f"), F.sum(F.when(is_edge, 0).otherwise(F.col("w"))).alias("ends"))
+    is_edge, none = F.col("tail").isNotNull(), F.lit(0).cast("long")
+    four = edge.filter(is_edge & (F.col("w") >= least)).select("lang", F.lit(4).alias("k"), F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("w").alias("f"))
+    total = lambda where, name: F.sum(F.when(where, F.col("w")).otherwise(none)).alias(name)
+    node = edge.groupBy("lang", "head", "size").agg(F.sum("w").alias("f"), total(~is_edge, "ends"), total(~is_edge & ~F.col("open"), "closed"))
+    node = c.checkpointed(node.select("lang", "size", F.col("head").alias("phrase"), "f", F.when(F.col("size") == 3, F.col("ends")).otherwise(F.col("closed")).alias("ends"), "closed"))
 
     def shorter(of: DataFrame, k: int, short: DataFrame) -> DataFrame:
-        """Counts of k words from those of k + 1: by their first k words, and at pieces' ends by their last k; short: pieces of k words."""
-        part = lambda phrase, f, ends: F.struct(phrase.alias("phrase"), f.alias("f"), ends.alias("ends"))
-        both = F.array(part(F.substring_index("phrase", " ", k), F.col("f"), F.lit(0).cast("long")), part(F.substring_index("phrase", " ", -k), F.col("ends"), F.col("ends")))
+        """Counts of k words from those of k + 1: by their first k words, and at ends by their last k; short: ends of k words. ends: what counts for the last words, closed: what counts for those of the next step too."""
+        part = lambda phrase, f, ends: F.struct(phrase.alias("phrase"), f.alias("f"), ends.alias("ends"), ends.alias("closed"))
+        both = F.array(part(F.substring_index("phrase", " ", k), F.col("f"), none), part(F.substring_index("phrase", " ", -k), F.col("ends"), F.col("closed")))
         rows = of.select("lang", F.explode(F.filter(both, lambda x: x["f"] > 0)).alias("x")).select("lang", "x.*")
-        return rows.unionByName(short).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.sum("ends").alias("ends"))
+        return rows.unionByName(short).groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.sum("ends").alias("ends"), F.sum("closed").alias("closed"))
 
-    sized = lambda k: node.withColumnRenamed("head", "phrase").filter(F.when(F.col("f") > 0, F.col("size")) == k).select("lang", "phrase", "f", "ends")
+    sized = lambda k: node.filter(F.col("size") == k).drop("size")
     three = sized(3)
     two = shorter(three, 2, sized(2))
     one = shorter(two, 1, sized(1))
@@ -220,7 +240,10 @@ def paths(count: DataFrame, row: int = ROW) -> DataFrame:
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cover: int = COVER, top: int = TOP, limit: int = CHUNK) -> DataFrame:
     """Columns lang, rank, phrase, a, l, r, n, score: each lang's `top` phrases of 2 to 4 words with a count of `least`, that no longer one covers for `cover` per cent."""
-    count = c.checkpointed(counts(c.checkpointed(edges(docs, text, lang, frequent_buckets(docs, text, lang, least, limit), limit)), least))
+    kept: list[np.ndarray] = []
+    for what in (Part.words_and_pairs, Part.runs_of_three):
+        kept = [*kept, frequent_buckets(docs, what, kept, text, lang, least, limit)]
+    count = c.checkpointed(counts(c.checkpointed(edges(docs, text, lang, kept, limit)), least))
     path = c.checkpointed(paths(count))
     # every fact of a candidate is a row (slot, f): 0 its count, 2k-1 and 2k the parts of the cut after k words, 7 a longer candidate's count
     known = lambda slot, f: F.struct(F.lit(slot).alias("slot"), f.alias("f"), F.lit(None).cast("string").alias("part"))

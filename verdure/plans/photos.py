@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gate, raster, tiles
+from ..operators import gate, raster, resize, segment, shape, tiles
 from ..sources import synthetic
-from .catalogue import _HSV, _PX, _t, query
+from .catalogue import _CC, _EIGHT, _HSV, _PX, SIDE, _pixels, _t, query
 
 _SPEC = {"height": "64", "width": "56 + 8 * (s_suppkey % 4)", "noise": "CASE s_suppkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 400 WHEN 3 THEN 100 ELSE 25 END", "light": "CASE s_suppkey % 7 WHEN 1 THEN 40 WHEN 2 THEN 5 WHEN 3 THEN 300 ELSE 100 END", "has_leaf": "s_suppkey % 7 NOT IN (0, 3)"}
 _NOISE = "((((image_id * 31 + i * 17 + {c} * 7) * 2654435761 % 4294967296) >> 16) % noise)"
@@ -86,3 +86,76 @@ def photo_structure(spark, d):
     """Vein ridges, texture, orientation coherence and the contrasts along the leaf's border: one exchange of tiles for seven filters."""
     out = tiles.structure_cues(raster.with_masks(_photos(spark, d)), "leaf")
     return out.select("image_id", *(F.round(k, 6).alias(k) for k in ("vein_ridge", "texture_energy", "orientation_coherence", "boundary_contrast", "texture_contrast")))
+
+
+@query(f"""WITH {_PHOTO_HSV}, mm AS MATERIALIZED (SELECT * FROM m), e AS (SELECT * FROM mm WHERE y = 0 UNION ALL SELECT * FROM mm WHERE y = height - 1 UNION ALL SELECT * FROM mm WHERE x = 0 UNION ALL SELECT * FROM mm WHERE x = width - 1),
+c AS (SELECT image_id, median(lab_l) AS el, median(lab_a) AS ea, median(lab_b) AS eb FROM e GROUP BY image_id), d AS (SELECT image_id, sqrt((lab_l - el) * (lab_l - el) + (lab_a - ea) * (lab_a - ea) + (lab_b - eb) * (lab_b - eb)) AS d FROM mm JOIN c USING (image_id)),
+q AS (SELECT image_id, min(d) AS low, max(d) AS high FROM d GROUP BY image_id), lev AS MATERIALIZED (SELECT image_id, CASE WHEN high > low THEN floor((d - low) * 255 / (high - low)) ELSE 0 END::INT AS v FROM d JOIN q USING (image_id)),
+g AS (SELECT image_id, v, count(*) AS n FROM lev GROUP BY ALL), s AS (SELECT image_id, v, sum(n) OVER up AS n0, sum(v * n) OVER up AS m0, sum(n) OVER every AS n, sum(v * n) OVER every AS m FROM g WINDOW up AS (PARTITION BY image_id ORDER BY v), every AS (PARTITION BY image_id)),
+b AS (SELECT image_id, v, (n0 / n) * ((n - n0) / n) * (m0 / n0 - (m - m0) / (n - n0)) * (m0 / n0 - (m - m0) / (n - n0)) AS b FROM s WHERE n0 < n), t AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(b, 9) DESC, v) AS place FROM b)
+SELECT i.image_id, t.v AS threshold, round(t.b, 6) AS between_, above FROM (SELECT image_id, sum((lev.v > coalesce(t.v, 255))::INT)::BIGINT AS above FROM lev LEFT JOIN (SELECT * FROM t WHERE place = 1) t USING (image_id) GROUP BY image_id) i LEFT JOIN t ON t.image_id = i.image_id AND place = 1""")
+def photo_threshold(spark, d):
+    """The threshold between the border's colour and what differs from it, and how many pixels are above."""
+    px = segment.away_from_border(raster.with_masks(_photos(spark, d)))
+    cut = segment.thresholds(px, "away")
+    above = segment.foreground(px, "away").groupBy("image_id").agg(F.count_if("seed").alias("above"))
+    return cut.join(above, "image_id").select("image_id", "threshold", F.round("between", 6).alias("between_"), "above")
+
+
+_F = {"f0": "lab_l / 10", "f1": "lab_a / 5", "f2": "lab_b / 5"}
+_ROUNDS = 3
+
+
+def _lloyd(k: int) -> str:
+    """CTEs of rounds for k clusters: a start, then assignments and means; a cluster that got nothing keeps its centre."""
+    start = f"c{k}_0 AS MATERIALIZED (SELECT image_id, j AS i, low + (high - low) * (j + 0.5::DOUBLE) / {k} AS f0, a1 AS f1, a2 AS f2 FROM sp, range({k}) r(j))"
+    out = [start]
+    for n in range(1, _ROUNDS + 1):
+        far = " + ".join(f"(x.f{i} - c.f{i}) * (x.f{i} - c.f{i})" for i in range(3))
+        out.append(f"a{k}_{n} AS MATERIALIZED (SELECT x.image_id, x.y, x.x, any_value(x.f0) AS f0, any_value(x.f1) AS f1, any_value(x.f2) AS f2, arg_min(c.i, [round({far}, 9), c.i]) AS i FROM fx x JOIN c{k}_{n - 1} c USING (image_id) GROUP BY ALL)")
+        out.append(f"c{k}_{n} AS MATERIALIZED (SELECT c.image_id, c.i, " + ", ".join(f"coalesce(m.f{i}, c.f{i}) AS f{i}" for i in range(3)) + f" FROM c{k}_{n - 1} c LEFT JOIN (SELECT image_id, i, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2 FROM a{k}_{n} GROUP BY ALL) m ON m.image_id = c.image_id AND m.i = c.i)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_PHOTO_HSV}, fx AS MATERIALIZED (SELECT image_id, y, x, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _F.items()) + " FROM m), sp AS (SELECT image_id, min(f0) AS low, max(f0) AS high, avg(f1) AS a1, avg(f2) AS a2 FROM fx GROUP BY image_id), " + ", ".join(map(_lloyd, (2, 3, 4))) + " " + " UNION ALL ".join(f"SELECT image_id, {k} AS k, i::INT AS cluster, round(f0, 6) + 0.0::DOUBLE AS f0, round(f1, 6) + 0.0::DOUBLE AS f1, round(f2, 6) + 0.0::DOUBLE AS f2 FROM c{k}_{_ROUNDS}" for k in (2, 3, 4)))
+def photo_clusters(spark, d):
+    """Two, three and four clusters of colour of every photo, after three rounds from a fixed start."""
+    px = raster.with_masks(_photos(spark, d)).select("image_id", *(F.expr(v).cast("double").alias(k) for k, v in _F.items()))
+    out = segment.clusters(px, list(_F), (2, 3, 4), _ROUNDS).select("image_id", "k", F.posexplode("centres").alias("cluster", "c"))
+    return out.select("image_id", "k", "cluster", *((F.round(F.get("c", F.lit(i)), 6) + F.lit(0.0)).alias(f"f{i}") for i in range(3)))
+
+
+_SIDE48 = "CASE WHEN greatest(height, width) > 48 THEN greatest(1, round_even({0} * (48.0::DOUBLE / greatest(height, width)), 0))::BIGINT ELSE {0} END"
+
+
+@query(f"""WITH {_PHOTO}, o AS (SELECT *, {_SIDE48.format('height')} AS h, {_SIDE48.format('width')} AS w FROM px), j AS (SELECT *, unnest(range(y * h // height, ((y + 1) * h - 1) // height + 1)) AS ny FROM o), k AS (SELECT *, unnest(range(x * w // width, ((x + 1) * w - 1) // width + 1)) AS nx FROM j),
+p AS (SELECT *, (least((y + 1) * h, (ny + 1) * height) - greatest(y * h, ny * height)) * (least((x + 1) * w, (nx + 1) * width) - greatest(x * w, nx * width)) AS part FROM k), n AS (SELECT image_id, ny, nx, any_value(h) AS h, any_value(w) AS w, sum(b * part) / sum(part) AS b, sum(g * part) / sum(part) AS g, sum(r * part) / sum(part) AS r FROM p GROUP BY image_id, ny, nx)
+SELECT image_id, any_value(h)::INT AS height, any_value(w)::INT AS width, count(*) AS pixels, round(sum(b) + 1.234e-5::DOUBLE, 4) AS b, round(sum(g) + 1.234e-5::DOUBLE, 4) AS g, round(sum(r * (ny * 2 + nx)) + 1.234e-5::DOUBLE, 4) AS r FROM n GROUP BY image_id""")
+def photo_work_frame(spark, d):
+    """Photos to at most 48 pixels a side by areas."""
+    out = resize.work_frame(_photos(spark, d), ["b", "g", "r"], 48)
+    total = lambda c: F.round(F.sum(c) + 1.234e-5, 4)  # noqa: E731  no longer halfway between two roundings, where engines differ
+    return out.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"), F.count("*").alias("pixels"), total("b").alias("b"), total("g").alias("g"), total(F.col("r") * (F.col("y") * 2 + F.col("x"))).alias("r"))
+
+
+_REGIONS = f"on_ AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE leaf AND heat > 0.3), {_CC.format(name='cc', of='on_', near=_EIGHT)}, l AS MATERIALIZED (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL)"
+_LEAST_REGION = 12
+
+
+@query(f"""WITH RECURSIVE {_PX}, {_REGIONS}, big AS (SELECT image_id, label FROM l GROUP BY ALL HAVING count(*) >= {_LEAST_REGION}), r AS MATERIALIZED (SELECT l.* FROM l JOIN big USING (image_id, label)),
+sq AS (SELECT image_id, label, y + dy AS y, x + dx AS x, sum(1 << (dy * 2 + dx))::INT AS bits FROM r, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx) GROUP BY ALL),
+o AS (SELECT image_id, label, sum(CASE bit_count(bits) WHEN 4 THEN 1 WHEN 3 THEN 0.5::DOUBLE ELSE 0 END) AS area, sum(CASE WHEN bit_count(bits) = 3 THEN sqrt(2) WHEN bits IN (9, 6) THEN 2 * sqrt(2) WHEN bit_count(bits) = 2 THEN 1 ELSE 0 END) AS perimeter FROM sq GROUP BY ALL),
+e AS (SELECT image_id, label, y, min(x) AS a, max(x) AS b FROM r GROUP BY ALL), p AS MATERIALIZED (SELECT image_id, label, y, a AS x FROM e UNION SELECT image_id, label, y, b FROM e),
+h AS MATERIALIZED (SELECT p.image_id, p.label, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM p JOIN p q ON p.image_id = q.image_id AND p.label = q.label AND (p.x <> q.x OR p.y <> q.y) JOIN p s ON s.image_id = p.image_id AND s.label = p.label
+  GROUP BY ALL HAVING min((q.x - p.x) * (s.y - p.y) - (q.y - p.y) * (s.x - p.x)) >= 0 AND bool_and((q.x - p.x) * (s.y - p.y) - (q.y - p.y) * (s.x - p.x) <> 0 OR ((s.x - p.x) * (s.x - q.x) <= 0 AND (s.y - p.y) * (s.y - q.y) <= 0))),
+hu AS (SELECT image_id, label, abs(sum(px * qy - qx * py)) / 2 AS hull_area, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) AS hull_perimeter FROM h GROUP BY ALL),
+f AS (SELECT h.image_id, h.label, (max(ux * p.x + uy * p.y) - min(ux * p.x + uy * p.y)) AS along, (max(ux * p.y - uy * p.x) - min(ux * p.y - uy * p.x)) AS over_ FROM (SELECT *, (qx - px) / sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) AS ux, (qy - py) / sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) AS uy FROM h) h JOIN p ON p.image_id = h.image_id AND p.label = h.label GROUP BY h.image_id, h.label, h.px, h.py, h.qx, h.qy),
+t AS (SELECT image_id, label, min(round(along * over_, 6)) AS frame FROM f GROUP BY ALL)
+SELECT image_id, label::INT AS label, round(area, 6) AS area, round(perimeter, 6) AS perimeter, round(hull_area, 6)::DOUBLE AS hull_area, round(hull_perimeter, 6) AS hull_perimeter, round((area + 1e-6::DOUBLE) / (hull_area + 1e-6::DOUBLE), 6) AS solidity, round(perimeter / (hull_perimeter + 1e-6::DOUBLE), 6) AS convexity_ratio, frame + 0.0::DOUBLE AS frame FROM o JOIN hu USING (image_id, label) JOIN t USING (image_id, label)""")
+def region_shapes(spark, d):
+    """Outline, hull and least turned frame of the warm regions of at least 12 pixels."""
+    labelled = raster.components(_pixels(spark, d).withColumn("warm", F.col("leaf") & (F.col("heat") > 0.3)), "warm", eight=True, frame=SIDE)
+    large = labelled.groupBy("image_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= _LEAST_REGION)
+    out = shape.shapes(labelled.join(large, ["image_id", "label"], "left_semi"))
+    frame = F.round(F.col("long_side") * F.col("short_side"), 6) + F.lit(0.0)
+    return out.select("image_id", "label", *(F.round(k, 6).alias(k) for k in ("area", "perimeter", "hull_area", "hull_perimeter", "solidity", "convexity_ratio")), frame.alias("frame"))

@@ -50,7 +50,7 @@ def test_clusters_are_lloyds(spark):
             c = np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
         np.testing.assert_allclose(centres, c)
     assert len(got) == 6
-    near = segment.assigned(px, ["f", "g"], segment.clusters(px, ["f", "g"], (3,), 6).filter("k = 3"))
+    near = segment.assigned(px, ["f", "g"], segment.clusters(px, ["f", "g"], (3,), 6), 3)
     assert sorted(r["count"] for r in near.filter("image_id = 'a'").groupBy("cluster").count().collect()) == [60, 60, 60]
 
 

@@ -47,38 +47,37 @@ def foreground(pixels: DataFrame, level: str, name: str = "seed") -> DataFrame:
     return pixels.join(cut, "image_id").withColumn(name, F.coalesce(F.col(level) > F.col("_t"), F.lit(False))).drop("_t")
 
 
-def _nearest(features: list[str], centres: Column) -> Column:
-    """The index of the centre (an array of arrays) nearest to a row's features, the first of equals."""
-    far = lambda c: sum(((F.col(f) - F.get(c, F.lit(i))) * (F.col(f) - F.get(c, F.lit(i))) for i, f in enumerate(features)), F.lit(0.0))
-    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.round(far(c), 9).alias("d"), i.alias("i"))))["i"]
+def _nearest(features: list[str], centres: list[list[Column]]) -> Column:
+    """The index of the centre nearest to a row's features, the first of equals."""
+    far = lambda c: F.round(sum(((F.col(f) - x) * (F.col(f) - x) for f, x in zip(features, c, strict=True)), F.lit(0.0)), 9)
+    return F.array_min(F.array(*(F.struct(far(c).alias("d"), F.lit(j).alias("i")) for j, c in enumerate(centres))))["i"]
 
 
 def clusters(pixels: DataFrame, features: list[str], sizes: tuple[int, ...] = (2, 3, 4), rounds: int = 10) -> DataFrame:
     """(image_id, k, centres): means of k clusters of each image's pixels, for all images and all k of `sizes` at once.
 
-    The start is fixed: the means of k slices of equal width of the first feature's range (the range's own places where a slice is empty), so runs agree. Each round assigns every pixel to its
-    nearest centre and adds up partial sums by task; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels that stay where they are if Spark finds
-    the rows few enough to send out. Rounds are written to the shared folder."""
+    The start is fixed: the middles of k slices of equal width of the first feature's range, with the means of the other features, so runs agree. Each round assigns every pixel to its
+    nearest centre of each k and adds up the sums of all clusters in one row an image and task; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels, which
+    stay where they are if Spark finds the rows few enough to send out. Rounds are written to the shared folder."""
     shared_folder(pixels.sparkSession)
-    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(f) for f in features)).checkpoint()
-    f0 = F.col(features[0])
-    span = rows.groupBy("image_id").agg(F.min(f0).alias("_low"), F.max(f0).alias("_high"), *(F.avg(f).alias(f"_mean{i}") for i, f in enumerate(features)))
-    wanted = span.withColumn("k", F.explode(F.array(*map(F.lit, sizes))))
-    place = lambda j: F.array(F.col("_low") + (F.col("_high") - F.col("_low")) * (j + 0.5) / F.col("k"), *(F.col(f"_mean{i}") for i in range(1, len(features))))
-    start = wanted.select("image_id", "k", F.transform(F.sequence(F.lit(0), F.col("k") - 1), place).alias("centres"))
-    centres = start.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "centres"))).alias("centres"))
+    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features))).checkpoint()
+    own = [f"_f{i}" for i in range(len(features))]
+    cell = lambda k, j, i: f"_c{k}_{j}_{i}"
+    every = [(k, j) for k in sizes for j in range(k)]
+    span = rows.groupBy("image_id").agg(F.min("_f0").alias("_low"), F.max("_f0").alias("_high"), *(F.avg(f).alias(f"_mean{i}") for i, f in enumerate(own)))
+    first = lambda k, j: F.col("_low") + (F.col("_high") - F.col("_low")) * (F.lit(j) + 0.5) / F.lit(k)
+    centres = span.select("image_id", *((F.col(f"_mean{i}") if i else first(k, j)).alias(cell(k, j, i)) for k, j in every for i in range(len(own))))
     for _ in range(rounds):
-        near = F.array(*(F.struct(F.lit(k).alias("k"), _nearest(features, F.col("centres")[k]).alias("i")) for k in sizes))
-        each = rows.join(centres, "image_id").select("image_id", *features, F.explode(near).alias("c"))
-        means = each.groupBy("image_id", "c.k", "c.i").agg(F.array(*(F.avg(f) for f in features)).alias("mean"))
-        found = means.groupBy("image_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("i", "mean"))).alias("means"))
-        found = found.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "means"))).alias("means"))
-        kept = lambda k: F.transform(F.col("centres")[k], lambda c, i: F.coalesce(F.col("means")[k][i], c))
-        moved = F.map_from_arrays(F.array(*map(F.lit, sizes)), F.array(*map(kept, sizes)))
-        centres = centres.join(found, "image_id").select("image_id", moved.alias("centres")).checkpoint()
-    return centres.select("image_id", F.explode("centres").alias("k", "centres"))
-
-
-def assigned(pixels: DataFrame, features: list[str], centres: DataFrame) -> DataFrame:
-    """pixels with `cluster`. centres: (image_id, centres), a row an image."""
-    return pixels.join(centres.select("image_id", "centres"), "image_id").withColumn("cluster", _nearest(features, F.col("centres"))).drop("centres")
+        near = {f"_n{k}": _nearest(own, [[F.col(cell(k, j, i)) for i in range(len(own))] for j in range(k)]) for k in sizes}
+        each = rows.join(centres, "image_id").select("image_id", *own, *(x.alias(n) for n, x in near.items()))
+        sums = each.groupBy("image_id").agg(*(F.avg(F.when(F.col(f"_n{k}") == j, F.col(f))).alias(f"_m{k}_{j}_{i}") for k, j in every for i, f in enumerate(own)))
+        centres = centres.join(sums, "image_id").select("image_id", *(F.coalesce(f"_m{k}_{j}_{i}", cell(k, j, i)).alias(cell(k, j, i)) for k, j in every for i in range(len(own)))).checkpoint()
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*(F.array(*(F.col(cell(k, j, i)) for i in range(len(own)))) for j in range(k))).alias("centres")) for k in sizes))
+    return centres.select("image_id", F.explode(each).alias("x")).select("image_id", "x.k", "x.centres")
+
+
+def assigned(pixels: DataFrame, features: list[str], centres: DataFrame, k: int) -> DataFrame:
+    """pixels with `cluster`, of the k clusters of clusters()."""
+    of = centres.filter(F.col("k") == k).select("image_id", F.col("centres").alias("_centres"))
+    near = _nearest(features, [[F.col("_centres")[j][i] for i in range(len(features))] for j in range(k)])
+    return pixels.join(of, "image_id").withColumn("cluster", near).drop("_centres")

@@ -16,13 +16,15 @@ PUNCT = "".join(chr(x) for x in [*range(33, 48), *range(58, 65), *range(91, 97),
 
 
 def words(text):
-    out = []
-    for x in SPLIT.findall((text or "").translate(LOW)):
-        for _ in range(4):
-            x = x[1:] if len(x) > 1 and x[0] in PUNCT else x
-            x = x[:-1] if len(x) > 1 and x[-1] in PUNCT else x
-        out.append(x)
-    return out
+    return [x.strip(PUNCT) or x[0] for x in SPLIT.findall((text or "").translate(LOW))]
+
+
+def test_all_punctuation_at_the_ends_goes():
+    texts = ["((([[[{{{<<<word>>>}}}]]])))", "\'\'\'a-b...\' ?!?! -- x", "", "é.. «q»", "!" * 5000 + "w" + "?" * 3000]
+    for t in texts:
+        data = t.encode()
+        w, _ = op9_decontam.clean_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert [w.buf[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == words(t)
 
 
 def overlap(part, passage):

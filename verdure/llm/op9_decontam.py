@@ -38,11 +38,14 @@ _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 
 
 def clean_words(data: np.ndarray, offsets: np.ndarray) -> tuple[c.Words, np.ndarray]:
+    """Words without the punctuation at their ends, however long it is; one of nothing else keeps its first sign."""
     w = c.Words(data, offsets, lower=True)
     if len(w.start):
-        for _ in range(4):
-            w.start += _PUNCT[w.buf[w.start]] & (w.end - w.start > 1)
-            w.end -= _PUNCT[w.buf[w.end - 1]] & (w.end - w.start > 1)
+        body = np.append(np.flatnonzero(~_PUNCT[w.buf]), len(w.buf))
+        first, after = np.searchsorted(body, w.start), np.searchsorted(body, w.end)
+        some = first < after
+        w.end = np.where(some, body[np.maximum(after - 1, 0)] + 1, w.start + 1)
+        w.start = np.where(some, body[first], w.start)
     return w, w.hashes()
 
 

@@ -358,7 +358,7 @@ def last_result(spark, d):
     return ev.last_results(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
-from . import imaging, photos, service  # noqa: E402, F401  they register their queries here
+from . import imaging, photos, service, stored  # noqa: E402, F401  they register their queries here
 
 
 def queries() -> dict:

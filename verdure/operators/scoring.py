@@ -59,3 +59,13 @@ def newest(rows: DataFrame, owner: str, *order: Column, keep: int = HISTORY) ->
 def search(rows: DataFrame, words: str, *columns: str) -> DataFrame:
     """Rows whose columns, joined by spaces, hold `words`, whatever the case; nulls are left out of the text."""
     return rows.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(words.lower())))
+
+
+def fidelity(rows: DataFrame, key: str, logits: tuple[str, str], maps: tuple[str, str], most_p: float = 6e-5, most_map: float = 2e-3) -> DataFrame:
+    """(key, runs, probability_difference, cam_difference, equal): what two runs of one model give for the same rows: the largest absolute difference of any probability, and of any
+    place of a map that is cut at 0 and divided by its own largest value."""
+    apart = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    scaled = lambda m: F.transform(m, lambda x: F.greatest(x, F.lit(0.0)) / F.greatest(F.array_max(m), F.lit(1e-8)))
+    each = rows.select(key, *(vector.softmax(c).alias(f"_p{i}") for i, c in enumerate(logits)), *(scaled(c).alias(f"_m{i}") for i, c in enumerate(maps)))
+    out = each.groupBy(key).agg(F.count("*").alias("runs"), F.max(apart("_p0", "_p1")).alias("_p"), F.max(apart("_m0", "_m1")).alias("_m"))
+    return out.select(key, "runs", F.round("_p", 9).alias("probability_difference"), F.round("_m", 9).alias("cam_difference"), ((F.col("_p") <= most_p) & (F.col("_m") <= most_map)).alias("equal"))

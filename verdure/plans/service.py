@@ -264,6 +264,21 @@ def largest_gap(spark, d):
     return gaps.groupBy("user_id").agg(F.round(F.max("gap"), 6).alias("largest"), F.count("*").alias("pairs"))
 
 
+_SOFT = "list_transform({z}, lambda x: exp(x - list_max({z})) / list_sum(list_transform({z}, lambda y: exp(y - list_max({z})))))"
+_CAM = "list_transform({v}, lambda x: greatest(x, 0) / greatest(list_max({v}), 1e-8::DOUBLE))"
+
+
+@query(f"""WITH e AS (SELECT label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT *, list_transform(z, lambda x: round(x, 3)) AS z2, list_transform(v, lambda x: round(x, 3)) AS v2 FROM e),
+p AS (SELECT label, {_SOFT.format(z='z')} AS p, {_SOFT.format(z='z2')} AS p2, {_CAM.format(v='v')} AS c, {_CAM.format(v='v2')} AS c2 FROM f), d AS (SELECT label, list_max(list_transform(range(1, 11), lambda i: abs(p[i] - p2[i]))) AS dp, list_max(list_transform(range(1, 65), lambda i: abs(c[i] - c2[i]))) AS dc FROM p)
+SELECT label, count(*) AS runs, round(max(dp), 9) AS probability_difference, round(max(dc), 9) AS cam_difference, max(dp) <= 0.001 AND max(dc) <= 0.01 AS equal FROM d GROUP BY label""")
+def export_fidelity(spark, d):
+    """Two runs of the same models, one on numbers of three decimals: the largest differences of any probability and of any place of a normalised map, for each class."""
+    rows = _logits(spark, d).join(_t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
+    cut = lambda a: F.transform(a, lambda x: F.round(x, 3))
+    rows = rows.select("label", "logits", "v", cut("logits").alias("logits2"), cut("v").alias("v2"))
+    return scoring.fidelity(rows, "label", ("logits", "logits2"), ("v", "v2"), 0.001, 0.01)
+
+
 @query("SELECT conv_id, turn::BIGINT AS line_no, role, md5(text) AS digest, length(text)::BIGINT AS chars FROM conversations")
 def stream_reassembly(spark, d):
     """Conversations sent as JSON lines in chunks that begin and end within lines, read as a stream in several batches and put together again; the last line has no line feed."""

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
@@ -58,29 +58,56 @@ def measured(corners: np.ndarray) -> tuple[float, float, float, float]:
     return float(area), float(length.sum()), float(best.max()), float(best.min())
 
 
+def _extremes(labelled: DataFrame) -> DataFrame:
+    """(image_id, label, rows): the first and last pixel of each row of a region, which alone can be corners."""
+    rows = labelled.groupBy("image_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return rows.groupBy("image_id", "label").agg(F.collect_list(F.struct("y", "a", "b")).alias("rows"))
+
+
+def _points(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The extremes of each region, sorted (x, y)."""
+    first = np.append(0, np.cumsum(batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)))
+    cells = batch.column("rows").flatten()
+    y, a, b = (cells.field(k).to_numpy() for k in ("y", "a", "b"))
+    for i in range(batch.num_rows):
+        at = slice(first[i], first[i + 1])
+        yield np.unique(np.concatenate([np.stack([a[at], y[at]], 1), np.stack([b[at], y[at]], 1)]), axis=0).astype(np.int64)
+
+
+def corners(labelled: DataFrame) -> DataFrame:
+    """(image_id, label, corners): the convex hull of each region, an array of (x, y) in turn."""
+    ship(labelled.sparkSession)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[{"x": int(x), "y": int(y)} for x, y in hull(p)] for p in _points(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("label"), pa.array(out, pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))], names=["image_id", "label", "corners"])
+
+    kinds = dict(labelled.dtypes)
+    return _extremes(labelled).mapInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, corners array<struct<x: bigint, y: bigint>>")
+
+
+def inside(corners: str, x: str, y: str) -> Column:
+    """Whether a place lies in a hull of corners() or on its edge."""
+    c = F.col(corners)
+    last = F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
+    side = F.zip_with(c, last, lambda p, q: (q["x"] - p["x"]) * (F.col(y) - p["y"]) - (q["y"] - p["y"]) * (F.col(x) - p["x"]))
+    return F.forall(side, lambda v: v >= 0)
+
+
 def hulls(labelled: DataFrame) -> DataFrame:
     """(image_id, label, hull_area, hull_perimeter, long_side, short_side): of the convex hull through pixel centres, and of the least frame around it at any turn.
 
     Only a row's first and last pixel can be a corner: a region is two points a row of its image before it is gathered, however many pixels it has."""
     ship(labelled.sparkSession)
-    rows = labelled.groupBy("image_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    gathered = rows.groupBy("image_id", "label").agg(F.collect_list(F.struct("y", "a", "b")).alias("rows"))
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.append(0, np.cumsum(batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)))
-            cells = batch.column("rows").flatten()
-            y, a, b = (cells.field(k).to_numpy() for k in ("y", "a", "b"))
-            out = []
-            for i in range(batch.num_rows):
-                at = slice(first[i], first[i + 1])
-                points = np.unique(np.concatenate([np.stack([a[at], y[at]], 1), np.stack([b[at], y[at]], 1)]), axis=0).astype(np.int64)
-                out.append(measured(hull(points)))
+            out = [measured(hull(p)) for p in _points(batch)]
             numbers = np.array(out).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("label"), *(pa.array(numbers[:, k]) for k in range(4))], names=["image_id", "label", "hull_area", "hull_perimeter", "long_side", "short_side"])
 
     kinds = dict(labelled.dtypes)
-    return gathered.mapInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, hull_area double, hull_perimeter double, long_side double, short_side double")
+    return _extremes(labelled).mapInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, hull_area double, hull_perimeter double, long_side double, short_side double")
 
 
 def shapes(labelled: DataFrame) -> DataFrame:

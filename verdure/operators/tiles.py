@@ -33,6 +33,12 @@ def gaussian(sigma: float) -> np.ndarray:
 SLOPE, SMOOTH, SECOND = np.array([-1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0]), np.array([1.0, -2.0, 1.0])
 
 
+def ellipse(size: int) -> list[int]:
+    """How far an ellipse of `size` (odd) rows and columns reaches to each side, for each of its rows."""
+    r = size // 2
+    return [round(r * math.sqrt((r * r - d * d) / (r * r))) if r else 0 for d in range(-r, r + 1)]
+
+
 def mirrored(at: np.ndarray, size: int) -> np.ndarray:
     """Places inside 0 .. size-1 for places beyond: mirrored at the first and last, which aren't repeated."""
     if size == 1:
@@ -88,6 +94,20 @@ class Patch:
             out = self._like(value, out._moved(lo, axis))
         return out
 
+    def round(self, size: int, most: bool = True) -> Patch:
+        """The largest (else the least) value in an ellipse of `size` (odd) rows and columns. Beyond the image nothing counts."""
+        best, reach = (np.maximum if most else np.minimum), size // 2
+        lo, tap = self._taps(reach, 1)
+        rows = [self._like(tap(0), self._moved(lo, 1))]
+        for k in range(1, reach + 1):  # rows[k]: the best of k places each way
+            rows.append(self._like(best(rows[-1].values, best(tap(k), tap(-k))), self._moved(lo, 1)))
+        out = None
+        for dy, dx in enumerate(ellipse(size)):
+            lo, tap = rows[dx]._taps(reach, 0)
+            value = tap(dy - reach)
+            out = value if out is None else best(out, value)
+        return self._like(out, rows[0]._moved(lo, 0))
+
     def cut(self, top: int, left: int, rows: int, columns: int) -> np.ndarray:
         y, x = top - self.at[0], left - self.at[1]
         return self.values[y : y + rows, x : x + columns]

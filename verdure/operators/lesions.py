@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared_folder
@@ -12,15 +12,21 @@ from . import raster, shape, tiles
 OPEN, RING, NEAR, AROUND, LEAST_AROUND = 3, 5, 5, 31, 20
 
 
-def _offsets(size: int):
-    """The places of an ellipse, an array of (dy, dx)."""
-    return F.array(*(F.struct(F.lit(dy - size // 2).alias("dy"), F.lit(dx).alias("dx")) for dy, reach in enumerate(tiles.ellipse(size)) for dx in range(-reach, reach + 1)))
+def _merged(spans: DataFrame) -> DataFrame:
+    """(image_id, label, y, a, b): spans of a row from a to b, put together where they touch."""
+    row = Window.partitionBy("image_id", "label", "y").orderBy("a")
+    before = F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("a") > before + 1, F.lit(True)).cast("int")
+    parts = spans.withColumn("_new", begins).withColumn("_part", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("image_id", "label", "y", "_part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_part")
 
 
 def _widened(labelled: DataFrame, size: int) -> DataFrame:
-    """(image_id, label, y, x): the places within an ellipse of a patch's pixels, each once. Patches overlap, so each is widened by itself."""
-    out = labelled.select("image_id", "label", "y", "x", F.explode(_offsets(size)).alias("d"))
-    return out.select("image_id", "label", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
+    """(image_id, label, y, x): the places within an ellipse of a patch's pixels, each once. Patches overlap, so each is widened by itself: runs of pixels grow and merge, single places come last."""
+    runs = _merged(labelled.select("image_id", "label", "y", F.col("x").alias("a"), F.col("x").alias("b")))
+    grown = F.array(*(F.struct(F.lit(i - size // 2).alias("dy"), F.lit(reach).alias("dx")) for i, reach in enumerate(tiles.ellipse(size))))
+    wide = runs.select("image_id", "label", "y", "a", "b", F.explode(grown).alias("d")).select("image_id", "label", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("a") - F.col("d.dx")).alias("a"), (F.col("b") + F.col("d.dx")).alias("b"))
+    return _merged(wide).select("image_id", "label", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
 
 def candidates(pixels: DataFrame, filled: str, lesion: str, tile: int = tiles.TILE) -> DataFrame:

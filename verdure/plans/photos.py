@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gate, raster, resize, segment, shape, tiles
+from ..operators import gate, lesions, raster, resize, segment, shape, tiles
 from ..sources import synthetic
 from .catalogue import _CC, _EIGHT, _HSV, _PX, SIDE, _pixels, _t, query
 
@@ -159,3 +159,12 @@ def region_shapes(spark, d):
     out = shape.shapes(labelled.join(large, ["image_id", "label"], "left_semi"))
     frame = F.round(F.col("long_side") * F.col("short_side"), 6) + F.lit(0.0)
     return out.select("image_id", "label", *(F.round(k, 6).alias(k) for k in ("area", "perimeter", "hull_area", "hull_perimeter", "solidity", "convexity_ratio")), frame.alias("frame"))
+
+
+@query()
+def marginal_patches(spark, d):
+    """Patches cut out of each photo's leaf: which of them belong to it, by their rings, their surroundings and their colour. Its SQL would be thousands of steps of recursion; tests/test_lesions.py has the rule in plain loops."""
+    patch = (F.floor((F.col("x") * 7 + F.col("image_id")) / 63) + F.floor(F.col("y") / 7)) % 5 == 0
+    px = raster.with_masks(_photos(spark, d)).withColumns({"lesion": patch, "leaf": F.col("leaf") & ~patch})
+    out = lesions.marginal(px.select("image_id", "y", "x", "height", "width", "leaf", "lesion", "lab_a", "lab_b"), "leaf", "lesion")
+    return out.select("image_id", "label", "pixels", F.round("border", 6).alias("border"), "around", F.round("distance", 6).alias("distance"), "keeps")

@@ -84,11 +84,11 @@ def false_colours(spark) -> DataFrame:
     return spark.range(256).select(F.col("id").cast("int").alias("level")).withColumns({"red": ramp(0.75), "green": ramp(0.5), "blue": ramp(0.25)})
 
 
-def overlaid(pixels: DataFrame, heat: str, alpha: Column) -> DataFrame:
-    """pixels with b, g, r blended with the false colour of their heat (0 .. 1), cut to whole numbers."""
+def overlaid(pixels: DataFrame, heat: str, alpha: Column, prefix: str = "") -> DataFrame:
+    """pixels with b, g, r (or, with a prefix, further columns) blended with the false colour of their heat (0 .. 1), cut to whole numbers."""
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(heat))) * 255).cast("int")
     out = pixels.withColumn("_level", level).join(F.broadcast(false_colours(pixels.sparkSession).toDF("_level", "_r", "_g", "_b")), "_level")
-    return out.withColumns({k: F.floor((1 - alpha) * F.col(k) + alpha * F.col(f"_{k}")).cast("int") for k in "bgr"}).drop("_level", "_r", "_g", "_b")
+    return out.withColumns({f"{prefix}{k}": F.floor((1 - alpha) * F.col(k) + alpha * F.col(f"_{k}")).cast("int") for k in "bgr"}).drop("_level", "_r", "_g", "_b")
 
 
 def focus_alpha(heat: str) -> Column:

@@ -46,9 +46,9 @@ _BLEND = "floor((1 - al) * {0} + al * {1})"
 def heat_overlay(spark, d):
     """Channel sums of the heat map laid over the photo: with one strength, and with strength by heat."""
     px = _pixels(spark, d)
-    plain, focus = raster.overlaid(px, "heat", F.lit(0.45)), raster.overlaid(px, "heat", raster.focus_alpha("heat"))
+    both = raster.overlaid(raster.overlaid(px, "heat", raster.focus_alpha("heat"), "focus_"), "heat", F.lit(0.45))
     total = lambda c: F.sum(F.col(c).cast("long"))
-    return plain.groupBy("image_id").agg(total("r").alias("red"), total("b").alias("blue")).join(focus.groupBy("image_id").agg(total("r").alias("focus_red")), "image_id")
+    return both.groupBy("image_id").agg(total("r").alias("red"), total("b").alias("blue"), total("focus_r").alias("focus_red"))
 
 
 @query(f"WITH RECURSIVE {_PX}, {_COMPONENTS}, s AS (SELECT image_id, label, sum(heat) AS total FROM l JOIN px USING (image_id, y, x) GROUP BY ALL), i AS (SELECT p_partkey AS image_id, k AS label FROM part, (VALUES (1), (2), (3), (20)) t(k)) SELECT image_id, label, round(coalesce(total, 0), 6) AS total FROM i LEFT JOIN s USING (image_id, label)")

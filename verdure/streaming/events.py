@@ -53,10 +53,29 @@ def last_results(events: DataFrame, key: str, order: str, *columns: str) -> Data
 BUCKETS = 64
 
 
+def _forget(spark: SparkSession, out: str, number: int) -> None:
+    """Removes what no batch from `number` on reads: of each bucket all versions before the newest one that is older than `number`. Folders only, through Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    older: dict[str, list] = {}
+    for v in fs.listStatus(root):
+        name = v.getPath().getName()
+        if name.startswith("version=") and int(name[8:]) < number:
+            for b in fs.listStatus(v.getPath()):
+                if b.isDirectory():
+                    older.setdefault(b.getPath().getName(), []).append((int(name[8:]), b.getPath()))
+    for versions in older.values():
+        for version, path in sorted(versions, key=lambda x: x[0])[:-1]:
+            if version >= 0:  # the first, empty one holds the schema's place
+                fs.delete(path, True)
+
+
 def history_stream(spark: SparkSession, source: str, file: str, schema: str, owner: str, order: list[str], out: str, checkpoint: str, keep: int = HISTORY) -> DataFrame:
     """Reads the files of `source` that match `file`, or of the folders that do, as a stream and keeps each owner's newest rows in the folder `out`: a version of a bucket of owners for each batch that has rows of it; returns the last version of each.
 
-    A batch builds on the versions before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped."""
+    A batch builds on the versions before its own and overwrites its own, so a stream that starts again from its checkpoint goes on where it stopped. Of each bucket at most two versions stay: the batch's
+    own and the one that it was built on."""
     stream = spark.readStream.schema(schema).parquet(f"{source}/{file}")
     columns = stream.columns
     kept = StructType([*stream.schema.fields, StructField("version", IntegerType()), StructField("bucket", IntegerType())])
@@ -73,6 +92,7 @@ def history_stream(spark: SparkSession, source: str, file: str, schema: str, own
         rows = batch.withColumn("bucket", F.pmod(F.xxhash64(owner), F.lit(BUCKETS)).cast("int"))
         rows = last(number, rows.select("bucket").distinct()).unionByName(rows)
         newest(rows, owner, *(F.desc(c) for c in order), keep=keep).drop("r").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/version={number}")
+        _forget(spark, out, number)
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

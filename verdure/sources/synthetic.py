@@ -13,7 +13,8 @@ def photos(specs: DataFrame) -> DataFrame:
     """Pixels (image_id, y, x, height, width, b, g, r, leaf) of specs (image_id, height, width, noise, light, has_leaf): soil has whole noise below `noise`, all is `light` per cent bright, cut at 255.
     Noise is a multiplicative hash of image, place and channel, so every run gives the same photos."""
     i, w, h = F.col("i"), F.col("width"), F.col("height")
-    rows = specs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), h.cast("long") * w - 1)).alias("i"))
+    spread = specs.repartition(specs.sparkSession.sparkContext.defaultParallelism, "image_id")  # few specs make many pixels
+    rows = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), h.cast("long") * w - 1)).alias("i"))
     rows = rows.withColumns({"y": F.floor(i / w).cast("int"), "x": (i % w).cast("int")})
     across, down = (F.col("x") - w / F.lit(2.0)) / (w * F.lit(HALF_WIDTH)), (F.col("y") - h / F.lit(2.0)) / (h * F.lit(HALF_HEIGHT))
     rows = rows.withColumn("leaf", F.col("has_leaf") & (across * across + down * down < 1))

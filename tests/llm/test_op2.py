@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from tests.conftest import DATA
@@ -70,3 +71,41 @@ def test_factors_go_on_in_one_block(spark):
     docs = [(1, [*A[1:14], "zz", *A[:13]]), (2, A[:14]), (3, [*A, "end"]), (4, [*A, "end"]), (5, ["x", *A[:30], "y"])]
     got = {r.doc_id: [tuple(f) for f in r.factors] for r in op2_rlz.deduplicated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), texts=False).collect()}
     assert got == {1: [], 2: [(0, 13, 1, 14)], 3: [(0, 13, 1, 14)], 4: [(0, 61, 3, 0)], 5: [(1, 13, 1, 14), (14, 17, 3, 13)]}
+
+
+def marked(at, n, size):
+    """The words that one document's parse removes."""
+    which, begin, low, high = op2_rlz.greedy(np.array(at), np.array(n))
+    end = [at[i] + n[i] - 1 + op2_rlz.LENGTH for i in which]
+    return {x for a, b in [*zip(begin, end, strict=True), *zip(low, high, strict=True)] for x in range(a, min(b, size))}, list(zip(begin.tolist(), end, strict=True)), list(zip(low.tolist(), high.tolist(), strict=True))
+
+
+def test_factors_and_windows_across_their_ends():
+    """Runs of known windows: 0-4 in one block, 6-9 in another, all of which begin in the first factor; 15-20 begin in it and behind it; 40 stands alone."""
+    words, factors, border = marked([0, 6, 15, 40], [5, 4, 6, 1], 60)
+    assert factors == [(0, 17), (17, 33), (40, 53)]
+    assert border == [(6, 22), (15, 29)]
+    assert words == {*range(33), *range(40, 53)}
+
+
+def test_random_runs_against_plain_marks():
+    """Factors don't overlap, are as long as their run goes on, and with the windows at their ends cover the words of all known windows."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        known = np.flatnonzero(rng.random(120) < rng.choice([0.05, 0.5, 0.95]))
+        cut = np.flatnonzero(np.append(True, (np.diff(known) > 1) | (rng.random(max(0, len(known) - 1)) < 0.2))[: len(known)])
+        at, n = known[cut], np.diff(np.append(cut, len(known)))
+        words, factors, border = marked(at, n, 132)
+        assert words == {x for k in known for x in range(k, k + 13)}
+        assert all(a[1] <= b[0] for a, b in zip(factors, factors[1:], strict=False)) and all(b - a >= 13 for a, b in factors)
+        assert all(any(f[0] <= a < f[1] < b for f in factors) for a, b in border if b > max((f[1] for f in factors if f[0] <= a), default=0))
+
+
+@pytest.mark.parametrize(("off", "want"), [("", {1: 0, 2: 0, 3: 31}), ("factors", {1: 0, 2: 0, 3: 0}), ("border", {1: 0, 2: 0, 3: 21})])
+def test_the_parse_decides(spark, monkeypatch, off, want):
+    """Document 3 is one factor of document 1; the rest of it is found by windows that begin in the factor and go on in document 2."""
+    parse, nothing = op2_rlz.greedy, np.zeros(0, np.int64)
+    frame = spark.createDataFrame([(1, " ".join(A[:21])), (2, " ".join(A[10:31])), (3, " ".join(A[:31]))], "doc_id long, text string")
+    if off:
+        monkeypatch.setattr(op2_rlz, "greedy", lambda at, n: (nothing,) * 4 if off == "factors" else (*parse(at, n)[:2], nothing, nothing))
+    assert {r.doc_id: r.n_removed for r in op2_rlz.deduplicated(frame, texts=False).select("doc_id", "n_removed").collect()} == want

@@ -2,9 +2,9 @@
 
 The reference holds every window of LENGTH words once, where it first starts: at the smallest id, and there at the first place.  Its blocks are the
 stretches of a document whose windows start there first, so each window has one place (source, source_at) in one block.  A document is parsed greedily from left to
-right: the factor at a position is the longest stretch that goes on word by word in one block; where no window is known, the parse steps over a word.
-As a window has one place only, the next window either continues the factor or ends it.  Windows that begin in a factor and cross its end
-are looked up as well (their own place in the reference is known), so a copy is found wherever the parse happened to cut.  Words
+right: the factor at a position is the longest stretch that goes on word by word in a block; where no window is known, the parse steps over a word.
+As a window lies in one block only, no other block can hold a longer factor of LENGTH words or more, and the next window either continues the factor or ends it.
+Windows that begin in a factor and cross its end (at most LENGTH - 1 of them) are looked up as well, so a copy is found wherever the parse happened to cut.  Words
 in factors and in such border windows are removed, and no others.  A text that repeats all words of one with a smaller id is one factor of it.
 
 The index is built by Spark in two levels.  Anchors, the least of ANCHORS neighbouring hashes of GRAM words, are in every
@@ -198,15 +198,19 @@ def _runs(copied: DataFrame) -> DataFrame:
     return c.map_arrow(dealt, merge, f"id long, at int, n int, source {copied.schema['source'].dataType.simpleString()}, source_at int")
 
 
-def greedy(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one document's runs of windows (from `at`, n of them, rising): (which run a factor is cut from, the factor's first word). What a factor skips are windows across its end."""
-    which, begin, position = [], [], 0
+def greedy(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parse of one document with the runs of windows (from `at`, n of them, rising): (which run a factor is cut from, the factor's first word) and (low, high): the
+    words of the windows that begin in a factor, cross its end and are known themselves."""
+    which, begin, low, high, position = [], [], [], [], 0
     for i, (a, k) in enumerate(zip(at.tolist(), n.tolist(), strict=True)):
+        if a < position:  # its first windows begin in the factor before, at most LENGTH - 1 words ahead of the end
+            low.append(a)
+            high.append(min(a + k, position) - 1 + LENGTH)
         if a + k > position:  # it has a window at the position or later
             which.append(i)
             begin.append(max(a, position))
             position = a + k - 1 + LENGTH
-    return np.array(which, np.int64), np.array(begin, np.int64)
+    return tuple(np.array(x, np.int64) for x in (which, begin, low, high))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
@@ -262,15 +266,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", texts
                         of[r + 1] = 1
                         continue
                     mine = slice(a, first[r + 1])
-                    which, begin = greedy(at[mine], n[mine])
+                    which, begin, low, high = greedy(at[mine], n[mine])
                     end = at[mine][which] + n[mine][which] - 1 + LENGTH
-                    np.add.at(gone, base + begin, 1)
-                    np.add.at(gone, base + end, -1)
-                    # Windows that cross the end of the factor they begin in: the runs' windows before the next factor's.
-                    low = at[mine]
-                    high = low + n[mine] - 1 + LENGTH
-                    np.add.at(gone, base + low, 1)
-                    np.add.at(gone, base + high, -1)
+                    # Removed are the factors' words and those of the windows looked up at factors' ends, nothing else.
+                    np.add.at(gone, base + np.concatenate([begin, low]), 1)
+                    np.add.at(gone, base + np.concatenate([end, high]), -1)
                     picked.append(a + which)
                     starts.append(begin)
                     sizes.append(end - begin)
@@ -302,5 +302,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", texts
     return out.withColumnRenamed("key", key)
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT line, doc_id, words, unnest(range(1, len(words) - 11)) AS since FROM d WHERE len(words) >= 13),
+w AS (SELECT line, doc_id, since, sha256(array_to_string(words[since : since + 12], ' ')) AS seq FROM s),
+f AS (SELECT seq, min(doc_id) AS first FROM w GROUP BY 1),
+gone AS (SELECT DISTINCT line, since + k AS place FROM w JOIN f USING (seq), range(13) r(k) WHERE first < doc_id),
+x AS (SELECT line, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+kept AS (SELECT line, string_agg(word, ' ' ORDER BY place) AS words, count(*) AS n FROM x ANTI JOIN gone USING (line, place) GROUP BY 1)
+SELECT doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (line)
+"""
+
+
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(c.table(spark, sf_dir, "documents"), texts=False).drop("factors")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .op1_hmm import op1_hmm_score
-from .op2_rlz import op2_substring_dedup
+from .op2_rlz import OP2_SQL, op2_substring_dedup
 from .op3_pii import op3_personal_data
 from .op4_omh import op4_near_duplicates
 from .op10_crf import op10_quality
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_round_trip": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL, "op8_curriculum_mix": OP8_SQL, "op11_phrase_collocations": OP11_SQL, "op13_importance_sample": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_warc_round_trip": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_nearest": OP7_SQL, "op8_curriculum_mix": OP8_SQL, "op11_phrase_collocations": OP11_SQL, "op13_importance_sample": OP13_SQL}

@@ -60,3 +60,46 @@ def test_calibration(pools, cut):
     table = [((i,), [0, 0, a, b]) for i, (_, a, b) in enumerate(pools)]
     trees = [(0, 1, 0.0, (0, 2, 1.0, 2.0))]
     assert op3_pii.calibrated(table, trees, 0.0) == cut
+
+
+def test_one_text_with_50_000_spans(spark, model):
+    """Every span of a very long text is where it was written, and the redacted text is the text without them; a quadratic step would not end."""
+    text, spans, masked = [], [], []
+    at = 0
+    for i in range(12_500):
+        for kind, before, item in (("email", "mail ", f"user{i}@host{i}.com"), ("phone", " or ", f"+49 30 {1000000 + i}"), ("secret", ' and token = "', f"9f86d081884c7d659a2f{i:06d}"), ("ip", '" from ', f"10.0.{i % 256}.{i // 256}")):
+            text.append(before + item)
+            spans.append((op3_pii.ORDER.index(kind), at + len(before), at + len(before) + len(item)))
+            masked.append(f"{before}[{kind.upper()}]")
+            at += len(before) + len(item)
+        text.append(" \n")
+        masked.append(" \n")
+        at += 2
+    df = spark.createDataFrame([(1, "".join(text))], "doc_id long, text string")
+    (row,) = op3_pii.personal_data(df, model=model).select("spans").collect()
+    assert [tuple(x) for x in row.spans] == sorted(spans)
+    (row,) = op3_pii.redacted(df, model=model).collect()
+    assert row.text == "".join(masked)
+
+
+def test_blocks_against_a_plain_loop(spark):
+    """Spans in blocks: those left out because they overlap, and, with grow, what they move."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        starts = sorted(rng.randrange(200) for _ in range(rng.choice([0, 1, 2, 5, 40])))
+        rows.append((k, [(s, s + rng.randint(1, 12), rng.randrange(6)) for s in starts]))
+    df = spark.createDataFrame(rows, "n int, x array<struct<start:int,end:int,kind:int>>").withColumn("_b", op3_pii._in_blocks("x"))
+    for grow in (False, True):
+        out = df.withColumn("c", F.flatten(F.transform(op3_pii._chain("_b", grow), lambda b: b["out"]))).select("n", "c").collect()
+        for r in out:
+            at, want = 0, []
+            for s, e, kind in rows[r.n][1]:
+                if s >= at:
+                    want.append((at, s, e, kind))
+                    at = e
+                elif grow:
+                    at = max(at, e)
+            assert [tuple(x) for x in r.c or []] == want

@@ -10,8 +10,8 @@ format are negative, and so are the other candidates of the slices, which are un
 counts are compiled into a column expression.  On the fifth of the examples that no tree saw, scores are calibrated for each kind
 (pool adjacent violators); candidates whose calibrated share of positives reaches PRECISION are redacted besides the base spans.  Nothing depends on the size of the corpus.
 
-Positions count code points.  They come from splitting a text at its matches; running sums are taken in blocks of about the
-square root of their number, so a text with very many matches doesn't cost its square.
+Positions count code points.  They come from splitting a text at its matches; running sums are taken, and spans and
+pieces put together, in blocks of about the square root of their number; base spans that touch a candidate are found by halving.  So a text with very many matches doesn't cost its square.
 
 Edge cases: null text is empty; empty texts have no spans; overlapping candidates give one span, the earliest; repeated rows are judged each; an empty
 table gives no rows; other columns pass through redacted() and are ignored else.
@@ -54,28 +54,34 @@ PRECISION, ROUNDS, RATE, DEPTH = 0.95, 32, 0.3, 4
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-
 def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     """(matches, the text's pieces around them)."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def _starts(df: DataFrame, found: str, pieces: str, out: str) -> DataFrame:
-    """Adds `out`: the code point each of `found` starts at. Two-level running sums."""
-    n = F.size(found)
+def _in_blocks(items: str) -> Column:
+    """An array as arrays of about the square root of its size. By name: a column used more than once isn't computed again inside a lambda."""
+    n = F.size(items)
     step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    df = df.withColumn("_lengths", F.zip_with(found, F.slice(pieces, 1, n), lambda m, p: F.coalesce(F.length(m) + F.length(p), F.lit(0))))
-    df = df.withColumn("_step", step).withColumn("_blocks", F.when(n > 0, F.transform(F.sequence(F.lit(0), ((n - 1) / F.col("_step")).cast("int")), lambda b: _sum(F.slice("_lengths", b * F.col("_step") + 1, F.col("_step"))))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), ((n - 1) / step).cast("int")), lambda b: F.slice(items, b * step + 1, step)))
+
+
+def _starts(df: DataFrame, found: str, pieces: str, out: str) -> DataFrame:
+    """Adds `out`: the code point each of `found` starts at. The last piece follows the last match."""
+    long = lambda x: F.coalesce(F.length(x), F.lit(0))
+    df = df.withColumn("_lengths", F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(long(m).alias("match"), long(p).alias("piece"))))
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
 
-    def start(piece: Column, i: Column) -> Column:
-        block = (i / F.col("_step")).cast("int")
-        return _sum(F.slice("_blocks", F.lit(1), block)) + _sum(F.slice("_lengths", block * F.col("_step") + 1, i - block * F.col("_step"))) + F.length(piece)
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["piece"]
+        return F.struct((start + x["match"]).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-    # The last piece follows the last match.
-    return df.withColumn(out, F.when(n > 0, F.transform(F.slice(pieces, 1, n), start))).drop("_lengths", "_step", "_blocks")
+    def block(done: Column, lengths: Column) -> Column:
+        return F.concat(done, F.array(F.aggregate(lengths, begin(F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))), add)))
+
+    df = df.withColumn("_blocks", _in_blocks("_lengths"))
+    sums = F.aggregate("_blocks", F.array().cast("array<struct<at:int,out:array<int>>>"), block)
+    return df.withColumn(out, F.flatten(F.transform(sums, lambda b: b["out"]))).drop("_lengths", "_blocks")
 
 
 def _holds(kind: str, m: Column) -> Column:
@@ -124,6 +130,43 @@ def with_candidates(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("candidates", every).drop(*(f"_c{g}" for g in range(len(GENERATORS))))
 
 
+def _touches(start: Column, end: Column) -> Column:
+    """Whether a base span shares a code point. Spans of one kind rise and don't overlap: the first that ends behind `start` is found by halving."""
+
+    def found(kind: str) -> Column:
+        spans = F.col(f"base_{kind}")
+
+        def halve(x: Column, _: Column) -> Column:
+            middle = F.shiftright(x["low"] + x["high"], 1)
+            behind = F.get(spans, middle)["end"] > start
+            return F.when(x["low"] >= x["high"], x).when(behind, F.struct(x["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), x["high"].alias("high")))
+
+        steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
+        at = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), halve, lambda x: x["low"])
+        return (F.size(spans) > 0) & F.coalesce(F.get(spans, at)["start"] < end, F.lit(False))
+
+    return found("email") | found("ip") | found("card") | found("phone")
+
+
+PIECE = "struct<from:int,start:int,end:int,kind:int>"
+
+
+def _chain(blocks: str, grow: bool = False) -> Column:
+    """Of blocks of spans (start, end, kind; rising by start) those that begin at or behind the end so far, kept in their blocks: of each block `at`, the end after it,
+    and `out`, the spans with the end before them as `from`. grow: a span left out may move the end. Each block is put together apart, so no long array is copied for every span."""
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{PIECE}>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        piece = F.struct(acc["at"].alias("from"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        left = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")) if grow else acc
+        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(left)
+
+    def block(done: Column, spans: Column) -> Column:
+        return F.concat(done, F.array(F.aggregate(spans, begin(F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))), add)))
+
+    return F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:array<{PIECE}>>>"), block)
+
+
 def _describe(g: int, name: str, x: Column) -> Column:
     m, start = x["m"], x["s"].cast("int")
     end, size = start + F.length(m), F.length(m)
@@ -152,8 +195,7 @@ def _describe(g: int, name: str, x: Column) -> Column:
         "spelt": m.rlike(r"(?i)[\[(]\x20?at|at\x20?[\])]").cast("int") + 2 * m.rlike(r"(?i)[\x20(\[]dot[\x20)\]]").cast("int"),
         "before": _class(F.right(before, F.lit(1))), "after": _class(F.left(x["a"], F.lit(1))), "word": word,
     }
-    touches = F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    return F.struct(start.alias("start"), end.alias("end"), touches.alias("touches"), *(values[f].cast("int").alias(f) for f in FEATURES))
+    return F.struct(start.alias("start"), end.alias("end"), _touches(start, end).alias("touches"), *(values[f].cast("int").alias(f) for f in FEATURES))
 
 
 def formats() -> list[tuple[int, str, str]]:
@@ -327,18 +369,20 @@ def fit(docs: DataFrame, key: str, text: str, precision: float = PRECISION) -> t
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: float = PRECISION, model: tuple | None = None) -> DataFrame:
     """docs with base_email .. base_phone, base and `spans` added: arrays of (kind: place in ORDER, start, end), by kind and start. model: of fit()."""
-    clash = {f"base_{k}" for k in KINDS} | {"base", "spans", "candidates", "_text"}
+    clash = {f"base_{k}" for k in KINDS} | {"base", "spans", "candidates", "_text", "_picked", "_blocks", "_added"}
     docs = docs.drop(*(clash & set(docs.columns) - {key, text})).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     trees, bias, cuts = model or fit(docs, key, "_text", precision)
     found = with_candidates(with_base(docs, "_text"), "_text")
     kept = {k: x for k, x in enumerate(cuts) if math.isfinite(x)}
     enough = "CASE x.kind " + " ".join(f"WHEN {k} THEN {x - 1e-6!r}D" for k, x in kept.items()) + " END"
     score = " + ".join([f"{bias!r}D", *map(compiled, trees)])
-    picked = F.expr(f"transform(filter(candidates, x -> NOT x.touches AND {score} >= {enough}), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))" if kept else f"CAST(array() AS {SPAN})")
-    by_start = F.array_sort("_picked", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    last = lambda acc: F.element_at(acc, -1)["end"]
-    added = F.when(F.size("_picked") > 0, F.aggregate(by_start, F.array().cast(SPAN), lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= last(acc)), F.concat(acc, F.array(x))).otherwise(acc))).otherwise(F.array().cast(SPAN))
-    return found.withColumn("_picked", picked).withColumn("spans", F.array_sort(F.concat("base", added))).drop("candidates", "_text", "_picked")
+    by_start = "x -> named_struct('start', x.start, 'back', -x.end, 'generator', x.generator, 'kind', x.kind)"  # of alike spans the first generator's
+    none = "CAST(array() AS array<struct<start:int,back:int,generator:int,kind:int>>)"
+    picked = F.array_sort(F.expr(f"transform(filter(candidates, x -> NOT x.touches AND {score} >= {enough}), {by_start})" if kept else none))
+    found = found.withColumn("_picked", picked).withColumn("_picked", F.transform("_picked", lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["kind"].alias("kind"))))
+    found = found.withColumn("_blocks", _in_blocks("_picked")).withColumn("_added", F.coalesce(F.flatten(F.transform(_chain("_blocks"), lambda b: b["out"])), F.array().cast(f"array<{PIECE}>")))
+    added = F.transform("_added", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return found.withColumn("spans", F.array_sort(F.concat("base", added))).drop("candidates", "_text", "_picked", "_blocks", "_added")
 
 
 def written(spans: str) -> Column:
@@ -354,16 +398,18 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -
     found = personal_data(docs, key, text, **more)
     order = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*map(F.lit, ORDER))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(F.get(names, x["kind"])), F.lit("]"))
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.aggregate(order, begin, step, finish)).otherwise(F.col(text))).select(*docs.columns).toDF(*columns)
+    found = found.withColumn("_order", order).withColumn("_blocks", _in_blocks("_order")).withColumn("_chain", _chain("_blocks", grow=True))
+
+    def block(b: Column) -> Column:
+        """The block's pieces, cut from the part of the text it spans."""
+        since = b["out"][0]["from"]
+        text_of = F.substring(F.col(text), since + 1, F.get(b["out"], F.size(b["out"]) - 1)["start"] - since)
+        cut = F.transform(F.arrays_zip(F.array_repeat(F.struct(text_of.alias("t"), since.alias("s")), F.lit(1)).alias("p")), lambda p: F.array_join(F.transform(b["out"], lambda x: F.concat(F.substring(p["p"]["t"], x["from"] - p["p"]["s"] + 1, x["start"] - x["from"]), F.lit("["), F.upper(F.get(names, x["kind"])), F.lit("]"))), ""))  # evaluated once a block
+        return F.when(F.size(b["out"]) > 0, F.get(cut, F.lit(0))).otherwise("")
+
+    tail = F.substring(F.col(text), F.get("_chain", F.size("_chain") - 1)["at"] + 1, F.length(text))
+    out = F.concat(F.array_join(F.transform("_chain", block), ""), tail)
+    return found.withColumn(text, F.when(F.size("_blocks") > 0, out).otherwise(F.col(text))).select(*docs.columns).toDF(*columns)
 
 
 def op3_personal_data(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,13 @@ def ship(spark) -> None:
     context._verdure_shipped = True
 
 
+def stored(df):
+    """df, computed once into files of the shared folder: packed, unlike a checkpoint, and of a size that Spark knows when it plans joins."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; one of its own only where that is unset and all run on this machine."""
     context = spark.sparkContext

@@ -20,9 +20,9 @@ def least_members(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFram
     while True:
         both = named.unionByName(named.select(*keys, v.alias("_u"), u.alias("_v")))
         least = both.groupBy(*keys, "_u").agg(F.least(F.min("_v"), u).alias("_m"))
-        large = both.join(least, [*keys, "_u"]).filter(v > u).select(*keys, v.alias("_u"), m.alias("_v")).distinct()
+        large = both.join(least.hint("merge"), [*keys, "_u"]).filter(v > u).select(*keys, v.alias("_u"), m.alias("_v")).distinct()
         small = large.groupBy(*keys, "_u").agg(F.min("_v").alias("_m"))
-        linked = large.join(small, [*keys, "_u"]).filter(v != m).select(*keys, v.alias("_u"), m.alias("_v"))
+        linked = large.join(small.hint("merge"), [*keys, "_u"]).filter(v != m).select(*keys, v.alias("_u"), m.alias("_v"))
         named = linked.unionByName(small.select(*keys, "_u", m.alias("_v"))).filter(u != v).distinct().checkpoint()
         now = tuple(named.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "_u", "_v"))).first())
         if now == before or not now[0]:

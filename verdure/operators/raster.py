@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import shared_folder, ship
+from .. import ship, stored
 from .closure import least_members
 
 EPS = 1e-6
@@ -167,19 +167,22 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     return label_stack(mask[None], eight)[0] + 1
 
 
-def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[str, ...] = (), frame: int | None = None, tile: int = TILE) -> DataFrame:
+def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[str, ...] = (), frame: int | None = None, tile: int = TILE, spread: bool = False) -> DataFrame:
     """(image_id, y, x, label, keep) of the mask's pixels; a label is the least row-major index of its component, from 1.
 
     Pixels are gathered by tiles, so a row and a task are bounded whatever an image's size, and a task labels many tiles at once. Then the labels on both sides of
     the tiles' borders are joined by place, the graph of labels is closed by rounds of stars, and each label of a tile is looked up once.
     frame: the most rows and columns of an image, where the caller knows them: images within one tile need no second step; a pixel beyond is an error.
+    spread: with a frame; a pixel's value of the first column of `keep`, a flag, is then whether any pixel of its component has it.
     `width` of an image is taken from a column of that name, else it is the mask's and the other pixels' largest x + 1."""
     ship(pixels.sparkSession)
     frame = frame if frame and frame <= TILE else None
+    if spread and not frame:
+        raise ValueError("flags are spread within a frame")
     tile = TILE if frame else tile
     kept = [f"_k{i}" for i in range(len(keep))]
     if "width" not in pixels.columns and not frame:
-        pixels = pixels.join(pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width")), "image_id")
+        pixels = pixels.join(pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width")).hint("shuffle_hash"), "image_id")
     if frame:
         pixels = pixels.withColumn("x", F.when(F.greatest("y", "x") < frame, F.col("x")).otherwise(F.raise_error(F.lit("a pixel beyond the frame"))))
 
@@ -203,7 +206,11 @@ def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[st
                 least = label_stack(grid, eight)[plane[at] - i, y[at], x[at]] % (h * w)
                 code[at] = (least // w + tops[plane[at]] << 32) + least % w + lefts[plane[at]]
             out = [batch.column("image_id").take(pa.array(plane)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)), batch.column("width").take(pa.array(plane)), pa.array(code)]
-            yield pa.RecordBatch.from_arrays([*out, *(cells.field(n) for n in kept)], names=["image_id", "y", "x", "width", "_code", *kept])
+            held = [cells.field(n) for n in kept]
+            if spread:
+                key = (plane << 14) + (code >> 32 << 7) + (code & 127)
+                held[0] = pa.array(np.isin(key, key[held[0].fill_null(False).to_numpy(zero_copy_only=False)]))
+            yield pa.RecordBatch.from_arrays([*out, *held], names=["image_id", "y", "x", "width", "_code", *kept])
 
     part = lambda c: F.floor(F.col(c) / tile).cast("int")
     cell = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(k).alias(n) for k, n in zip(keep, kept, strict=True)))
@@ -214,16 +221,15 @@ def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[st
     kinds = dict(pixels.dtypes)
     local = rows.mapInArrow(label, ", ".join([f"image_id {kinds['image_id']}", "y int", "x int", "width int", "_code long", *(f"{n} {kinds[k]}" for k, n in zip(keep, kept, strict=True))]))
     if not frame:
-        shared_folder(pixels.sparkSession)
-        local = local.checkpoint()  # read for both sides of the borders and for the result
+        local = stored(local)  # read for both sides of the borders and for the result
         reach = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * eight
         here = local.select("image_id", "y", "x", F.col("_code").alias("_a"), F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in reach))).alias("d"))
         here = here.select("image_id", "_a", part("y").alias("ty"), part("x").alias("tx"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
         here = here.filter((part("y") != F.col("ty")) | (part("x") != F.col("tx"))).select("image_id", "y", "x", "_a")
         edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
-        pairs = here.join(local.filter(edge("y") | edge("x")).select("image_id", "y", "x", F.col("_code").alias("_b")), ["image_id", "y", "x"]).select("image_id", "_a", "_b")
+        pairs = here.join(local.filter(edge("y") | edge("x")).select("image_id", "y", "x", F.col("_code").alias("_b")).hint("merge"), ["image_id", "y", "x"]).select("image_id", "_a", "_b")
         least = least_members(pairs, ["image_id"], "_a", "_b").select("image_id", F.col("_a").alias("_code"), F.col("_b").alias("_least"))
-        local = local.join(least, ["image_id", "_code"], "left").withColumn("_code", F.coalesce("_least", "_code"))
+        local = local.join(least.hint("merge"), ["image_id", "_code"], "left").withColumn("_code", F.coalesce("_least", "_code"))
     code = F.col("_code")
     out = local.withColumn("label", (F.shiftright(code, 32) * F.col("width") + code.bitwiseAND(0xFFFFFFFF) + 1).cast("long"))
     return out.select("image_id", "y", "x", F.col("label").cast("int") if frame else "label", *(F.col(n).alias(k) for k, n in zip(keep, kept, strict=True)))
@@ -232,13 +238,14 @@ def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[st
 def fill_holes(pixels: DataFrame, mask: str, frame: int | None = None, tile: int = TILE) -> DataFrame:
     """(image_id, y, x): the mask and what it encloses: background components that don't reach the frame's edge."""
     size = pixels.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
-    outside = components(pixels.withColumn("_not", ~F.col(mask)), "_not", frame=frame, tile=tile).join(size, "image_id")
     border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("_h")) | (F.col("x") == F.col("_w"))
-    reaches = F.max(border).over(Window.partitionBy("image_id", "label")) if frame else None
-    if frame:
-        enclosed = outside.withColumn("_open", reaches).filter(~F.col("_open"))
+    marked = pixels.join(size.hint("shuffle_hash"), "image_id").withColumns({"_not": ~F.col(mask), "_open": border})
+    within = bool(frame and frame <= TILE)
+    outside = components(marked, "_not", keep=("_open",), frame=frame, tile=tile, spread=within)
+    if within:
+        enclosed = outside.filter(~F.col("_open"))
     else:  # a component may be as large as an image: its pixels stay where they are
-        enclosed = outside.join(outside.filter(border).select("image_id", "label").distinct(), ["image_id", "label"], "left_anti")
+        enclosed = outside.join(outside.filter("_open").select("image_id", "label").distinct().hint("merge"), ["image_id", "label"], "left_anti")
     return pixels.filter(mask).select("image_id", "y", "x").unionByName(enclosed.select("image_id", "y", "x"))
 
 
@@ -252,7 +259,7 @@ def regions(labelled: DataFrame, heat: str, least: int = 25, top: int = 5) -> Da
 def focus(pixels: DataFrame, heat: str, leaf: str, lesion: str) -> DataFrame:
     """A row an image: how much of all heat, of its peak and of its hottest tenth lies on the leaf and on lesions (with 4 pixels around, for peak and tenth).
     Images with at most 20 lesion pixels have null for what speaks of lesions, and a share of 0."""
-    cut = pixels.groupBy("image_id").agg(F.expr(f"percentile({heat}, 0.9)").alias("cut"))
+    cut = pixels.groupBy("image_id").agg(F.expr(f"percentile({heat}, 0.9)").alias("cut")).hint("shuffle_hash")
     mass = lambda c: F.sum(F.when(c, F.col(heat)).otherwise(0.0))
     pixels = framed(pixels.withColumn("_ill", F.col(lesion) & F.col(leaf)), "_ill", 4, "_wide")
     peak = F.max_by(F.struct(leaf, "_wide"), F.struct(F.col(heat), -F.col("y"), -F.col("x")))

@@ -16,17 +16,17 @@ def away_from_border(pixels: DataFrame, planes: tuple[str, ...] = ("lab_l", "lab
     between the image's least and most; 0 all over for an image of one colour. The edge is a sliver of an image; its medians, one row an image, are joined back."""
     pixels = sized(pixels)
     edges = F.array(F.col("y") == 0, F.col("y") == F.col("height") - 1, F.col("x") == 0, F.col("x") == F.col("width") - 1)
-    border = pixels.select("image_id", *planes, F.explode(F.filter(edges, lambda e: e))).groupBy("image_id").agg(*(F.median(p).alias(f"_m{i}") for i, p in enumerate(planes)))
+    border = pixels.filter(F.exists(edges, lambda e: e)).select("image_id", *planes, F.explode(F.filter(edges, lambda e: e))).groupBy("image_id").agg(*(F.median(p).alias(f"_m{i}") for i, p in enumerate(planes)))
     apart = F.sqrt(sum(((F.col(p) - F.col(f"_m{i}")) * (F.col(p) - F.col(f"_m{i}")) for i, p in enumerate(planes)), F.lit(0.0)))
-    out = pixels.join(border, "image_id").withColumn("_d", apart)
+    out = pixels.join(border.hint("shuffle_hash"), "image_id").withColumn("_d", apart)
     span = out.groupBy("image_id").agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"))
     level = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_d") - F.col("_low")) * 255 / (F.col("_high") - F.col("_low")))).otherwise(0)
-    return out.join(span, "image_id").withColumn("away", level.cast("int")).drop("_d", "_low", "_high", *(f"_m{i}" for i in range(len(planes))))
+    return out.join(span.hint("shuffle_hash"), "image_id").withColumn("away", level.cast("int")).drop("_d", "_low", "_high", *(f"_m{i}" for i in range(len(planes))))
 
 
 def thresholds(pixels: DataFrame, level: str) -> DataFrame:
-    """(image_id, threshold, between): the level that parts an image's pixels best in those up to it and those above: the one with the most variance between the two, of equal ones the lowest;
-    null for an image of one level.
+    """(image_id, threshold, between, above): the level that parts an image's pixels best in those up to it and those above: the one with the most variance between the two, of equal ones the lowest;
+    null for an image of one level. above: how many pixels foreground() takes.
 
     Partial histograms go into the shuffle, at most 256 rows an image; the moments below each level are running sums over them."""
     histogram = pixels.groupBy("image_id", F.col(level).cast("int").alias("v")).agg(F.count("*").alias("n"))
@@ -37,14 +37,14 @@ def thresholds(pixels: DataFrame, level: str) -> DataFrame:
     n1 = F.col("all_n") - F.col("n0")
     apart = F.col("m0") / F.col("n0") - (F.col("all_m") - F.col("m0")) / n1
     between = F.when(n1 > 0, (F.col("n0") / F.col("all_n")) * (n1 / F.col("all_n")) * apart * apart)
-    best = F.max_by(F.struct("v", "b"), F.struct(F.round("b", 9), -F.col("v")))
-    return out.withColumn("b", between).groupBy("image_id").agg(F.max("b").alias("_any"), F.when(F.max("b").isNotNull(), best).alias("t")).select("image_id", F.col("t.v").alias("threshold"), F.col("t.b").alias("between"))
+    best = F.max_by(F.struct("v", "b", n1.alias("n1")), F.struct(F.round("b", 9), -F.col("v")))
+    return out.withColumn("b", between).groupBy("image_id").agg(F.max("b").alias("_any"), F.when(F.max("b").isNotNull(), best).alias("t")).select("image_id", F.col("t.v").alias("threshold"), F.col("t.b").alias("between"), F.coalesce("t.n1", F.lit(0).cast("long")).alias("above"))
 
 
 def foreground(pixels: DataFrame, level: str, name: str = "seed") -> DataFrame:
     """pixels with `name`: whether the level is above its image's threshold; false without one."""
     cut = thresholds(pixels, level).select("image_id", F.col("threshold").alias("_t"))
-    return pixels.join(cut, "image_id").withColumn(name, F.coalesce(F.col(level) > F.col("_t"), F.lit(False))).drop("_t")
+    return pixels.join(cut.hint("shuffle_hash"), "image_id").withColumn(name, F.coalesce(F.col(level) > F.col("_t"), F.lit(False))).drop("_t")
 
 
 def _nearest(features: list[str], centres: list[list[Column]]) -> Column:
@@ -57,10 +57,10 @@ def clusters(pixels: DataFrame, features: list[str], sizes: tuple[int, ...] = (2
     """(image_id, k, centres): means of k clusters of each image's pixels, for all images and all k of `sizes` at once.
 
     The start is fixed: the middles of k slices of equal width of the first feature's range, with the means of the other features, so runs agree. Each round assigns every pixel to its
-    nearest centre of each k and adds up the sums of all clusters in one row an image and task; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels, which
-    stay where they are if Spark finds the rows few enough to send out. Rounds are written to the shared folder."""
+    nearest centre of each k and adds up the sums of all clusters in one row an image and task; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels by image,
+    so nothing goes through the driver; pixels that lie by image stay where they are. Rounds' centres are written to the shared folder, pixels are read anew by each round."""
     shared_folder(pixels.sparkSession)
-    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features))).checkpoint()
+    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)))
     own = [f"_f{i}" for i in range(len(features))]
     cell = lambda k, j, i: f"_c{k}_{j}_{i}"
     every = [(k, j) for k in sizes for j in range(k)]
@@ -69,9 +69,9 @@ def clusters(pixels: DataFrame, features: list[str], sizes: tuple[int, ...] = (2
     centres = span.select("image_id", *((F.col(f"_mean{i}") if i else first(k, j)).alias(cell(k, j, i)) for k, j in every for i in range(len(own))))
     for _ in range(rounds):
         near = {f"_n{k}": _nearest(own, [[F.col(cell(k, j, i)) for i in range(len(own))] for j in range(k)]) for k in sizes}
-        each = rows.join(centres, "image_id").select("image_id", *own, *(x.alias(n) for n, x in near.items()))
+        each = rows.join(centres.hint("shuffle_hash"), "image_id").select("image_id", *own, *(x.alias(n) for n, x in near.items()))
         sums = each.groupBy("image_id").agg(*(F.avg(F.when(F.col(f"_n{k}") == j, F.col(f))).alias(f"_m{k}_{j}_{i}") for k, j in every for i, f in enumerate(own)))
-        centres = centres.join(sums, "image_id").select("image_id", *(F.coalesce(f"_m{k}_{j}_{i}", cell(k, j, i)).alias(cell(k, j, i)) for k, j in every for i in range(len(own)))).checkpoint()
+        centres = centres.hint("shuffle_hash").join(sums, "image_id").select("image_id", *(F.coalesce(f"_m{k}_{j}_{i}", cell(k, j, i)).alias(cell(k, j, i)) for k, j in every for i in range(len(own)))).checkpoint()
     each = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*(F.array(*(F.col(cell(k, j, i)) for i in range(len(own)))) for j in range(k))).alias("centres")) for k in sizes))
     return centres.select("image_id", F.explode(each).alias("x")).select("image_id", "x.k", "x.centres")
 
@@ -80,4 +80,4 @@ def assigned(pixels: DataFrame, features: list[str], centres: DataFrame, k: int)
     """pixels with `cluster`, of the k clusters of clusters()."""
     of = centres.filter(F.col("k") == k).select("image_id", F.col("centres").alias("_centres"))
     near = _nearest(features, [[F.col("_centres")[j][i] for i in range(len(features))] for j in range(k)])
-    return pixels.join(of, "image_id").withColumn("cluster", near).drop("_centres")
+    return pixels.join(of.hint("shuffle_hash"), "image_id").withColumn("cluster", near).drop("_centres")

@@ -126,7 +126,7 @@ def sized(pixels: DataFrame) -> DataFrame:
     if {"height", "width"} <= set(pixels.columns):
         return pixels
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    return pixels.join(size, "image_id")
+    return pixels.join(size.hint("shuffle_hash"), "image_id")
 
 
 def gathered(pixels: DataFrame, columns: list[str], tile: int, halo: int) -> DataFrame:

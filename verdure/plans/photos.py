@@ -97,9 +97,7 @@ SELECT i.image_id, t.v AS threshold, round(t.b, 6) AS between_, above FROM (SELE
 def photo_threshold(spark, d):
     """The threshold between the border's colour and what differs from it, and how many pixels are above."""
     px = segment.away_from_border(raster.with_masks(_photos(spark, d)))
-    cut = segment.thresholds(px, "away")
-    above = segment.foreground(px, "away").groupBy("image_id").agg(F.count_if("seed").alias("above"))
-    return cut.join(above, "image_id").select("image_id", "threshold", F.round("between", 6).alias("between_"), "above")
+    return segment.thresholds(px, "away").select("image_id", "threshold", F.round("between", 6).alias("between_"), "above")
 
 
 _F = {"f0": "lab_l / 10", "f1": "lab_a / 5", "f2": "lab_b / 5"}

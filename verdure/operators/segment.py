@@ -49,28 +49,32 @@ def foreground(pixels: DataFrame, level: str, name: str = "seed") -> DataFrame:
 
 def _nearest(features: list[str], centres: list[list[Column]]) -> Column:
     """The index of the centre nearest to a row's features, the first of equals."""
-    far = lambda c: F.round(sum(((F.col(f) - x) * (F.col(f) - x) for f, x in zip(features, c, strict=True)), F.lit(0.0)), 9)
-    return F.array_min(F.array(*(F.struct(far(c).alias("d"), F.lit(j).alias("i")) for j, c in enumerate(centres))))["i"]
+    far = lambda c: F.rint(sum(((F.col(f) - x) * (F.col(f) - x) for f, x in zip(features, c, strict=True)), F.lit(0.0)) * 1e9)  # noqa: E731  whole billionths: a decimal rounding costs more than all else
+    every = F.array(*map(far, centres))
+    return F.coalesce(F.array_position(every, F.array_min(every)) - 1, F.lit(0)).cast("int")
 
 
 def clusters(pixels: DataFrame, features: list[str], sizes: tuple[int, ...] = (2, 3, 4), rounds: int = 10) -> DataFrame:
     """(image_id, k, centres): means of k clusters of each image's pixels, for all images and all k of `sizes` at once.
 
     The start is fixed: the middles of k slices of equal width of the first feature's range, with the means of the other features, so runs agree. Each round assigns every pixel to its
-    nearest centre of each k and adds up the sums of all clusters in one row an image and task; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels by image,
-    so nothing goes through the driver; pixels that lie by image stay where they are. Rounds' centres are written to the shared folder, pixels are read anew by each round."""
+    nearest centre of each k and adds up a row for each cluster of an image; a cluster without pixels keeps its centre. An image's centres are one small row, joined to pixels by image,
+    so nothing goes through the driver; pixels that lie by image stay where they are. Pixels alike are one row with their number. Rounds' centres are written to the shared folder, pixels are read anew by each round."""
     shared_folder(pixels.sparkSession)
-    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)))
     own = [f"_f{i}" for i in range(len(features))]
+    rows = pixels.select("image_id", *(F.col(f).cast("double").alias(n) for f, n in zip(features, own, strict=True))).groupBy("image_id", *own).agg(F.count("*").alias("_n"))
     cell = lambda k, j, i: f"_c{k}_{j}_{i}"
     every = [(k, j) for k in sizes for j in range(k)]
-    span = rows.groupBy("image_id").agg(F.min("_f0").alias("_low"), F.max("_f0").alias("_high"), *(F.avg(f).alias(f"_mean{i}") for i, f in enumerate(own)))
+    span = rows.groupBy("image_id").agg(F.min("_f0").alias("_low"), F.max("_f0").alias("_high"), *((F.sum(F.col(f) * F.col("_n")) / F.sum(F.when(F.col(f).isNotNull(), F.col("_n")))).alias(f"_mean{i}") for i, f in enumerate(own)))
     first = lambda k, j: F.col("_low") + (F.col("_high") - F.col("_low")) * (F.lit(j) + 0.5) / F.lit(k)
     centres = span.select("image_id", *((F.col(f"_mean{i}") if i else first(k, j)).alias(cell(k, j, i)) for k, j in every for i in range(len(own))))
     for _ in range(rounds):
         near = {f"_n{k}": _nearest(own, [[F.col(cell(k, j, i)) for i in range(len(own))] for j in range(k)]) for k in sizes}
-        each = rows.join(centres.hint("shuffle_hash"), "image_id").select("image_id", *own, *(x.alias(n) for n, x in near.items()))
-        sums = each.groupBy("image_id").agg(*(F.avg(F.when(F.col(f"_n{k}") == j, F.col(f))).alias(f"_m{k}_{j}_{i}") for k, j in every for i, f in enumerate(own)))
+        each = rows.join(centres.hint("shuffle_hash"), "image_id").select("image_id", "_n", *own, *(x.alias(n) for n, x in near.items()))
+        at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"_n{k}").alias("j")) for k in sizes))).alias("_at")
+        mean = lambda f: F.sum(F.col(f) * F.col("_n")) / F.sum(F.when(F.col(f).isNotNull(), F.col("_n")))
+        sums = each.select("image_id", "_n", *own, at).groupBy("image_id", F.col("_at.k").alias("_k"), F.col("_at.j").alias("_j")).agg(*(mean(f).alias(f"_m{i}") for i, f in enumerate(own)))
+        sums = sums.groupBy("image_id").agg(*(F.max(F.when((F.col("_k") == k) & (F.col("_j") == j), F.col(f"_m{i}"))).alias(f"_m{k}_{j}_{i}") for k, j in every for i in range(len(own))))
         centres = centres.hint("shuffle_hash").join(sums, "image_id").select("image_id", *(F.coalesce(f"_m{k}_{j}_{i}", cell(k, j, i)).alias(cell(k, j, i)) for k, j in every for i in range(len(own)))).checkpoint()
     each = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*(F.array(*(F.col(cell(k, j, i)) for i in range(len(own)))) for j in range(k))).alias("centres")) for k in sizes))
     return centres.select("image_id", F.explode(each).alias("x")).select("image_id", "x.k", "x.centres")

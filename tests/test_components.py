@@ -51,6 +51,21 @@ def test_tiles_equal_the_whole(spark, masks, eight):
     assert {(r.image_id, r.y, r.x): r.label for r in known} == found
 
 
+def test_images_beyond_what_is_held(spark, masks, monkeypatch):
+    """Small images are joined in batches, without a join; those with more pixels than may be held by shuffles. Rows of an image come in many batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    calls = []
+    by_shuffles = raster._joined_by_shuffles
+    monkeypatch.setattr(raster, "_joined_by_shuffles", lambda local, *more: calls.append({r.image_id for r in local.select("image_id").distinct().collect()}) or by_shuffles(local, *more))
+    want = {(i, y, x): int(v) for i, m in enumerate(masks) for (y, x), v in np.ndenumerate(flood(m, True)) if v}
+    try:
+        for held in (1 << 20, 150, 1):
+            assert {(r.image_id, r.y, r.x): r.label for r in raster.components(frame(spark, masks), "on", True, tile=4, held=held).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(calls) == 2 and all(got and got <= {i for i, m in enumerate(masks) if m.sum() > held} for got, held in zip(calls, (150, 1), strict=True))
+
+
 def test_stack_of_planes(masks):
     stack = np.zeros((3, 19, 31), bool)
     for i, m in enumerate(masks[:3]):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,11 +168,46 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     return label_stack(mask[None], eight)[0] + 1
 
 
-def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[str, ...] = (), frame: int | None = None, tile: int = TILE, spread: bool = False) -> DataFrame:
+#: Pixels of one image that are held at once to join its tiles; an image with more is joined by shuffles.
+HELD = 1 << 22
+
+
+def closed(image: np.ndarray, y: np.ndarray, x: np.ndarray, code: np.ndarray, tile: int, eight: bool) -> np.ndarray:
+    """The least code of each pixel's component, of the pixels of whole images (numbered) with the codes (row << 32 | column of the first pixel) of their tiles' components."""
+    if not len(y):
+        return code
+    tall, wide = int(y.max()) + 3, int(x.max()) + 3  # a margin, so that a step never leads into another row or image
+    place = lambda i, y, x: (i * tall + y + 1) * wide + x + 1
+    node, own = np.unique(place(image, code >> 32, code & 0xFFFFFFFF), return_inverse=True)
+    edge = np.flatnonzero(np.isin(y % tile, (0, tile - 1)) | np.isin(x % tile, (0, tile - 1)))
+    edge = edge[np.argsort(place(image[edge], y[edge], x[edge]), kind="stable")]
+    i, v, h = image[edge], y[edge], x[edge]
+    there, pairs = place(i, v, h), []
+    for dy, dx in [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * eight:
+        out = np.flatnonzero(((v + dy) // tile != v // tile) | ((h + dx) // tile != h // tile))
+        to = there[out] + dy * wide + dx
+        at = np.minimum(np.searchsorted(there, to), len(there) - 1)
+        met = there[at] == to
+        pairs.append(np.stack([own[edge[out[met]]], own[edge[at[met]]]]))
+    a, b = np.concatenate(pairs, 1)
+    root = np.arange(len(node))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    first = node[root[own]]
+    return (first // wide % tall - 1 << 32) + first % wide - 1
+
+
+def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[str, ...] = (), frame: int | None = None, tile: int = TILE, spread: bool = False, held: int = HELD) -> DataFrame:
     """(image_id, y, x, label, keep) of the mask's pixels; a label is the least row-major index of its component, from 1.
 
-    Pixels are gathered by tiles, so a row and a task are bounded whatever an image's size, and a task labels many tiles at once. Then the labels on both sides of
-    the tiles' borders are joined by place, the graph of labels is closed by rounds of stars, and each label of a tile is looked up once.
+    Pixels are gathered by tiles, so a row is bounded whatever an image's size, and a task labels many tiles at once. Tiles are dealt by image and come in turn; the labels on both sides of
+    the tiles' borders are joined by place and closed for all images in a batch at once, as an image is held up to `held` pixels. The labels of an image with more are joined by shuffles, and their graph is closed by rounds of stars.
     frame: the most rows and columns of an image, where the caller knows them: images within one tile need no second step; a pixel beyond is an error.
     spread: with a frame; a pixel's value of the first column of `keep`, a flag, is then whether any pixel of its component has it.
     `width` of an image is taken from a column of that name, else it is the mask's and the other pixels' largest x + 1."""
@@ -181,60 +217,118 @@ def components(pixels: DataFrame, mask: str, eight: bool = False, keep: tuple[st
         raise ValueError("flags are spread within a frame")
     tile = TILE if frame else tile
     kept = [f"_k{i}" for i in range(len(keep))]
-    if "width" not in pixels.columns and not frame:
-        pixels = pixels.join(pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width")).hint("shuffle_hash"), "image_id")
     if frame:
         pixels = pixels.withColumn("x", F.when(F.greatest("y", "x") < frame, F.col("x")).otherwise(F.raise_error(F.lit("a pixel beyond the frame"))))
 
+    def tiles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]:
+        """(row of the batch, y, x, code, kept) of the pixels."""
+        first = np.append(0, np.cumsum(batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)))
+        cells = batch.column("cells").flatten()
+        place = (cells.field("at") if kept else cells).to_numpy()
+        ys, xs = place >> 32, place & 0xFFFFFFFF
+        tops, lefts = (batch.column(k).to_numpy().astype(np.int64) * tile for k in ("ty", "tx"))
+        plane = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        y, x = ys - tops[plane], xs - lefts[plane]
+        code = np.zeros(len(ys), np.int64)
+        several = max(1, (4 << 20) // (tile * tile))
+        for i in range(0, batch.num_rows, several):
+            at = slice(first[i], first[min(i + several, batch.num_rows)])
+            if at.start == at.stop:
+                continue
+            n, h, w = int(plane[at][-1]) - i + 1, int(y[at].max()) + 1, int(x[at].max()) + 1
+            grid = np.zeros((n, h, w), bool)
+            grid[plane[at] - i, y[at], x[at]] = True
+            least = label_stack(grid, eight)[plane[at] - i, y[at], x[at]] % (h * w)
+            code[at] = (least // w + tops[plane[at]] << 32) + least % w + lefts[plane[at]]
+        return plane, ys, xs, code, [cells.field(n) for n in kept]
+
+    names = ["image_id", "y", "x", "width", "_code", *kept]
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.append(0, np.cumsum(batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)))
-            cells = batch.column("cells").flatten()
-            ys, xs = (cells.field(k).to_numpy().astype(np.int64) for k in ("y", "x"))
-            tops, lefts = (batch.column(k).to_numpy().astype(np.int64) * tile for k in ("ty", "tx"))
-            plane = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            y, x = ys - tops[plane], xs - lefts[plane]
-            code = np.zeros(len(ys), np.int64)
-            several = max(1, (4 << 20) // (tile * tile))
-            for i in range(0, batch.num_rows, several):
-                at = slice(first[i], first[min(i + several, batch.num_rows)])
-                if at.start == at.stop:
-                    continue
-                n, h, w = int(plane[at][-1]) - i + 1, int(y[at].max()) + 1, int(x[at].max()) + 1
-                grid = np.zeros((n, h, w), bool)
-                grid[plane[at] - i, y[at], x[at]] = True
-                least = label_stack(grid, eight)[plane[at] - i, y[at], x[at]] % (h * w)
-                code[at] = (least // w + tops[plane[at]] << 32) + least % w + lefts[plane[at]]
+            plane, ys, xs, code, more = tiles(batch)
             out = [batch.column("image_id").take(pa.array(plane)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)), batch.column("width").take(pa.array(plane)), pa.array(code)]
-            held = [cells.field(n) for n in kept]
             if spread:
                 key = (plane << 14) + (code >> 32 << 7) + (code & 127)
-                held[0] = pa.array(np.isin(key, key[held[0].fill_null(False).to_numpy(zero_copy_only=False)]))
-            yield pa.RecordBatch.from_arrays([*out, *held], names=["image_id", "y", "x", "width", "_code", *kept])
+                more[0] = pa.array(np.isin(key, key[more[0].fill_null(False).to_numpy(zero_copy_only=False)]))
+            yield pa.RecordBatch.from_arrays([*out, *more], names=names)
+
+    def whole(rows: pa.Table, open_: bool) -> Iterator[pa.RecordBatch]:
+        """Pixels of the tiles of whole images (or, open_, of a part of one) in turn."""
+        for batch in rows.combine_chunks().to_batches():
+            plane, ys, xs, code, more = tiles(batch)
+            image = changes(batch.column("image_id")).cumsum()
+            width = np.zeros(image[-1] + 1, np.int32)
+            np.maximum.at(width, image, batch.column("width").to_numpy())
+            code = code if open_ else closed(image[plane], ys, xs, code, tile, eight)
+            out = [batch.column("image_id").take(pa.array(plane)), pa.array(ys.astype(np.int32)), pa.array(xs.astype(np.int32)), pa.array(width[image[plane]]), pa.array(code)]
+            yield pa.RecordBatch.from_arrays([*out, *more, pa.array(np.full(len(ys), open_))], names=[*names, "_open"])
+
+    def changes(ids: pa.Array) -> np.ndarray:
+        """Whether a row's image is another than that of the row before."""
+        return np.append(False, pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) if len(ids) > 1 else np.zeros(len(ids), bool)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, large = None, None  # the tiles of an image that may go on; the image that has gone beyond `held`
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([last, rows]) if last is not None else rows
+            ids = rows["image_id"].combine_chunks()
+            begins = np.append(0, np.flatnonzero(changes(ids)))
+            if large is not None:
+                end = int(begins[1]) if len(begins) > 1 else len(ids)
+                if ids[0] == large:
+                    yield from whole(rows.slice(0, end), True)
+                    rows, begins = rows.slice(end), begins[1:] - end
+                large = None if rows.num_rows else large
+            if not rows.num_rows:
+                last = None
+                continue
+            if begins[-1]:
+                yield from whole(rows.slice(0, int(begins[-1])), False)
+            last = rows.slice(int(begins[-1]))
+            if pc.sum(pc.list_value_length(last["cells"])).as_py() > held:
+                large = last["image_id"][0]
+                yield from whole(last, True)
+                last = None
+        if last is not None and last.num_rows:
+            yield from whole(last, False)
 
     part = lambda c: F.floor(F.col(c) / tile).cast("int")
-    cell = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(k).alias(n) for k, n in zip(keep, kept, strict=True)))
-    if frame:  # the width is the image's largest x + 1, of all its pixels, by one cheap maximum
-        rows = pixels.groupBy("image_id").agg(F.collect_list(F.when(F.col(mask), cell)).alias("cells"), (F.max(F.col("x").cast("int")) + 1).alias("width")).filter(F.size("cells") > 0).select("image_id", F.lit(0).alias("ty"), F.lit(0).alias("tx"), "width", "cells")
-    else:
-        rows = pixels.filter(mask).groupBy("image_id", part("y").alias("ty"), part("x").alias("tx")).agg(F.max("width").cast("int").alias("width"), F.collect_list(cell).alias("cells"))
+    cell = F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("x").cast("long"))
+    cell = F.when(F.col(mask), F.struct(cell.alias("at"), *(F.col(k).alias(n) for k, n in zip(keep, kept, strict=True))) if keep else cell)
     kinds = dict(pixels.dtypes)
-    local = rows.mapInArrow(label, ", ".join([f"image_id {kinds['image_id']}", "y int", "x int", "width int", "_code long", *(f"{n} {kinds[k]}" for k, n in zip(keep, kept, strict=True))]))
-    if not frame:
-        local = stored(local)  # read for both sides of the borders and for the result
-        reach = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * eight
-        here = local.select("image_id", "y", "x", F.col("_code").alias("_a"), F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in reach))).alias("d"))
-        here = here.select("image_id", "_a", part("y").alias("ty"), part("x").alias("tx"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-        here = here.filter((part("y") != F.col("ty")) | (part("x") != F.col("tx"))).select("image_id", "y", "x", "_a")
-        edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
-        pairs = here.join(local.filter(edge("y") | edge("x")).select("image_id", "y", "x", F.col("_code").alias("_b")).hint("merge"), ["image_id", "y", "x"]).select("image_id", "_a", "_b")
-        least = least_members(pairs, ["image_id"], "_a", "_b").select("image_id", F.col("_a").alias("_code"), F.col("_b").alias("_least"))
-        local = local.join(least.hint("merge"), ["image_id", "_code"], "left").withColumn("_code", F.coalesce("_least", "_code"))
+    schema = ", ".join([f"image_id {kinds['image_id']}", "y int", "x int", "width int", "_code long", *(f"{n} {kinds[k]}" for k, n in zip(keep, kept, strict=True))])
+    width = F.max(F.col("width") if "width" in pixels.columns and not frame else F.col("x") + 1).cast("int").alias("width")  # the image's largest x + 1, of all its pixels, by one cheap maximum
+    if frame:
+        rows = pixels.groupBy("image_id").agg(F.collect_list(cell).alias("cells"), width).filter(F.size("cells") > 0).select("image_id", F.lit(0).alias("ty"), F.lit(0).alias("tx"), "width", "cells")
+        local = rows.mapInArrow(label, schema)
+    else:
+        rows = pixels.groupBy("image_id", part("y").alias("ty"), part("x").alias("tx")).agg(width, F.collect_list(cell).alias("cells"))
+        local = stored(rows.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(joined, schema + ", _open boolean"))
+        beyond = local.filter("_open").drop("_open")
+        local = local.filter("not _open").drop("_open")
+        if beyond.limit(1).count():
+            local = local.unionByName(_joined_by_shuffles(beyond, rows.groupBy("image_id").agg(F.max("width").alias("width")), eight, tile))
     code = F.col("_code")
     out = local.withColumn("label", (F.shiftright(code, 32) * F.col("width") + code.bitwiseAND(0xFFFFFFFF) + 1).cast("long"))
     return out.select("image_id", "y", "x", F.col("label").cast("int") if frame else "label", *(F.col(n).alias(k) for k, n in zip(keep, kept, strict=True)))
 
 
+def _joined_by_shuffles(local: DataFrame, widths: DataFrame, eight: bool, tile: int) -> DataFrame:
+    """local with the least code of each component, of images of any size: neighbours across borders by a join, then rounds of stars."""
+    part = lambda c: F.floor(F.col(c) / tile).cast("int")
+    columns, local = local.columns, local.drop("width").join(widths.hint("merge"), "image_id")
+    reach = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * eight
+    here = local.select("image_id", "y", "x", F.col("_code").alias("_a"), F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in reach))).alias("d"))
+    here = here.select("image_id", "_a", part("y").alias("ty"), part("x").alias("tx"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
+    here = here.filter((part("y") != F.col("ty")) | (part("x") != F.col("tx"))).select("image_id", "y", "x", "_a")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    pairs = here.join(local.filter(edge("y") | edge("x")).select("image_id", "y", "x", F.col("_code").alias("_b")).hint("merge"), ["image_id", "y", "x"]).select("image_id", "_a", "_b")
+    least = least_members(pairs, ["image_id"], "_a", "_b").select("image_id", F.col("_a").alias("_code"), F.col("_b").alias("_least"))
+    return local.join(least.hint("merge"), ["image_id", "_code"], "left").withColumn("_code", F.coalesce("_least", "_code")).select(*columns)
+
+
 def fill_holes(pixels: DataFrame, mask: str, frame: int | None = None, tile: int = TILE) -> DataFrame:
     """(image_id, y, x): the mask and what it encloses: background components that don't reach the frame's edge."""
     size = pixels.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))

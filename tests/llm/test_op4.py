@@ -60,3 +60,15 @@ def test_torn_buckets_in_blocks(spark, monkeypatch, block):
     want = dict(enumerate(label))
     got = {r.doc_id: r.class_id for r in op4_omh.near_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_links_of_a_torn_bucket_are_a_forest(spark):
+    """Texts near to each other but to no common lead: what comes out grows with the texts, not with their pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(bytes([i]) * 16, " ".join(edited(rng, base, 0.04))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id binary, text string")
+    buckets = texts.selectExpr("id AS rep", "7L AS sketch")
+    labels = texts.selectExpr("id", "id AS label")
+    got = op4_omh._torn_links(buckets, labels, texts, op4_omh.SIMILARITY).collect()
+    assert len(got) == 59 and {x for r in got for x in (bytes(r.a), bytes(r.b))} == {i for i, _ in rows}

@@ -11,8 +11,9 @@ A candidate pair is near if its word edit distance, found in a band that widens
 
 Copies of one word sequence are one class from the start; they are known by a digest of 128 bits of their words, not by id.  Each text is first compared with the least digest of all its buckets of the first family, then with
 the least digest of each other bucket where the two aren't linked to one text already, so a group of thousands gives a few pairs for each of its texts.  Classes are joined (least label, to a fixed point).  Only texts of one bucket that are in different
-classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one), and pairs that the counts
-part are never emitted.  A pair is emitted in the least bucket that it shares.  Pairs within a class can't change it, so no link is left out.  Nothing is capped.
+classes still are compared with each other: a grid of blocks counts their words in BINS bins (an edit changes a bin by one) and aligns the pairs that the counts
+don't part.  A pair is looked at in the least bucket that it shares.  What comes out of a cell is a forest, at most a link for each of its texts, not pairs; texts that the cell's links have joined
+aren't compared again.  Pairs within a class can't change it, so no link between classes is left out.  Nothing is capped.
 
 Edge cases: null and empty texts, and texts without a word, are classes of their own; a text shorter than a shingle is one shingle; rows of one id are one document if they
 have the same words, else the id is listed once for each; a null id is listed with the class of its words, a class without other ids has the null id; an empty table gives no rows; other columns are ignored.
@@ -40,6 +41,8 @@ FIRST = "(sketch & 2 = 0)"
 BINS = 512
 #: Members of a bucket are counted against each other in blocks of about so many.
 BLOCK = 2048
+#: Pairs of a cell that are compared at once.
+WAITING = 512
 #: Ids of 16 bytes that are broadcast at most.
 BROADCAST = 1_000_000
 #: Texts of at most so many words are found without loss.
@@ -262,28 +265,13 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(labels.filter("id != label").select(F.col("label").alias("a"), F.col("id").alias("b")).unionAll(links))
 
 
-def _bags(texts: DataFrame) -> DataFrame:
-    """(id, n, bag): the number of words and their counts in BINS bins, a byte each."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = c.utf8(batch.column(1))
-            for lo, hi in c.chunks(offsets):
-                w = c.Words(data, offsets[lo : hi + 1])
-                bins = (w.hashes() % np.uint64(BINS)).astype(np.int64)
-                bags = np.minimum(np.bincount(w.row * BINS + bins, minlength=(hi - lo) * BINS), 255).astype(np.uint8).reshape(hi - lo, BINS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(w.count.astype(np.int64)), pa.array([x.tobytes() for x in bags], pa.binary())], names=["id", "n", "bag"])
-
-    return c.map_arrow(texts, count, f"id {texts.schema['id'].dataType.simpleString()}, n long, bag binary")
-
-
-def _torn_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: texts of one bucket with different labels whose lengths and counts of words don't part them; each pair once."""
+def _torn_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): near texts of one bucket with different labels; of a block's cell a forest, no link between two that its other links join already."""
     inside = buckets.join(labels, buckets.rep == labels.id, "left").select("sketch", "rep", F.coalesce("label", "rep").alias("label"))
     torn = inside.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("x != y").select("sketch", "blocks")
     inside = c.checkpointed(inside.join(torn, "sketch").distinct())
     members = inside.groupBy("rep").agg(F.max("label").alias("label"), F.collect_set("sketch").alias("keys"))
-    members = c.checkpointed(members.join(_bags(texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi")), F.col("rep") == F.col("id")).drop("id"))
+    members = c.checkpointed(members.join(texts.select(F.col("id").alias("rep"), "text"), "rep"))
     own, other = F.pmod(F.xxhash64("rep"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = inside.select("sketch", "rep", own.alias("own"), other.alias("other")).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
     kind = buckets.schema["rep"].dataType.simpleString()
@@ -291,15 +279,33 @@ def _torn_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similar
     def compare(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("rep").combine_chunks()
         sketch, across = cell["sketch"][0].as_py(), cell["x"][0] != cell["y"][0]
-        block, n = cell["own"].to_numpy(), cell["n"].to_numpy()
-        label = cell["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-        bag = np.frombuffer(b"".join(cell["bag"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        block, label = cell["own"].to_numpy(), cell["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        words, bags = [], []
+        data, offsets = c.utf8(cell["text"].combine_chunks())
+        for lo, hi in c.chunks(offsets):
+            w = c.Words(data, offsets[lo : hi + 1])
+            h = w.hashes() | np.uint64(2)
+            words += [h[w.first[i] : w.first[i + 1]] for i in range(hi - lo)]
+            bags.append(np.minimum(np.bincount(w.row * BINS + ((h >> np.uint64(2)) % np.uint64(BINS)).astype(np.int64), minlength=(hi - lo) * BINS), 255).astype(np.uint8).reshape(hi - lo, BINS))
+        bag, n = np.concatenate(bags), np.array([len(x) for x in words])
         total = bag.sum(1, dtype=np.int64)
         lists = cell["keys"].to_pylist()
         keys = np.full((len(n), max(map(len, lists))), sketch, np.int64)
         for i, x in enumerate(lists):
             keys[i, : len(x)] = x
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        links, waiting = [], []
+
+        def settle() -> None:
+            """Compare the pairs that wait; near ones become links and one label."""
+            a, b = np.concatenate([np.full(len(j), i) for i, j in waiting]), np.concatenate([j for _, j in waiting])
+            most = np.array([int((1 - similarity) * max(x, y) + 1e-9) for x, y in zip(n[a], n[b], strict=True)])
+            d = edit_distances([words[i] for i in a], [words[i] for i in b], most)
+            for i, j in zip(a[d <= most], b[d <= most], strict=True):
+                if label[i] != label[j]:
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+            waiting.clear()
+
         for i in range(len(n) - 1):
             most = np.maximum(n[i], n[i + 1 :])
             fits = (label[i + 1 :] != label[i]) & (np.minimum(n[i], n[i + 1 :]) >= most * similarity - 1e-9)
@@ -310,12 +316,19 @@ def _torn_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similar
             if len(j) and len(lesser):  # they have met in a lesser bucket
                 j = j[~np.isin(keys[j], lesser).any(1)]
             if len(j):
-                apart = np.abs(bag[j] - bag[i]).sum(1, dtype=np.int64) + np.abs(total[j] - total[i])
+                apart = np.abs(bag[j].astype(np.int16) - bag[i]).sum(1, dtype=np.int64) + np.abs(total[j] - total[i])
                 j = j[apart <= 2 * (most[j - i - 1] * (1 - similarity) + 1e-9)]
-                a.append(np.full(len(j), i))
-                b.append(j)
-        rep = cell["rep"].combine_chunks()
-        return pa.Table.from_arrays([rep.take(pa.array(np.concatenate(x))) for x in (a, b)], names=["a", "b"])
+            for k in range(0, len(j), WAITING):
+                some = j[k : k + WAITING]
+                some = some[label[some] != label[i]]
+                if len(some):
+                    waiting.append((i, some))
+                if sum(len(x) for _, x in waiting) >= WAITING:
+                    settle()
+        if waiting:
+            settle()
+        rep, at = cell["rep"].combine_chunks(), np.array(links, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([rep.take(pa.array(at[:, k])) for k in (0, 1)], names=["a", "b"])
 
     return cells.join(members, "rep").groupBy("sketch", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
 
@@ -381,8 +394,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
     apart = star.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("to_a", "a") != F.coalesce("to_b", "b")).select("a", "b")
     apart = c.checkpointed(apart.join(pairs, ["a", "b"], "left_anti"))
     labels = components(links.unionAll(_distances(apart, texts, similarity)))
-    rest = _torn_pairs(buckets.select("rep", "sketch"), labels, texts, similarity).join(pairs, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti")
-    labels = _joined(labels, c.checkpointed(_distances(c.checkpointed(rest), texts, similarity)))
+    labels = _joined(labels, c.checkpointed(_torn_links(buckets.select("rep", "sketch"), labels, texts, similarity).distinct()))
     classes = copies.select("node", "least").join(labels, copies.node == labels.id, "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     first = classes.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("null"), "least", "node")).alias("first"))
     classes = classes.join(first, "label").select("node", F.col("first.least").alias("class_id"), F.col("first.node").alias("class_node"), F.col("least").alias("copy_of"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import ship, stored
 from .closure import least_members
+from .tiles import combined, filtered
 
 EPS = 1e-6
 
@@ -72,11 +73,21 @@ def abnormal(leaf: str) -> Column:
 
 
 def framed(pixels: DataFrame, mask: str, reach: int, name: str, any_: bool = True) -> DataFrame:
-    """pixels with `name`: the mask widened (or, without any_, narrowed) by a square of `reach` pixels each way: a window along rows, then one along columns. Beyond the edge nothing counts."""
-    best = F.max if any_ else F.min
-    across = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-reach, reach)
-    down = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-reach, reach)
-    return pixels.withColumn(name, best(mask).over(across)).withColumn(name, best(name).over(down))
+    """pixels with `name`: the mask widened (or, without any_, narrowed) by a square of `reach` pixels each way, in tiles. Beyond the edge nothing counts, nor does what is null or isn't there."""
+    keep = tuple(c for c in pixels.columns if c not in ("image_id", "y", "x", name))
+    flat = pixels.withColumn("_m", F.col(mask).cast("int"))
+    return filtered(flat, ["_m"], lambda m: {name: m.framed(reach, any_, gaps=False)}, {name: "boolean"}, reach, keep)
+
+
+def opened(pixels: DataFrame, mask: str, reach: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, y, x, keep, narrowed, opened): the mask narrowed by a square of `reach` pixels each way, and that widened again; one exchange of tiles for both."""
+
+    def both(m, there):
+        narrowed = combined(lambda n, t: np.where(np.isnan(t), np.nan, n), m.framed(reach, False, gaps=False), there)
+        return {"narrowed": narrowed, "opened": narrowed.framed(reach, gaps=False)}
+
+    flat = pixels.withColumns({"_m": F.col(mask).cast("int"), "_there": F.lit(1)})
+    return filtered(flat, ["_m", "_there"], both, {"narrowed": "boolean", "opened": "boolean"}, 2 * reach, keep)
 
 
 def false_colours(spark) -> DataFrame:
@@ -350,23 +361,51 @@ def regions(labelled: DataFrame, heat: str, least: int = 25, top: int = 5) -> Da
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.round("mass", 9)), "label"))).filter(F.col("rank") <= top)
 
 
-def focus(pixels: DataFrame, heat: str, leaf: str, lesion: str) -> DataFrame:
+def tops(heat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of planes (plane, y, x): whether a place is at least its plane's 0.9 quantile (between the two nearest values), and whether it is the plane's largest. What isn't a number doesn't count; where nothing is one, all are largest."""
+    flat = np.sort(heat.reshape(len(heat), -1), axis=1)
+    n = (~np.isnan(flat)).sum(1)
+    at = np.maximum(n - 1, 0) * 0.9
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    every = np.arange(len(heat))
+    a, b = flat[every, low], flat[every, high]
+    cut = np.where(low == high, a, (high - at) * a + (at - low) * b)[:, None, None]
+    most = flat[every, np.maximum(n - 1, 0)][:, None, None]
+    return np.where(np.isnan(heat), np.nan, heat >= cut), ((heat == most) | np.isnan(most)).astype(float)
+
+
+def focus(pixels: DataFrame, heat: str, leaf: str, lesion: str, frame: int | None = None) -> DataFrame:
     """A row an image: how much of all heat, of its peak and of its hottest tenth lies on the leaf and on lesions (with 4 pixels around, for peak and tenth).
-    Images with at most 20 lesion pixels have null for what speaks of lesions, and a share of 0."""
-    cut = pixels.groupBy("image_id").agg(F.expr(f"percentile({heat}, 0.9)").alias("cut")).hint("shuffle_hash")
-    mass = lambda c: F.sum(F.when(c, F.col(heat)).otherwise(0.0))
-    pixels = framed(pixels.withColumn("_ill", F.col(lesion) & F.col(leaf)), "_ill", 4, "_wide")
-    peak = F.max_by(F.struct(leaf, "_wide"), F.struct(F.col(heat), -F.col("y"), -F.col("x")))
-    hot, part = F.col(heat) >= F.col("cut"), lambda c: F.avg(F.when(hot, F.col(c).cast("double")))
-    out = pixels.join(cut, "image_id").groupBy("image_id").agg(
-        (mass(F.col(leaf)) / (F.sum(heat) + 1e-8)).alias("on_leaf"), (mass(F.col("_ill")) / (F.sum(heat) + 1e-8)).alias("on_lesion"), peak.alias("peak"), part(leaf).alias("top_on_leaf"), part("_wide").alias("top_on_lesion"),
-        F.sum(F.col("_ill").cast("int")).alias("lesions"), F.sum(F.col(leaf).cast("int")).alias("leaves"),
+    Images with at most 20 lesion pixels have null for what speaks of lesions, and a share of 0.
+    frame: the most rows and columns of an image, where the caller knows them: pixels are then made once and nothing is joined; a pixel beyond is an error."""
+    size = [c for c in ("height", "width") if c in pixels.columns]
+    rows = pixels.select("image_id", "y", "x", *size, F.col(heat).alias("_heat"), F.col(leaf).alias("_leaf"), (F.col(lesion) & F.col(leaf)).alias("_ill"))
+    if frame and frame <= TILE:  # a tile is an image, so its quantile is found where it lies
+
+        def marked(h, ill):
+            hot, peak = tops(h.values)
+            return {"_wide": ill.framed(4, gaps=False), "_hot": h._like(hot, h.at), "_peak": h._like(peak, h.at)}
+
+        rows = rows.withColumn("x", F.when(F.greatest("y", "x") < frame, F.col("x")).otherwise(F.raise_error(F.lit("a pixel beyond the frame"))))
+        at = filtered(rows.withColumn("_m", F.col("_ill").cast("int")), ["_heat", "_m"], marked, dict.fromkeys(("_wide", "_hot", "_peak"), "boolean"), 4, ("_heat", "_leaf", "_ill"))
+    else:
+        marks = rows.groupBy("image_id").agg(F.expr("percentile(_heat, 0.9)").alias("_cut"), F.max("_heat").alias("_most")).hint("shuffle_hash")
+        rows = rows.join(marks, "image_id").withColumns({"_hot": F.col("_heat") >= F.col("_cut"), "_peak": F.col("_heat").eqNullSafe(F.col("_most"))}).drop("_cut", "_most")
+        at = framed(rows, "_ill", 4, "_wide")
+    mass = lambda c: F.sum(F.when(F.col(c), F.col("_heat")).otherwise(0.0))
+    bit = lambda c, n: F.coalesce(F.col(c).cast("long"), F.lit(2).cast("long")) * n  # noqa: E731  2: null
+    place = F.shiftleft(F.col("y").cast("long"), 36).bitwiseOR(F.shiftleft(F.col("x").cast("long"), 4)) + bit("_leaf", 4) + bit("_wide", 1)
+    part = lambda c: F.avg(F.when(F.col("_hot"), F.col(c).cast("double")))
+    out = at.groupBy("image_id").agg(
+        (mass("_leaf") / (F.sum("_heat") + 1e-8)).alias("on_leaf"), (mass("_ill") / (F.sum("_heat") + 1e-8)).alias("on_lesion"), F.min(F.when(F.col("_peak"), place)).alias("peak"), part("_leaf").alias("top_on_leaf"), part("_wide").alias("top_on_lesion"),
+        F.sum(F.col("_ill").cast("int")).alias("lesions"), F.sum(F.col("_leaf").cast("int")).alias("leaves"),
     )
+    flag = lambda n: F.nullif(F.shiftright("peak", n).bitwiseAND(3), F.lit(2).cast("long")).cast("boolean")  # noqa: E731  the first of the hottest pixels
     enough = lambda x: F.when(F.col("lesions") > 20, x)
     share = F.coalesce(enough(F.col("lesions") / F.greatest("leaves", F.lit(1))), F.lit(0.0))
     enrichment = (F.col("on_lesion") / F.greatest("on_leaf", F.lit(1e-6))) / F.greatest(share, F.lit(1e-6))
     return out.select(
-        "image_id", "on_leaf", F.col(f"peak.{leaf}").alias("peak_on_leaf"), "top_on_leaf", enough(F.col("on_lesion")).alias("on_lesion"), enough(F.col("peak._wide")).alias("peak_on_lesion"), enough(F.col("top_on_lesion")).alias("top_on_lesion"),
+        "image_id", "on_leaf", flag(2).alias("peak_on_leaf"), "top_on_leaf", enough(F.col("on_lesion")).alias("on_lesion"), enough(flag(0)).alias("peak_on_lesion"), enough(F.col("top_on_lesion")).alias("top_on_lesion"),
         share.alias("lesion_share"), enough(enrichment).alias("enrichment"),
     )
 

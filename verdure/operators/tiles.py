@@ -21,6 +21,9 @@ from .. import ship
 
 TILE = 128
 
+#: Pixels of tiles that are filtered at once.
+ALIKE = 1 << 15
+
 
 def gaussian(sigma: float) -> np.ndarray:
     """Weights of a blur, four sigmas to each side, that add up to 1."""
@@ -48,7 +51,7 @@ def mirrored(at: np.ndarray, size: int) -> np.ndarray:
 
 
 class Patch:
-    """A part of one plane of an image: values, the place of its first, and the image's size.  Filters shrink it by their reach, save at the image's edges."""
+    """A part of one plane of an image, or of many images alike in size and place: values (..., y, x), the place of the first, and the image's size.  Filters shrink it by their reach, save at the image's edges."""
 
     def __init__(self, values: np.ndarray, top: int, left: int, height: int, width: int):
         self.values, self.at, self.size = values, (top, left), (height, width)
@@ -59,9 +62,12 @@ class Patch:
     def _taps(self, reach: int, axis: int) -> tuple[int, Callable[[int], np.ndarray]]:
         """(first place after the filter, the values `k` places on)."""
         start, size = self.at[axis], self.size[axis]
-        stop = start + self.values.shape[axis]
+        stop = start + self.values.shape[axis - 2]
         lo, hi = 0 if start == 0 else start + reach, size if stop == size else stop - reach
-        return lo, lambda k: np.take(self.values, mirrored(np.arange(lo, max(lo, hi)) + k, size) - start, axis)
+        n = max(0, hi - lo)
+        wide = np.take(self.values, mirrored(np.arange(lo - reach, hi + reach), size) - start, axis - 2) if n else self.values  # mirrored once, then only cut
+        part = (lambda a: wide[..., a : a + n, :]) if axis == 0 else (lambda a: wide[..., a : a + n])
+        return lo, lambda k: part(reach + k)
 
     def _moved(self, lo: int, axis: int) -> tuple[int, int]:
         return (lo, self.at[1]) if axis == 0 else (self.at[0], lo)
@@ -70,7 +76,10 @@ class Patch:
         """Weighted sums along an axis: 0 down, 1 across."""
         reach = len(kernel) // 2
         lo, tap = self._taps(reach, axis)
-        out = sum(w * tap(k - reach) for k, w in enumerate(kernel) if w)
+        out, one = np.zeros(tap(0).shape), np.empty(tap(0).shape)
+        for k, w in enumerate(kernel):
+            if w:
+                out += np.multiply(tap(k - reach), w, out=one)
         return self._like(out, self._moved(lo, axis))
 
     def weighted(self, down: np.ndarray, across: np.ndarray) -> Patch:
@@ -83,9 +92,10 @@ class Patch:
         """Second differences down and across, added."""
         return combined(lambda a, b: a + b, self.along(SECOND, 0), self.along(SECOND, 1))
 
-    def framed(self, reach: int, most: bool = True) -> Patch:
-        """The largest (else the least) value in a square of `reach` places each way.  Beyond the image nothing counts, and a mirrored square holds nothing that isn't in it."""
-        best, out = (np.maximum if most else np.minimum), self
+    def framed(self, reach: int, most: bool = True, gaps: bool = True) -> Patch:
+        """The largest (else the least) value in a square of `reach` places each way.  Beyond the image nothing counts, and a mirrored square holds nothing that isn't in it.
+        gaps: what isn't a number makes the square none; else it doesn't count."""
+        best, out = ((np.maximum, np.minimum) if gaps else (np.fmax, np.fmin))[not most], self
         for axis in (0, 1):
             lo, tap = out._taps(reach, axis)
             value = tap(0)
@@ -110,13 +120,13 @@ class Patch:
 
     def cut(self, top: int, left: int, rows: int, columns: int) -> np.ndarray:
         y, x = top - self.at[0], left - self.at[1]
-        return self.values[y : y + rows, x : x + columns]
+        return self.values[..., y : y + rows, x : x + columns]
 
 
 def combined(f: Callable, *patches: Patch) -> Patch:
     """f of the patches' values where all of them have some."""
     top, left = (max(p.at[i] for p in patches) for i in (0, 1))
-    rows, columns = (min(p.at[i] + p.values.shape[i] for p in patches) for i in (0, 1))
+    rows, columns = (min(p.at[i] + p.values.shape[i - 2] for p in patches) for i in (0, 1))
     values = f(*(p.cut(top, left, rows - top, columns - left) for p in patches))
     return patches[0]._like(values, (top, left))
 
@@ -141,6 +151,7 @@ def gathered(pixels: DataFrame, columns: list[str], tile: int, halo: int) -> Dat
 
 def filtered(pixels: DataFrame, planes: list[str], function: Callable[..., dict[str, Patch]], outputs: dict[str, str], halo: int, keep: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
     """(image_id, y, x, keep, outputs) of every pixel.  function: from a Patch of doubles for each of `planes` to one for each of `outputs` (name: type), which reach no farther than `halo` together.
+    Tiles of a batch that are alike in place and image size are one stack of planes, of at most ALIKE pixels.
     A pixel that isn't there, or null, is not a number; what comes from it is null."""
     ship(pixels.sparkSession)
     kept = [f"_k{i}" for i in range(len(keep))]
@@ -150,31 +161,36 @@ def filtered(pixels: DataFrame, planes: list[str], function: Callable[..., dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = np.append(0, np.cumsum(batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)))
+            lengths = batch.column("cells").value_lengths().to_numpy(zero_copy_only=False)
+            first = np.append(0, np.cumsum(lengths))
             cells = batch.column("cells").flatten()
             ys, xs = (cells.field(k).to_numpy() for k in ("y", "x"))
             data = [cells.field(n).to_numpy(zero_copy_only=False) for n in values]
             ty, tx, heights, widths = (batch.column(k).to_numpy() for k in ("ty", "tx", "height", "width"))
             own, got = [], {n: [] for n in outputs}
-            for i in range(batch.num_rows):
-                h, w, y0, x0 = int(heights[i]), int(widths[i]), int(ty[i]) * tile, int(tx[i]) * tile
+            places, kind = np.unique(np.stack([ty, tx, heights, widths], 1), axis=0, return_inverse=True)
+            for j, (y0, x0, h, w) in enumerate((places * (tile, tile, 1, 1)).tolist()):
                 top, left, bottom, right = max(0, y0 - halo), max(0, x0 - halo), min(h, y0 + tile + halo), min(w, x0 + tile + halo)
-                at = slice(first[i], first[i + 1])
-                y, x = ys[at], xs[at]
-                patches = []
-                for d in data:
-                    plane = np.full((bottom - top, right - left), np.nan)
-                    plane[y - top, x - left] = d[at]
-                    patches.append(Patch(plane, top, left, h, w))
-                found = function(*patches)
-                core = np.flatnonzero((y >= y0) & (y < y0 + tile) & (x >= x0) & (x < x0 + tile))
-                own.append(core + first[i])
-                for n in outputs:
-                    got[n].append(found[n].cut(y0, x0, min(tile, h - y0), min(tile, w - x0))[y[core] - y0, x[core] - x0].astype(float))
+                alike, several = np.flatnonzero(kind.ravel() == j), max(1, ALIKE // ((bottom - top) * (right - left)))
+                for i in range(0, len(alike), several):
+                    at = alike[i : i + several]
+                    n = lengths[at]
+                    rows = np.arange(n.sum()) + np.repeat(first[at] - np.cumsum(n) + n, n)
+                    z, y, x = np.repeat(np.arange(len(at)), n), ys[rows], xs[rows]
+                    patches = []
+                    for d in data:
+                        plane = np.full((len(at), bottom - top, right - left), np.nan)
+                        plane[z, y - top, x - left] = d[rows]
+                        patches.append(Patch(plane, top, left, h, w))
+                    found = function(*patches)
+                    core = np.flatnonzero((y >= y0) & (y < y0 + tile) & (x >= x0) & (x < x0 + tile))
+                    own.append(rows[core])
+                    for k in outputs:
+                        got[k].append(found[k].cut(y0, x0, min(tile, h - y0), min(tile, w - x0))[z[core], y[core] - y0, x[core] - x0].astype(float))
             if not own:
                 continue
             rows = np.concatenate(own)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(first))[rows]
+            owner = np.repeat(np.arange(batch.num_rows), lengths)[rows]
             out = [batch.column("image_id").take(pa.array(owner)), pa.array(ys[rows]), pa.array(xs[rows])]
             out += [cells.field(n).take(pa.array(rows)) for n in kept]
             for n, kind in outputs.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster
-from .catalogue import _CC, _EIGHT, _HSV, _PX, SIDE, _pixels, query
+from .catalogue import _CC, _EIGHT, _HSV, _PX, SIDE, _pixels, _sized, query
 
 _COMPONENTS = f"on_ AS (SELECT image_id, y, x FROM px WHERE leaf), {_CC.format(name='cc', of='on_', near=_EIGHT)}, l AS (SELECT image_id, y, x, min(label) AS label FROM cc GROUP BY ALL)"
 
@@ -20,10 +20,10 @@ def lab_masks(spark, d):
 
 @query(f"WITH {_HSV}, a AS (SELECT *, min((leaf AND heat > 0.2)::INT) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n1 FROM m), b AS (SELECT *, min(n1) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM a), c AS (SELECT *, max(n) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS w1 FROM b), e AS (SELECT *, max(w1) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS w FROM c) SELECT image_id, sum(n)::BIGINT AS narrowed, sum(w)::BIGINT AS opened FROM e GROUP BY image_id")
 def opened_masks(spark, d):
-    """An opening by 3 x 3: narrowed, then widened, each by windows along rows and columns."""
-    px = _pixels(spark, d).withColumn("m", F.col("leaf") & (F.col("heat") > 0.2))
-    out = raster.framed(raster.framed(px, "m", 1, "n", any_=False), "n", 1, "w")
-    return out.groupBy("image_id").agg(F.sum(F.col("n").cast("long")).alias("narrowed"), F.sum(F.col("w").cast("long")).alias("opened"))
+    """An opening by 3 x 3: narrowed, then widened, by tiles."""
+    px = _sized(_pixels(spark, d)).withColumn("m", F.col("leaf") & (F.col("heat") > 0.2))
+    total = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return raster.opened(px, "m", 1).groupBy("image_id").agg(total("narrowed"), total("opened"))
 
 
 @query(f"WITH {_HSV} SELECT image_id, round(avg(green::INT) FILTER (WHERE leaf), 6) AS green, round(avg((green OR lesion)::INT) FILTER (WHERE leaf), 6) AS leafcolor, round(avg(skin::INT) FILTER (WHERE leaf), 6) AS skin, round(avg(lab_a) FILTER (WHERE NOT leaf), 6) AS ring_a, median(lab_a) FILTER (WHERE NOT leaf) AS around_a, median(lab_b) FILTER (WHERE NOT leaf) AS around_b FROM m GROUP BY image_id")

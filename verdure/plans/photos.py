@@ -153,8 +153,7 @@ SELECT image_id, label::INT AS label, round(area, 6) AS area, round(perimeter, 6
 def region_shapes(spark, d):
     """Outline, hull and least turned frame of the warm regions of at least 12 pixels."""
     labelled = raster.components(_pixels(spark, d).withColumn("warm", F.col("leaf") & (F.col("heat") > 0.3)), "warm", eight=True, frame=SIDE)
-    large = labelled.groupBy("image_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= _LEAST_REGION)
-    out = shape.shapes(labelled.join(large, ["image_id", "label"], "left_semi"))
+    out = shape.shapes(labelled, _LEAST_REGION)
     frame = F.round(F.col("long_side") * F.col("short_side"), 6) + F.lit(0.0)
     return out.select("image_id", "label", *(F.round(k, 6).alias(k) for k in ("area", "perimeter", "hull_area", "hull_perimeter", "solidity", "convexity_ratio")), frame.alias("frame"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tiles import sized
@@ -18,16 +18,17 @@ def work_frame(pixels: DataFrame, planes: list[str], most: int = 384) -> DataFra
     new = lambda c: F.greatest(F.lit(1), F.rint(F.col(c) * scale).cast("int"))
     rows = old.select("image_id", *(F.col(c).cast("long").alias(c) for c in ("y", "x", "height", "width")), new("height").alias("h"), new("width").alias("w"), *planes)
 
-    def cells(at: str, size: str, to: str):
-        """The new places that place `at` overlaps, with the overlap in units of 1 / to."""
+    def place(at: str, size: str, to: str, far: str) -> tuple[Column, Column]:
+        """The first new place that place `at` overlaps (or the one after), and the overlap in units of 1 / to, 0 at most where there is none."""
         a, s, t = F.col(at), F.col(size), F.col(to)
-        first, last = F.floor(a * t / s), F.floor(((a + 1) * t - 1) / s)
-        return F.transform(F.sequence(first, last), lambda j: F.struct(j.alias("at"), (F.least((a + 1) * t, (j + 1) * s) - F.greatest(a * t, j * s)).alias("part")))
-
-    rows = rows.select("image_id", "height", "width", "h", "w", *planes, F.explode(cells("y", "height", "h")).alias("_a"), "x")
-    rows = rows.select("image_id", "height", "width", "h", "w", *planes, "_a", F.explode(cells("x", "width", "w")).alias("_b"))
-    part = F.col("_a.part") * F.col("_b.part")
-    out = rows.groupBy("image_id", F.col("_a.at").cast("int").alias("y"), F.col("_b.at").cast("int").alias("x"), "h", "w").agg(*((F.sum(F.col(p) * part) / F.sum(part)).alias(p) for p in planes))
+        j = F.expr(f"{at} * {to} div {size}") + F.col(far)
+        return j, F.least((a + 1) * t, (j + 1) * s) - F.greatest(a * t, j * s)
+
+    rows = rows.withColumn("_k", F.explode(F.array(*map(F.lit, range(4))))).withColumns({"_down": F.shiftright("_k", 1), "_right": F.col("_k").bitwiseAND(1)})
+    (ny, high), (nx, broad) = place("y", "height", "h", "_down"), place("x", "width", "w", "_right")
+    rows = rows.select("image_id", "h", "w", *planes, ny.alias("_y"), nx.alias("_x"), high.alias("_high"), broad.alias("_broad")).filter((F.col("_high") > 0) & (F.col("_broad") > 0))
+    part = F.col("_high") * F.col("_broad")
+    out = rows.groupBy("image_id", F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x"), "h", "w").agg(*((F.sum(F.col(p) * part) / F.sum(part)).alias(p) for p in planes))
     return out.select("image_id", "y", "x", F.col("h").alias("height"), F.col("w").alias("width"), *planes)
 
 

@@ -55,3 +55,18 @@ def test_images_come_back(spark, tmp_path):
 def test_grey_and_alpha(spark):
     images = spark.createDataFrame([("g", 1, 2, 1, bytearray([5, 9])), ("t", 1, 1, 4, bytearray([1, 2, 3, 77])), ("bad", -1, -1, -1, bytearray())], "origin string, height int, width int, nChannels int, data binary")
     assert sorted(tuple(r) for r in files.pixels(images).select("image_id", "x", "b", "g", "r").collect()) == [("g", 0, 5, 5, 5), ("g", 1, 9, 9, 9), ("t", 0, 1, 2, 3)]
+
+
+def test_small_images_are_not_resized(spark, tmp_path):
+    """Large and small images of one folder; files that no pattern fits aren't opened; the small ones aren't shuffled."""
+    rows = [(n, y, x, 9 * y + x, y, x) for n, (h, w) in {"a": (3, 5), "b": (8, 6)}.items() for y in range(h) for x in range(w)]
+    made = files.png(spark.createDataFrame(rows, "image_id string, y int, x int, b int, g int, r int"))
+    named.write(made.select(F.concat("image_id", F.lit(".png")).alias("name"), "content"), f"{tmp_path}/p")
+    got = files.decoded(spark, f"{tmp_path}/p", most=5, pattern="*.png")
+    sizes = {(r.image_id.rsplit("/", 1)[-1], r.height, r.width, r.n) for r in got.groupBy("image_id", "height", "width").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {("a.png", 3, 5, 15), ("b.png", 5, 4, 20)}
+    assert {(r.y, r.x, r.b, r.g, r.r) for r in got.filter("height = 3").collect()} == {tuple(map(float, r[1:])) for r in rows if r[0] == "a"}
+    total = got.filter("height = 5").agg(F.avg("b")).first()[0]
+    assert abs(total - sum(r[3] for r in rows if r[0] == "b") / 48) < 1e-9
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Union") < text.index("HashAggregate") and text.count("Exchange hashpartitioning") == 1

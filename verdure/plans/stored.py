@@ -39,7 +39,7 @@ def decoded_photos(spark, d):
     """Photos encoded, written as files, found and decoded by Spark's image source, and unpacked to pixels."""
     folder = _folder(spark)
     named.write(files.png(_photos(spark, d)).select(F.concat(F.col("image_id"), F.lit(".png")).alias("name"), "content"), folder)
-    px = files.decoded(spark, f"{folder}/*.png").withColumn("image_id", F.substring_index(F.substring_index("image_id", "/", -1), ".", 1).cast("long"))
+    px = files.decoded(spark, folder, pattern="*.png").withColumn("image_id", F.substring_index(F.substring_index("image_id", "/", -1), ".", 1).cast("long"))
     total = lambda c: F.sum(F.col(c).cast("long")).alias(c)
     return px.groupBy("image_id").agg(F.max("height").alias("height"), F.max("width").alias("width"), total("b"), total("g"), F.sum((F.col("r") * (F.col("y") * 3 + F.col("x"))).cast("long")).alias("r"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import ship, stored
 from ..functions.names import accepted
 from ..operators.resize import work_frame
 from ..operators.tiles import sized
@@ -27,9 +27,10 @@ def uploads(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame
     return found(spark, path, most).select(F.concat(F.lit(f"{path}/"), "name").alias("path"), size.alias("length"), "content", F.coalesce("error", error).alias("error"))
 
 
-def photographs(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's image rows; those that can't be decoded have height -1."""
-    return spark.read.format("image").load(path).select("image.*")
+def photographs(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Spark's image rows, of a folder's files whose names fit a pattern if there is one: the folder is then listed at once, not file by file. Those that can't be decoded have height -1."""
+    reader = spark.read.format("image")
+    return (reader if pattern is None else reader.option("pathGlobFilter", pattern)).load(path).select("image.*")
 
 
 def pixels(images: DataFrame, key: str = "origin") -> DataFrame:
@@ -54,9 +55,11 @@ def pixels(images: DataFrame, key: str = "origin") -> DataFrame:
     return good.mapInArrow(unpack, f"image_id {kind}, y int, x int, height int, width int, b int, g int, r int")
 
 
-def decoded(spark: SparkSession, path: str, most: int = 1600) -> DataFrame:
-    """Pixels of all images of a folder, none with a side above `most` (made smaller by areas)."""
-    return work_frame(pixels(photographs(spark, path)), ["b", "g", "r"], most)
+def decoded(spark: SparkSession, path: str, most: int = 1600, pattern: str | None = None) -> DataFrame:
+    """Pixels of all images of a folder, none with a side above `most` (made smaller by areas). Images are decoded once, into the shared folder; those that are small enough stay as they are, without a shuffle."""
+    images, large = stored(photographs(spark, path, pattern)), (F.col("height") > most) | (F.col("width") > most)
+    small = pixels(images.filter(~large)).withColumns({k: F.col(k).cast("double") for k in "bgr"})
+    return small.unionByName(work_frame(pixels(images.filter(large)), ["b", "g", "r"], most))
 
 
 def png(pixels: DataFrame) -> DataFrame:

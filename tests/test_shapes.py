@@ -63,3 +63,20 @@ def test_hulls_of_many_equal_one_by_one():
 def test_regions_are_read_once(spark):
     text = catalogue.queries()["region_shapes"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and text.count("MapInArrow label") == 1
+
+
+def test_rows_within_hulls(spark):
+    """Every place of the frame by the sides of its hull; a dot and a line hold only themselves."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, s, (n, 2)), axis=0) for s, n in [(2, 2), (9, 3), (14, 12)] for _ in range(6)] + [np.array([[3, 4]]), np.array([[0, 0], [6, 3]]), np.array([[1, 5], [8, 5]])]
+    rows = [(i, 1, int(y), int(x)) for i, p in enumerate(sets) for x, y in p] + [(2, 99, 20, 20)]
+    found = {r.image_id: r for r in shape.spans(spark.createDataFrame(rows, "image_id int, label int, y int, x int")).collect()}
+    for i, p in enumerate(sets):
+        c = shape.hull(p)
+        q = np.roll(c, -1, 0)
+        boxed = lambda x, y: p[:, 0].min() <= x <= p[:, 0].max() and p[:, 1].min() <= y <= p[:, 1].max()  # noqa: E731, B023
+        want = {(x, y) for x in range(15) for y in range(15) if boxed(x, y) and ((q[:, 0] - c[:, 0]) * (y - c[:, 1]) - (q[:, 1] - c[:, 1]) * (x - c[:, 0]) >= 0).all()}
+        assert found[i].label == 1 or len(p) == 1
+        if found[i].label == 1:
+            assert {(x, found[i].top + k) for k, s in enumerate(found[i].spans) for x in range(s.a, s.b + 1)} == want
+    assert [(s.a, s.b) for s in found[18].spans] == [(3, 3)]

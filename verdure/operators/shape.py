@@ -178,28 +178,44 @@ def _hulls(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield some, *hull_stack(points, total)
 
 
-def corners(labelled: DataFrame) -> DataFrame:
-    """(image_id, label, corners): the convex hull of each region, an array of (x, y) in turn."""
+def rows_within(corners: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first row, first and last column) of the places within a hull or on its edge, for each of its rows; a row without any has its last before its first."""
+    (left, top), (right, bottom) = corners.min(0), corners.max(0)
+    y = np.arange(top, bottom + 1)
+    a, b = np.full(len(y), left), np.full(len(y), right)
+    for (px, py), (qx, qy) in zip(corners, np.roll(corners, -1, 0), strict=True):
+        run = (qx - px) * (y - py)
+        if qy > py:
+            b = np.minimum(b, px + run // (qy - py))
+        elif qy < py:
+            a = np.maximum(a, px - run // (py - qy))
+    return int(top), a, b
+
+
+def spans(labelled: DataFrame) -> DataFrame:
+    """(image_id, label, top, spans): of the convex hull of each image's largest region (of those alike the one with the least label), the first and last column (a, b) of its rows from `top` on."""
     ship(labelled.sparkSession)
+    rows = labelled.groupBy("image_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
+    each = rows.groupBy("image_id", "label").agg(F.sum("n").alias("n"), F.collect_list(F.struct("y", "a", "b")).alias("rows"))
+    best = each.groupBy("image_id").agg(F.max_by(F.struct("label", "rows"), F.struct("n", -F.col("label"))).alias("r")).select("image_id", "r.label", "r.rows")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None] * batch.num_rows
+            tops, out = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
             for some, places, n in _hulls(batch):
-                for i, c, m in zip(some.tolist(), places.tolist(), n.tolist(), strict=True):
-                    out[i] = [{"x": x, "y": y} for x, y in c[:m]]
-            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("label"), pa.array(out, pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))], names=["image_id", "label", "corners"])
+                for i, c, m in zip(some, places, n, strict=True):
+                    tops[i], a, b = rows_within(c[:m])
+                    out[i] = [{"a": x, "b": z} for x, z in zip(a.tolist(), b.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("label"), pa.array(tops), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["image_id", "label", "top", "spans"])
 
-    kinds = dict(labelled.dtypes)
-    return _extremes(labelled).mapInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, corners array<struct<x: bigint, y: bigint>>")
+    kinds = dict(best.dtypes)
+    return best.mapInArrow(fold, f"image_id {kinds['image_id']}, label {kinds['label']}, top int, spans array<struct<a: bigint, b: bigint>>")
 
 
-def inside(corners: str, x: str, y: str) -> Column:
-    """Whether a place lies in a hull of corners() or on its edge."""
-    c = F.col(corners)
-    last = F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
-    side = F.zip_with(c, last, lambda p, q: (q["x"] - p["x"]) * (F.col(y) - p["y"]) - (q["y"] - p["y"]) * (F.col(x) - p["x"]))
-    return F.forall(side, lambda v: v >= 0)
+def inside(top: str, spans: str, x: str, y: str) -> Column:
+    """Whether a place lies in a hull of spans() or on its edge."""
+    row = F.get(F.col(spans), F.col(y) - F.col(top))
+    return F.coalesce(F.col(x).between(row["a"], row["b"]), F.lit(False))
 
 
 def hulls(labelled: DataFrame) -> DataFrame:

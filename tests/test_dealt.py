@@ -25,6 +25,21 @@ def test_nothing_is_sent_through_the_driver(spark, name):
     assert "BroadcastExchange" not in plan(catalogue.queries()[name](spark, DATA))
 
 
+@pytest.mark.parametrize("name", ["kept_components"])
+def test_no_pixels_or_sums_are_broadcast(spark, name):
+    """The rows of a rule's files are few, but what is made of them isn't."""
+    assert "BroadcastExchange" not in plan(catalogue.queries()[name](spark, DATA))
+
+
+def test_touching_is_what_flags_tell(spark):
+    px = spark.range(3 * 64).select(F.floor(F.col("id") / 64).alias("image_id"), F.floor(F.col("id") % 64 / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), (F.col("id") * 37 % 11 < 5).alias("m"), (F.col("id") * 29 % 17 < 3).alias("f"))
+    place = lambda rows: sorted((r.image_id, r.y, r.x, r.label) for r in rows)
+    want = place(raster.components(px, "m", frame=8, keep=("f",), spread=True).filter("f").collect())
+    found = raster.touching(raster.components(px, "m", frame=8), px.filter("f"))
+    assert "BroadcastExchange" not in plan(found)
+    assert place(found.collect()) == want and 0 < len(want) < px.filter("m").count()
+
+
 @pytest.mark.parametrize("name", ["lab_masks", "photo_blur", "focus_metrics"])
 def test_pixels_are_not_shuffled(spark, name):
     """The specs are, and the sums of tiles that come out of Arrow."""

@@ -128,8 +128,9 @@ def seeds(labelled: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def touching(labelled: DataFrame, others: DataFrame) -> DataFrame:
-    """The components (all their pixels) of which a pixel is in `others` (image_id, y, x)."""
-    return labelled.join(labelled.join(others.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").select("image_id", "label").distinct(), ["image_id", "label"], "left_semi")
+    """The components (all their pixels) of which a pixel is in `others` (image_id, y, x). Where a column of the pixels tells it, components(spread=True) does so without a join."""
+    met = labelled.join(others.select("image_id", "y", "x").hint("merge"), ["image_id", "y", "x"], "left_semi").select("image_id", "label").distinct()
+    return labelled.join(met.hint("merge"), ["image_id", "label"], "left_semi")
 
 
 def keeps_marginal(border: Column, around: Column, distance: Column) -> Column:

@@ -70,6 +70,7 @@ def seed_choice(spark, d):
 def kept_components(spark, d):
     """Components that overlap the hot core, and the rule that keeps a candidate beside the leaf."""
     px = _pixels(spark, d)
-    kept = raster.touching(raster.components(px, "leaf", eight=True, frame=SIDE), px.filter("heat > 0.97")).groupBy("image_id").agg(F.count("*").alias("pixels"), F.countDistinct("label").alias("components"))
+    labelled = raster.components(px.withColumn("hot", F.col("heat") > 0.97), "leaf", eight=True, keep=("hot",), frame=SIDE, spread=True)
+    kept = labelled.filter("hot").groupBy("image_id").agg(F.count("*").alias("pixels"), F.countDistinct("label").alias("components"))
     rule = px.groupBy("image_id").agg(F.avg((F.col("leaf") & (F.col("heat") > 0.5)).cast("int")).alias("border"), F.sum((~F.col("leaf")).cast("int")).alias("around"), F.abs(F.avg("r") - F.avg("g")).alias("distance"))
-    return kept.join(rule, "image_id").select("image_id", "pixels", "components", raster.keeps_marginal(F.col("border"), F.col("around"), F.col("distance")).alias("keeps"))
+    return kept.join(rule.hint("shuffle_hash"), "image_id").select("image_id", "pixels", "components", raster.keeps_marginal(F.col("border"), F.col("around"), F.col("distance")).alias("keeps"))

@@ -25,7 +25,7 @@ def test_nothing_is_sent_through_the_driver(spark, name):
     assert "BroadcastExchange" not in plan(catalogue.queries()[name](spark, DATA))
 
 
-@pytest.mark.parametrize("name", ["kept_components"])
+@pytest.mark.parametrize("name", ["kept_components", "label_sums"])
 def test_no_pixels_or_sums_are_broadcast(spark, name):
     """The rows of a rule's files are few, but what is made of them isn't."""
     assert "BroadcastExchange" not in plan(catalogue.queries()[name](spark, DATA))

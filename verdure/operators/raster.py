@@ -109,9 +109,9 @@ def focus_alpha(heat: str) -> Column:
 
 
 def label_sums(labelled: DataFrame, index: DataFrame, value: str) -> DataFrame:
-    """A row for each (image_id, label) of index: the sum of the label's values, 0.0 for one without pixels."""
+    """A row for each (image_id, label) of index: the sum of the label's values, 0.0 for one without pixels. Sums are far more than the files of their pixels' rule tell, so they are never sent to all tasks."""
     sums = labelled.groupBy("image_id", "label").agg(F.sum(F.col(value).cast("double")).alias("total"))
-    return index.join(sums, ["image_id", "label"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    return index.hint("merge").join(sums.hint("merge"), ["image_id", "label"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 
 def seeds(labelled: DataFrame, height: int, width: int) -> DataFrame:
